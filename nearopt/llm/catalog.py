@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearopt.llm import chat, mixing, packing, secrets
+from nearopt.llm import chat, langid, minhash, mixing, packing, pii, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,11 +18,14 @@ def _table(name: str, apply: Callable[[DataFrame], DataFrame]) -> Query:
 def queries() -> dict[str, Query]:
     return {
         "op1_chat_format": _table("conversations", lambda t: chat.format_digest(chat.with_trap(t))),
+        "op4_pii": _table("documents", pii.find),
+        "op6_language_id": _table("documents", lambda t: langid.identify(t, langid.learn(t))),
         "op7_packing": _table("documents", packing.pack),
+        "op8_minhash": _table("documents", minhash.near_duplicates),
         "op9_secret_scan": _table("documents", secrets.scan_digest),
         "op10_mixing": _table("documents", mixing.mix_digest),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": chat.SQL, "op10_mixing": mixing.SQL}
+    return {"op1_chat_format": chat.SQL, "op8_minhash": minhash.SQL, "op10_mixing": mixing.SQL}
