@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearopt.llm import chat, langid, minhash, mixing, packing, pii, secrets
+from nearopt.llm import chat, langid, minhash, mixing, nndescent, packing, pii, pqdedup, resample, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,7 +18,10 @@ def _table(name: str, apply: Callable[[DataFrame], DataFrame]) -> Query:
 def queries() -> dict[str, Query]:
     return {
         "op1_chat_format": _table("conversations", lambda t: chat.format_digest(chat.with_trap(t))),
+        "op2_pq_dedup": _table("embeddings", pqdedup.near_duplicates),
+        "op3_nn_descent": _table("embeddings", nndescent.nearest),
         "op4_pii": _table("documents", pii.find),
+        "op5_resample": lambda spark, sf_dir: resample.resample(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")),
         "op6_language_id": _table("documents", lambda t: langid.identify(t, langid.learn(t))),
         "op7_packing": _table("documents", packing.pack),
         "op8_minhash": _table("documents", minhash.near_duplicates),
@@ -28,4 +31,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": chat.SQL, "op8_minhash": minhash.SQL, "op10_mixing": mixing.SQL}
+    return {"op1_chat_format": chat.SQL, "op2_pq_dedup": pqdedup.SQL, "op8_minhash": minhash.SQL, "op10_mixing": mixing.SQL}
