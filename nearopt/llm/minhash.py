@@ -1,9 +1,9 @@
 """Near-duplicates on word shingles: MinHash bands, sequential Bayesian pruning, exact verification.
 
 1. One pass over the texts gives each document its number of distinct shingles, a 128-bit key of their set, and a
-   signature of 196 minima.  Documents with equal sets are one class from here on, represented by its smallest id,
-   so groups of exact copies cost one row.
-2. Bands of the signatures give buckets; buckets of one class are dropped.
+   signature of 196 minima, of which hashes of the bands and one byte of each minimum are kept.  Documents with
+   equal sets are one class from here on, represented by its smallest id, so groups of exact copies cost one row.
+2. The band hashes give buckets; buckets of one class are dropped.
 3. In a bucket, pairs are compared batch after batch of minima.  After each batch, a pair goes when the posterior
    probability that its similarity reaches the threshold, given its matches so far, is below MISS.
 4. Survivors are verified on their full sets, and links give components.  In a large bucket each class first
@@ -22,7 +22,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearopt.llm import textvec as tv
@@ -56,17 +56,25 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def band_hashes(least: np.ndarray) -> np.ndarray:
+    """A hash of each band of a signature and its number."""
+    mixed = (least.reshape(BANDS, ROWS).astype(np.uint64) * tv._MIX[:ROWS]).sum(1) + np.arange(BANDS, dtype=np.uint64) * tv._MIX[7]
+    return tv.splitmix(tv.splitmix(mixed)).view(np.int64)
+
+
 @functools.cache
 def least_matches(threshold: float, miss: float = MISS) -> dict[int, int]:
     """By number of minima compared, the matches below which a pair is pruned.
 
-    The prior of the similarity is uniform, so its posterior after m matches of n is Beta(m + 1, n - m + 1).
+    The prior of the similarity s is uniform.  A byte of a minimum matches with probability s + (1 - s) / 256, so the
+    posterior after m matches of n is in proportion to the binomial likelihood at that probability.
     """
     grid = (np.arange(20_000) + 0.5) / 20_000
     out = {}
     for n in range(BATCH, HASHES + 1, BATCH):
         for m in range(n + 1):
-            log = m * np.log(grid) + (n - m) * np.log1p(-grid)
+            match = grid + (1 - grid) / 256
+            log = m * np.log(match) + (n - m) * np.log1p(-match)
             weight = np.exp(log - log.max())
             if weight[grid >= threshold].sum() >= miss * weight.sum():
                 out[n] = m
@@ -83,27 +91,30 @@ def _sets(texts: pa.Array, width: int):
 
 
 def described(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, the set's key (k1, k2) and its signature, null for an empty set."""
-    names = ["doc_id", "n_shingles", "k1", "k2", "signature"]
+    """doc_id, n_shingles, the set's key (k1, k2), a hash of each band of its signature and a byte of each minimum,
+    null for an empty set."""
+    names = ["doc_id", "n_shingles", "k1", "k2", "bands", "signature"]
 
     def of(batches):
         for batch in batches:
             texts = tv.as_strings(batch.column(1))
-            n, keys, signatures = [], [], []
-            known: dict[bytes, bytes] = {}
+            n, keys, bands, signatures = [], [], [], []
+            known: dict[bytes, tuple] = {}
             for _, own in _sets(texts, width):
                 raw = own.tobytes()
                 key = xxhash.xxh3_128_digest(raw)
                 n.append(len(own))
                 keys.append(key)
                 if len(own) and key not in known:
-                    known[key] = signature(own).tobytes()
-                signatures.append(known[key] if len(own) else None)
+                    least = signature(own)
+                    known[key] = (band_hashes(least), least.astype(np.uint8).tobytes())
+                bands.append(known[key][0] if len(own) else None)
+                signatures.append(known[key][1] if len(own) else None)
             halves = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(signatures, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(bands, pa.list_(pa.int64())), pa.array(signatures, pa.binary())], names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(of, "doc_id long, n_shingles long, k1 long, k2 long, signature binary")
+    return rows.mapInArrow(of, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, signature binary")
 
 
 def _sets_of(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame, width: int) -> DataFrame:
@@ -116,11 +127,6 @@ def _sets_of(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame, width:
     return having(rows, "rep", ids).mapInArrow(of, "rep long, shingles binary")
 
 
-def _bands() -> Column:
-    size = 4 * ROWS
-    return F.array(*[F.xxhash64(F.lit(b), F.substring("signature", b * size + 1, size)) for b in range(BANDS)])
-
-
 def _fixed(column: pa.Array, dtype, width: int) -> np.ndarray:
     """A binary column of equal lengths as a matrix."""
     raw, bounds = tv.buffers(column.cast(pa.large_binary()))
@@ -214,7 +220,7 @@ def _candidates(rows: DataFrame, least: dict[int, int], most: int | None, tested
             table = table.combine_chunks()
             column = lambda c: table.column(c).to_numpy()
             gone = table.column("tested").to_pylist() if tested else None
-            signatures = _fixed(table.column("signature").combine_chunks(), np.uint32, HASHES)
+            signatures = _fixed(table.column("signature").combine_chunks(), np.uint8, HASHES)
             a, b = _pairs_in(column("block"), column("rep"), column("comp"), column("chunk"), signatures, gone, least, most)
             pairs = np.unique(np.stack([a, b], 1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -264,8 +270,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = least_matches(percent / 100)
     all_rows = written(described(docs, id_col, text_col, width), "described")
     usable = all_rows.where("signature is not null and doc_id is not null")
-    classes = written(usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes")
-    banded = classes.select("rep", F.explode(_bands()).alias("bucket"))
+    classes = written(usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "classes")
+    banded = classes.select("rep", F.explode("bands").alias("bucket"))
     shared = written(banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     buckets = written(banded.join(shared, "bucket"), "buckets")
     ids = buckets.select("rep").distinct()
