@@ -7,9 +7,10 @@
 3. In a bucket, pairs are compared batch after batch of minima.  After each batch, a pair goes when the posterior
    probability that its similarity reaches the threshold, given its matches so far, is below MISS.
 4. Survivors are verified on their full sets, and links give components.  In a large bucket each class first
-   proposes its most similar survivors only; classes found connected are compared no more, and the rounds go on,
-   with more proposals each, until a last round that proposes all.  So a group of thousands of mutual near copies
-   costs few verifications, and no pair of different components remains untested.
+   proposes its most similar survivors only, which connects most of a group of near copies.  Then large buckets that
+   still hold several components are compared once more, full sets at hand: each surviving pair of different
+   components is verified in the first bucket that it shares, unless links found there connect it already.  So no
+   pair of different components remains untested, and pairs of a group are never rows of a table.
 
 Buckets above CHUNK rows are compared in blocks of two chunks.  Pairs are never emitted before they survive.
 """
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from nearopt.llm import textvec as tv
 from nearopt.llm.components import components
-from nearopt.llm.util import having, written
+from nearopt.llm.util import having, scratch, written
 
 #: Words in a shingle; bands and minima in a band: a pair at 0.85 is missed by the bands with probability 2e-5.
 WIDTH = 5
@@ -37,10 +38,9 @@ HASHES = BANDS * ROWS
 PERCENT = 85
 #: Minima compared at a time, and the posterior probability of a link below which a pair is pruned.
 BATCH, MISS = 28, 1e-6
-#: Rows of a bucket that are compared at once, rows up to which all survivors are proposed at once, and the
-#: proposals of each class of a larger bucket in each round; None: all.
-CHUNK, SMALL = 4096, 16
-ROUNDS = (2, 8, 64, None)
+#: Rows of a bucket that are compared at once, rows up to which all survivors are proposed at once, and the first
+#: proposals of each class of a larger bucket.
+CHUNK, SMALL, FIRST = 4096, 16, 2
 
 _rng = np.random.Generator(np.random.PCG64(85))
 _A = _rng.integers(0, 2**32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -144,9 +144,9 @@ def _pruned(signatures: np.ndarray, i: np.ndarray, j: np.ndarray, least: dict[in
     return i, j, matches
 
 
-def _proposed(i: np.ndarray, j: np.ndarray, matches: np.ndarray, most: int | None) -> np.ndarray:
-    """Which pairs are among the `most` best of either end."""
-    if most is None or not len(i):
+def _proposed(i: np.ndarray, j: np.ndarray, matches: np.ndarray) -> np.ndarray:
+    """Which pairs are among the FIRST best of either end."""
+    if not len(i):
         return np.ones(len(i), bool)
     ends, pair = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2)
     order = np.lexsort((pair, -matches[pair], ends))
@@ -154,77 +154,112 @@ def _proposed(i: np.ndarray, j: np.ndarray, matches: np.ndarray, most: int | Non
     first = np.concatenate([[0], np.flatnonzero(ends[1:] != ends[:-1]) + 1])
     rank = np.arange(len(ends)) - np.repeat(first, np.diff(np.append(first, len(ends))))
     out = np.zeros(len(i), bool)
-    out[pair[rank < most]] = True
+    out[pair[rank < FIRST]] = True
     return out
 
 
-def _pairs_in(blocks: np.ndarray, reps: np.ndarray, comps: np.ndarray, chunks: np.ndarray, signatures: np.ndarray, tested: list | None, least: dict[int, int], most: int | None):
-    """(a, b) ids proposed in each block; rows of a block stand together."""
-    first = np.concatenate([[0], np.flatnonzero(blocks[1:] != blocks[:-1]) + 1])
-    size = np.diff(np.append(first, len(blocks)))
-    found_i, found_j = [], []
+def _is_link(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
+        return False
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * both >= percent * (len(p) + len(q) - both)
+
+
+def _connecting(i: np.ndarray, j: np.ndarray, matches: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs are links that connect components not connected by those before them, most similar pairs first."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    out = np.zeros(len(i), bool)
+    for k in np.argsort(-matches, kind="stable").tolist():
+        a, b = root(int(comps[i[k]])), root(int(comps[j[k]]))
+        if a != b and _is_link(sets[i[k]], sets[j[k]], percent):
+            parent[max(a, b)] = min(a, b)
+            out[k] = True
+    return out
+
+
+def _small_pairs(first: np.ndarray, size: np.ndarray, rows: dict, least: dict[int, int]):
     for n in np.unique(size):
         if 2 <= n <= SMALL:
             x, y = np.triu_indices(n, 1)
             starts = first[size == n]
             i, j = (starts[:, None] + x).ravel(), (starts[:, None] + y).ravel()
-            differ = (comps[i] != comps[j]) & (reps[i] != reps[j])
-            i, j, _ = _pruned(signatures, i[differ], j[differ], least)
-            found_i.append(i)
-            found_j.append(j)
+            differ = (rows["comp"][i] != rows["comp"][j]) & (rows["rep"][i] != rows["rep"][j])
+            yield _pruned(rows["signature"], i[differ], j[differ], least)
+
+
+def _large_pairs(start: int, n: int, rows: dict, least: dict[int, int]):
+    """Surviving pairs of different components in one large block, as positions in it, and their matches."""
+    sig, comp, chunk, rep = (rows[c][start : start + n] for c in ("signature", "comp", "chunk", "rep"))
+    mixed = chunk.min() != chunk.max()
+    parts, head = [], np.ascontiguousarray(sig[:, :BATCH].T)
+    for a in range(0, n, 256):
+        some = np.arange(a, min(a + 256, n))
+        matches = np.zeros((len(some), n), np.uint8)
+        for h in range(BATCH):
+            matches += head[h, some, None] == head[h][None, :]
+        ok = (matches >= least[BATCH]) & (comp[some, None] != comp[None, :]) & (some[:, None] < np.arange(n)[None, :]) & (rep[some, None] != rep[None, :])
+        if mixed:  # pairs within a chunk belong to that chunk's own block
+            ok &= chunk[some, None] != chunk[None, :]
+        x, y = np.nonzero(ok)
+        parts.append(_pruned(sig, x + a, y, least))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _pairs_in(rows: dict, least: dict[int, int], percent: int):
+    """(a, b) ids of the pairs proposed; rows of a block stand together.  With sets and bands among the rows, the
+    pairs are links that connect components."""
+    blocks = rows["block"]
+    first = np.concatenate([[0], np.flatnonzero(blocks[1:] != blocks[:-1]) + 1])
+    size = np.diff(np.append(first, len(blocks)))
+    found = [] if "sets" in rows else [(i, j) for i, j, _ in _small_pairs(first, size, rows, least)]
     for start, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist()):
         own = slice(start, start + n)
-        if (comps[own] == comps[start]).all():
+        if (rows["comp"][own] == rows["comp"][start]).all():
             continue
-        sig, comp, chunk, rep = signatures[own], comps[own], chunks[own], reps[own]
-        mixed = chunk.min() != chunk.max()
-        parts = []
-        head = np.ascontiguousarray(sig[:, :BATCH].T)
-        for a in range(0, n, 256):
-            rows = np.arange(a, min(a + 256, n))
-            matches = np.zeros((len(rows), n), np.uint8)
-            for h in range(BATCH):
-                matches += head[h, rows, None] == head[h][None, :]
-            ok = (matches >= least[BATCH]) & (comp[rows, None] != comp[None, :]) & (rows[:, None] < np.arange(n)[None, :]) & (rep[rows, None] != rep[None, :])
-            if mixed:  # pairs within a chunk belong to that chunk's own block
-                ok &= chunk[rows, None] != chunk[None, :]
-            x, y = np.nonzero(ok)
-            parts.append(_pruned(sig, x + a, y, least))
-        i, j, matches = (np.concatenate(x) for x in zip(*parts))
-        if tested is not None and len(i):
-            gone = {(rep[r], t) for r in range(n) for t in (tested[start + r] or ())}
-            keep = np.array([(rep[x], rep[y]) not in gone for x, y in zip(i, j)], bool)
-            i, j, matches = i[keep], j[keep], matches[keep]
-        keep = _proposed(i, j, matches, most)
-        found_i.append(i[keep] + start)
-        found_j.append(j[keep] + start)
-    if not found_i:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    a, b = reps[np.concatenate(found_i)], reps[np.concatenate(found_j)]
-    return np.minimum(a, b), np.maximum(a, b)
-
-
-def _candidates(rows: DataFrame, least: dict[int, int], most: int | None, tested: bool) -> DataFrame:
-    """Distinct pairs (a, b) proposed from rows (bucket, n, rep, comp, signature[, tested])."""
-    n = F.ceil(F.col("n") / CHUNK).cast("int")
-    rows = rows.withColumn("parts", n).withColumn("chunk", F.pmod(F.hash("rep"), F.col("parts")))
+        i, j, matches = _large_pairs(start, n, rows, least)
+        if "sets" in rows:
+            bands = rows["bands"][own]
+            at = int(np.flatnonzero(bands[0] == rows["bucket"][start])[0])
+            here = np.concatenate([(bands[i[a : a + 65536]] == bands[j[a : a + 65536]]).argmax(1) == at for a in range(0, len(i), 65536)]) if len(i) else np.empty(0, bool)
+            i, j, matches = i[here], j[here], matches[here]
+            keep = _connecting(i, j, matches, rows["comp"][own], rows["sets"][own], percent)
+        else:
+            keep = _proposed(i, j, matches)
+        found.append((i[keep] + start, j[keep] + start))
+    if not found:
+        return np.empty((0, 2), np.int64)
+    a, b = (rows["rep"][np.concatenate(x)] for x in zip(*found))
+    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+
+
+def _candidates(rows: DataFrame, least: dict[int, int], percent: int, with_sets: bool = False) -> DataFrame:
+    """Distinct pairs (a, b) proposed from rows (bucket, n, rep, comp, signature); with_sets, with bands and shingles
+    among the columns, links that connect components."""
+    rows = rows.withColumn("parts", F.ceil(F.col("n") / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.hash("rep"), F.col("parts")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     block = F.xxhash64("bucket", F.least("chunk", "other"), F.greatest("chunk", "other"))
-    names = ["block", "rep", "comp", "chunk", "signature"] + ["tested"] * tested
+    names = ["block", "bucket", "rep", "comp", "chunk", "signature"] + ["bands", "shingles"] * with_sets
     rows = rows.withColumn("block", block).select(*names).repartition("block").sortWithinPartitions("block")
 
     def of(batches):
-        held: pa.Table | None = None
-
         def done(table: pa.Table):
             table = table.combine_chunks()
-            column = lambda c: table.column(c).to_numpy()
-            gone = table.column("tested").to_pylist() if tested else None
-            signatures = _fixed(table.column("signature").combine_chunks(), np.uint8, HASHES)
-            a, b = _pairs_in(column("block"), column("rep"), column("comp"), column("chunk"), signatures, gone, least, most)
-            pairs = np.unique(np.stack([a, b], 1), axis=0)
+            own = {c: table.column(c).to_numpy() for c in ("block", "bucket", "rep", "comp", "chunk")}
+            own["signature"] = _fixed(table.column("signature").combine_chunks(), np.uint8, HASHES)
+            if with_sets:
+                own["bands"] = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+                own["sets"] = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+            pairs = _pairs_in(own, least, percent)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
+        held: pa.Table | None = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
             held = table if held is None else pa.concat_tables([held, table])
@@ -244,14 +279,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def of(batches):
         for batch in batches:
-            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            ok = np.zeros(len(x), bool)
-            for k, (p, q) in enumerate(zip(x, y)):
-                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                if 100 * min(len(p), len(q)) >= percent * max(len(p), len(q)):
-                    both = len(np.intersect1d(p, q, assume_unique=True))
-                    ok[k] = 100 * both >= percent * (len(p) + len(q) - both)
-            yield batch.select([0, 1]).filter(pa.array(ok))
+            sets = (zip(*(batch.column(c).to_pylist() for c in (2, 3))))
+            ok = [_is_link(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent) for p, q in sets]
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     x = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
@@ -267,8 +297,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text are one document of the links.  Rows with a null id take no part: component_id is null, kept is true.
     An empty table gives no rows; columns of docs but these two are not read.
     """
+    with scratch() as keep:
+        return _near_duplicates(docs, id_col, text_col, width, percent, keep)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, keep) -> DataFrame:
     least = least_matches(percent / 100)
-    all_rows = written(described(docs, id_col, text_col, width), "described")
+    all_rows = keep(written(described(docs, id_col, text_col, width), "described"))
     usable = all_rows.where("signature is not null and doc_id is not null")
     classes = written(usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "classes")
     banded = classes.select("rep", F.explode("bands").alias("bucket"))
@@ -277,31 +312,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = buckets.select("rep").distinct()
     signatures = having(classes.select("rep", "signature"), "rep", ids)
     sets = written(_sets_of(docs, id_col, text_col, ids, width), "sets")
-    links = comps = failed = None
-    for number, most in enumerate(ROUNDS):
-        rows = buckets if not number else buckets.where(F.col("n") > SMALL)
-        rows = rows.join(signatures, "rep")
-        if comps is None:
-            rows = rows.withColumn("comp", F.col("rep"))
-        else:
-            rows = rows.join(comps.withColumnsRenamed({"id": "rep", "component": "comp"}), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        if failed is not None:
-            rows = rows.join(failed, "rep", "left")
-        pairs = written(_candidates(rows, least, most, failed is not None), "pairs")
-        if not pairs.take(1):
-            break
-        found = written(_verified(pairs, sets, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        comps = components(links)
-        if not rows.where(F.col("n") > SMALL).take(1):
-            break
-        missed = pairs.join(found, ["a", "b"], "left_anti")
-        each = missed.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(missed.select(F.col("b").alias("rep"), F.col("a").alias("other")))
-        each = each if failed is None else each.unionByName(failed.select("rep", F.explode("tested").alias("other")))
-        failed = written(each.groupBy("rep").agg(F.collect_set("other").alias("tested")), "tested")
+    rows = buckets.join(signatures, "rep").withColumn("comp", F.col("rep"))
+    pairs = written(_candidates(rows, least, percent), "pairs")
+    links = written(_verified(pairs, sets, percent), "links")
+    comps = components(links)
+    named = lambda df, to: df.withColumnsRenamed({"id": "rep", "component": to})
+    large = buckets.where(F.col("n") > SMALL).join(named(comps, "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    large = written(large, "large")
+    open_ = large.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+    last = written(large.join(open_, "bucket"), "open")
+    if last.take(1):
+        last = last.join(classes.select("rep", "bands", "signature"), "rep").join(sets.dropDuplicates(["rep"]), "rep")
+        more = written(_candidates(last, least, percent, True), "links")
+        # What is known of the components stands for the links before.
+        comps = components(more.unionByName(comps.select(F.col("id").alias("a"), F.col("component").alias("b"))))
     keyed = classes.select("k1", "k2", "rep")
-    keyed = keyed.withColumn("component_id", F.col("rep")) if comps is None else keyed.join(comps.withColumnsRenamed({"id": "rep", "component": "component_id"}), "rep", "left").withColumn("component_id", F.coalesce("component_id", "rep"))
-    keyed = written(keyed.select("k1", "k2", "component_id"), "keyed")
+    keyed = keyed.join(named(comps, "component_id"), "rep", "left").withColumn("component_id", F.coalesce("component_id", "rep"))
+    keyed = keep(written(keyed.select("k1", "k2", "component_id"), "keyed"))
     out = all_rows.select("doc_id", "n_shingles", "k1", "k2", F.col("signature").isNull().alias("empty")).join(keyed, ["k1", "k2"], "left")
     component = F.when(F.col("empty") | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -309,7 +336,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that near_duplicates doesn't keep; of rows that share an id, one stays."""
-    found = written(near_duplicates(docs, id_col, text_col).select("doc_id", "kept"), "kept")
+    with scratch() as keep:
+        found = keep(written(near_duplicates(docs, id_col, text_col).select("doc_id", "kept"), "kept"))
     rest = having(docs, id_col, found.where("not kept").select("doc_id"), "left_anti")
     repeated = written(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if not repeated.take(1):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -10,8 +11,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Ids, as 8-byte longs, up to which a set of them is broadcast (16 MB); beyond it, a shuffle join is used.
-BROADCAST_IDS = 2_000_000
+#: Ids up to which a set of them is broadcast (about 35 MB as a hash table); beyond it, a shuffle join is used.
+BROADCAST_IDS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,12 +25,34 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch():
+    """Tables that written() makes inside are deleted at the end, but for those given to the function yielded."""
+    own: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _scopes.append(own)
+    try:
+        yield lambda table: kept.append(table) or table
+    finally:
+        _scopes.remove(own)
+        for table in own:
+            if not any(table is k for k in kept):
+                dropped(table)
+        if _scopes:
+            _scopes[-1].extend(kept)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table written to the shared folder and read back: lineage ends here and losing executors costs nothing."""
     path = f"{shared_dir(df.sparkSession)}/nearopt/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.nearopt_path = path
+    if _scopes:
+        _scopes[-1].append(back)
     return back
 
 
