@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearopt.llm import textvec as tv
-from nearopt.llm.util import dropped, written
+from nearopt.llm.util import dropped, scratch, written
 
 #: Entries of a list; those of each of the four kinds (listed, listing; new, old) that a node meets in a round;
 #: proposals to a node from one meeting; rounds at most; share of new entries at which rounds end.
@@ -373,6 +373,11 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "ve
     distance.  With fewer than k candidates all found are returned; an empty table gives no rows; other columns are
     not read.
     """
+    with scratch() as keep:
+        return keep(written(_nearest(vectors, every, k, id_col, vector_col), "nearest"))
+
+
+def _nearest(vectors: DataFrame, every: int, k: int, id_col: str, vector_col: str) -> DataFrame:
     rows = written(_clean(vectors, id_col, vector_col), "vectors")
     top = rows.groupBy("length").count().orderBy(F.desc("count"), F.desc("length")).first()
     if top is None:

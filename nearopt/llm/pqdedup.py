@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from nearopt.llm import textvec as tv
 from nearopt.llm.components import components
-from nearopt.llm.util import written
+from nearopt.llm.util import scratch, written
 
 #: Least cosine of a link.
 COSINE = 0.98
@@ -175,8 +175,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     nothing; so do rows with a null id, for which component_id is null and kept true.  Repeated rows are linked.  An
     empty table gives no rows; other columns are not read.
     """
+    with scratch() as keep:
+        return _near_duplicates(keep(written(clean(vectors, id_col, vector_col, label_col), "vectors")), cosine, keep)
+
+
+def _near_duplicates(rows: DataFrame, cosine: float, keep) -> DataFrame:
     radius = math.sqrt(max(0.0, 2 - 2 * cosine)) + SLACK
-    rows = written(clean(vectors, id_col, vector_col, label_col), "vectors")
     usable = rows.where("vector is not null and vec_id is not null")
     classes = written(usable.groupBy("label", "k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("vector").alias("vector")), "classes")
     n, width = classes.agg(F.count("*"), F.max(F.length("vector"))).first()
@@ -243,7 +247,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     found = written(dealt.mapInArrow(compared, "a long, n long, b long"), "found")  # n >= 0: links counted; -1: an edge
     links = found.where("n >= 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
     comps = components(found.where("n < 0").select("a", "b")).withColumnsRenamed({"id": "rep", "component": "comp"})
-    per_class = written(classes.select("label", "k1", "k2", "rep", "weight").join(links, "rep", "left").join(comps, "rep", "left").select("label", "k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("comp", "rep").alias("comp")), "per-class")
+    per_class = keep(written(classes.select("label", "k1", "k2", "rep", "weight").join(links, "rep", "left").join(comps, "rep", "left").select("label", "k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("comp", "rep").alias("comp")), "per-class"))
     usable_key = F.when(F.col("vec_id").isNotNull(), F.col("label"))
     out = rows.select("vec_id", usable_key.alias("label"), "k1", "k2").join(per_class, ["label", "k1", "k2"], "left")
     component = F.coalesce("comp", "vec_id")

@@ -19,14 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearopt.llm import textvec as tv
-from nearopt.llm.util import BROADCAST_IDS, written
+from nearopt.llm.util import written
 
 #: Buckets that n-grams are hashed into; each has this many counts added before the ratio is taken.
 BUCKETS, SMOOTHING = 10_000, 1.0
 #: Share of the documents that the sample keeps.
 SHARE = 0.8
 #: Bound of the labelled sample: target documents whose ids have the smallest hashes.
-MOST_TARGETS = BROADCAST_IDS
+MOST_TARGETS = 200_000
 #: Bins of a narrowing step, and the keys that are few enough to be sorted.
 BINS, FEW = 1024, 4096
 
