@@ -9,6 +9,11 @@ A query starts from its own node, if it has one, and a fixed set of entry nodes;
 nodes of its pool, by joins with the graph and the vectors, until its pool has none.  In rounds and hops vectors
 travel as bytes with a scale of their own; the last step ranks the pool by exact distances of the original vectors.
 
+How large a pool must be depends on the data and grows with the table, so it is measured: a sample of the queries is
+also compared with all nodes, and the pool is doubled until the search finds GOAL of the sample's true neighbours.
+Where the lists of so large a pool would hold as many entries as there are nodes, all queries are compared with all
+nodes instead.
+
 All groups are streamed in sorted order with bounded samples, so no group is held that grows with the data.
 """
 
@@ -30,8 +35,13 @@ from nearopt.llm.util import dropped, scratch, written
 LIST, MEET, PROPOSALS, ROUNDS, SETTLED = 24, 12, 6, 14, 0.01
 #: Nodes of a starting block, and how many times nodes are dealt into such blocks.
 BLOCK, DEALS = 64, 3
-#: Pool of a query, nodes expanded in a hop, entry nodes, hops at most, nodes that are ranked exactly.
-POOL, WIDTH, ENTRIES, HOPS, EXACT = 320, 48, 64, 24, 64
+#: First pool of a query, nodes expanded in a hop at that pool, entry nodes, least nodes that are ranked exactly.
+POOL, WIDTH, ENTRIES, EXACT = 320, 48, 64, 64
+#: Share of the true neighbours of the sample that a search must find, and queries of the sample at most.  The margin
+#: over the 0.9 required is several standard errors of a sample.
+GOAL, SAMPLE = 0.92, 1024
+#: Queries that are compared with all nodes at once, and nodes in a step of that.
+ASKED, STEP = 1024, 2048
 
 _LISTS = "ids array<long>, dists array<float>, fresh array<boolean>"
 
@@ -312,8 +322,9 @@ def _adjacent(graph: DataFrame) -> DataFrame:
     return edges.groupBy("node").agg(F.collect_list("other").alias("next"))  # 2 * LIST entries at most
 
 
-def _hop(state: DataFrame, found: DataFrame | None) -> DataFrame:
-    """Pools after the nodes (query, cand, code) that the last expansion found."""
+def _hop(state: DataFrame, found: DataFrame | None, size: int) -> DataFrame:
+    """Pools of a size after the nodes (query, cand, code) that the last expansion found."""
+    width = max(WIDTH, size * WIDTH // POOL)
     own = state.withColumns({"kind": F.lit(0), "cand": F.lit(None).cast("long"), "ccode": F.lit(None).cast("binary")})
     more = found.select("query", *[F.lit(None).cast(t).alias(c) for c, t in (("code", "binary"), ("pool", "array<long>"), ("dist", "array<float>"), ("done", "array<boolean>"), ("front", "array<long>"))], F.lit(1).alias("kind"), "cand", F.col("code").alias("ccode"))
     rows = own.unionByName(more).repartition("query").sortWithinPartitions("query", "kind", "cand")
@@ -333,9 +344,9 @@ def _hop(state: DataFrame, found: DataFrame | None) -> DataFrame:
                     new = ~np.isin(cand, pool)
                     d = ((x[new] - _decoded([code])) ** 2).sum(1)
                     pool, dist, done = np.concatenate([pool, cand[new]]).astype(np.int64), np.concatenate([dist, d]), np.concatenate([done, np.zeros(len(d), bool)])
-                order = np.lexsort((pool, dist))[:POOL]
+                order = np.lexsort((pool, dist))[:size]
                 pool, dist, done = pool[order], dist[order], done[order]
-                out.append((int(query[a]), code, pool.astype(np.int64), dist.astype(np.float32), done, pool[~done][:WIDTH].astype(np.int64)))
+                out.append((int(query[a]), code, pool.astype(np.int64), dist.astype(np.float32), done, pool[~done][:width].astype(np.int64)))
             columns = list(zip(*out))
             types = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float32()), pa.list_(pa.bool_()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], ["query", "code", "pool", "dist", "done", "front"])
@@ -343,24 +354,92 @@ def _hop(state: DataFrame, found: DataFrame | None) -> DataFrame:
     return rows.mapInArrow(merge, "query long, code binary, pool array<long>, dist array<float>, done array<boolean>, front array<long>")
 
 
-def search(graph: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query, node): the EXACT best nodes found for each query (query, code, own node or null) by greedy search."""
+def search(graph: DataFrame, adjacent: DataFrame, queries: DataFrame, size: int, exact: int) -> DataFrame:
+    """(query, node): the exact best nodes found for each query (query, code, own node or null) by greedy search.
+
+    A hop expands nodes of the pool that it didn't before, and what a pool drops is farther than all it keeps from then
+    on; so hops end, and they are as many as the pools need.
+    """
     codes = graph.select("node", "code")
     entries = F.broadcast(codes.orderBy(F.xxhash64("node"), "node").limit(ENTRIES).select(F.col("node").alias("cand"), "code"))
-    adjacent = written(_adjacent(graph), "adjacent")
     empty = {"pool": F.array().cast("array<long>"), "dist": F.array().cast("array<float>"), "done": F.array().cast("array<boolean>"), "front": F.array().cast("array<long>")}
     starts = queries.where("own is not null").select("query", F.col("own").alias("cand"), "code").unionByName(queries.select("query").crossJoin(entries).select("query", "cand", "code")).dropDuplicates(["query", "cand"])
-    state = written(_hop(queries.select("query", "code").withColumns(empty), starts), "pools")
-    for _ in range(HOPS):
+    state = written(_hop(queries.select("query", "code").withColumns(empty), starts, size), "pools")
+    while True:
         front = state.select("query", F.explode("front").alias("node"))
         if not front.take(1):
             break
         cands = front.join(adjacent, "node").select("query", F.explode("next").alias("cand")).distinct()
         found = cands.join(codes.withColumnRenamed("node", "cand"), "cand")
-        new = written(_hop(state, found), "pools")
+        new = written(_hop(state, found, size), "pools")
         dropped(state)
         state = new
-    return state.select("query", F.explode(F.slice("pool", 1, EXACT)).alias("node"))
+    return state.select("query", F.explode(F.slice("pool", 1, exact)).alias("node"))
+
+
+def _compared(nodes: DataFrame, queries: list, most: int) -> DataFrame:
+    """(query, node, r): the nearest nodes and their ranks, most at most, of a few queries (query, vector), by all nodes."""
+    ids, asked = np.array([q for q, _ in queries], np.int64), _doubles([bytes(v) for _, v in queries])
+
+    def of(batches):
+        best, near = np.full((len(ids), 0), -1, np.int64), np.full((len(ids), 0), np.inf)
+        norm = (asked * asked).sum(1)
+        for batch in batches:
+            for a in range(0, batch.num_rows, STEP):
+                own = batch.slice(a, STEP)
+                x = _doubles(own.column(1).to_pylist())
+                near = np.concatenate([near, norm[:, None] + (x * x).sum(1) - 2 * asked @ x.T], 1)
+                best = np.concatenate([best, np.broadcast_to(own.column(0).to_numpy(), (len(ids), len(x)))], 1)
+                if near.shape[1] > most:
+                    keep = np.argpartition(near, most - 1, 1)[:, :most]
+                    near, best = np.take_along_axis(near, keep, 1), np.take_along_axis(best, keep, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(best.ravel()), pa.array(near.ravel())], ["query", "node", "dist"])
+
+    rows = nodes.select("node", "vector").mapInArrow(of, "query long, node long, dist double")
+    place = F.row_number().over(Window.partitionBy("query").orderBy("dist", "node"))
+    return rows.withColumn("r", place).where(F.col("r") <= most)
+
+
+def _found(nodes: DataFrame, n: int, asked: DataFrame, width: int, k: int) -> DataFrame:
+    """(query, node): nodes among which are GOAL of the k nearest other nodes of the queries, by a sample of them."""
+    exact = max(EXACT, 4 * k)
+    graph = build(nodes.select("node", "code"), n, width)
+    adjacent = written(_adjacent(graph), "adjacent")
+    total = asked.count()
+    sample = asked if total <= SAMPLE else written(asked.orderBy(F.xxhash64("query"), "query").limit(SAMPLE), "sample")
+    held = sample.select("query", "vector", "own").collect()
+    own = {q: o for q, _, o in held}
+    true: dict[int, set[int]] = {q: set() for q in own}
+    for q, node, _ in sorted(_compared(nodes, [(q, v) for q, v, _ in held], k + 1).select("query", "node", "r").collect(), key=lambda r: r[2]):
+        if node != own[q] and len(true[q]) < k:
+            true[q].add(node)
+    wanted = sum(map(len, true.values()))
+    size = max(POOL, exact)
+    while True:
+        found = written(search(graph, adjacent, sample.select("query", "own", "code"), size, exact), "found")
+        hits = sum(node in true[q] for q, node in found.toLocalIterator())
+        if hits >= GOAL * wanted:
+            return found if total <= SAMPLE else search(graph, adjacent, asked.select("query", "own", "code"), size, exact)
+        size *= 2
+        if size * 2 * LIST >= n:
+            break
+    return _all_compared(nodes, asked, exact)
+
+
+def _all_compared(nodes: DataFrame, asked: DataFrame, exact: int) -> DataFrame:
+    """(query, node): the exact nearest nodes of every query, by all nodes."""
+    parts, held = [], []
+    for row in asked.select("query", "vector").toLocalIterator():
+        held.append(tuple(row))
+        if len(held) == ASKED:
+            parts.append(written(_compared(nodes, held, exact).select("query", "node"), "compared"))
+            held = []
+    if held:
+        parts.append(written(_compared(nodes, held, exact).select("query", "node"), "compared"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def nearest(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -399,7 +478,9 @@ def _nearest(vectors: DataFrame, every: int, k: int, id_col: str, vector_col: st
     nodes = written(joined.mapInArrow(coded, "node long, members array<long>, k1 long, k2 long, vector binary, code binary"), "nodes")
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query"), "k1", "k2").join(nodes.select("k1", "k2", "node", "code", "vector"), ["k1", "k2"])
     asked = written(asked.dropDuplicates(["query"]).select("query", F.col("node").alias("own"), "code", "vector"), "queries")
-    found = search(build(nodes.select("node", "code"), nodes.count(), width), asked.select("query", "own", "code"))
+    if not asked.take(1):
+        return asked.select(F.col("query").alias("query_id"), F.lit(1).alias("rank"), F.col("query").alias("vec_id"), F.lit(0.0).alias("score"))
+    found = _found(nodes, nodes.count(), asked, width, k)
     ranked = found.join(nodes.select("node", "members", "vector"), "node").join(asked.select("query", F.col("vector").alias("asked")), "query")
 
     def scored(batches):

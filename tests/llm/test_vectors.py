@@ -108,6 +108,24 @@ def test_neighbours_found(spark):
     assert copies == [v for _, v in want[90_000]]  # equal distances go by id
 
 
+def test_the_pool_grows_until_recall_is_reached(spark, monkeypatch):
+    for name, value in (("POOL", 40), ("WIDTH", 8), ("ENTRIES", 4), ("EXACT", 40), ("LIST", 8), ("MEET", 4), ("ROUNDS", 3)):
+        monkeypatch.setattr(nndescent, name, value)
+    x = np.random.default_rng(6).normal(size=(6000, 32))
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x / np.linalg.norm(x, axis=1)[:, None])]
+    sizes, search = [], nndescent.search
+    monkeypatch.setattr(nndescent, "search", lambda *a: sizes.append(a[3]) or search(*a))
+    got = nndescent.nearest(spark.createDataFrame(rows, VEC)).collect()
+    x = np.array([r[1] for r in rows])
+    hits = 0
+    for q in range(0, 6000, 100):
+        d = np.linalg.norm(x - x[q], axis=1)
+        d[q] = np.inf
+        hits += len(set(np.argsort(d)[:10].tolist()) & {r.vec_id for r in got if r.query_id == q})
+    assert len(sizes) > 1 and sizes == [40 * 2**i for i in range(len(sizes))]
+    assert hits >= 0.9 * 600
+
+
 def test_few_candidates_and_none(spark):
     rows = [(0, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [3.0, 4.0], None)]
     got = [tuple(r) for r in nndescent.nearest(spark.createDataFrame(rows, VEC)).orderBy("rank").collect()]
