@@ -25,7 +25,7 @@ def queries() -> dict[str, Query]:
         "op6_language_id": _table("documents", lambda t: langid.identify(t, langid.learn(t))),
         "op7_packing": _table("documents", packing.pack),
         "op8_minhash": _table("documents", minhash.near_duplicates),
-        "op9_secret_scan": _table("documents", secrets.scan_digest),
+        "op9_secret_scan": _table("documents", lambda t: secrets.scan_digest(t, thorough=True)),
         "op10_mixing": _table("documents", mixing.mix_digest),
     }
 

@@ -22,6 +22,8 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 #: Window of the entropy pass, and the least bits a character of a window to report, by character class.
 WINDOW = 20
 BITS = {"hex": 3.0, "alnum": 3.6, "base64": 4.0}
+#: The same of a thorough scan, by the class of the window's own characters: 20 random characters of a class reach it.
+WINDOW_BITS = {"hex": 3.0, "alnum": 3.6, "base64": 3.6}
 #: Candidates of the entropy pass: whole runs of these characters, with a digit and a letter.
 CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{{{WINDOW},}}"
 #: Candidates that match are no secrets: documented example keys, counting or repeating runs, and UUIDs.
@@ -81,15 +83,24 @@ def base_spans(text: Column) -> Column:
     return F.concat(_spans(assign, "assign"), _spans(access, "access"), _spans(hexed, "hex"))
 
 
-def hot_window(run: Column, window: int = WINDOW) -> Column:
-    """(first, last) starts of the windows of run whose entropy reaches its class's bits; nulls if there are none."""
+def hot_window(run: Column, window: int = WINDOW, thorough: bool = False) -> Column:
+    """(first, last) starts of the windows of run whose entropy reaches its class's bits; nulls if there are none.
+
+    thorough also takes windows with a digit and a letter that reach the bits of their own class, so that a sign
+    elsewhere in the run (key=, prefix_) doesn't raise what a window has to reach.
+    """
     x = F.when(run.rlike("^[0-9a-fA-F]+$"), F.lit(BITS["hex"])).when(run.rlike("^[0-9A-Za-z]+$"), F.lit(BITS["alnum"])).otherwise(F.lit(BITS["base64"]))
     clog = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
     none = F.lit(-1)
+    flag = lambda cond: F.when(cond, F.lit(1)).otherwise(F.lit(0))
+    digit = lambda c: c.between(48, 57)
+    letter = lambda c: c.between(65, 90) | c.between(97, 122)
+    hexed = lambda c: digit(c) | c.between(65, 70) | c.between(97, 102)
+    kinds = {"digits": digit, "letters": letter, "hexes": hexed} if thorough else {}
 
     def walk(codes: Column, least: Column) -> Column:
         leaving = F.slice(F.concat(F.array_repeat(none, window), codes), F.lit(1), F.size(codes))
-        start = F.struct(F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("s"), F.lit(0).alias("i"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+        start = F.struct(F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("s"), F.lit(0).alias("i"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"), *[F.lit(0).alias(k) for k in kinds])
 
         def step(acc: Column, c: Column) -> Column:
             new, old = c["new"], c["old"]
@@ -98,9 +109,15 @@ def hot_window(run: Column, window: int = WINDOW) -> Column:
             s = acc["s"] + clog(gone - 1) - clog(gone) + clog(here + 1) - clog(here)
             n = F.transform(acc["n"], lambda v, k: v + F.when(k == new, F.lit(1)).otherwise(F.lit(0)) - F.when(k == old, F.lit(1)).otherwise(F.lit(0)))
             i = acc["i"] + 1
-            hot = (i >= window) & (F.log2(F.lit(float(window))) - s / window >= least - 1e-9)
+            bits = F.log2(F.lit(float(window))) - s / window
+            hot = bits >= least - 1e-9
+            held = {k: acc[k] + flag(of(new)) - flag(of(old)) for k, of in kinds.items()}
+            if thorough:
+                own = F.when(held["hexes"] == window, F.lit(WINDOW_BITS["hex"])).when(held["digits"] + held["letters"] == window, F.lit(WINDOW_BITS["alnum"])).otherwise(F.lit(WINDOW_BITS["base64"]))
+                hot = hot | ((held["digits"] > 0) & (held["letters"] > 0) & (bits >= own - 1e-9))
+            hot = (i >= window) & hot
             at = i - window
-            return F.struct(n.alias("n"), s.alias("s"), i.alias("i"), F.coalesce(acc["first"], F.when(hot, at)).alias("first"), F.when(hot, at).otherwise(acc["last"]).alias("last"))
+            return F.struct(n.alias("n"), s.alias("s"), i.alias("i"), F.coalesce(acc["first"], F.when(hot, at)).alias("first"), F.when(hot, at).otherwise(acc["last"]).alias("last"), *[v.alias(k) for k, v in held.items()])
 
         pairs = F.zip_with(codes, leaving, lambda a, b: F.struct(a.alias("new"), b.alias("old")))
         return F.aggregate(pairs, start, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
@@ -108,24 +125,25 @@ def hot_window(run: Column, window: int = WINDOW) -> Column:
     return _let(F.transform(F.split(run, ""), lambda c: F.ascii(c)), lambda codes: walk(codes, x))
 
 
-def entropy_spans(text: Column, base: Column) -> Column:
+def entropy_spans(text: Column, base: Column, thorough: bool = False) -> Column:
     """Spans of candidate runs with a hot window, from its first to its last; none that the allow list knows or
     that a base span overlaps."""
     known = lambda run: F.array_max(F.array(*[run.rlike(p) for p in ALLOW]))
     found = F.filter(matches(text, CANDIDATE), lambda m: ~known(m["hit"]))
-    at = F.transform(found, lambda m: F.struct(m["start"].alias("start"), hot_window(m["hit"]).alias("w")))
+    at = F.transform(found, lambda m: F.struct(m["start"].alias("start"), hot_window(m["hit"], thorough=thorough).alias("w")))
     hot = F.transform(F.filter(at, lambda m: m["w"]["first"].isNotNull()), lambda m: F.struct((m["start"] + m["w"]["first"]).alias("start"), F.lit(KINDS.index("entropy")).alias("kind"), (m["start"] + m["w"]["last"] + WINDOW).alias("end")))
     return F.filter(hot, lambda h: ~F.exists(base, lambda b: (b["start"] < h["end"]) & (h["start"] < b["end"])))
 
 
-def scan(docs: DataFrame, text_col: str = "text", to: str = "spans") -> DataFrame:
+def scan(docs: DataFrame, text_col: str = "text", to: str = "spans", thorough: bool = False) -> DataFrame:
     """docs with a column of all spans, array of (start, kind, end): by start, then kind; code points, end exclusive.
 
-    kind is a position in KINDS.  Null and empty texts have no spans.
+    kind is a position in KINDS.  Null and empty texts have no spans.  thorough is that of hot_window; the query and
+    the pipeline scan so.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     base = base_spans(text)
-    return docs.withColumn(to, _let(base, lambda b: F.array_sort(F.concat(b, entropy_spans(text, b)).cast(f"array<{_SPAN}>"))))
+    return docs.withColumn(to, _let(base, lambda b: F.array_sort(F.concat(b, entropy_spans(text, b, thorough)).cast(f"array<{_SPAN}>"))))
 
 
 def _joined(spans: Column) -> Column:
@@ -133,18 +151,18 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thorough: bool = False) -> DataFrame:
     """Per row: doc_id, n_assign, n_access, n_hex, n_entropy, base_sha256, spans.  Other columns are not read.
 
     Null and empty texts have no spans; repeated rows and null ids give a row each; no rows give none.
     """
-    rows = scan(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    rows = scan(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), thorough=thorough)
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     base = F.filter("spans", lambda s: s["kind"] < 3)
     return rows.select("doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
-def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", thorough: bool = False) -> DataFrame:
     """docs with each maximal stretch of spans in the text replaced by mark; other texts and columns stay as they are."""
     merged = F.aggregate("`__spans`", F.array().cast("array<struct<start:long,end:long>>"), lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))))
     text = F.col(f"`{text_col}`")
@@ -155,5 +173,5 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
         gaps = F.zip_with(F.concat(F.array(zero), F.transform(m, lambda s: s["end"])), F.concat(F.transform(m, lambda s: s["start"]), F.array(n)), lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int")))
         return F.array_join(gaps, mark)
 
-    out = scan(docs, text_col, "__spans")
+    out = scan(docs, text_col, "__spans", thorough)
     return out.withColumn(text_col, F.when(F.size("__spans") > 0, _let(merged, cleaned)).otherwise(text)).select(*[F.col(f"`{c}`") for c in docs.columns])

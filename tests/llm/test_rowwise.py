@@ -144,6 +144,24 @@ def test_spans_against_python(spark):
     assert any("entropy" in r.spans for r in got.values())
 
 
+def test_a_thorough_scan_finds_random_secrets_bare_and_behind_a_sign(spark):
+    rng = random.Random(12)
+    alphabets = {"hex": "0123456789ABCDEF", "alnum": "abcdefghijklmnopqrstuvwxyz0123456789", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+    cases = [(kind, before, after) for kind in alphabets for before in ("", "key=", "prefix_") for after in ("", "==")]
+    texts, at = [], []
+    for case in cases:
+        for _ in range(40):
+            one = "".join(rng.choice(alphabets[case[0]]) for _ in range(38)) + rng.choice("0123456789") + rng.choice("ABCDEF")
+            texts.append(f"see {case[1]}{one}{case[2]} here")
+            at.append((case, 4 + len(case[1]), 44 + len(case[1])))
+    frame = docs(spark, texts)
+    spans = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in secrets.scan(frame, thorough=True).collect()}
+    found = {case: 0 for case in cases}
+    for i, (case, start, end) in enumerate(at):
+        found[case] += sum(max(0, min(e, end) - max(s, start)) for s, e in spans[i]) >= 30
+    assert all(n >= 38 for n in found.values()), found
+
+
 def test_redaction_replaces_spans_only(spark):
     rows = {r.doc_id: r for r in secrets.redact(docs(spark, ["é token=abcdefghijklmnop z", "clean", None, "a deadbeefdeadbeef1 b 0123456789abcdef0 c"])).collect()}
     assert rows[0].text == "é [SECRET] z" and rows[1].text == "clean" and rows[2].text is None
