@@ -127,19 +127,22 @@ def hot_window(run: Column, window: int = WINDOW, thorough: bool = False) -> Col
 
 def entropy_spans(text: Column, base: Column, thorough: bool = False) -> Column:
     """Spans of candidate runs with a hot window, from its first to its last; none that the allow list knows or
-    that a base span overlaps."""
+    that a base span overlaps; thorough: none that base spans cover whole."""
     known = lambda run: F.array_max(F.array(*[run.rlike(p) for p in ALLOW]))
     found = F.filter(matches(text, CANDIDATE), lambda m: ~known(m["hit"]))
     at = F.transform(found, lambda m: F.struct(m["start"].alias("start"), hot_window(m["hit"], thorough=thorough).alias("w")))
     hot = F.transform(F.filter(at, lambda m: m["w"]["first"].isNotNull()), lambda m: F.struct((m["start"] + m["w"]["first"]).alias("start"), F.lit(KINDS.index("entropy")).alias("kind"), (m["start"] + m["w"]["last"] + WINDOW).alias("end")))
+    if thorough:
+        reach = lambda h: F.aggregate(F.array_sort(base), h["start"], lambda at, b: F.when(b["start"] <= at, F.greatest(at, b["end"])).otherwise(at))
+        return F.filter(hot, lambda h: reach(h) < h["end"])
     return F.filter(hot, lambda h: ~F.exists(base, lambda b: (b["start"] < h["end"]) & (h["start"] < b["end"])))
 
 
 def scan(docs: DataFrame, text_col: str = "text", to: str = "spans", thorough: bool = False) -> DataFrame:
     """docs with a column of all spans, array of (start, kind, end): by start, then kind; code points, end exclusive.
 
-    kind is a position in KINDS.  Null and empty texts have no spans.  thorough is that of hot_window; the query and
-    the pipeline scan so.
+    kind is a position in KINDS.  Null and empty texts have no spans.  thorough is that of hot_window, and keeps
+    entropy spans that base spans cover in part; the query and the pipeline scan so.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     base = base_spans(text)
