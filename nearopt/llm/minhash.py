@@ -1,7 +1,7 @@
 """Near-duplicates on word shingles: MinHash bands, sequential Bayesian pruning, exact verification.
 
 1. One pass over the texts gives each document its number of distinct shingles, a 128-bit key of their set, and a
-   signature of 196 minima, of which hashes of the bands and one byte of each minimum are kept.  Documents with
+   signature of 196 minima (at 85 percent; see scheme), of which hashes of the bands and one byte of each minimum are kept.  Documents with
    equal sets are one class from here on, represented by its smallest id, so groups of exact copies cost one row.
 2. The band hashes give buckets; buckets of one class are dropped.
 3. In a bucket, pairs are compared batch after batch of minima.  After each batch, a pair goes when the posterior
@@ -30,40 +30,57 @@ from nearopt.llm import textvec as tv
 from nearopt.llm.components import components
 from nearopt.llm.util import having, scratch, written
 
-#: Words in a shingle; bands and minima in a band: a pair at 0.85 is missed by the bands with probability 2e-5.
+#: Words in a shingle.
 WIDTH = 5
-BANDS, ROWS = 28, 7
-HASHES = BANDS * ROWS
 #: Link: PERCENT * union <= 100 * intersection.
 PERCENT = 85
+#: The bands miss a pair at the threshold with this probability at most; minima of a signature, unless a band of one
+#: takes more.
+BANDS_MISS, MOST = 2e-5, 256
 #: Minima compared at a time, and the posterior probability of a link below which a pair is pruned.
 BATCH, MISS = 28, 1e-6
 #: Rows of a bucket that are compared at once, rows up to which all survivors are proposed at once, and the first
 #: proposals of each class of a larger bucket.
 CHUNK, SMALL, FIRST = 4096, 16, 2
 
-_rng = np.random.Generator(np.random.PCG64(85))
-_A = _rng.integers(0, 2**32, HASHES, dtype=np.uint32) | np.uint32(1)
-_B = _rng.integers(0, 2**32, HASHES, dtype=np.uint32)
+
+@functools.cache
+def scheme(percent: float) -> tuple[int, int]:
+    """Bands and minima in a band for a threshold: the most minima, up to 7, that MOST allows at BANDS_MISS."""
+    for rows in range(7, 0, -1):
+        missed = 1 - (percent / 100) ** rows
+        bands = max(-(-BATCH // rows), math.ceil(math.log(BANDS_MISS) / math.log(missed)) if missed > 0 else 1)
+        if bands * rows <= MOST:
+            break
+    return bands, rows
+
+
+@functools.cache
+def _functions(hashes: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.Generator(np.random.PCG64(85))
+    a = rng.integers(0, 2**32, hashes, dtype=np.uint32) | np.uint32(1)
+    return a, rng.integers(0, 2**32, hashes, dtype=np.uint32)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
+def signature(shingles: np.ndarray, percent: float = PERCENT) -> np.ndarray:
     """The least value of each hash function over a set of 64-bit shingles."""
+    a_, b_ = _functions(math.prod(scheme(percent)))
     high = (shingles >> np.uint64(32)).astype(np.uint32)
-    out = np.full(HASHES, 0xFFFFFFFF, np.uint32)
+    out = np.full(len(a_), 0xFFFFFFFF, np.uint32)
     for a in range(0, len(high), 256):
-        np.minimum(out, (high[a : a + 256, None] * _A + _B).min(0), out=out)
+        np.minimum(out, (high[a : a + 256, None] * a_ + b_).min(0), out=out)
     return out
 
 
-def band_hashes(least: np.ndarray) -> np.ndarray:
+def band_hashes(least: np.ndarray, percent: float = PERCENT) -> np.ndarray:
     """A hash of each band of a signature and its number."""
-    mixed = (least.reshape(BANDS, ROWS).astype(np.uint64) * tv._MIX[:ROWS]).sum(1) + np.arange(BANDS, dtype=np.uint64) * tv._MIX[7]
+    bands, rows = scheme(percent)
+    mixed = (least.reshape(bands, rows).astype(np.uint64) * tv._MIX[:rows]).sum(1) + np.arange(bands, dtype=np.uint64) * tv._MIX[7]
     return tv.splitmix(tv.splitmix(mixed)).view(np.int64)
 
 
 @functools.cache
-def least_matches(threshold: float, miss: float = MISS) -> dict[int, int]:
+def least_matches(threshold: float, miss: float = MISS, hashes: int = math.prod(scheme(PERCENT))) -> dict[int, int]:
     """By number of minima compared, the matches below which a pair is pruned.
 
     The prior of the similarity s is uniform.  A byte of a minimum matches with probability s + (1 - s) / 256, so the
@@ -71,7 +88,7 @@ def least_matches(threshold: float, miss: float = MISS) -> dict[int, int]:
     """
     grid = (np.arange(20_000) + 0.5) / 20_000
     out = {}
-    for n in range(BATCH, HASHES + 1, BATCH):
+    for n in range(BATCH, hashes + 1, BATCH):
         for m in range(n + 1):
             match = grid + (1 - grid) / 256
             log = m * np.log(match) + (n - m) * np.log1p(-match)
@@ -90,7 +107,7 @@ def _sets(texts: pa.Array, width: int):
             yield a + i, flat[bounds[i] : bounds[i + 1]]
 
 
-def described(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
+def described(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH, percent: float = PERCENT) -> DataFrame:
     """doc_id, n_shingles, the set's key (k1, k2), a hash of each band of its signature and a byte of each minimum,
     null for an empty set."""
     names = ["doc_id", "n_shingles", "k1", "k2", "bands", "signature"]
@@ -106,8 +123,8 @@ def described(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -
                 n.append(len(own))
                 keys.append(key)
                 if len(own) and key not in known:
-                    least = signature(own)
-                    known[key] = (band_hashes(least), least.astype(np.uint8).tobytes())
+                    least = signature(own, percent)
+                    known[key] = (band_hashes(least, percent), least.astype(np.uint8).tobytes())
                 bands.append(known[key][0] if len(own) else None)
                 signatures.append(known[key][1] if len(own) else None)
             halves = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
@@ -245,6 +262,7 @@ def _candidates(rows: DataFrame, least: dict[int, int], percent: int, with_sets:
     rows = rows.withColumn("parts", F.ceil(F.col("n") / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.hash("rep"), F.col("parts")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     block = F.xxhash64("bucket", F.least("chunk", "other"), F.greatest("chunk", "other"))
+    bands, hashes = scheme(percent)[0], math.prod(scheme(percent))
     names = ["block", "bucket", "rep", "comp", "chunk", "signature"] + ["bands", "shingles"] * with_sets
     rows = rows.withColumn("block", block).select(*names).repartition("block").sortWithinPartitions("block")
 
@@ -252,9 +270,9 @@ def _candidates(rows: DataFrame, least: dict[int, int], percent: int, with_sets:
         def done(table: pa.Table):
             table = table.combine_chunks()
             own = {c: table.column(c).to_numpy() for c in ("block", "bucket", "rep", "comp", "chunk")}
-            own["signature"] = _fixed(table.column("signature").combine_chunks(), np.uint8, HASHES)
+            own["signature"] = _fixed(table.column("signature").combine_chunks(), np.uint8, hashes)
             if with_sets:
-                own["bands"] = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+                own["bands"] = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, bands)
                 own["sets"] = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
             pairs = _pairs_in(own, least, percent)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -302,8 +320,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, keep) -> DataFrame:
-    least = least_matches(percent / 100)
-    all_rows = keep(written(described(docs, id_col, text_col, width), "described"))
+    least = least_matches(percent / 100, hashes=math.prod(scheme(percent)))
+    all_rows = keep(written(described(docs, id_col, text_col, width, percent), "described"))
     usable = all_rows.where("signature is not null and doc_id is not null")
     classes = written(usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "classes")
     banded = classes.select("rep", F.explode("bands").alias("bucket"))
@@ -334,10 +352,10 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, width: int, pe
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """docs without the rows that near_duplicates doesn't keep; of rows that share an id, one stays."""
     with scratch() as keep:
-        found = keep(written(near_duplicates(docs, id_col, text_col).select("doc_id", "kept"), "kept"))
+        found = keep(written(near_duplicates(docs, id_col, text_col, percent=percent).select("doc_id", "kept"), "kept"))
     rest = having(docs, id_col, found.where("not kept").select("doc_id"), "left_anti")
     repeated = written(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if not repeated.take(1):

@@ -112,6 +112,21 @@ def test_one_large_family_needs_all_rounds_and_chunks(spark):
         minhash.CHUNK = small
 
 
+def test_bands_follow_the_threshold(spark):
+    assert minhash.scheme(85) == (28, 7)
+    for percent in (30, 50, 60, 70, 75, 80, 85, 90, 99, 100):
+        bands, rows = minhash.scheme(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= minhash.BANDS_MISS and minhash.BATCH <= bands * rows
+    rows = []
+    for i in range(60):  # a word changed in 50 to 60 makes 0.80 to 0.85 of 5-word shingles
+        words = [f"w{i}-{k}" for k in range(50 + i % 12)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:20], "x", *words[21:]]))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(minhash.near_duplicates(frame, percent=80)) == by_hand(rows, 80) != by_hand(rows)
+    kept = {r.doc_id for r in minhash.drop_near_duplicates(frame, percent=80).collect()}
+    assert kept == {c for _, _, c in by_hand(rows, 80)}
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 50)] + [(rng.randrange(300, 500), rng.randrange(300, 500)) for _ in range(120)] + [(7, 7), (None, 3)]
