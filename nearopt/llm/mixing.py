@@ -8,8 +8,9 @@ stay near the target whatever the sizes are.
 
 A rank within a source would need all its rows in one task.  So a source is dealt into cells of (size class,
 hash digits of the id): counts of cells are pre-aggregated, their prefix sums are taken over that small table,
-and only the rank within a cell looks at single rows.  A hot source is spread over all its cells, and each hex
-digit more gives 16 times as many.
+and only the rank within a cell looks at single rows.  A hot source is spread over all its cells.  The order is by
+class, first hex digit, size and hash at every table size; in a large table cells are finer along that same order, by
+size and further hex digits.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 #: A target is at most this many times its source's size.
 CAP = 3
-#: Rows of a table from which a cell has one hex digit more.
+#: Rows of a table from which cells are finer, by the size and one hex digit more; 16 times as many for the next digit.
 ROWS_PER_DIGIT = 100_000_000
 
 
@@ -76,19 +77,21 @@ def copies(rows: DataFrame, sizes: DataFrame | None = None, seed: int = 17, weig
     n = sizes.count()
     while n > ROWS_PER_DIGIT * 16 ** (digits - 1):
         digits += 1
-    dealt = lambda df: df.withColumn("src", src).withColumn("hex", md5_hex(seed, F.col("id"))).withColumn("class", size_class(F.col("size"))).withColumn("cell", F.substring("hex", 1, digits))
-    cells = dealt(sizes.select("id", "source", "size")).groupBy("src", "class", "cell").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    fine = {"own_size": F.col("size"), "digits": F.substring("hex", 1, digits)} if digits > 1 else {}
+    order = ["class", "cell", *fine]
+    dealt = lambda df: df.withColumn("src", src).withColumn("hex", md5_hex(seed, F.col("id"))).withColumn("class", size_class(F.col("size"))).withColumn("cell", F.substring("hex", 1, 1)).withColumns(fine)
+    cells = dealt(sizes.select("id", "source", "size")).groupBy("src", *order).agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     goal = targets(cells.groupBy("src").agg(F.sum("words").alias("source_size")), weights, cap)
-    before = Window.partitionBy("src").orderBy("class", "cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("skip", F.coalesce(F.sum("n").over(before), F.lit(0))).select("src", "class", "cell", "skip")
+    before = Window.partitionBy("src").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("skip", F.coalesce(F.sum("n").over(before), F.lit(0))).select("src", *order, "skip")
     cells = cells.join(goal, "src")
-    own = Window.partitionBy("src", "class", "cell").orderBy("size", "hex", *(["tie"] if "tie" in rows.columns else []))
-    ranked = dealt(rows).withColumn("rank", F.row_number().over(own)).join(cells, ["src", "class", "cell"])
+    own = Window.partitionBy("src", *order).orderBy("size", "hex", *(["tie"] if "tie" in rows.columns else []))
+    ranked = dealt(rows).withColumn("rank", F.row_number().over(own)).join(cells, ["src", *order])
     q = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     u = unit(md5_hex(f"{seed}-offset", F.col("src")))
     rank = F.col("skip") + F.col("rank")
     taken = (F.floor(u + q * rank) - F.floor(u + q * (rank - 1))).cast("long")
-    return ranked.withColumn("copies", taken).drop("hex", "class", "cell", "rank", "skip")
+    return ranked.withColumn("copies", taken).drop("hex", *order, "rank", "skip")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17) -> DataFrame:

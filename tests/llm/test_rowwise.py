@@ -220,3 +220,12 @@ def test_mix_meets_its_targets(spark):
     words = {r.source: r.n for r in mixed.groupBy("source").agg(F.sum(mixing.words(F.col("text"))).alias("n")).collect()}
     assert {s: n for s, n in words.items() if n} == {s: n for s, n in taken.items() if n}
     assert mixing.mix_digest(frame.limit(0)).count() == 0
+
+
+def test_finer_cells_of_large_tables_keep_the_order(spark, monkeypatch):
+    rng = random.Random(4)
+    frame = docs(spark, [" ".join(["w"] * rng.randint(0, 40)) for _ in range(1500)]).withColumn("source", F.when(F.col("doc_id") % 3 == 0, "a").otherwise("b")).cache()
+    few = sorted(map(tuple, mixing.mix_digest(frame).collect()))
+    for rows in (1000, 10):  # two, then four hex digits
+        monkeypatch.setattr(mixing, "ROWS_PER_DIGIT", rows)
+        assert sorted(map(tuple, mixing.mix_digest(frame).collect())) == few
