@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import shutil
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,16 +17,27 @@ BROADCAST_IDS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a temporary folder of this session."""
+    """The folder in spark.checkpoint.dir.  Where that is unset, a temporary folder of this session if all of it runs in
+    this process (tests), and an error on a cluster, whose executors don't see each other's disks."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="nearopt-")
         atexit.register(shutil.rmtree, folder, True)
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-_scopes: list[list[DataFrame]] = []
+class _Scopes(threading.local):
+    """The open scratch() blocks of a thread: queries in other threads keep their tables."""
+
+    def __init__(self):
+        self.open: list[list[DataFrame]] = []
+
+
+_scopes = _Scopes()
 
 
 @contextlib.contextmanager
@@ -33,16 +45,16 @@ def scratch():
     """Tables that written() makes inside are deleted at the end, but for those given to the function yielded."""
     own: list[DataFrame] = []
     kept: list[DataFrame] = []
-    _scopes.append(own)
+    _scopes.open.append(own)
     try:
         yield lambda table: kept.append(table) or table
     finally:
-        _scopes.remove(own)
+        _scopes.open.pop()
         for table in own:
             if not any(table is k for k in kept):
                 dropped(table)
-        if _scopes:
-            _scopes[-1].extend(kept)
+        if _scopes.open:
+            _scopes.open[-1].extend(kept)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -51,8 +63,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.nearopt_path = path
-    if _scopes:
-        _scopes[-1].append(back)
+    if _scopes.open:
+        _scopes.open[-1].append(back)
     return back
 
 
@@ -64,9 +76,19 @@ def dropped(table: DataFrame) -> None:
 
 
 def having(df: DataFrame, key: str, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Rows of df whose key is in the one-column table ids, which is broadcast only if its counted size allows."""
-    ids = ids.select(F.col(ids.columns[0]).alias(key)).distinct()
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
+    """Rows of df whose key is in the one-column table ids, which is broadcast only if its counted size allows.  The
+    columns of df stay as they are, in their order."""
+    name = free("id", df)
+    ids = ids.select(F.col(ids.columns[0]).alias(name)).distinct()
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col(f"`{key}`") == F.col(name), how)
+
+
+def free(name: str, *frames: DataFrame) -> str:
+    """name, with as many underscores after it as make it no column of the frames, in whatever case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def md5_hex(seed: int | str, column: Column) -> Column:
