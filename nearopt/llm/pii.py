@@ -1,9 +1,10 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field over word-shape features.
 
-The field labels words (runs without ASCII white space).  Words without a digit or @ are outside any entity by a
-hard constraint of the model, in training as in decoding; so the chain of a document falls into its runs of the
-other words, which are decoded exactly by Viterbi, all runs of a batch at once in numpy.  What it finds beside
-the spans of the patterns is added to them.
+The field labels words: runs without ASCII white space, quotes, brackets, commas, colons, equals signs and slashes, so
+that glued text (JSON, logs, addresses of pages) falls into words as well.  Whole words make features, however long.
+Words without a digit or @ are outside any entity by a hard constraint of the model, in training as in decoding; so the
+chain of a document falls into its runs of the other words, which are decoded exactly by Viterbi, all runs of a batch
+at once in numpy.  What it finds beside the spans of the patterns is added to them, if it passes its kind's test.
 """
 
 from __future__ import annotations
@@ -71,80 +72,123 @@ LABELS = ("O", "email", "ip", "B-card", "I-card", "B-phone", "I-phone")
 #: What each label adds to the spans; a span runs from its first label over I- labels of the same kind.
 ADDED = ("crf-email", "crf-ip", "crf-card", "crf-phone")
 _KIND_OF = {"email": 0, "ip": 1, "B-card": 2, "I-card": 2, "B-phone": 3, "I-phone": 3}
-#: Signs around a word that a span leaves out.
-_EDGE = ".,;:!?\"'<>[]{}|"
-_RUNS = re.compile(r"(.)\1+")
-_DIGITS, _LETTERS = re.compile(r"[0-9]"), re.compile(r"[^\W\d_]")
+#: Characters between words, and signs around a word that a span leaves out: of all kinds, and of all but phones.
+_BETWEEN = " \t\n\v\f\r\"'<>[]{}|,;:=/"
+_EDGE = ".!?"
+_MORE_EDGE = _EDGE + "()"
+_WORD = re.compile(r"[^\x20\x09-\x0D\"'<>\[\]{}|,;:=/]+")
+_HINT = re.compile(r"[0-9@]")
+_RUNS = re.compile(r"(.)\1+", re.S)
+_DIGITS, _ZEROS = re.compile(r"[0-9]"), re.compile(r"0+")
+#: Shapes up to this length are remembered; longer ones are worked out each time.
+_SHORT = 60
+_SHAPE = {**{ord(c): "0" for c in "0123456789"}, **{c: "a" for c in range(ord("a"), ord("z") + 1)}, **{c: "A" for c in range(ord("A"), ord("Z") + 1)}}
 
 
-@functools.lru_cache(100_000)
-def shape_features(shape: str) -> tuple[str, ...]:
+def _of_shape(shape: str) -> tuple[str, ...]:
     """Features of a word's shape, in which 0 is a digit, a another letter or sign above ASCII, A a capital."""
     core = shape.strip(_EDGE)
     digits = core.count("0")
+    groups = [str(min(len(m[0]), 9)) for _, m in zip(range(6), _ZEROS.finditer(core))]
     out = [f"runs={_RUNS.sub(lambda m: m[1], core)[:12]}", f"digits={digits if digits < 8 else 8 if digits < 13 else 13 if digits < 20 else 20}", f"dots={min(core.count('.'), 4)}", f"dashes={min(core.count('-'), 3)}"]
-    out += [f"has={c}" for c in "@+()-=/:%aA" if c in core]
-    out.append(f"first={core[:1]}")
-    out.append(f"groups={'.'.join(str(min(len(g), 9)) for g in re.findall('0+', core)[:5])}")
+    out += [f"has={c}" for c in "@+()-%#$_aA" if c in core]
+    out += [f"first={core[:1]}", f"last={core[-1:]}", f"groups={'.'.join(groups)}", f"long={len(core) > 40}"]
     return tuple(out)
 
 
-_SHAPE = {**{ord(c): "0" for c in "0123456789"}, **{c: "a" for c in range(ord("a"), ord("z") + 1)}, **{c: "A" for c in range(ord("A"), ord("Z") + 1)}}
+_remembered = functools.lru_cache(100_000)(_of_shape)
 
 
 def features(word: str) -> tuple[str, ...]:
-    shape = word[:200].translate(_SHAPE) if word.isascii() else "".join(_SHAPE.get(ord(c), c if ord(c) < 128 else "a") for c in word[:200])
-    return shape_features(shape)
+    """Features of a whole word: of its shape, and whether the digits of a long number pass Luhn's test."""
+    shape = word.translate(_SHAPE) if word.isascii() else "".join(_SHAPE.get(ord(c), c if ord(c) < 128 else "a") for c in word)
+    out = _remembered(shape) if len(shape) <= _SHORT else _of_shape(shape)
+    if 13 <= shape.count("0") <= 19 and not shape.strip(_MORE_EDGE).strip("0-"):
+        out = (*out, f"luhn={luhn(''.join(_DIGITS.findall(word)))}")
+    return out
 
 
 def is_plain(word: str) -> bool:
-    return "@" not in word and not _DIGITS.search(word)
+    return not _HINT.search(word)
+
 
+def _beside(text: str, start: int, end: int) -> tuple[str, str]:
+    """What stands before and after a word: s for white space and the ends of the text, else the sign."""
+    before, after = text[start - 1] if start else " ", text[end] if end < len(text) else " "
+    return "s" if before.isspace() else before, "s" if after.isspace() else after
 
-def labelled_table(rows: int = 300, seed: int = 11) -> list[tuple[list[str], list[str]]]:
-    """The small labelled table that the field learns from: (words, labels) of made-up sentences."""
+
+def words(text: str) -> list[tuple[int, str]]:
+    return [(m.start(), m[0]) for m in _WORD.finditer(text)]
+
+
+def labelled_table(rows: int = 600, seed: int = 11) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """The small labelled table that the field learns from: made-up texts with their (kind, start, end)."""
     rng = np.random.default_rng(seed)
     pick = lambda *x: x[rng.integers(len(x))]
     num = lambda n: "".join(map(str, rng.integers(0, 10, n)))
     word = lambda a=2, b=9: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(a, b)))
 
     def email():
-        return [f"{word()}{pick('.', '_', '')}{pick(num(2), word())}@{word()}{pick('', num(1))}.{pick('', word() + '.')}{pick('com', 'org', 'net', 'de')}"], ["email"]
+        return f"{word()}{pick('.', '_', '', '+')}{pick(num(2), word())}@{word()}{pick('', num(1))}.{pick('', word() + '.')}{pick('com', 'org', 'net', 'de')}"
 
     def ip():
-        return [".".join(str(x) for x in rng.integers(0, 256, 4))], ["ip"]
+        return ".".join(str(x) for x in rng.integers(0, 256, 4))
+
+    def long_number(valid: bool):
+        while True:
+            n = pick("4", "5", "6", "3") + num(15)
+            if luhn(n) == valid:
+                return n
 
     def card():
-        n = num(16)
-        if rng.integers(2):
-            return [n[k : k + 4] for k in (0, 4, 8, 12)], ["B-card", "I-card", "I-card", "I-card"]
-        return [pick(n, "-".join(n[k : k + 4] for k in (0, 4, 8, 12)))], ["B-card"]
+        n = long_number(True)
+        return pick(n, "-".join(n[k : k + 4] for k in (0, 4, 8, 12)), " ".join(n[k : k + 4] for k in (0, 4, 8, 12)))
 
     def phone():
         a, b, c = num(3), num(3), num(4)
-        words = pick([f"+{num(1)}", f"({a})", f"{b}-{c}"], [f"({a})", f"{b}-{c}"], [f"{a}-{b}-{c}"], [f"{a}.{b}.{c}"], [f"+{num(2)}", a, b, c], [f"+{num(11)}"], [f"+{num(1)}-{a}-{b}-{c}"])
-        return words, ["B-phone"] + ["I-phone"] * (len(words) - 1)
+        return pick(f"+{num(1)} ({a}) {b}-{c}", f"({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{num(2)} {a} {b} {c}", f"+{num(11)}", f"+{num(1)}-{a}-{b}-{c}", f"{a} {b} {c}", f"0{num(2)} {num(4)} {num(4)}", f"({a}){b}-{c}", f"00{num(2)} {a} {num(3)} {num(4)}")
 
     def other():
         hexed = "".join(pick(*"0123456789abcdef") for _ in range(rng.integers(12, 40)))
-        words = pick([num(rng.integers(1, 6))], [f"{num(2)}.{num(2)}"], [f"v{num(1)}.{num(1)}.{num(2)}"], [f"20{num(2)}-{num(2)}-{num(2)}"], [f"{num(2)}:{num(2)}"], [f"{num(3)},{num(3)}"], [f"${num(3)}.{num(2)}"], [f"password={hexed}"], [hexed], [f"AKIA{word(8, 9).upper()}{num(4)}"], [f"{word()}{num(2)}"], [f"@{word()}"], [f"https://{word()}.com/{num(5)}"], [f"{num(2)}%"], [f"#{num(3)}"], [num(4), num(4)], [f"{num(1)}/{num(2)}"], [num(rng.integers(6, 12))])
-        return words, ["O"] * len(words)
+        n = long_number(False)
+        return pick(
+            num(rng.integers(1, 6)), f"{num(2)}.{num(2)}", f"v{num(1)}.{num(1)}.{num(2)}", f"{num(1)}.{num(1)}.{num(1)}", f"20{num(2)}-{num(2)}-{num(2)}", f"{num(2)}/{num(2)}/20{num(2)}", f"{num(2)}:{num(2)}", f"{num(2)}:{num(2)}:{num(2)}", f"{num(3)},{num(3)}", f"{num(1)},{num(3)},{num(3)}",
+            f"${num(3)}.{num(2)}", f"${num(2)},{num(3)}", f"password={hexed}", hexed, f"AKIA{word(8, 9).upper()}{num(4)}", f"{word()}{num(2)}", f"@{word()}", f"https://{word()}.com/{num(5)}", f"{num(2)}%", f"#{num(3)}", f"{num(4)} {num(4)}", f"{num(1)}/{num(2)}", num(rng.integers(6, 13)), n,
+            f"{num(4)}-{num(4)}", f"{num(2)}-{num(2)}", f"978-{num(1)}-{num(2)}-{num(6)}-{num(1)}", f"{num(3)}-{num(2)}-{num(4)}", f"{num(2)}.{num(2)}.20{num(2)}", f"[{num(1)}, {num(2)}, {num(3)}]", f"({num(2)})", f"({num(4)})", f"{num(3)} {num(2)}", f"{word().upper()}-{num(4)}-{num(3)}",
+        )
 
     table = []
     for _ in range(rows):
-        words, labels = [], []
+        text, spans = "", []
         for _ in range(rng.integers(1, 4)):
             for _ in range(rng.integers(0, 5)):
-                words.append(word() + pick("", "", "", ".", ","))
-                labels.append("O")
-            w, t = pick(email, ip, card, phone, other, other)()
-            w = [*w[:-1], w[-1] + pick("", "", "", ".", ",")]
-            words += w
-            labels += t
-        table.append((words, labels))
+                text += word() + pick("", "", "", ".", ",", ":") + pick(" ", " ", " ", "\n")
+            kind = pick(0, 1, 2, 3, 3, 4, 4, 4, 4)
+            made = (email, ip, card, phone, other)[kind]()
+            before, after = pick(("", ""), ("", ""), ("", pick(".", ",", ";", "!")), ('"', pick('"', '",', '"}')), (f"{word()}{pick(':', '=')}", ""), (f'{{"{word()}":"', '"}'), ("<", ">"), ("(", ")"), (f"{word()}/", ""))
+            text += before
+            if kind < 4:
+                spans.append((kind, len(text), len(text) + len(made)))
+            text += made + after + " "
+        table.append((text.rstrip(" ") if rng.integers(2) else text, spans))
     return table
 
 
+def _labels(text: str, spans: list[tuple[int, int, int]]) -> list[int]:
+    """The label of each word: of the span that it overlaps, I- from the second word on; words without digit or @ are O."""
+    out, seen = [], set()
+    for start, w in words(text):
+        own = next((k for k, (_, a, b) in enumerate(spans) if a < start + len(w) and start < b), None)
+        if own is None or is_plain(w):
+            out.append(0)
+        else:
+            kind = spans[own][0]
+            out.append(1 + kind if kind < 2 else 2 * kind - 1 + (own in seen))
+            seen.add(own)
+    return out
+
+
 # ---------------------------------------------------------------------------------------------- the field
 class Field:
     """Weights of the chain: own, before and after by feature, and moves between labels."""
@@ -154,25 +198,27 @@ class Field:
         self._seen: dict[tuple[str, ...], np.ndarray] = {}
 
     @staticmethod
-    def names(words: list[str], k: int) -> list[str]:
-        out = list(features(words[k]))
-        for tag, j in (("before", k - 1), ("after", k + 1)):
-            if not 0 <= j < len(words) or is_plain(words[j]):
-                out.append(f"{tag}:plain")
-            else:
-                out += [f"{tag}:{f}" for f in features(words[j])[:4]]
+    def keys(run: list[tuple[str, str, str]]) -> list[tuple]:
+        """What each word of a run (before, word, after) is scored by: its features, its neighbours' and the signs beside it."""
+        own = [features(w) for _, w, _ in run]
+        return [(own[k], own[k - 1][:4] if k else None, own[k + 1][:4] if k + 1 < len(run) else None, run[k][0], run[k][2]) for k in range(len(run))]
+
+    @staticmethod
+    def names(key: tuple) -> list[str]:
+        own, before, after, left, right = key
+        out = [*own, f"left={left}", f"right={right}"]
+        for tag, there in (("before", before), ("after", after)):
+            out += [f"{tag}:plain"] if there is None else [f"{tag}:{f}" for f in there]
         return out
 
-    def scores(self, words: list[str]) -> np.ndarray:
+    def scores(self, run: list[tuple[str, str, str]]) -> np.ndarray:
         """Label scores of each word of a run of words that aren't plain."""
-        out = np.zeros((len(words), len(LABELS)))
-        own = [features(w) for w in words]
-        for k in range(len(words)):
-            key = (own[k], own[k - 1][:4] if k else (), own[k + 1][:4] if k + 1 < len(words) else ())
+        out = np.zeros((len(run), len(LABELS)))
+        for k, key in enumerate(self.keys(run)):
             row = self._seen.get(key)
             if row is None:
                 row = np.zeros(len(LABELS))
-                for f in self.names(words, k):
+                for f in self.names(key):
                     if f in self.index:
                         row = row + self.weights[self.index[f]]
                 if len(self._seen) < 50_000:
@@ -181,18 +227,25 @@ class Field:
         return out
 
 
-def train(table: list[tuple[list[str], list[str]]], steps: int = 120, rate: float = 0.2, penalty: float = 1e-3) -> Field:
-    """Maximum penalised likelihood by Adam, with forward and backward sums over all sentences at once."""
+def train(table: list[tuple[str, list[tuple[int, int, int]]]], steps: int = 120, rate: float = 0.2, penalty: float = 1e-3) -> Field:
+    """Maximum penalised likelihood by Adam, with forward and backward sums over all texts at once."""
     index: dict[str, int] = {}
-    rows, n, most = [], len(table), max(len(w) for w, _ in table)
-    for words, _ in table:
-        rows.append([[index.setdefault(f, len(index)) for f in Field.names(words, k)] for k in range(len(words))])
+    sentences = [words(text) for text, _ in table]
+    n, most = len(table), max(map(len, sentences))
+    gold, there, plain = np.zeros((n, most), int), np.zeros((n, most), bool), np.ones((n, most), bool)
+    found = []
+    for s, (text, spans) in enumerate(table):
+        gold[s, : len(sentences[s])] = _labels(text, spans)
+        there[s, : len(sentences[s])] = True
+        at = {start: k for k, (start, _) in enumerate(sentences[s])}
+        for run in _runs(text):
+            for (start, *_), key in zip(run, Field.keys([x[1:] for x in run])):
+                plain[s, at[start]] = False
+                found.append((s, at[start], [index.setdefault(f, len(index)) for f in Field.names(key)]))
+    plain &= there
     x = np.zeros((n, most, len(index)), np.float32)
-    gold, there, plain = np.zeros((n, most), int), np.zeros((n, most), bool), np.zeros((n, most), bool)
-    for s, (words, labels) in enumerate(table):
-        for k, w in enumerate(words):
-            x[s, k, rows[s][k]] = 1
-            gold[s, k], there[s, k], plain[s, k] = LABELS.index(labels[k]), True, is_plain(w)
+    for s, k, on in found:
+        x[s, k, on] = 1
     used = there & ~plain
     xs = x[used]
     size = len(LABELS)
@@ -258,48 +311,56 @@ def viterbi(runs: list[np.ndarray], moves: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_HINT = re.compile(r"[0-9@]")
-
-
-def _runs(text: str) -> list[list[tuple[int, str]]]:
-    """Runs of neighbouring words with a digit or @, each word with its start."""
+def _runs(text: str) -> list[list[tuple[int, str, str, str]]]:
+    """Runs of words with a digit or @ and none without between them: each word's start, and the word between its signs."""
     out, at, last = [], 0, -1
     while found := _HINT.search(text, at):
         start = found.start()
-        while start > at and text[start - 1] not in " \t\n\v\f\r":
+        while start > at and text[start - 1] not in _BETWEEN:
             start -= 1
         word = _WORD.match(text, start)
-        if last >= 0 and not text[last:start].strip(" \t\n\v\f\r"):
-            out[-1].append((start, word[0]))
+        left, right = _beside(text, start, word.end())
+        if last >= 0 and not text[last:start].strip(_BETWEEN):
+            out[-1].append((start, left, word[0], right))
         else:
-            out.append([(start, word[0])])
+            out.append([(start, left, word[0], right)])
         at = last = word.end()
     return out
 
 
+def _passes(kind: int, found: str) -> bool:
+    """The test of a kind that a span of the field must pass to be added."""
+    digits = _DIGITS.findall(found)
+    if kind == 0:
+        return 0 < found.find("@") < len(found) - 1
+    if kind == 1:
+        return len(parts := found.split(".")) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
+    return 13 <= len(digits) <= 19 and luhn("".join(digits)) if kind == 2 else 7 <= len(digits) <= 15
+
+
 def crf_spans(texts: list[str], field: Field) -> list[list[tuple[int, int, int]]]:
     """(kind, start, end) that the field finds in each text; kinds are positions in ADDED."""
     runs = [_runs(t) if _HINT.search(t) else [] for t in texts]
-    scores = [field.scores([w for _, w in run]) for own in runs for run in own]
+    scores = [field.scores([x[1:] for x in run]) for own in runs for run in own]
     labels = iter(viterbi(scores, field.moves))
     out = []
-    for own in runs:
+    for text, own in zip(texts, runs):
         spans: list[tuple[int, int, int]] = []
         for run in own:
             open_kind = None
-            for (start, word), label in zip(run, next(labels)):
+            for (start, _, word, _), label in zip(run, next(labels)):
                 name = LABELS[label]
                 kind = _KIND_OF.get(name)
-                lead = len(word) - len(word.lstrip(_EDGE))
-                a, b = start + lead, start + max(lead, len(word.rstrip(_EDGE)))
+                edge = _EDGE if kind == 3 else _MORE_EDGE
+                lead = len(word) - len(word.lstrip(edge))
+                a, b = start + lead, start + max(lead, len(word.rstrip(edge)))
                 if kind is not None and a < b:
-                    if name.startswith("I-") and open_kind == kind:
+                    if name.startswith("I-") and open_kind == kind and spans:
                         spans[-1] = (kind, spans[-1][1], b)
                     else:
                         spans.append((kind, a, b))
                 open_kind = kind
-        out.append(spans)
+        out.append([s for s in spans if _passes(s[0], text[s[1] : s[2]])])
     return out
 
 
