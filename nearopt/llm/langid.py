@@ -11,7 +11,7 @@ from __future__ import annotations
 import regex
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearopt.llm import textvec as tv
@@ -44,28 +44,31 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """Dictionary bytes by language, from a bounded sample of the labelled rows that aren't held out.
 
-    The sample takes the rows of smallest hash of (id, length), and of each a stretch that starts where the hash
-    says, so that no part of the texts is preferred.  Rows with a null id, text or label teach nothing.
+    The sample takes, of each language, the SAMPLES distinct texts of smallest hash, and of each a stretch that starts
+    where the hash says, so that no part of the texts is preferred and copies, however many, count once.  Rows with a
+    null id, text or label teach nothing; an empty table teaches no language.  More than MOST_LANGUAGES is an error.
     """
-    text, lang = F.col(text_col), F.col(lang_col)
-    rows = docs.where(F.col(id_col).isNotNull() & text.isNotNull() & lang.isNotNull() & ~held_out(F.col(id_col))).select(lang.alias("lang"), F.xxhash64(id_col).alias("h"), text.alias("text"))
-    counts = dict(rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect())
+    text, lang = F.col(f"`{text_col}`"), F.col(f"`{lang_col}`")
+    rows = docs.where(F.col(f"`{id_col}`").isNotNull() & text.isNotNull() & lang.isNotNull() & ~held_out(F.col(f"`{id_col}`"))).select(lang.alias("lang"), F.xxhash64(text).alias("h"), text.alias("text"))
+    counts = dict(rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02)).limit(MOST_LANGUAGES + 1).collect())
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not counts:
         return {}
+    # Hashes below a share that holds three times the sample, so that few rows of a large language are sorted.
     scale = 1 << 30
     share = F.lit(0)
     for name, n in counts.items():
-        share = F.when(F.col("lang") == name, F.lit(min(scale, scale * 3 * SAMPLES // n + 1))).otherwise(share)
+        share = F.when(F.col("lang") == name, F.lit(min(scale, scale * 3 * SAMPLES // max(n, 1) + 1))).otherwise(share)
     some = rows.where(F.pmod("h", F.lit(scale)) < share)
     at = F.pmod(F.shiftright("h", 30), F.greatest(F.length("text") - STRETCH + 1, F.lit(1))).cast("int")
-    some = some.select("lang", F.pmod("h", F.lit(scale)).alias("order"), F.expr("h"), F.substring("text", at + 1, F.lit(STRETCH)).alias("stretch"))
-    by: dict[str, list[str]] = {name: [] for name in counts}
-    for row in some.orderBy("order", "h", "stretch").limit(6 * SAMPLES * len(counts)).toLocalIterator():
-        if len(by[row.lang]) < SAMPLES:
-            by[row.lang].append(row.stretch)
-    return {name: b" ".join(map(plain, own))[:DICTIONARY] for name, own in sorted(by.items())}
+    some = some.select("lang", F.pmod("h", F.lit(scale)).alias("order"), "h", F.substring("text", at + 1, F.lit(STRETCH)).alias("stretch")).distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("order", "h", "stretch"))
+    some = some.withColumn("place", place).where(F.col("place") <= SAMPLES)
+    by: dict[str, list[tuple]] = {name: [] for name in counts}
+    for row in some.select("lang", "place", "stretch").collect():  # SAMPLES rows of each language at most
+        by[row.lang].append((row.place, row.stretch))
+    return {name: b" ".join(plain(stretch) for _, stretch in sorted(own))[:DICTIONARY] for name, own in sorted(by.items())}
 
 
 def _compressors(dictionaries: dict[str, bytes]) -> dict[str, zstandard.ZstdCompressor]:
@@ -112,7 +115,11 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
 
 
 def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text") -> DataFrame:
-    """docs without the rows whose language is rejected; all columns stay."""
+    """docs without the rows whose language is rejected; all columns stay, whatever their names.
+
+    Null texts, texts without a letter, and all texts where nothing was learned are rejected.  Ids aren't read, so null
+    and repeated ones make no difference; each row is decided for itself; an empty table stays empty.
+    """
 
     def of(batches):
         compressors = _compressors(dictionaries)
