@@ -3,14 +3,14 @@
 Every document of a source expects the same number of copies, q = target / size of its source.  Its documents
 are put in one fixed order; the running sum of q along that order, shifted by one offset u per source, crosses
 an integer as often as the document is taken: copies = floor(u + q r) - floor(u + q (r - 1)) for the document
-of rank r.  The order goes by size class first, so that each class is hit in proportion and the words taken
-stay near the target whatever the sizes are.
-
-A rank within a source would need all its rows in one task.  So a source is dealt into cells of (size class,
-hash digits of the id): counts of cells are pre-aggregated, their prefix sums are taken over that small table,
-and only the rank within a cell looks at single rows.  A hot source is spread over all its cells.  The order is by
-class, first hex digit, size and hash at every table size; in a large table cells are finer along that same order, by
-size and further hex digits.
+of rank r.  The order goes by size, so that each size is hit in proportion and the words taken stay within about the
+largest document of the target.
+
+A rank within a source would need all its rows in one task.  So a source is dealt into cells of (size, first hex digits
+of the key's hash): counts of cells are pre-aggregated, their prefix sums are taken over that small table, and only the
+rank within a cell looks at single rows.  A hot source or a hot size is spread over all its cells.  The order is by size
+and hash, the same whatever the size of the table.  The key is the id and a digest of the text, so rows that share an
+id, or have none, are spread as well.
 """
 
 from __future__ import annotations
@@ -26,8 +26,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 #: A target is at most this many times its source's size.
 CAP = 3
-#: Rows of a table from which cells are finer, by the size and one hex digit more; 16 times as many for the next digit.
-ROWS_PER_DIGIT = 100_000_000
+#: Hex digits of a cell: 256 cells of each source and size.
+DIGITS = 2
+#: Parts into which the table of sources is dealt.
+PARTS = 64
 
 
 def words(text: Column) -> Column:
@@ -35,91 +37,100 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def size_class(size: Column) -> Column:
-    """2 b + s: b is the size's length in bits, s its second bit; classes are half a power of two wide."""
-    bits = F.bin(size)
-    return (2 * F.length(bits) + (F.substring(bits, 2, 1) == "1").cast("int")).cast("int")
-
-
 def targets(per_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """(src, source_size, target): the total shared by weight, no target above cap times its source's size.
 
-    per_source has (src, source_size), one row per source, and src in the order in which weights repeat.  The
-    shares are t * weight for one level t, cut at the cap; t is found where the sources, ordered by cap * size /
-    weight, stop being cut.  This table has a row per source, so its windows are small.
+    per_source has (src, source_size), one row per source, and src in the order in which weights repeat.  The shares
+    are t * weight for one level t, cut at the cap.  t starts where nothing is cut and rises while what is cut by it
+    leaves more to the rest; each step is one sum over the sources.  Sources are ranked within ranges of their names, so
+    there may be as many as there are documents.
     """
-    n = len(weights)
-    w = F.element_at(F.array(*[F.lit(x) for x in weights]), ((F.row_number().over(Window.orderBy("src")) - 1) % n + 1).cast("int"))
-    t = per_source.withColumn("w", w).withColumn("top", cap * F.col("source_size")).withColumn("r", F.col("top").cast("double") / F.col("w"))
-    up = Window.orderBy("r", "src")
-    whole = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    t = t.withColumn("at", F.row_number().over(up))
-    t = t.withColumn("total", F.sum("source_size").over(whole))
-    t = t.withColumn("cut", F.sum("top").over(up.rowsBetween(Window.unboundedPreceding, -1)))
-    t = t.withColumn("left", F.sum("w").over(up.rowsBetween(0, Window.unboundedFollowing)))
-    t = t.withColumn("level", (F.col("total") - F.coalesce("cut", F.lit(0))).cast("double") / F.col("left"))
-    t = t.withColumn("level", F.min_by("level", F.when(F.col("level") <= F.col("r"), F.col("at"))).over(whole))
-    t = t.withColumn("target", F.least(F.col("w") * F.col("level"), F.col("top").cast("double")))
-    return t.select("src", "source_size", "target")
+    t = per_source.repartitionByRange(PARTS, "src").withColumn("part", F.spark_partition_id())
+    t = written(t, "mix-sources")
+    at, starts = 0, []
+    for part, n in sorted(t.groupBy("part").count().collect()):  # PARTS rows at most
+        starts.append((part, at))
+        at += n
+    skip = F.lit(0)
+    for part, n in starts:
+        skip = F.when(F.col("part") == part, F.lit(n)).otherwise(skip)
+    rank = skip + F.row_number().over(Window.partitionBy("part").orderBy("src")) - 1
+    w = F.element_at(F.array(*[F.lit(x) for x in weights]), (rank % len(weights) + 1).cast("int"))
+    t = t.withColumn("w", w).withColumn("top", cap * F.col("source_size"))
+    r, level, before = F.col("top").cast("double") / F.col("w"), None, None
+    while True:
+        cut = F.lit(False) if level is None else r < level
+        total, over, free_weight, n = t.agg(F.sum("source_size"), F.sum(F.when(cut, F.col("top"))), F.sum(F.when(~cut, F.col("w"))), F.sum(cut.cast("long"))).first()
+        if n == before or total is None:
+            break
+        before, level = n, float(total - (over or 0)) / free_weight
+    target = F.least(F.col("w") * F.lit(level or 0.0), F.col("top").cast("double"))
+    return t.select("src", "source_size", target.alias("target"))
 
 
 def copies(rows: DataFrame, sizes: DataFrame | None = None, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """rows with src, source_size, target and copies, the times the mix takes each.
 
-    rows has id, source, size and any other columns but these names; sizes, if given, is a cheaper table with
-    the same (id, source, size) for the counts.  Null sources are one source, the last; null ids are hashed as
-    the text "null".  Equal ids and sizes are ordered by `tie`, if rows has that column.  Reruns give the same
-    copies however the rows are partitioned.
+    rows has key, source, size and any other columns but these names; sizes, if given, is a cheaper table with the same
+    (key, source, size) for the counts.  Null sources are one source, the last.  Equal keys and sizes are ordered by
+    `tie`, if rows has that column.  Reruns give the same copies however the rows are partitioned.
     """
     sizes = rows if sizes is None else sizes
     src = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("~"))  # null last: "~" comes after "="
-    digits = 1
-    n = sizes.count()
-    while n > ROWS_PER_DIGIT * 16 ** (digits - 1):
-        digits += 1
-    fine = {"own_size": F.col("size"), "digits": F.substring("hex", 1, digits)} if digits > 1 else {}
-    order = ["class", "cell", *fine]
-    dealt = lambda df: df.withColumn("src", src).withColumn("hex", md5_hex(seed, F.col("id"))).withColumn("class", size_class(F.col("size"))).withColumn("cell", F.substring("hex", 1, 1)).withColumns(fine)
-    cells = dealt(sizes.select("id", "source", "size")).groupBy("src", *order).agg(F.count("*").alias("n"), F.sum("size").alias("words"))
-    goal = targets(cells.groupBy("src").agg(F.sum("words").alias("source_size")), weights, cap)
-    before = Window.partitionBy("src").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("skip", F.coalesce(F.sum("n").over(before), F.lit(0))).select("src", *order, "skip")
-    cells = cells.join(goal, "src")
-    own = Window.partitionBy("src", *order).orderBy("size", "hex", *(["tie"] if "tie" in rows.columns else []))
-    ranked = dealt(rows).withColumn("rank", F.row_number().over(own)).join(cells, ["src", *order])
+    cell = ["src", "size", "cell"]
+    dealt = lambda df: df.withColumn("src", src).withColumn("hex", md5_hex(seed, F.col("key"))).withColumn("cell", F.substring("hex", 1, DIGITS))
+    before = lambda by, order: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = dealt(sizes.select("key", "source", "size")).groupBy(*cell).agg(F.count("*").alias("n"))
+    by_size = written(cells.groupBy("src", "size").agg(F.sum("n").alias("n")), "mix-by-size")
+    goal = targets(by_size.groupBy("src").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, cap)
+    by_size = by_size.withColumn("below", before(["src"], "size")).select("src", "size", "below").join(goal, "src")
+    cells = cells.withColumn("skip", before(["src", "size"], "cell")).join(by_size, ["src", "size"]).withColumn("skip", F.col("skip") + F.col("below")).drop("n", "below")
+    own = Window.partitionBy(*cell).orderBy("hex", *(["tie"] if "tie" in rows.columns else []))
+    ranked = dealt(rows).withColumn("rank", F.row_number().over(own)).join(cells, cell)
     q = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     u = unit(md5_hex(f"{seed}-offset", F.col("src")))
     rank = F.col("skip") + F.col("rank")
     taken = (F.floor(u + q * rank) - F.floor(u + q * (rank - 1))).cast("long")
-    return ranked.withColumn("copies", taken).drop("hex", *order, "rank", "skip")
+    return ranked.withColumn("copies", taken).drop("hex", "cell", "rank", "skip")
+
+
+def _key(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """The id, or "null", and a digest of the text, null as empty."""
+    return F.concat_ws(":", F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17) -> DataFrame:
-    """docs with each row repeated as often as the mix takes it; all columns stay, whatever their names."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("tie"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    out = copies(rows, written(rows.select("id", "source", "size"), "mix-sizes"), seed)
+    """docs with each row repeated as often as the mix takes it; all columns stay, whatever their names.
+
+    Null and empty texts have size 0 and are taken by the same rule; null sources are one source, the last.  Null and
+    repeated ids are told apart by their texts, then by the other columns; repeated rows are taken each for itself.  An
+    empty table stays empty.
+    """
+    rest = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.name != text_col and "map<" not in f.dataType.simpleString()]
+    rows = docs.select(_key(docs, id_col, text_col).alias("key"), F.col(f"`{source_col}`").alias("source"), words(F.col(f"`{text_col}`")).alias("size"), F.xxhash64(*rest).alias("tie"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    out = copies(rows, written(rows.select("key", "source", "size"), "mix-sizes"), seed)
     return out.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def mix_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17) -> DataFrame:
     """Per row of docs: doc_id, size, source_size, target, and taken, the words that the mix takes of it.
 
-    Null text has size 0; a source of no words has target 0; an empty table gives no rows.  Repeated rows are
-    taken each for itself.  Other columns of docs are not read.
+    Null text has size 0; a source of no words has target 0; an empty table gives no rows.  Null and repeated ids are
+    told apart by their texts; repeated rows are taken each for itself.  Other columns of docs are not read.
     """
-    rows = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size")), "mix-rows")
-    return copies(rows, seed=seed).select(F.col("id").alias("doc_id"), "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("copies") * F.col("size")).alias("taken"))
+    rows = written(docs.select(F.col(f"`{id_col}`").alias("doc_id"), _key(docs, id_col, text_col).alias("key"), F.col(f"`{source_col}`").alias("source"), words(F.col(f"`{text_col}`")).alias("size")), "mix-rows")
+    return copies(rows, seed=seed).select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("copies") * F.col("size")).alias("taken"))
 
 
 SQL = r"""
-WITH sized AS (SELECT doc_id, '=' || source AS named, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
-keyed AS (SELECT doc_id, size, coalesce(named, '~') AS src, md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS hex, 2 * length(bin(size)) + CASE WHEN substr(bin(size), 2, 1) = '1' THEN 1 ELSE 0 END AS class FROM sized),
+WITH sized AS (SELECT doc_id, '=' || source AS named, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(text, '')) AS digest FROM documents),
+keyed AS (SELECT doc_id, size, coalesce(named, '~') AS src, md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || digest) AS hex FROM sized),
 sources AS (SELECT src, CAST(sum(size) AS BIGINT) AS source_size FROM keyed GROUP BY src),
 weighed AS (SELECT src, source_size, (row_number() OVER (ORDER BY src) - 1) % 3 + 1 AS w FROM sources),
 ordered AS (SELECT *, CAST(3 * source_size AS DOUBLE) / w AS r, row_number() OVER (ORDER BY CAST(3 * source_size AS DOUBLE) / w, src) AS place FROM weighed),
 levels AS (SELECT *, CAST((SELECT sum(source_size) FROM sources) - coalesce(sum(3 * source_size) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) / CAST(sum(w) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM ordered),
 goal AS (SELECT src, source_size, least(w * (SELECT min_by(level, place) FROM levels WHERE level <= r), CAST(3 * source_size AS DOUBLE)) AS target, CAST(CAST('0x' || substr(md5('17-offset:' || src), 1, 8) AS UBIGINT) AS DOUBLE) / 4294967296.0e0 AS u FROM levels),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY class, substr(hex, 1, 1), size, hex) AS rank FROM keyed)
+ranked AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY size, hex) AS rank FROM keyed)
 SELECT doc_id, size, source_size, target, size * CAST(floor(u + (CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0e0 END) * rank) - floor(u + (CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0e0 END) * (rank - 1)) AS BIGINT) AS taken
 FROM ranked JOIN goal USING (src)
 """
