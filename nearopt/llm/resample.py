@@ -27,6 +27,8 @@ BUCKETS, SMOOTHING = 10_000, 1.0
 SHARE = 0.8
 #: Bound of the labelled sample: target documents whose ids have the smallest hashes.
 MOST_TARGETS = 200_000
+#: Rows that are numbered at a time.
+STEP = 65_536
 #: Bins of a narrowing step, and the keys that are few enough to be sorted.
 BINS, FEW = 1024, 4096
 
@@ -73,7 +75,7 @@ def model(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def weighed(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_grams and log_weight of each row of docs."""
+    """doc_id, text_hash, n_grams and log_weight of each row of docs."""
 
     def of(batches):
         for batch in batches:
@@ -82,18 +84,31 @@ def weighed(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col
                 bucket, text = _grams(texts.slice(a, b - a))
                 weight = np.bincount(text, weights=ratio[bucket.astype(np.int64)], minlength=b - a)
                 n = np.bincount(text, minlength=b - a)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(weight)], ["doc_id", "n_grams", "log_weight"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(n), pa.array(weight)], ["doc_id", "text_hash", "n_grams", "log_weight"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(of, "doc_id long, n_grams long, log_weight double")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    return rows.mapInArrow(of, "doc_id long, text_hash long, n_grams long, log_weight double")
 
 
-def gumbel(doc_id: Column, seed: int) -> Column:
-    """A Gumbel draw that depends on the seed and the id alone."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), doc_id), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+def gumbel(seed: int, *of: Column) -> Column:
+    """A Gumbel draw that depends on the seed and the columns alone."""
+    u = (F.pmod(F.xxhash64(F.lit(seed), *of), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     return -F.log(-F.log(u))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with n, from 0: rows equal in (doc_id, text_hash) are numbered, so that each has a draw of its own.
+
+    Equal rows are counted and given back by their count, in steps, as no task should sort or hold a group of them.
+    """
+    same = ["doc_id", "text_hash"]
+    groups = written(rows.groupBy(*same).agg(F.count("*").alias("copies"), F.first("n_grams").alias("n_grams"), F.first("log_weight").alias("log_weight")), "groups")
+    once = groups.where("copies = 1").withColumn("n", F.lit(0).cast("long"))
+    more = groups.where("copies > 1").withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {STEP}"))))
+    more = more.repartition("doc_id", "text_hash", "step").withColumn("n", F.explode(F.sequence(F.col("step") * STEP, F.least(F.col("copies"), (F.col("step") + 1) * STEP) - 1)))
+    return once.unionByName(more.drop("step")).drop("copies")
+
+
 def kth_largest(keys: DataFrame, column: str, k: int) -> float | None:
     """The k-th largest value of a column of finite doubles, exactly; None if k < 1 or there are no k values."""
     low, high, n = keys.agg(F.min(column), F.max(column), F.count(column)).first()
@@ -127,12 +142,13 @@ def kth_largest(keys: DataFrame, column: str, k: int) -> float | None:
 def resample(docs: DataFrame, targets: DataFrame, share: float = SHARE, seed: int = 23, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of docs: doc_id, n_grams, log_weight, key (log_weight and its Gumbel draw), kept.
 
-    kept marks the ceil(share * rows) largest keys; rows equal in key to the last of them are kept as well, as
-    repeated rows are.  Null and empty texts have no n-grams and log weight 0; null ids share one draw.  Without
-    target documents all weights are 0 and the sample is uniform.  An empty table gives no rows; columns of docs
-    but these two are not read.
+    kept marks the ceil(share * rows) largest keys; rows that tie with the last of them are kept as well.  Each row has a
+    draw of its own, from its id, its text and its number among rows equal in both; so rows that share an id, or have
+    none, are sampled one by one.  Null and empty texts have no n-grams and log weight 0.  Without target documents all
+    weights are 0 and the sample is uniform.  An empty table gives no rows; columns of docs but these two are not read.
     """
-    rows = weighed(docs, model(docs, targets, id_col, text_col), id_col, text_col)
-    keyed = written(rows.withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id"), seed)), "keys")
+    rows = _numbered(weighed(docs, model(docs, targets, id_col, text_col), id_col, text_col))
+    draw = gumbel(seed, F.col("doc_id"), F.col("text_hash"), F.col("n"))
+    keyed = written(rows.select("doc_id", "n_grams", "log_weight", (F.col("log_weight") + draw).alias("key")), "keys")
     least = kth_largest(keyed, "key", math.ceil(share * keyed.count()))
     return keyed.withColumn("kept", F.col("key") >= F.lit(math.inf if least is None else least))
