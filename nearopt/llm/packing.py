@@ -12,6 +12,7 @@ with any character outside a plain table are handed over whole, cut at white spa
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -52,6 +53,17 @@ _BYTE_SIGNS = {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - set(_PR
 _VALUE = tv.splitmix(np.arange(_TOP + 1, dtype=np.uint64) + np.uint64(1))[_FOLD]
 
 
+# The rules of a tokenizer's file for which texts may be cut and cached as here.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 def tokenizer(path: str):
     from tokenizers import Tokenizer
 
@@ -65,6 +77,9 @@ class Ids:
 
     def __init__(self, path: str):
         self.t = tokenizer(path)
+        rules = json.loads(self.t.to_str())
+        #: Whether the file's rules are those that pieces are cut by; if not, the tokenizer encodes whole texts itself.
+        self.known = rules["normalizer"] == NORMALIZER and rules["pre_tokenizer"] == SPLITTER and rules["model"]["type"] == "BPE" and not rules["model"].get("dropout")
         self.forget()
 
     def forget(self) -> None:
@@ -171,6 +186,10 @@ def _segments(texts: list[str]) -> Iterator[tuple[list[str], list[int]]]:
 
 def all_ids(ids: Ids, texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
     """(position, ids) of each text in order."""
+    if not ids.known:
+        for i, text in enumerate(texts):
+            yield i, np.array(ids.t.encode(text, add_special_tokens=False).ids, np.uint32)
+        return
     held, now = [], 0
     for part, owner in _segments(texts):
         flat, counts = ids.of(part)
@@ -194,7 +213,8 @@ def lengths(n: int, most: int = LENGTH) -> list[int]:
 def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", most: int = LENGTH, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with with_ids, ids.
 
-    path is a tokenizers file.  Null and empty texts are one piece, the end id.  Every row of docs is packed for
+    path is a tokenizers file.  Pieces are cached only for files with the rules of word_bpe_49k.json; with any other the
+    tokenizer encodes each text whole, which is slower and needs memory for the longest text.  Null and empty texts are one piece, the end id.  Every row of docs is packed for
     itself, repeated rows and null ids included; no rows give no pieces; other columns are not read.  offset is 0,
     as each piece is a sequence; length is its bucket.  sequence_id counts within the input partition, so it is
     the same when a lost task runs again.
