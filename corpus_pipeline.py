@@ -18,8 +18,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the smallest id, of each group of near copies: similarity 0.85 or more, as in op8."""
-    return minhash.drop_near_duplicates(docs)
+    """Keeps one document, that of the smallest id, of each group of near copies: similarity 0.8 or more."""
+    return minhash.drop_near_duplicates(docs, percent=80)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
