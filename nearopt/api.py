@@ -57,17 +57,17 @@ class NearOptimalSet:
     def objective_many(self, batch, *, margins: DataFrame | None = None) -> np.ndarray:
         return oracle.objective_many(self._set(), batch, margins)
 
-    def loss_gap(self, theta) -> float:
-        return oracle.loss_gap(self._set(), theta)
+    def loss_gap(self, theta, *, margins: DataFrame | None = None) -> float:
+        return oracle.loss_gap(self._set(), theta, margins)
 
-    def loss_gap_many(self, batch) -> np.ndarray:
-        return oracle.loss_gap_many(self._set(), batch)
+    def loss_gap_many(self, batch, *, margins: DataFrame | None = None) -> np.ndarray:
+        return oracle.loss_gap_many(self._set(), batch, margins)
 
-    def contains(self, theta, atol: float = oracle.ATOL) -> bool:
-        return oracle.contains(self._set(), theta, atol)
+    def contains(self, theta, atol: float = oracle.ATOL, *, margins: DataFrame | None = None) -> bool:
+        return oracle.contains(self._set(), theta, atol, margins)
 
-    def contains_many(self, batch, atol: float = oracle.ATOL) -> np.ndarray:
-        return oracle.contains_many(self._set(), batch, atol)
+    def contains_many(self, batch, atol: float = oracle.ATOL, *, margins: DataFrame | None = None) -> np.ndarray:
+        return oracle.contains_many(self._set(), batch, atol, margins)
 
     # certificates and predictions
     def hacking_interval(self, s) -> dict[str, float]:
@@ -99,13 +99,14 @@ class NearOptimalSet:
     def sample(self, n_samples: int = 100, **how) -> np.ndarray:
         return drawing.sample(self._set(), n_samples, **how)
 
-    def sample_ellipsoid(self, n_samples: int = 100, random_state: int | None = None) -> np.ndarray:
-        return drawing.ellipsoid(self._set(), n_samples, random_state)
+    def sample_ellipsoid(self, n_samples: int = 100, random_state: int | None = None, **how) -> np.ndarray:
+        return drawing.ellipsoid(self._set(), n_samples, random_state, **how)
 
     def sample_hitandrun(self, n_samples: int = 100, *, compute_diagnostics: bool = True, **how) -> DataFrame:
         rows = drawing.hit_and_run(self._set(), n_samples, **how)
         if compute_diagnostics:
-            rows = rows.persist()
+            # The draws are few: once taken they are a table of their own, and nothing stays persisted.
+            rows = rows.sparkSession.createDataFrame(rows.collect(), drawing.SCHEMA)
             self._sampled = self.compute_sample_diagnostics(rows).first().asDict()
         return rows
 

@@ -6,10 +6,11 @@ from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearopt.functions.expressions import weyl
+from nearopt.functions.order import quantiles, ranked
 
 GOLDEN = 0.6180339887498949
 
@@ -114,9 +115,9 @@ def split(df: DataFrame, key: str, share: float) -> tuple[DataFrame, DataFrame]:
 
 def stratified(df: DataFrame, label: str, key: str, share: float) -> DataFrame:
     """df with `test`: within each label, the share of rows that come first in an even order of their keys."""
-    own = Window.partitionBy(F.col(f"`{label}`"))
-    rank = F.row_number().over(own.orderBy(share_of(F.col(f"`{key}`")), F.col(f"`{key}`")))
-    return df.withColumn("test", rank <= F.floor(F.count(F.lit(1)).over(own) * F.lit(share)))
+    own = F.col(f"`{key}`")
+    out = ranked(df, [label], share_of(own), [own], "_rank", "_size")
+    return out.withColumn("test", F.col("_rank") <= F.floor(F.col("_size") * F.lit(share))).drop("_rank", "_size")
 
 
 def stacked(first: DataFrame, *more: DataFrame) -> DataFrame:
@@ -129,7 +130,7 @@ def mixed_column(df: DataFrame, name: str, parts: dict[str, float]) -> DataFrame
 
 
 def above_median(df: DataFrame, column: str, name: str = "label") -> DataFrame:
-    median = df.agg(F.percentile(F.col(f"`{column}`"), 0.5)).first()[0]
+    median = quantiles(df, column, [0.5])[0]
     return df.withColumn(name, F.when(F.col(f"`{column}`") > F.lit(median), 1.0).otherwise(0.0))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 
 from nearopt.config import FeatureSpec, SetConfig
 from nearopt.operators import linalg
-from nearopt.operators.stats import Sums, sums
+from nearopt.operators.stats import sums
 
 #: Guardrails: least p (1 - p) of a row, and largest condition number of the Hessian.
 LEAST_WEIGHT, MOST_CONDITION = 1e-6, 1e8
@@ -63,10 +63,10 @@ class FittedSet:
         return replace(self, epsilon=float(epsilon), alpha=alpha, calibration=calibration)
 
 
-def solve_linear(frame: DataFrame, d: int, penalty: float) -> tuple[np.ndarray, Sums]:
-    """Ridge without intercept from one pass; penalty counts against the summed loss."""
+def solve_linear(frame: DataFrame, d: int, penalty_of) -> np.ndarray:
+    """Ridge without intercept from one pass; the penalty for n rows counts against the summed loss."""
     at0 = sums(frame, d, "linear", np.zeros(d))
-    return np.linalg.solve(at0.second + penalty * np.eye(d), -at0.first), at0
+    return np.linalg.solve(at0.second + penalty_of(at0.n) * np.eye(d), -at0.first)
 
 
 def solve_logistic(frame: DataFrame, d: int, penalty_of, max_iter: int) -> np.ndarray:
@@ -114,8 +114,7 @@ def fit(df: DataFrame, spec: FeatureSpec, config: SetConfig | None = None) -> Fi
     frame = spec.project(df, with_label=True)
     share = (lambda n: config.lam) if config.fit_scale == "sum" else (lambda n: config.lam * n)
     if config.estimator == "linear":
-        at0 = sums(frame, spec.d, "linear", np.zeros(spec.d))
-        theta = np.linalg.solve(at0.second + share(at0.n) * np.eye(spec.d), -at0.first)
+        theta = solve_linear(frame, spec.d, share)
     else:
         theta = solve_logistic(frame, spec.d, share, config.max_iter)
     out = at(frame, spec, config, theta)

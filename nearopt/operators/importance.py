@@ -6,11 +6,12 @@ import warnings
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearopt.config import FeatureSpec
 from nearopt.functions.expressions import columns, total
+from nearopt.functions.order import ranked
 from nearopt.operators import oracle
 from nearopt.operators import sample as draw
 from nearopt.operators.fit import FittedSet
@@ -22,10 +23,10 @@ MODES = ("iid", "residual", "conditional")
 COLLINEAR = 0.85
 
 
-def cloud(fitted: FittedSet, n_samples: int = 200, sampler: str | None = None, feature_names=None, burnin: int = 100, thin: int = 2, random_state: int | None = None) -> DataFrame:
+def cloud(fitted: FittedSet, n_samples: int = 200, sampler: str | None = None, feature_names=None, burnin: int = 100, thin: int = 2, random_state: int | None = None, numbers: str = "random") -> DataFrame:
     """A row per coefficient over draws: j, feature, theta_hat, mean, std, q05, q25, q50, q75, q95."""
     how = {"burnin": burnin, "thin": thin} if (sampler or fitted.config.sampler).lower() == "hitandrun" else {}
-    batch = draw.sample(fitted, n_samples, sampler, random_state=random_state, **how)
+    batch = draw.sample(fitted, n_samples, sampler, random_state=random_state, numbers=numbers, **how)
     return cloud_of(fitted, oracle.samples_frame(fitted.frame.sparkSession, batch), feature_names)
 
 
@@ -56,39 +57,48 @@ def collinear_pairs(df: DataFrame, spec: FeatureSpec, least: float = COLLINEAR)
     return df.sparkSession.createDataFrame(rows, "i int, j int, r double")
 
 
-def _ranked(frame: DataFrame, d: int, by: list, order, name: str) -> DataFrame:
-    return frame.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+def _hashed(seed: int):
+    """The default order: an even number from a hash of the seed, the feature, the replicate and the key."""
+    return lambda j, rep: F.pmod(F.xxhash64(F.lit(seed), j, rep, F.col("key")), F.lit(1 << 52)).cast("double") / float(1 << 52)
 
 
-def permuted(frame: DataFrame, d: int, mode: str, n_permutations: int, order=None, seed: int = 0) -> DataFrame:
-    """Rows for each feature and replicate: j, rep, y, x (array), xp and op.
+def _bins(frame: DataFrame, d: int):
+    """The bin of (j, other): equal widths between the ends of the mean of the features but j, max(3, sqrt(n)) edges."""
+    means = [total([x for i, x in enumerate(columns(d)) if i != j]) / (d - 1) if d > 1 else F.lit(0.0) for j in range(d)]
+    row = frame.agg(F.count(F.lit(1)).alias("n"), *[f(m).alias(f"{name}{j}") for j, m in enumerate(means) for name, f in (("a", F.min), ("b", F.max))]).first()
+    edges = max(3, int(np.sqrt(row.n)))
+    of = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("j") + 1)
+    low, high = [row[f"a{j}"] for j in range(d)], [row[f"b{j}"] for j in range(d)]
+    width = of([None if a is None else (b - a) / (edges - 1) for a, b in zip(low, high)])
+    at = F.least(F.lit(edges), F.floor((F.col("other") - of(low)) / width).cast("int") + 1)
+    return F.when(F.col("other") >= of(high), F.lit(edges)).when(width > 0, at).otherwise(F.lit(1))
 
-    xp is the feature's value in the row that the permutation puts here, op the mean of that row's other features.
-    order(j, rep) gives the sort columns whose ranks define the permutation; the default is a hash of the seed, the
-    feature, the replicate and the key.  `conditional` permutes within equal-width bins of the mean of the other
-    features.  Rows meet by rank in hash-dealt parts, so no task holds a whole replicate.
+
+def permuted(frame: DataFrame, d: int, mode: str, n_permutations: int, order=None, seed: int = 0, carry: bool = False) -> DataFrame:
+    """Rows for each feature and replicate: j, rep, y, x (array) and xp, the feature's value in the row that the
+    permutation puts here; with carry also source, that row's features.
+
+    A permutation sends the row of a rank in one order to the row of this rank in another.  order(j, rep) is a column
+    spread over [0, 1), whose order, ties by key, ranks the rows; j = rep = -1 stands for where values go.  The default is
+    a hash.  `conditional` permutes within equal-width bins of the mean of the other features.  Ranks are taken in cells
+    of the orders (see ranked), so no task holds a replicate; the rows themselves aren't copied by replicate before they
+    meet the values that come to them.
     """
-    xs = columns(d)
-    wide = frame.select("key", "y", F.array(*xs).alias("x"))
-    grid = F.explode(F.sequence(F.lit(0), F.lit(d - 1))), F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1)))
-    rows = wide.withColumn("j", grid[0]).withColumn("rep", grid[1])
-    own = F.element_at("x", F.col("j") + 1)
-    others = F.transform("x", lambda v, i: F.when(i == F.col("j"), F.lit(0.0)).otherwise(v))
-    rows = rows.withColumn("other", F.aggregate(others, F.lit(0.0), lambda s, v: s + v) / max(d - 1, 1))
-    by = ["j", "rep"]
+    order, key = order or _hashed(seed), F.col("key")
+    wide = frame.select("key", "y", F.array(*columns(d)).alias("x"))
+    here, by = wide, []
+    there = wide.drop("y").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(d - 1))))
     if mode == "conditional":
-        n = frame.count()
-        edges = max(3, int(np.sqrt(n)))
-        low_high = [frame.agg(F.min(v).alias("a"), F.max(v).alias("b")).first() for v in [(total([x for i, x in enumerate(xs) if i != j]) / (d - 1)) if d > 1 else F.lit(0.0) for j in range(d)]]
-        of = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("j") + 1)
-        low, high, width = of([r.a for r in low_high]), of([r.b for r in low_high]), of([(r.b - r.a) / (edges - 1) for r in low_high])
-        at = F.least(F.lit(edges), F.floor((F.col("other") - low) / width).cast("int") + 1)
-        rows = rows.withColumn("bin", F.when(F.col("other") >= high, F.lit(edges)).when(width > 0, at).otherwise(F.lit(1)))
-        by = [*by, "bin"]
-    order = order or (lambda j, rep: [F.xxhash64(F.lit(seed), j, rep, F.col("key")), F.col("key")])
-    here = _ranked(rows, d, by, [F.col("key")], "rank")
-    there = _ranked(rows, d, by, order(F.col("j"), F.col("rep")), "rank").select(*by, "rank", own.alias("xp"), F.col("other").alias("op"))
-    return here.join(there, [*by, "rank"]).select("j", "rep", "y", "x", "xp", "op")
+        here = here.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(d - 1))))
+        other = F.aggregate(F.transform("x", lambda v, i: F.when(i == F.col("j"), F.lit(0.0)).otherwise(v)), F.lit(0.0), lambda s, v: s + v) / max(d - 1, 1)
+        bins = _bins(frame, d)
+        here, there = (df.withColumn("other", other).withColumn("bin", bins).drop("other") for df in (here, there))
+        by = ["j", "bin"]
+    there = there.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))))
+    there = there.select(*dict.fromkeys(["j", "rep", *by]), "key", F.element_at("x", F.col("j") + 1).alias("xp"), *([F.col("x").alias("source")] if carry else []))
+    here = ranked(here, by, order(F.lit(-1), F.lit(-1)), [key]).drop("key")
+    there = ranked(there, [*dict.fromkeys(["j", "rep", *by])], order(F.col("j"), F.col("rep")), [key]).drop("key")
+    return here.join(there, [*by, "rank"]).select("j", "rep", "y", "x", "xp", *(["source"] if carry else []))
 
 
 def reliance(fitted: FittedSet, df: DataFrame, batch=None, n_permutations: int = 16, n_samples: int = 100, perm_mode: str = "iid", check_collinearity: bool = True, sampler: str = "ellipsoid", random_state: int | None = None, order=None) -> DataFrame:
@@ -127,7 +137,7 @@ def reliance(fitted: FittedSet, df: DataFrame, batch=None, n_permutations: int =
     def changed(batches):
         out = np.zeros((d, k))
         for rows in batches:
-            x = np.array(rows.column(3).flatten().to_numpy(zero_copy_only=False)).reshape(-1, d)
+            x = rows.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
             y, j, xp = rows.column(2).to_numpy(), rows.column(0).to_numpy(), rows.column(4).to_numpy()
             margins = x @ batch.T
             for f in np.unique(j):
@@ -137,15 +147,14 @@ def reliance(fitted: FittedSet, df: DataFrame, batch=None, n_permutations: int =
                 if perm_mode == "residual":
                     # Others' part of the margin here and in the row that xp comes from: the residuals are swapped.
                     here = margins[own] - t * x[own, f][:, None]
-                    there = np.array(rows.column(5).to_pylist(), float).reshape(len(x), k)[own]
+                    source = rows.column(5).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)[own]
+                    there = source @ batch.T - t * source[:, f][:, None]
                     new = 2 * here + t * xp[own, None] - there
                 out[f] += hits(new, y[own])
         names = np.indices((d, k))
         yield pa.RecordBatch.from_arrays([pa.array(names[1].ravel()), pa.array(names[0].ravel()), pa.array(out.ravel())], ["sample_id", "j", "hits"])
 
-    rows = permuted(frame, d, perm_mode, n_permutations, order, 0 if seed is None else int(seed))
-    if perm_mode == "residual":
-        rows = _with_others_margin(frame, d, n_permutations, order, 0 if seed is None else int(seed), batch)
+    rows = permuted(frame, d, perm_mode, n_permutations, order, 0 if seed is None else int(seed), carry=perm_mode == "residual")
     schema = "sample_id long, j long, hits double"
     counted = frame.mapInArrow(base, schema).unionByName(rows.mapInArrow(changed, schema)).groupBy("sample_id", "j").agg(F.sum("hits").alias("hits"))
     rows_of = F.lit(float(n)) * F.when(F.col("j") < 0, 1).otherwise(n_permutations)
@@ -159,18 +168,6 @@ def reliance(fitted: FittedSet, df: DataFrame, batch=None, n_permutations: int =
     return out.select(F.col("sample_id").cast("int").alias("sample_id"), F.col("j").cast("int").alias("j"), "base", F.col("score").alias("permuted"), (F.col("base") - F.col("score")).alias("importance"))
 
 
-def _with_others_margin(frame: DataFrame, d: int, n_permutations: int, order, seed: int, batch: np.ndarray) -> DataFrame:
-    """As permuted(), with op the other features' part of the margin of each draw in the row that xp comes from."""
-    wide = frame.select("key", "y", F.array(*columns(d)).alias("x"))
-    rows = wide.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(d - 1)))).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))))
-    order = order or (lambda j, rep: [F.xxhash64(F.lit(seed), j, rep, F.col("key")), F.col("key")])
-    here = _ranked(rows, d, ["j", "rep"], [F.col("key")], "rank")
-    there = _ranked(rows, d, ["j", "rep"], order(F.col("j"), F.col("rep")), "rank").select("j", "rep", "rank", F.element_at("x", F.col("j") + 1).alias("xp"), F.col("x").alias("from"))
-    both = here.join(there, ["j", "rep", "rank"])
-    dots = [total([F.lit(float(t)) * F.element_at("from", i + 1) * F.when(F.col("j") == i, 0.0).otherwise(1.0) for i, t in enumerate(theta)]) for theta in batch]
-    return both.select("j", "rep", "y", "x", "xp", F.array(*dots).alias("op"))
-
-
 def reliance_summary(matrix_rows: DataFrame, spec: FeatureSpec) -> DataFrame:
     """A row per feature over draws: j, feature, importance_mean, importance_std, importance_min, importance_max."""
     name = F.element_at(F.array(*[F.lit(c) for c in spec.columns]), F.col("j") + 1)

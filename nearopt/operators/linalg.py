@@ -20,6 +20,36 @@ def cholesky(h: np.ndarray) -> np.ndarray:
     raise RuntimeError("the Hessian isn't positive definite")
 
 
+def preconditioner(diagonal: np.ndarray) -> np.ndarray:
+    """The diagonal preconditioner of a matrix, by its own diagonal."""
+    return 1.0 / (diagonal + 1e-12)
+
+
+def conjugate_gradients(product, b: np.ndarray, diagonal: np.ndarray | None = None, tol: float = 1e-10, max_iter: int = 1000) -> np.ndarray:
+    """Solves A x = b by products with A alone, positive definite; diagonal is a preconditioner.
+
+    Ends when the residual's norm (under the preconditioner) is below tol, after max_iter products, or when a direction
+    has no curvature left.
+    """
+    x, r = np.zeros_like(b, dtype=float), np.asarray(b, float).copy()
+    scaled = lambda r: r if diagonal is None else diagonal * r
+    z = scaled(r)
+    p, rz = z.copy(), float(r @ z)
+    for _ in range(max_iter):
+        if math.sqrt(abs(rz)) < tol:
+            break
+        ap = product(p)
+        curvature = float(p @ ap)
+        if abs(curvature) < 1e-18:
+            break
+        x = x + rz / curvature * p
+        r = r - rz / curvature * ap
+        z = scaled(r)
+        rz, before = float(r @ z), rz
+        p = z + rz / before * p
+    return x
+
+
 def condition(h: np.ndarray) -> float:
     values = np.linalg.eigvalsh(h)
     return float(values[-1] / values[0]) if values[0] > 0 else math.inf

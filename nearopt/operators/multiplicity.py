@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearopt.functions import expressions as E
+from nearopt.functions.order import order_statistics, quantiles
 from nearopt.operators import certify, oracle
 from nearopt.operators import sample as draw
 from nearopt.operators.fit import FittedSet
@@ -47,46 +48,24 @@ def threshold(fitted: FittedSet, df: DataFrame | None = None, mode: str = "fixed
     if mode == "match_prevalence":
         rate = rows.agg(F.avg("y")).first()[0]
         if rate is None or not 0 < rate < 1:
-            warnings.warn("the labels have one class; the threshold is 0", stacklevel=2)
+            warnings.warn("every label is the same, so no rate can be matched: 0 is used", stacklevel=2)
             return 0.0
         return _logit(rate)
     if mode == "match_fpr":
         negatives = rows.where("y = 0")
         n = negatives.count()
         if not n:
-            warnings.warn("there are no negatives; the threshold is 0", stacklevel=2)
+            warnings.warn("no row is labelled 0, so no rate of false alarms can be set: 0 is used", stacklevel=2)
             return 0.0
-        return order_statistic(negatives, "margin", min(max(int((1 - fpr) * n), 0), n - 1))
+        return order_statistics(negatives, "margin", [int((1 - fpr) * n)])[0]
     out = youden_table(rows).orderBy(F.desc("j"), "i").first()
     return 0.0 if out is None else out.tau
 
 
-def order_statistic(rows: DataFrame, column: str, index: int) -> float:
-    """The value at a position, from 0, of the ascending order: an exact percentile between two neighbours."""
-    n = rows.count()
-    return rows.agg(F.percentile(column, F.lit(index / max(n - 1, 1)))).first()[0] if n <= 100_000 else _by_histogram(rows, column, index)
-
-
-def _by_histogram(rows: DataFrame, column: str, index: int, bins: int = 4096) -> float:
-    """As order_statistic, by narrowing a histogram, so that no task holds all values."""
-    low, high = rows.agg(F.min(column), F.max(column)).first()
-    below, x = 0, F.col(column)
-    while low < high:
-        inside, width = rows.where((x >= low) & (x <= high)), (high - low) / bins
-        if not low + width > low:
-            break
-        table = inside.groupBy(F.least(F.floor((x - low) / width), F.lit(bins - 1)).alias("b")).agg(F.count("*").alias("n"), F.min(x).alias("low"), F.max(x).alias("high")).orderBy("b").collect()
-        for row in table:
-            if below + row.n > index:
-                low, high = row.low, row.high
-                break
-            below += row.n
-    return low
-
-
 def youden_table(rows: DataFrame) -> DataFrame:
     """(i, tau, j) for the 99 percentiles of the margins of rows (y, margin)."""
-    taus = rows.agg(F.percentile("margin", F.array(*[F.lit(i / 100) for i in range(1, 100)])).alias("t")).select(F.posexplode("t").alias("i", "tau")).where("tau is not null")
+    found = [(i, t) for i, t in enumerate(quantiles(rows, "margin", [i / 100 for i in range(1, 100)])) if t is not None]
+    taus = rows.sparkSession.createDataFrame(found, "i int, tau double")
     hit = lambda c: F.sum(F.when(c, 1.0).otherwise(0.0))
     out = rows.crossJoin(F.broadcast(taus)).groupBy("i", "tau").agg(  # 99 rows are broadcast
         hit((F.col("y") == 1) & (F.col("margin") >= F.col("tau"))).alias("tp"), hit((F.col("y") == 0) & (F.col("margin") < F.col("tau"))).alias("tn"), hit(F.col("y") == 1).alias("p"), hit(F.col("y") == 0).alias("n")

@@ -70,20 +70,20 @@ def _loss_sums(frame: DataFrame, batch: np.ndarray, d: int) -> np.ndarray:
     return out
 
 
-def loss_gap(fitted: FittedSet, theta) -> float:
-    return objective(fitted, theta) - fitted.l_hat
+def loss_gap(fitted: FittedSet, theta, margins: DataFrame | None = None) -> float:
+    return objective(fitted, theta, margins) - fitted.l_hat
 
 
-def loss_gap_many(fitted: FittedSet, batch) -> np.ndarray:
-    return objective_many(fitted, batch) - fitted.l_hat
+def loss_gap_many(fitted: FittedSet, batch, margins: DataFrame | None = None) -> np.ndarray:
+    return objective_many(fitted, batch, margins) - fitted.l_hat
 
 
-def contains(fitted: FittedSet, theta, atol: float = ATOL) -> bool:
-    return loss_gap(fitted, theta) <= fitted.epsilon + atol
+def contains(fitted: FittedSet, theta, atol: float = ATOL, margins: DataFrame | None = None) -> bool:
+    return loss_gap(fitted, theta, margins) <= fitted.epsilon + atol
 
 
-def contains_many(fitted: FittedSet, batch, atol: float = ATOL) -> np.ndarray:
-    return loss_gap_many(fitted, batch) <= fitted.epsilon + atol
+def contains_many(fitted: FittedSet, batch, atol: float = ATOL, margins: DataFrame | None = None) -> np.ndarray:
+    return loss_gap_many(fitted, batch, margins) <= fitted.epsilon + atol
 
 
 def membership(fitted: FittedSet, batch, atol: float = ATOL) -> DataFrame:

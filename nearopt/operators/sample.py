@@ -3,35 +3,86 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Generator, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearopt.operators import oracle
+from nearopt.operators import linalg, oracle
 from nearopt.operators.fit import FittedSet
 from nearopt.operators.stats import matrix
 
-#: Rows times features up to which each chain holds the rows; beyond, all chains search their chords together.
+#: Rows times features up to which each chain holds the rows; beyond, gaps are taken by passes over them.  The draws are
+#: the same either way.
 HELD = 4_000_000
 SCHEMA = "chain_id int, step int, theta array<double>"
+NUMBERS = ("random", "even")
+#: Even numbers of a chain start this far from those of the one before.
+APART = 10_007
 
 
-def ellipsoid(fitted: FittedSet, n_samples: int = 100, random_state: int | None = None, mapped: str = "exact") -> np.ndarray:
+def _primes() -> Iterator[int]:
+    n = 2
+    while True:
+        if all(n % p for p in range(2, math.isqrt(n) + 1)):
+            yield n
+        n += 1
+
+
+def even_steps(n: int) -> np.ndarray:
+    """Square roots of the first n primes, whose multiples are even numbers modulo 1."""
+    return np.sqrt([p for _, p in zip(range(n), _primes())])
+
+
+def even(k: np.ndarray, n: int) -> np.ndarray:
+    """n numbers in [0, 1) for each of the counts k: k * sqrt(prime) modulo 1, which any engine computes alike."""
+    x = np.asarray(k, float)[:, None] * even_steps(n)
+    return x - np.floor(x)
+
+
+def even_normals(k: np.ndarray, d: int) -> np.ndarray:
+    u = even(k, 2 * d)
+    return np.sqrt(-2 * np.log(u[:, ::2])) * np.cos(2 * math.pi * u[:, 1::2])
+
+
+class EvenNumbers:
+    """Stands for a random generator of a chain: its n-th normals and uniforms are even numbers of its own."""
+
+    def __init__(self, chain: int, d: int):
+        self.d, self.drawn, self.moved = d, chain * APART, chain * APART
+
+    def normal(self, size: int) -> np.ndarray:
+        self.drawn += 1
+        return even_normals(np.array([self.drawn]), size)[0]
+
+    def uniform(self, low: float, high: float) -> float:
+        self.moved += 1
+        return low + even(np.array([self.moved]), 2 * self.d + 1)[0, -1] * (high - low)
+
+
+def ellipsoid(fitted: FittedSet, n_samples: int = 100, random_state: int | None = None, mapped: str = "exact", numbers: str = "random") -> np.ndarray:
     """Uniform draws from the ellipsoid (t - theta)' H (t - theta) <= 2 epsilon, as a (k, d) array.
 
     mapped = "exact" solves with the transposed factor, which is what makes them uniform there; "forward" solves with
-    the factor itself, for comparisons with draws made that way.
+    the factor itself, for comparisons with draws made that way.  numbers = "even" takes even numbers instead of random
+    ones, which other engines can repeat.
     """
     if n_samples < 1:
         raise ValueError("n_samples must be at least 1")
     if mapped not in ("exact", "forward"):
         raise ValueError("mapped must be 'exact' or 'forward'")
-    rng = np.random.default_rng(fitted.config.random_state if random_state is None else random_state)
-    g = rng.normal(size=(n_samples, fitted.d))
-    radius = rng.random(n_samples) ** (1 / fitted.d)
-    ball = g / (np.linalg.norm(g, axis=1, keepdims=True) + 1e-18) * radius[:, None] * fitted.reach
+    if numbers not in NUMBERS:
+        raise ValueError("numbers must be 'random' or 'even'")
+    if numbers == "even":
+        k = np.arange(1, n_samples + 1)
+        g, u = even_normals(k, fitted.d), even(k, 2 * fitted.d + 1)[:, -1]
+    else:
+        rng = np.random.default_rng(fitted.config.random_state if random_state is None else random_state)
+        g = rng.normal(size=(n_samples, fitted.d))
+        u = rng.random(n_samples)
+    ball = g / (np.linalg.norm(g, axis=1, keepdims=True) + 1e-18) * u[:, None] ** (1 / fitted.d) * fitted.reach
     return placed(fitted, ball, mapped)
 
 
@@ -42,45 +93,45 @@ def placed(fitted: FittedSet, ball: np.ndarray, mapped: str = "exact") -> np.nda
 
 
 class _Line:
-    """Gap along theta + t v - l_hat for one model family, with the scores of the current point kept."""
+    """Gaps along theta + t v for one model family.  Scores of the current point and of the direction are kept, and
+    moved with the point, so that a gap costs a pass over rows without their features."""
 
     def __init__(self, x, y, lam, l_hat, gram=None, cross=None, y2=None, n=0):
         self.x, self.y, self.lam, self.l_hat = x, y, lam, l_hat
         self.gram, self.cross, self.y2, self.n = gram, cross, y2, n
+        self.v = self.z = None
 
-    def start(self, theta):
-        self.theta = theta.copy()
-        if self.gram is None:
-            self.z = self.x @ theta
+    def gaps(self, theta: np.ndarray, v: np.ndarray, ts: list[float], step: float) -> list[float]:
+        """step is how far theta moved along the last direction since then."""
+        if v is not self.v:
+            self._aim(theta, v, step)
+        if self.gram is not None:
+            return [self.c0 + t * (self.c1 + t * self.c2) for t in ts]
+        return [self._gap(theta, t) for t in ts]
 
-    def aim(self, v):
-        self.v = v
+    def _aim(self, theta, v, step):
         if self.gram is None:
+            self.z = self.x @ theta if self.z is None else self.z + step * self.zv
             self.zv = self.x @ v
         else:
-            t = self.theta
+            t = theta
             self.c0 = (self.y2 - 2 * t @ self.cross + t @ self.gram @ t) / (2 * self.n) + self.lam / 2 * t @ t - self.l_hat
             self.c1 = (t @ self.gram @ v - v @ self.cross) / self.n + self.lam * t @ v
             self.c2 = v @ self.gram @ v / (2 * self.n) + self.lam / 2 * v @ v
+        self.v = v
 
-    def gap(self, t: float) -> float:
-        if self.gram is not None:
-            return self.c0 + t * (self.c1 + t * self.c2)
-        z, at = self.z + t * self.zv, self.theta + t * self.v
+    def _gap(self, theta, t):
+        z, at = self.z + t * self.zv, theta + t * self.v
         return float(np.mean(np.logaddexp(0.0, z) - self.y * z)) + self.lam / 2 * float(at @ at) - self.l_hat
 
-    def move(self, t: float):
-        self.theta = self.theta + t * self.v
-        if self.gram is None:
-            self.z = self.z + t * self.zv
-
 
-def chord_end(gap, epsilon: float, sign: int, t_init: float, growth: float, max_bracket: float, max_bisect: int, tol: float) -> float | None:
-    """The last inside point along a direction: grow until outside, then close in by safeguarded secants."""
+def _end(epsilon: float, sign: int, t_init: float, growth: float, max_bracket: float, max_bisect: int, tol: float) -> Generator[float, float, float | None]:
+    """The last inside point along a direction: grow until outside, then close in by safeguarded secants.  Asks for gaps
+    by yielding positions; None if max_bracket is reached inside."""
+    f_in = (yield 0.0) - epsilon
     inside, outside = 0.0, t_init
-    f_in = gap(0.0) - epsilon
     for _ in range(64):
-        f_out = gap(sign * outside) - epsilon
+        f_out = (yield sign * outside) - epsilon
         if f_out > 0:
             break
         inside, f_in, outside = outside, f_out, outside * growth
@@ -95,40 +146,68 @@ def chord_end(gap, epsilon: float, sign: int, t_init: float, growth: float, max_
         width = outside - inside
         if not inside + 0.05 * width < middle < outside - 0.05 * width:
             middle = (inside + outside) / 2
-        f = gap(sign * middle) - epsilon
+        f = (yield sign * middle) - epsilon
         inside, f_in, outside, f_out = (inside, f_in, middle, f) if f > 0 else (middle, f, outside, f_out)
     return sign * inside
 
 
-def _chain(line: _Line, start: np.ndarray, epsilon: float, hinv: np.ndarray, whitened: bool, n: int, burnin: int, thin: int, rng, how: dict) -> list[np.ndarray]:
-    line.start(start)
-    out, moved, tries, total = [], 0, 0, burnin + n * thin
+def _chord(epsilon: float, how: dict) -> Generator[list[float], list[float], list[float | None]]:
+    """Both ends at once: yields the positions that either asks for."""
+    ends = [_end(epsilon, sign, **how) for sign in (-1, 1)]
+    asks, out, going = [next(e) for e in ends], [None, None], [0, 1]
+    while going:
+        values = yield [asks[k] for k in going]
+        still = []
+        for k, value in zip(going, values):
+            try:
+                asks[k] = ends[k].send(value)
+                still.append(k)
+            except StopIteration as done:
+                out[k] = done.value
+        going = still
+    return out
+
+
+def _walk(start: np.ndarray, epsilon: float, direction, n: int, burnin: int, thin: int, rng, how: dict) -> Generator[tuple, list[float], list[np.ndarray]]:
+    """One chain; asks for gaps by yielding (theta, v, positions, step)."""
+    theta, out, moved, tries, total, step = start.copy(), [], 0, 0, burnin + n * thin, 0.0
     while len(out) < n:
         tries += 1
         if tries > max(20 * total, total + 1):
             raise RuntimeError("the chain doesn't move; widen max_bracket or epsilon")
-        v = rng.normal(size=len(start))
-        v = hinv @ v if whitened else v
+        v = direction(rng.normal(size=len(start)))
         size = np.linalg.norm(v)
         if size < 1e-12:
             continue
-        line.aim(v / size)
-        lo, hi = (chord_end(line.gap, epsilon, s, **how) for s in (-1, 1))
+        v = v / size
+        chord = _chord(epsilon, how)
+        asked = next(chord)
+        while True:
+            gaps = yield theta, v, asked, step
+            try:
+                asked = chord.send(gaps)
+            except StopIteration as done:
+                lo, hi = done.value
+                break
+        step = 0.0
         if lo is None or hi is None or hi <= lo:
             continue
-        line.move(rng.uniform(lo, hi))
+        step = rng.uniform(lo, hi)
+        theta = theta + step * v
         moved += 1  # only moves count towards the burn-in and the thinning
         if moved > burnin and (moved - burnin) % thin == 0:
-            out.append(line.theta.copy())
+            out.append(theta.copy())
     return out
 
 
-def hit_and_run(fitted: FittedSet, n_samples: int = 100, *, chains: int = 4, burnin: int = 200, thin: int = 1, directions: str | None = None, t_init: float = 1.0, growth: float = 2.0, max_bracket: float = 1e6, max_bisect: int = 50, tol: float = 1e-10, random_state: int | None = None) -> DataFrame:
+def hit_and_run(fitted: FittedSet, n_samples: int = 100, *, chains: int = 4, burnin: int = 200, thin: int = 1, directions: str | None = None, precondition: bool | None = None, t_init: float = 1.0, growth: float = 2.0, max_bracket: float = 1e6, max_bisect: int = 50, tol: float = 1e-10, random_state: int | None = None, numbers: str = "random") -> DataFrame:
     """Chains that walk the exact set along random chords: chain_id, step, theta; n_samples over all chains.
 
-    A linear model's chords follow from second moments, so its chains need no rows.  A logistic model's chains each
-    hold the rows while rows times features are at most HELD; beyond that all chains advance together, and each probe
-    of their chords is one pass over the rows for all of them.
+    Whitened directions are solved for exactly; precondition = True or False solves them by conjugate gradients instead,
+    with or without the diagonal preconditioner.  A linear model's chords follow from second moments, so its chains need
+    no rows.  A logistic model's chains each hold the rows while rows times features are at most HELD; beyond, the same
+    chains advance together on the driver, and what they ask for is answered by one pass over the rows for all of them,
+    some ten passes for a move.  numbers = "even" takes even numbers instead of random ones.
     """
     for name, ok in (("n_samples", n_samples >= 1), ("chains", chains >= 1), ("burnin", burnin >= 0), ("thin", thin >= 1), ("t_init", t_init > 0), ("growth", growth > 1), ("max_bracket", max_bracket > 0), ("max_bisect", max_bisect >= 1), ("tol", tol > 0)):
         if not ok:
@@ -136,60 +215,72 @@ def hit_and_run(fitted: FittedSet, n_samples: int = 100, *, chains: int = 4, bur
     directions = directions or ("whitened" if fitted.config.measure == "lr" else "euclidean")
     if directions not in ("whitened", "euclidean"):
         raise ValueError("directions must be 'whitened' or 'euclidean'")
+    if numbers not in NUMBERS:
+        raise ValueError("numbers must be 'random' or 'even'")
     seed = fitted.config.random_state if random_state is None else random_state
     seed = int(np.random.SeedSequence().generate_state(1)[0]) if seed is None else int(seed)
     spark, d = fitted.frame.sparkSession, fitted.d
     each = [n_samples // chains + (k < n_samples % chains) for k in range(chains)]
-    hinv = fitted.inverse_factor.T @ fitted.inverse_factor
+    hessian, hinv = fitted.hessian, fitted.inverse_factor.T @ fitted.inverse_factor
     how = {"t_init": t_init, "growth": growth, "max_bracket": max_bracket, "max_bisect": max_bisect, "tol": tol}
+    theta, epsilon, lam, l_hat, gram, cross, y2, n = fitted.theta, fitted.epsilon, fitted.lam, fitted.l_hat, fitted.gram, fitted.cross, fitted.y2, fitted.n
+    diagonal = linalg.preconditioner(np.diag(hessian)) if precondition else None
+
+    def direction(g: np.ndarray) -> np.ndarray:
+        if directions == "euclidean":
+            return g
+        return hinv @ g if precondition is None else linalg.conjugate_gradients(lambda v: hessian @ v, g, diagonal)
+
+    def chain(k: int):
+        rng = EvenNumbers(k, d) if numbers == "even" else np.random.default_rng([seed, k])
+        return _walk(theta, epsilon, direction, each[k], burnin, thin, rng, how)
+
     linear = fitted.config.estimator == "linear"
-    if not linear and fitted.n * d > HELD:
-        return _together(fitted, each, burnin, thin, directions == "whitened", hinv, seed, how)
+    if not linear and n * d > HELD:
+        return _together(fitted, [chain(k) for k in range(chains)])
     held = None
     if not linear:
-        table = fitted.frame.select(*[f"x{j}" for j in range(d)], "y").toArrow()
+        table = fitted.frame.select(*[f"x{j}" for j in range(d)], "y").toArrow()  # HELD doubles at most
         batch = table.combine_chunks().to_batches()[0]
         held = spark.sparkContext.broadcast((matrix(batch, d), batch.column(d).to_numpy(zero_copy_only=False)))
-    theta, epsilon, lam, l_hat, gram, cross, y2, n = fitted.theta, fitted.epsilon, fitted.lam, fitted.l_hat, fitted.gram, fitted.cross, fitted.y2, fitted.n
 
     def walk(key, frame):
         k = int(key[0])
-        x, y = held.value if held is not None else (None, None)
-        line = _Line(x, y, lam, l_hat, gram, cross, y2, n)
-        rows = _chain(line, theta, epsilon, hinv, directions == "whitened", each[k], burnin, thin, np.random.default_rng([seed, k]), how)
+        line = _Line(*(held.value if held is not None else (None, None)), lam, l_hat, gram, cross, y2, n)
+        steps, rows = chain(k), []
+        try:
+            asked = next(steps)
+            while True:
+                asked = steps.send(line.gaps(*asked))
+        except StopIteration as done:
+            rows = done.value
         return pd.DataFrame({"chain_id": np.full(len(rows), k, np.int32), "step": np.arange(len(rows), dtype=np.int32), "theta": [r.tolist() for r in rows]})
 
     return spark.range(chains).select(F.col("id").cast("int").alias("chain_id")).repartition(chains, "chain_id").groupBy("chain_id").applyInPandas(walk, SCHEMA)
 
 
-def _together(fitted: FittedSet, each: list[int], burnin: int, thin: int, whitened: bool, hinv: np.ndarray, seed: int, how: dict) -> DataFrame:
-    """All chains a step at a time: the ends of their chords close in by bisection, one pass a probe for all."""
-    k, d = len(each), fitted.d
-    rngs = [np.random.default_rng([seed, c]) for c in range(k)]
-    at, out = np.tile(fitted.theta, (k, 1)), []
-    for move in range(1, burnin + max(each) * thin + 1):
-        v = np.stack([r.normal(size=d) for r in rngs])
-        v = v @ hinv if whitened else v
-        v /= np.linalg.norm(v, axis=1, keepdims=True)
-        at2, v2 = np.repeat(at, 2, 0), np.repeat(v, 2, 0) * np.tile([-1.0, 1.0], k)[:, None]
-        inside, outside = np.zeros(2 * k), np.full(2 * k, how["t_init"])
-        growing = np.ones(2 * k, bool)
-        for _ in range(64):
-            ok = oracle.loss_gap_many(fitted, at2 + outside[:, None] * v2) <= fitted.epsilon
-            growing &= ok
-            inside[growing], outside[growing] = outside[growing], outside[growing] * how["growth"]
-            if not growing.any() or outside.max() >= how["max_bracket"]:
-                break
-        for _ in range(min(how["max_bisect"], 20)):
-            middle = (inside + outside) / 2
-            ok = oracle.loss_gap_many(fitted, at2 + middle[:, None] * v2) <= fitted.epsilon
-            inside, outside = np.where(ok, middle, inside), np.where(ok, outside, middle)
-        ends = inside.reshape(k, 2) * [-1, 1]
-        at = at + np.array([r.uniform(a, b) for r, (a, b) in zip(rngs, ends)])[:, None] * v
-        if move > burnin and (move - burnin) % thin == 0:
-            step = (move - burnin) // thin - 1
-            out += [(c, step, at[c].tolist()) for c in range(k) if step < each[c]]
-    return fitted.frame.sparkSession.createDataFrame(out, SCHEMA)
+def _together(fitted: FittedSet, walks: list) -> DataFrame:
+    """The same chains, whose gaps are taken by passes over the rows, one for what all of them ask."""
+    out: list[list[np.ndarray]] = [[] for _ in walks]
+    asked = {}
+
+    def advance(k, value):
+        try:
+            asked[k] = walks[k].send(value)
+        except StopIteration as done:
+            out[k] = done.value
+            asked.pop(k, None)
+
+    for k in range(len(walks)):
+        advance(k, None)
+    while asked:
+        now = dict(asked)
+        batch = np.array([theta + t * v for theta, v, ts, _ in now.values() for t in ts])
+        gaps = iter(oracle.loss_gap_many(fitted, batch).tolist())
+        for k, (_, _, ts, _) in now.items():
+            advance(k, [next(gaps) for _ in ts])
+    rows = [(k, step, theta.tolist()) for k, own in enumerate(out) for step, theta in enumerate(own)]
+    return fitted.frame.sparkSession.createDataFrame(rows, SCHEMA)
 
 
 def sample(fitted: FittedSet, n_samples: int = 100, sampler: str | None = None, **how) -> np.ndarray:
@@ -205,7 +296,5 @@ def sample(fitted: FittedSet, n_samples: int = 100, sampler: str | None = None,
 
 def log_volume(fitted: FittedSet) -> tuple[float, int, float]:
     """(log volume of the ellipsoid, dimension, log determinant of the Hessian)."""
-    from nearopt.operators import linalg
-
     ld = linalg.log_det(fitted.hessian)
     return linalg.log_ball(fitted.d) - ld / 2 + fitted.d / 2 * math.log(2 * fitted.epsilon), fitted.d, ld

@@ -44,7 +44,8 @@ def sums(frame: DataFrame, d: int, estimator: str, theta: np.ndarray) -> Sums:
     rows = frame.select(*E.columns(d), F.col("y"), w.alias("w"), g.alias("g"), loss.alias("loss"), signed.alias("signed"))
     xs = E.columns(d)
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    complete = E.total(xs) + F.col("y")
+    whole = E.total(xs) + F.col("y")  # null, NaN or infinite if any of them is
+    complete = F.when(~F.isnan(whole) & (F.abs(whole) < F.lit(float("inf"))), F.lit(1))
     out = rows.agg(
         F.count(F.lit(1)).alias("n"),
         F.count(complete).alias("whole"),
@@ -66,7 +67,7 @@ def _checked(n: int, whole: int) -> None:
     if not n:
         raise ValueError("there are no rows")
     if n != whole:
-        raise ValueError(f"{n - whole} rows have a null feature or label")
+        raise ValueError(f"{n - whole} rows have a null or non-finite feature or label")
 
 
 def matrix(batch: pa.RecordBatch, d: int) -> np.ndarray:
@@ -75,7 +76,7 @@ def matrix(batch: pa.RecordBatch, d: int) -> np.ndarray:
 
 
 def _sums_by_task(frame: DataFrame, d: int, estimator: str, theta: np.ndarray) -> Sums:
-    theta = np.asarray(theta, float)
+    theta, upper = np.asarray(theta, float), np.triu_indices(d)
 
     def task(batches):
         h, g = np.zeros((d, d)), np.zeros(d)
@@ -100,13 +101,16 @@ def _sums_by_task(frame: DataFrame, d: int, estimator: str, theta: np.ndarray) -
             h += (x * w[:, None]).T @ x
             g += x.T @ r
             y2 += float(y @ y)
-        names = np.arange(d * d + d + 4)
-        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.concatenate([h.ravel(), g, [loss, y2, n, whole]])), pa.array(np.where(names == 0, least_w, np.where(names == 1, least_m, np.inf)))], ["k", "v", "least"])
+        names = np.arange(len(upper[0]) + d + 4)
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.concatenate([h[upper], g, [loss, y2, n, whole]])), pa.array(np.where(names == 0, least_w, np.where(names == 1, least_m, np.inf)))], ["k", "v", "least"])
 
     rows = frame.mapInArrow(task, "k long, v double, least double").groupBy("k").agg(F.sum("v").alias("v"), F.min("least").alias("least"))
-    out = {r.k: r for r in rows.collect()}  # d * d + d + 4 rows
+    out = {r.k: r for r in rows.collect()}  # half of d * d rows
     if not out:
         raise ValueError("there are no rows")
-    v = np.array([out[k].v for k in range(len(out))])
+    v, m = np.array([out[k].v for k in range(len(out))]), len(upper[0])
     _checked(int(v[-2]), int(v[-1]))
-    return Sums(int(v[-2]), v[: d * d].reshape(d, d), v[d * d : d * d + d], v[-4], out[0].least, out[1].least if estimator == "logistic" else None, v[-3])
+    second = np.zeros((d, d))
+    second[upper] = v[:m]
+    second.T[upper] = v[:m]
+    return Sums(int(v[-2]), second, v[m : m + d], v[-4], out[0].least, out[1].least if estimator == "logistic" else None, v[-3])

@@ -77,7 +77,7 @@ def draws(fitted: fitting.FittedSet) -> np.ndarray:
 
 def even_order(key: str):
     """Permutations that SQL can repeat: ranks of key * step, with a step for each feature and replicate."""
-    return lambda j, rep: [weyl(F.col("key").cast("double") * (1.0 + 3.0 * j + 7.0 * rep), STEPS[0]), F.col("key")]
+    return lambda j, rep: weyl(F.col("key").cast("double") * (1.0 + 3.0 * j + 7.0 * rep), STEPS[0])
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -140,7 +140,7 @@ def _mcr(mode: str) -> str:
     move = "a * xp" if mode != "residual" else "c * other + a * xp - c * op"
     return f"""{PZ}, batch(sample_id, a0, a1) AS (VALUES {_values(PART_BATCH)}),
 wide AS (SELECT p_partkey AS key, y, x0, x1, j, rep, CASE j WHEN 0 THEN x0 ELSE x1 END AS own, CASE j WHEN 0 THEN x1 ELSE x0 END AS other FROM z, (SELECT CAST(range AS INTEGER) AS j FROM range(0, 2)), (SELECT CAST(range AS INTEGER) AS rep FROM range(0, {REPS}))){bins},
-placed AS (SELECT *, row_number() OVER (PARTITION BY j, rep, bin ORDER BY key) AS here, row_number() OVER (PARTITION BY j, rep, bin ORDER BY (CAST(key AS DOUBLE) * (1.0e0 + 3.0e0 * j + 7.0e0 * rep)) * {STEPS[0]}e0 - floor((CAST(key AS DOUBLE) * (1.0e0 + 3.0e0 * j + 7.0e0 * rep)) * {STEPS[0]}e0), key) AS there FROM rows),
+placed AS (SELECT *, row_number() OVER (PARTITION BY j, rep, bin ORDER BY (CAST(key AS DOUBLE) * -9.0e0) * {STEPS[0]}e0 - floor((CAST(key AS DOUBLE) * -9.0e0) * {STEPS[0]}e0), key) AS here, row_number() OVER (PARTITION BY j, rep, bin ORDER BY (CAST(key AS DOUBLE) * (1.0e0 + 3.0e0 * j + 7.0e0 * rep)) * {STEPS[0]}e0 - floor((CAST(key AS DOUBLE) * (1.0e0 + 3.0e0 * j + 7.0e0 * rep)) * {STEPS[0]}e0), key) AS there FROM rows),
 met AS (SELECT p.j, p.rep, p.y, p.own, p.other, q.own AS xp, q.other AS op FROM placed p JOIN placed q ON p.j = q.j AND p.rep = q.rep AND p.bin = q.bin AND p.here = q.there),
 scored AS (SELECT sample_id, j, y, CASE j WHEN 0 THEN a0 ELSE a1 END AS a, CASE j WHEN 0 THEN a1 ELSE a0 END AS c, own, other, xp, op FROM met, batch),
 after AS (SELECT sample_id, j, sum((y - (c * other + {move})) * (y - (c * other + {move}))) AS rss FROM scored GROUP BY sample_id, j),

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from nearopt.api import NearOptimalSet
 from nearopt.config import FeatureSpec, SetConfig
 from nearopt.functions import features
-from nearopt.operators import calibrate, certify, importance, linalg, multiplicity, oracle
+from nearopt.functions import order
+from nearopt.operators import calibrate, certify, importance, linalg, matrixfree, multiplicity, oracle
 from nearopt.operators import fit as fitting
 from nearopt.operators import sample as draw
 from nearopt.operators import stats
@@ -158,11 +159,33 @@ def test_hit_and_run_stays_inside(spark, kind, directions):
         s.sample(5, sampler="other")
 
 
-def test_chains_that_advance_together_stay_inside(spark, monkeypatch):
-    monkeypatch.setattr(draw, "HELD", 0)
+@pytest.mark.parametrize("directions", ["whitened", "euclidean"])
+def test_chains_over_many_rows_draw_the_same(spark, monkeypatch, directions):
     s, *_ = fitted(spark, fit_scale="mean")
-    rows = draw.hit_and_run(s.fitted, 4, chains=2, burnin=0, random_state=1).collect()
-    assert len(rows) == 4 and s.contains_many([r.theta for r in rows], 1e-9).all()
+    how = {"chains": 2, "burnin": 1, "random_state": 1, "directions": directions, "t_init": 0.1, "growth": 1.7, "max_bracket": 1e3, "max_bisect": 30, "tol": 1e-9}
+    held = sorted(tuple(r) for r in draw.hit_and_run(s.fitted, 3, **how).collect())
+    monkeypatch.setattr(draw, "HELD", 0)
+    passes = sorted(tuple(r) for r in draw.hit_and_run(s.fitted, 3, **how).collect())
+    assert [r[:2] for r in held] == [r[:2] for r in passes] == [(0, 0), (0, 1), (1, 0)]
+    assert np.allclose([r[2] for r in held], [r[2] for r in passes], atol=1e-6)
+    assert s.contains_many([r[2] for r in passes], 1e-9).all()
+    with pytest.raises(RuntimeError):  # every chord is rejected, by rows held or not
+        draw.hit_and_run(s.fitted, 1, chains=1, burnin=0, t_init=1e-9, growth=1.5, max_bracket=1e-8, random_state=1)
+
+
+def test_directions_by_conjugate_gradients(spark):
+    s, df, x, y = fitted(spark, "linear", fit_scale="mean")
+    rows = {p: np.array([r.theta for r in draw.hit_and_run(s.fitted, 12, chains=2, burnin=2, random_state=4, precondition=p).orderBy("chain_id", "step").collect()]) for p in (None, True, False)}
+    assert np.allclose(rows[None], rows[True], atol=1e-6) and np.allclose(rows[None], rows[False], atol=1e-6)
+    b = np.array([1.0, -2.0, 0.5])
+    for kind in ("linear", "logistic"):
+        s, df, x, y = fitted(spark, kind)
+        f, c = s.fitted, s.config
+        assert np.allclose(matrixfree.hessian_products(f.frame, kind, f.theta, f.lam, np.stack([b, -b])), np.stack([f.hessian @ b, -f.hessian @ b]))
+        assert np.allclose(matrixfree.preconditioner(f.frame, kind, f.theta, f.lam), 1 / (np.diag(f.hessian) + 1e-12))
+        for precondition in (True, False):
+            assert np.allclose(matrixfree.solve(df, f.spec, c, f.theta, b, precondition, 1e-10), np.linalg.solve(f.hessian, b), atol=1e-8)
+        assert matrixfree.inverse_norm(df, f.spec, c, f.theta, b, tol=1e-10) == pytest.approx(np.linalg.norm(f.inverse_factor @ b))
 
 
 def test_sample_diagnostics(spark):
@@ -237,8 +260,6 @@ def test_thresholds(spark):
     assert s.compute_threshold(df, "match_prevalence") == pytest.approx(math.log(y.mean() / (1 - y.mean())))
     index = min(max(int(0.95 * len(m)), 0), len(m) - 1)
     assert s.compute_threshold(df, "match_fpr") == pytest.approx(m[index])
-    rows = df.select(F.col("x0").alias("v"))
-    assert multiplicity._by_histogram(rows, "v", 17, bins=4) == np.sort(x[:, 0])[17]
     best, tau = -2, None
     margins = x @ s.coef_
     for i in range(1, 100):
@@ -254,7 +275,39 @@ def test_thresholds(spark):
     with warnings.catch_warnings(record=True) as w:
         warnings.simplefilter("always")
         assert s.compute_threshold(one, "match_fpr") == 0 and s.compute_threshold(one, "match_prevalence") == 0
-        assert sum("threshold is 0" in str(x.message) for x in w) == 2
+        assert sum("0 is used" in str(x.message) for x in w) == 2
+
+
+def test_order_statistics_and_ranks(spark, monkeypatch):
+    monkeypatch.setattr(order, "BINS", 4)
+    monkeypatch.setattr(order, "FEW_BINS", 3)
+    monkeypatch.setattr(order, "CELLS", 5)
+    rng = np.random.default_rng(3)
+    values = np.concatenate([rng.normal(size=90), np.full(60, 0.25), np.repeat(rng.normal(size=20) * 1e-300, 3), [1e300, -1e300]])
+    df = spark.createDataFrame([(i, float(v), None if i % 5 == 0 else i % 3) for i, v in enumerate(values)] + [(999, None, 1)], "id long, v double, g int")
+    assert order.order_statistics(df, "v", [17]) == [np.sort(values)[17]]
+    places = [0, 3, 100, 101, 170, len(values) - 1, 10**6, -5]
+    assert order.order_statistics(df, "v", places) == np.sort(values)[np.clip(places, 0, len(values) - 1)].tolist()
+    assert order.quantiles(df, "v", [0.1, 0.5, 0.77]) == pytest.approx(np.quantile(values, [0.1, 0.5, 0.77]).tolist())
+    assert order.order_statistics(df.limit(0), "v", [0, 1]) == [None, None] == order.quantiles(df.where("v is null"), "v", [0.5, 0.6])
+    even = features.share_of(F.col("id"))
+    for by in ([], ["g"]):
+        got = order.ranked(df, by, even, [F.col("id")], "place", "n").collect()
+        assert len(got) == len(values) + 1
+        for r in got:
+            own = [q for q in got if not by or q.g == r.g]
+            before = sum((q.id * features.GOLDEN % 1, q.id) < (r.id * features.GOLDEN % 1, r.id) for q in own)
+            assert (r.place, r.n) == (before + 1, len(own))
+
+
+def test_odd_numbers_fail_alike(spark):
+    for d in (2, 17):
+        x, y = data(d=d, n=60)
+        spec = FeatureSpec(names(d), "y", "row_id")
+        for bad in (float("nan"), float("inf"), None):
+            df = frame(spark, x, y).withColumn("x1", F.when(F.col("row_id") == 3, F.lit(bad)).otherwise(F.col("x1")))
+            with pytest.raises(ValueError, match="1 rows have a null or non-finite"):
+                stats.sums(spec.project(df, True), d, "logistic", np.zeros(d))
 
 
 def test_multiplicity(spark):
@@ -337,7 +390,7 @@ def test_bootstrap_against_refits(spark, scale):
     keys = np.array([r[0] for r in df.orderBy("row_id").select(F.xxhash64("row_id")).collect()])
     ratios = []
     for b in range(12):
-        labels = (calibrate._uniform(keys, b, 1) < p).astype(float)
+        labels = (calibrate._uniform(keys, np.array([b]), 1, "random")[:, 0] < p).astype(float)
         theta = s.coef_.copy()
         for _ in range(60):
             q = 1 / (1 + np.exp(-x @ theta))
