@@ -71,8 +71,8 @@ class FeatureSpec:
     def d(self) -> int:
         return len(self.columns)
 
-    def project(self, df: DataFrame, with_label: bool | None = None) -> DataFrame:
-        """(key, x0 .. x{d-1}[, y]) as doubles; the schema is checked before any job runs.
+    def project(self, df: DataFrame, with_label: bool | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+        """(key, x0 .. x{d-1}[, y][, *carry]) as doubles, carried columns as they are; the schema is checked before any job runs.
 
         Rows with a null feature or label make later aggregates fail the count check of the fit.
         """
@@ -90,4 +90,4 @@ class FeatureSpec:
         out = [key.alias("key"), *[number(c).alias(f"x{j}") for j, c in enumerate(self.columns)]]
         if self.label and with_label is not False:
             out.append(number(self.label).alias("y"))
-        return df.select(*out)
+        return df.select(*out, *[F.col(f"`{c}`") for c in carry])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,12 +43,13 @@ def half_width(fitted: FittedSet) -> Column:
     return F.lit(fitted.reach) * E.norm(fitted.inverse_factor)
 
 
-def scored(fitted: FittedSet, df: DataFrame) -> DataFrame:
-    """(key, [y,] margin, lo, hi): each row's margin and its range over the ellipsoid.  Works on streams as well."""
-    rows = fitted.spec.project(df, with_label=None if fitted.spec.label in df.columns else False)
+def scored(fitted: FittedSet, df: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """(key, [y,] margin, lo, hi, *carry): each row's margin and its range over the ellipsoid, with columns of df that
+    come along.  Works on streams as well."""
+    rows = fitted.spec.project(df, with_label=None if fitted.spec.label in df.columns else False, carry=carry)
     keep = [c for c in ("key", "y") if c in rows.columns]
-    rows = rows.select(*keep, margin(fitted).alias("margin"), half_width(fitted).alias("half"))
-    return rows.select(*keep, "margin", (F.col("margin") - F.col("half")).alias("lo"), (F.col("margin") + F.col("half")).alias("hi"))
+    rows = rows.select(*keep, *carry, margin(fitted).alias("margin"), half_width(fitted).alias("half"))
+    return rows.select(*keep, "margin", (F.col("margin") - F.col("half")).alias("lo"), (F.col("margin") + F.col("half")).alias("hi"), *carry)
 
 
 def bands(fitted: FittedSet, df: DataFrame, tau: float = 0.0) -> DataFrame:
@@ -61,14 +64,23 @@ def decision_function(fitted: FittedSet, df: DataFrame) -> DataFrame:
     return scored(fitted, df).select("key", "margin")
 
 
+def _label(fitted: FittedSet):
+    """1 where the margin is above 0; for linear models the margin."""
+    return (F.col("margin") > 0).cast("double") if fitted.config.estimator == "logistic" else F.col("margin")
+
+
 def predict_proba(fitted: FittedSet, df: DataFrame) -> DataFrame:
     return bands(fitted, df).select("key", (1.0 - F.col("p")).alias("p0"), F.col("p").alias("p1"))
 
 
 def predict(fitted: FittedSet, df: DataFrame) -> DataFrame:
     """key, prediction: 1 where the margin is above 0; for linear models the margin."""
-    value = (F.col("margin") > 0).cast("double") if fitted.config.estimator == "logistic" else F.col("margin")
-    return scored(fitted, df).select("key", value.alias("prediction"))
+    return scored(fitted, df).select("key", _label(fitted).alias("prediction"))
+
+
+def predictions(fitted: FittedSet, df: DataFrame) -> DataFrame:
+    """key, prediction, p0, p1: predict and predict_proba in one pass."""
+    return bands(fitted, df).select("key", _label(fitted).alias("prediction"), (1.0 - F.col("p")).alias("p0"), F.col("p").alias("p1"))
 
 
 def score(fitted: FittedSet, df: DataFrame) -> float:

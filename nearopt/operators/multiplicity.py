@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import warnings
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -75,9 +76,9 @@ def youden_table(rows: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------------------------------------- multiplicity
-def ambiguous(fitted: FittedSet, df: DataFrame, tau: float) -> DataFrame:
-    """(key, margin, lo, hi, ambiguous): rows whose margins' range holds the threshold, ends included."""
-    return certify.scored(fitted, df).select("key", "margin", "lo", "hi", ((F.col("lo") <= tau) & (F.col("hi") >= tau)).alias("ambiguous"))
+def ambiguous(fitted: FittedSet, df: DataFrame, tau: float, carry: Sequence[str] = ()) -> DataFrame:
+    """(key, margin, lo, hi, *carry, ambiguous): rows whose margins' range holds the threshold, ends included."""
+    return certify.scored(fitted, df, carry).select("key", "margin", "lo", "hi", *carry, ((F.col("lo") <= tau) & (F.col("hi") >= tau)).alias("ambiguous"))
 
 
 def ambiguity(fitted: FittedSet, df: DataFrame, threshold_mode: str = "fixed", threshold_value: float | None = None, **how) -> DataFrame:

@@ -1,5 +1,22 @@
-"""The queries over the driver's tables, and their SQL."""
+"""Queries over the driver's tables."""
 
-from nearopt.plans.catalog import flagship, oracle_sql, queries
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from nearopt.plans import calls, catalog, preparation
+from nearopt.plans.catalog import flagship
 
 __all__ = ["flagship", "oracle_sql", "queries"]
+
+_ALL = catalog.QUERIES | preparation.QUERIES | calls.QUERIES
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: query for name, (query, _) in _ALL.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}

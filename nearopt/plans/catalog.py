@@ -39,11 +39,22 @@ PART = FeatureSpec(("x0", "x1"), "y", "p_partkey")
 
 
 # ------------------------------------------------------------------------------------------------- the designs
+_kept: dict = {}
+
+
 def text_table(spark: SparkSession, sf: str) -> DataFrame:
-    """Labelled documents with their text features: doc_id, source, lang, quality, toxic and three doubles."""
-    docs = tables.table(spark, sf, "documents")
-    rows = docs.select("doc_id", "source", "lang", *[c.alias(n) for n, c in features.text_features(F.col("text")).items()])
-    return rows.join(tables.table(spark, sf, "labels"), "doc_id")
+    """Labelled documents with their text features: doc_id, source, lang, quality, toxic and three doubles.
+
+    Texts are read once: the features, a few numbers a document, are persisted, those of one folder at a time.
+    """
+    key = (spark.sparkContext.applicationId, sf)
+    if _kept.get("key") != key or not _kept["table"].storageLevel.useMemory:
+        if _kept.get("key", (None,))[0] == key[0]:
+            _kept["table"].unpersist()
+        docs = tables.table(spark, sf, "documents")
+        rows = docs.select("doc_id", "source", "lang", *[c.alias(n) for n, c in features.text_features(F.col("text")).items()])
+        _kept.update(key=key, table=rows.join(tables.table(spark, sf, "labels"), "doc_id").persist())
+    return _kept["table"]
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -178,7 +189,7 @@ SELECT {_r('theta0', 't0')}, {_r('theta1', 't1')} FROM steps WHERE it = 15"""
 
 
 def _flagship_set(s, f) -> fitting.FittedSet:
-    return fitting.fit(documents(s, f).persist(), DOCS, SetConfig(C=0.01, epsilon=RHO))
+    return fitting.fit(documents(s, f), DOCS, SetConfig(C=0.01, epsilon=RHO))
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
@@ -188,18 +199,18 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _bootstrap(s, f) -> DataFrame:
-    fitted = fitting.fit(documents(s, f).persist(), DOCS, SetConfig(C=0.01, epsilon=0.1, epsilon_mode="LR_alpha", bootstrap_reps=40, random_state=3))
+    fitted = fitting.fit(documents(s, f), DOCS, SetConfig(C=0.01, epsilon=0.1, epsilon_mode="LR_alpha", bootstrap_reps=40, random_state=3))
     return one_row(s, epsilon=fitted.epsilon, alpha=fitted.alpha, calibration=fitted.calibration)
 
 
 def _topk_overlap(s, f) -> DataFrame:
-    summary = _summary(s, f).persist()
+    rows = _summary(s, f)
+    summary = s.createDataFrame(rows.collect(), rows.schema)  # a row for each feature
     return one_row(s, shared=importance.overlap(importance.top_features(summary, "importance_mean", 1), importance.top_features(summary, "importance_std", 1)))
 
 
 def _ambiguity_by_source(s, f) -> DataFrame:
-    docs = documents(s, f)
-    rows = multiplicity.ambiguous(document_set(s, f), docs, 0.0).join(docs.select(F.col("doc_id").alias("key"), "source", "lang"), "key")
+    rows = multiplicity.ambiguous(document_set(s, f), documents(s, f), 0.0, ("source", "lang"))
     return rounded(rows.rollup("lang", "source").agg(F.count("*").alias("n"), F.avg(F.col("ambiguous").cast("double")).alias("rate")))
 
 
@@ -286,7 +297,7 @@ QUERIES: dict[str, tuple[Callable, str | None]] = {
     "coef_intervals_part": (lambda s, f: rounded(certify.coef_intervals(part_set(s, f))), f"WITH {PSET}, c AS (SELECT 0 AS j, 'x0' AS feature, t0 AS t, sqrt(2 * eps * h11 / det) AS half FROM h UNION ALL SELECT 1, 'x1', t1, sqrt(2 * eps * h00 / det) FROM h) SELECT j, feature, {_r('theta_hat', 't')}, {_r('lo', 't - half')}, {_r('hi', 't + half')}, {_r('width', '2 * half')}, t - half > 0 OR t + half < 0 AS certain FROM c"),
     "hacking_interval_part": (lambda s, f: one_row(s, **dict(zip(("lo", "hi"), certify.interval(part_set(s, f), [1.0, -2.0])))), f"WITH {PSET} SELECT round(t0 - 2 * t1 - sqrt(2 * eps * (h11 + 4 * h01 + 4 * h00) / det), 6) + 0.0e0 AS lo, round(t0 - 2 * t1 + sqrt(2 * eps * (h11 + 4 * h01 + 4 * h00) / det), 6) + 0.0e0 AS hi FROM h"),
     "bands_documents": (lambda s, f: rounded(certify.bands(document_set(s, f), documents(s, f)).withColumnRenamed("key", "doc_id")), f"WITH {SET} SELECT doc_id, {_r('margin')}, {_r('lo')}, {_r('hi')}, {_r('p')}, round(1 / (1 + exp(-lo)), 6) + 0.0e0 AS p_lo, round(1 / (1 + exp(-hi)), 6) + 0.0e0 AS p_hi, ambiguous FROM s"),
-    "predict_documents": (lambda s, f: rounded(certify.predict(document_set(s, f), documents(s, f)).join(certify.predict_proba(document_set(s, f), documents(s, f)), "key").withColumnRenamed("key", "doc_id")), f"WITH {SET} SELECT doc_id, CASE WHEN margin > 0 THEN 1.0e0 ELSE 0.0e0 END AS prediction, round(1 - p, 6) + 0.0e0 AS p0, round(p, 6) + 0.0e0 AS p1 FROM s"),
+    "predict_documents": (lambda s, f: rounded(certify.predictions(document_set(s, f), documents(s, f)).withColumnRenamed("key", "doc_id")), f"WITH {SET} SELECT doc_id, CASE WHEN margin > 0 THEN 1.0e0 ELSE 0.0e0 END AS prediction, round(1 - p, 6) + 0.0e0 AS p0, round(p, 6) + 0.0e0 AS p1 FROM s"),
     "score_documents": (lambda s, f: one_row(s, accuracy=certify.score(document_set(s, f), documents(s, f))), f"WITH {SET} SELECT round(avg(CASE WHEN (margin > 0) = (y > 0.5) THEN 1.0e0 ELSE 0.0e0 END), 6) + 0.0e0 AS accuracy FROM s"),
     # thresholds and multiplicity
     "threshold_prevalence": (_thresholds("match_prevalence"), f"WITH {Z} SELECT round(ln(avg(y) / (1 - avg(y))), 6) + 0.0e0 AS tau FROM z"),
@@ -312,16 +323,6 @@ QUERIES: dict[str, tuple[Callable, str | None]] = {
     "topk_features": (lambda s, f: importance.top_features(_summary(s, f), "importance_mean", 1).select("j", "feature"), f"WITH {_SUMMARY} SELECT j, feature FROM summary ORDER BY abs(importance_mean) DESC, j LIMIT 1"),
     "topk_overlap": (_topk_overlap, f"WITH {_SUMMARY}, a AS (SELECT j FROM summary ORDER BY abs(importance_mean) DESC, j LIMIT 1), c AS (SELECT j FROM summary ORDER BY abs(importance_std) DESC, j LIMIT 1) SELECT CAST(count(*) AS BIGINT) AS shared FROM a JOIN c USING (j)"),
     # iterative or random by nature
-    "certified_documents": (flagship, None),
     "bootstrap_epsilon": (_bootstrap, None),
     "hit_and_run": (_chain_rows, None),
-    "set_diagnostics": (lambda s, f: certify.diagnostics(part_set(s, f)).drop("engine"), None),
 }
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: query for name, (query, _) in QUERIES.items()}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in QUERIES.items() if sql}

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from nearopt.functions import expressions as E
 from nearopt.functions import features
+from nearopt.functions.even import even_steps
 
 #: Columns of the census income file, which has no header; their order is fixed by the file.
 INCOME = "age double, workclass string, fnlwgt double, education string, education_num double, marital_status string, occupation string, relationship string, race string, sex string, capital_gain double, capital_loss double, hours_per_week double, native_country string, income string"
@@ -47,20 +48,48 @@ def from_arrays(spark: SparkSession, x, y) -> DataFrame:
     return spark.createDataFrame([(i, *map(float, row), float(t)) for i, (row, t) in enumerate(zip(x, y))], schema)
 
 
-def synthetic(spark: SparkSession, n: int, weights, kind: str = "logistic", seed: int = 0, noise: float = 0.1, partitions: int | None = None) -> DataFrame:
+def _numbers(seed: int, numbers: str):
+    """unit(i) and normal(i), the i-th of each row's numbers in (0, 1) and of its normals; even ones any engine can repeat."""
+    if numbers == "even":
+        steps = even_steps(200)
+        unit = lambda i: E.weyl((F.col("row_id") + 1).cast("double"), float(steps[i]))
+    else:
+        unit = lambda i: (F.pmod(F.xxhash64(F.lit(seed), F.lit(i), "row_id"), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    return unit, lambda i: F.sqrt(-2.0 * F.log(unit(2 * i))) * F.cos(2 * math.pi * unit(2 * i + 1))
+
+
+def _rows(spark: SparkSession, n: int, partitions: int | None) -> DataFrame:
+    return spark.range(0, n, 1, partitions or max(1, n // 1_000_000)).withColumnRenamed("id", "row_id")
+
+
+def synthetic(spark: SparkSession, n: int, weights, kind: str = "logistic", seed: int = 0, noise: float = 0.1, partitions: int | None = None, numbers: str = "random") -> DataFrame:
     """(row_id, x0 .., y): normal features, labels of a logistic or linear model.
 
     Each value is a function of the row's number and the seed, so any partitioning gives the same rows.
     """
-    rows = spark.range(0, n, 1, partitions or max(1, n // 1_000_000)).withColumnRenamed("id", "row_id")
-    unit = lambda tag: (F.pmod(F.xxhash64(F.lit(seed), F.lit(tag), "row_id"), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    normal = lambda tag: F.sqrt(-2.0 * F.log(unit(f"{tag}r"))) * F.cos(2 * math.pi * unit(f"{tag}a"))
-    rows = rows.withColumns({f"x{j}": normal(f"x{j}") for j in range(len(weights))})
+    unit, normal = _numbers(seed, numbers)
+    d = len(weights)
+    rows = _rows(spark, n, partitions).withColumns({f"x{j}": normal(j) for j in range(d)})
     m = E.dot(weights)
-    y = (unit("y") < E.sigmoid(m)).cast("double") if kind == "logistic" else m + noise * normal("y")
+    y = (unit(2 * d) < E.sigmoid(m)).cast("double") if kind == "logistic" else m + noise * normal(d)
     return rows.withColumn("y", y)
 
 
+def classification(spark: SparkSession, n: int, columns: int = 10, informative: int = 6, redundant: int = 2, separation: float = 1.0, seed: int = 0, partitions: int | None = None, numbers: str = "random") -> DataFrame:
+    """(row_id, x0 .., y): two classes of even chance.  The first columns are informative, normal around separation on
+    one side or the other by class and column; redundant ones are fixed mixtures of these; the rest is noise."""
+    if not 0 < informative <= informative + redundant <= columns:
+        raise ValueError("informative and redundant columns must fit into the columns")
+    unit, normal = _numbers(seed, numbers)
+    rows = _rows(spark, n, partitions).withColumn("y", (unit(2 * columns) < 0.5).cast("double"))
+    side = lambda j: (2 * F.col("y") - 1) * separation * (1 if j % 2 == 0 else -1)
+    rows = rows.withColumns({f"x{j}": normal(j) + side(j) for j in range(informative)})
+    weight = lambda r, i: 2 * ((r * informative + i + 1) * features.GOLDEN % 1) - 1
+    rows = rows.withColumns({f"x{informative + r}": E.total([weight(r, i) * F.col(f"x{i}") for i in range(informative)]) for r in range(redundant)})
+    rows = rows.withColumns({f"x{j}": normal(j) for j in range(informative + redundant, columns)})
+    return rows.select("row_id", *E.columns(columns), "y")
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """A small result as one JSON file in a folder."""
     df.coalesce(1).write.mode("overwrite").json(path)

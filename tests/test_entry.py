@@ -6,6 +6,8 @@ import os
 
 import pytest
 
+from nearopt import storage
+
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 SMALL = "/root/testdata/sf0.001"
 
@@ -16,10 +18,12 @@ def test_names_agree():
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-def test_the_optional_parts_can_be_missing(tmp_path):
+@pytest.mark.parametrize("pipeline", [False, True])
+def test_the_optional_parts_can_be_missing(tmp_path, pipeline):
     import shutil
 
-    shutil.copytree(ROOT, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    # The folders go, with the pipeline or without it.
+    shutil.copytree(ROOT, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", *([] if pipeline else ["corpus_pipeline.py"])))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'bands_documents' in q and not any(x.startswith('op') or x == 'pipeline' for x in q); print('fine')"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", capture_output=True, text=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
     assert "fine" in done.stdout, done.stderr
@@ -32,3 +36,18 @@ def test_entry_and_a_few_queries(spark):
     assert e.entry(spark).count() == 87
     for name in ("ridge_fit_part", "ambiguity_rate", "discrepancy_pairs"):
         assert e.queries()[name](spark, SMALL).count() == 1
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf = {}
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        storage.shared_dir(Session())
