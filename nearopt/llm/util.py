@@ -2,34 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import shutil
-import tempfile
 import threading
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nearopt.storage import new_path
+
 #: Ids up to which a set of them is broadcast (about 35 MB as a hash table); beyond it, a shuffle join is used.
 BROADCAST_IDS = 500_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir.  Where that is unset, a temporary folder of this session if all of it runs in
-    this process (tests), and an error on a cluster, whose executors don't see each other's disks."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="nearopt-")
-        atexit.register(shutil.rmtree, folder, True)
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
 class _Scopes(threading.local):
     """The open scratch() blocks of a thread: queries in other threads keep their tables."""
 
@@ -59,7 +43,7 @@ def scratch():
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table written to the shared folder and read back: lineage ends here and losing executors costs nothing."""
-    path = f"{shared_dir(df.sparkSession)}/nearopt/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.nearopt_path = path
