@@ -82,8 +82,8 @@ def weighed(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col
             texts = tv.as_strings(batch.column(1))
             for a, b in tv.slices(texts):
                 bucket, text = _grams(texts.slice(a, b - a))
-                weight = np.bincount(text, weights=ratio[bucket.astype(np.int64)], minlength=b - a)
-                n = np.bincount(text, minlength=b - a)
+                weight = np.bincount(text, weights=ratio[bucket.astype(np.int64)], minlength=b - a).astype(float)  # of no n-grams it has integers
+                n = np.bincount(text, minlength=b - a).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(n), pa.array(weight)], ["doc_id", "text_hash", "n_grams", "log_weight"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
