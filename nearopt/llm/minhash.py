@@ -6,13 +6,15 @@
 2. The band hashes give buckets; buckets of one class are dropped.
 3. In a bucket, pairs are compared batch after batch of minima.  After each batch, a pair goes when the posterior
    probability that its similarity reaches the threshold, given its matches so far, is below MISS.
-4. Survivors are verified on their full sets, and links give components.  In a large bucket each class first
-   proposes its most similar survivors only, which connects most of a group of near copies.  Then large buckets that
-   still hold several components are compared once more, full sets at hand: each surviving pair of different
-   components is verified in the first bucket that it shares, unless links found there connect it already.  So no
-   pair of different components remains untested, and pairs of a group are never rows of a table.
-
-Buckets above CHUNK rows are compared in blocks of two chunks.  Pairs are never emitted before they survive.
+4. Survivors are verified on their full sets, and links give components.  A large bucket is dealt into chunks, twice and
+   differently, where each row proposes its most similar survivors only; that connects most of a group of near copies.
+   Large buckets that still hold several components are compared once more, full sets at hand: the rows beside the
+   bucket's largest component probe all its rows, and each surviving pair of different components is verified in the
+   first bucket that it shares, unless links found there connect it already.  So no pair of different components
+   remains untested, and pairs of a group are never rows of a table.
+
+All comparisons are made in blocks of bounded size, so one large bucket is the work of many tasks; what the last pass
+costs grows with the rows that the first left beside the largest component, not with the square of the bucket.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from nearopt.llm import textvec as tv
 from nearopt.llm.components import components
-from nearopt.llm.util import having, scratch, written
+from nearopt.llm.util import free, having, scratch, written
 
 #: Words in a shingle.
 WIDTH = 5
@@ -39,9 +41,11 @@ PERCENT = 85
 BANDS_MISS, MOST = 2e-5, 256
 #: Minima compared at a time, and the posterior probability of a link below which a pair is pruned.
 BATCH, MISS = 28, 1e-6
-#: Rows of a bucket that are compared at once, rows up to which all survivors are proposed at once, and the first
-#: proposals of each class of a larger bucket.
-CHUNK, SMALL, FIRST = 4096, 16, 2
+#: Rows up to which all survivors of a bucket are proposed at once; of larger buckets, the rows of a chunk, how many
+#: times rows are dealt into chunks, and the first proposals of each row there; rows of either side of a last block.
+SMALL, CHUNK, DEALS, FIRST, CROSS = 16, 128, 2, 2, 128
+#: Roles in the last pass: members of the bucket's largest component, members beside it, and the latter as probers.
+MEMBER, BESIDE, PROBER = 0, 1, 2
 
 
 @functools.cache
@@ -212,21 +216,22 @@ def _small_pairs(first: np.ndarray, size: np.ndarray, rows: dict, least: dict[in
 
 
 def _large_pairs(start: int, n: int, rows: dict, least: dict[int, int]):
-    """Surviving pairs of different components in one large block, as positions in it, and their matches."""
-    sig, comp, chunk, rep = (rows[c][start : start + n] for c in ("signature", "comp", "chunk", "rep"))
-    mixed = chunk.min() != chunk.max()
+    """Surviving pairs of different components in one block, as positions in it, and their matches.  In blocks of the
+    last pass pairs are of a prober and a member; a member that probes too, here or elsewhere, only meets smaller ones."""
+    sig, comp, role, rep = (rows[c][start : start + n] for c in ("signature", "comp", "role", "rep"))
+    crossed = "sets" in rows
+    left, right = (np.flatnonzero(role == PROBER), np.flatnonzero(role != PROBER)) if crossed else (np.arange(n), np.arange(n))
     parts, head = [], np.ascontiguousarray(sig[:, :BATCH].T)
-    for a in range(0, n, 256):
-        some = np.arange(a, min(a + 256, n))
-        matches = np.zeros((len(some), n), np.uint8)
+    for a in range(0, len(left), 256):
+        some = left[a : a + 256]
+        matches = np.zeros((len(some), len(right)), np.uint8)
         for h in range(BATCH):
-            matches += head[h, some, None] == head[h][None, :]
-        ok = (matches >= least[BATCH]) & (comp[some, None] != comp[None, :]) & (some[:, None] < np.arange(n)[None, :]) & (rep[some, None] != rep[None, :])
-        if mixed:  # pairs within a chunk belong to that chunk's own block
-            ok &= chunk[some, None] != chunk[None, :]
+            matches += head[h, some, None] == head[h][right][None, :]
+        ok = (matches >= least[BATCH]) & (comp[some, None] != comp[right][None, :]) & (rep[some, None] != rep[right][None, :])
+        ok &= ((role[right] == MEMBER)[None, :] | (rep[some, None] < rep[right][None, :])) if crossed else some[:, None] < right[None, :]
         x, y = np.nonzero(ok)
-        parts.append(_pruned(sig, x + a, y, least))
-    return tuple(np.concatenate(x) for x in zip(*parts))
+        parts.append(_pruned(sig, some[x], right[y], least))
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.int64),) * 3
 
 
 def _pairs_in(rows: dict, least: dict[int, int], percent: int):
@@ -236,7 +241,8 @@ def _pairs_in(rows: dict, least: dict[int, int], percent: int):
     first = np.concatenate([[0], np.flatnonzero(blocks[1:] != blocks[:-1]) + 1])
     size = np.diff(np.append(first, len(blocks)))
     found = [] if "sets" in rows else [(i, j) for i, j, _ in _small_pairs(first, size, rows, least)]
-    for start, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist()):
+    some = size > (1 if "sets" in rows else SMALL)
+    for start, n in zip(first[some].tolist(), size[some].tolist()):
         own = slice(start, start + n)
         if (rows["comp"][own] == rows["comp"][start]).all():
             continue
@@ -256,20 +262,40 @@ def _pairs_in(rows: dict, least: dict[int, int], percent: int):
     return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows with block: small buckets are one; larger ones are dealt, DEALS times anew, into chunks of about CHUNK."""
+    parts = F.when(F.col("n") > SMALL, F.ceil(F.col("n") / CHUNK)).otherwise(F.lit(1)).cast("int")
+    deals = F.when(parts > 1, F.lit(DEALS)).otherwise(F.lit(1))
+    rows = rows.withColumn("deal", F.explode(F.sequence(F.lit(0), deals - 1)))
+    return rows.withColumn("block", F.xxhash64("bucket", "deal", F.pmod(F.xxhash64("deal", "rep"), parts))).withColumn("role", F.lit(MEMBER))
+
+
+def _crossed(rows: DataFrame) -> DataFrame:
+    """rows (bucket, rep, comp, ..) of buckets that hold several components, with block and role: the rows beside a
+    bucket's largest component probe all of its rows, by blocks of about CROSS of either."""
+    sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    of_bucket = sizes.groupBy("bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("top"))
+    parts = lambda n: F.greatest(F.ceil(n / CROSS), F.lit(1)).cast("int")
+    of_bucket = written(of_bucket.select("bucket", F.col("top.comp").alias("main"), parts(F.col("all")).alias("m"), parts(F.col("all") - F.col("top.n")).alias("p")), "deals")
+    rows = rows.join(of_bucket, "bucket")
+    share = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = rows.withColumn("i", share("m")).withColumn("j", spread("p")).withColumn("role", F.when(F.col("comp") == F.col("main"), MEMBER).otherwise(BESIDE))
+    probers = rows.where("comp <> main").withColumn("i", spread("m")).withColumn("j", share("p")).withColumn("role", F.lit(PROBER))
+    return members.unionByName(probers).withColumn("block", F.xxhash64("bucket", "i", "j"))
+
+
 def _candidates(rows: DataFrame, least: dict[int, int], percent: int, with_sets: bool = False) -> DataFrame:
-    """Distinct pairs (a, b) proposed from rows (bucket, n, rep, comp, signature); with_sets, with bands and shingles
-    among the columns, links that connect components."""
-    rows = rows.withColumn("parts", F.ceil(F.col("n") / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.hash("rep"), F.col("parts")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    block = F.xxhash64("bucket", F.least("chunk", "other"), F.greatest("chunk", "other"))
+    """Distinct pairs (a, b) proposed from rows (block, bucket, rep, comp, signature, role); with_sets, with bands and
+    shingles among the columns, links that connect components."""
     bands, hashes = scheme(percent)[0], math.prod(scheme(percent))
-    names = ["block", "bucket", "rep", "comp", "chunk", "signature"] + ["bands", "shingles"] * with_sets
-    rows = rows.withColumn("block", block).select(*names).repartition("block").sortWithinPartitions("block")
+    names = ["block", "bucket", "rep", "comp", "role", "signature"] + ["bands", "shingles"] * with_sets
+    rows = rows.select(*names).repartition("block").sortWithinPartitions("block")
 
     def of(batches):
         def done(table: pa.Table):
             table = table.combine_chunks()
-            own = {c: table.column(c).to_numpy() for c in ("block", "bucket", "rep", "comp", "chunk")}
+            own = {c: table.column(c).to_numpy() for c in ("block", "bucket", "rep", "comp", "role")}
             own["signature"] = _fixed(table.column("signature").combine_chunks(), np.uint8, hashes)
             if with_sets:
                 own["bands"] = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, bands)
@@ -331,7 +357,7 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, width: int, pe
     signatures = having(classes.select("rep", "signature"), "rep", ids)
     sets = written(_sets_of(docs, id_col, text_col, ids, width), "sets")
     rows = buckets.join(signatures, "rep").withColumn("comp", F.col("rep"))
-    pairs = written(_candidates(rows, least, percent), "pairs")
+    pairs = written(_candidates(_dealt(rows), least, percent), "pairs")
     links = written(_verified(pairs, sets, percent), "links")
     comps = components(links)
     named = lambda df, to: df.withColumnsRenamed({"id": "rep", "component": to})
@@ -341,7 +367,7 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, width: int, pe
     last = written(large.join(open_, "bucket"), "open")
     if last.take(1):
         last = last.join(classes.select("rep", "bands", "signature"), "rep").join(sets.dropDuplicates(["rep"]), "rep")
-        more = written(_candidates(last, least, percent, True), "links")
+        more = written(_candidates(_crossed(last), least, percent, True), "links")
         # What is known of the components stands for the links before.
         comps = components(more.unionByName(comps.select(F.col("id").alias("a"), F.col("component").alias("b"))))
     keyed = classes.select("k1", "k2", "rep")
@@ -353,14 +379,22 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, width: int, pe
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """docs without the rows that near_duplicates doesn't keep; of rows that share an id, one stays."""
+    """docs without the rows that near_duplicates doesn't keep; all columns stay, whatever their names.
+
+    Of rows that share an id one stays, that of the smallest hash of all its columns, so reruns agree.  Rows with a
+    null id and rows without words all stay, but for repeated ids; an empty table stays empty.
+    """
     with scratch() as keep:
         found = keep(written(near_duplicates(docs, id_col, text_col, percent=percent).select("doc_id", "kept"), "kept"))
     rest = having(docs, id_col, found.where("not kept").select("doc_id"), "left_anti")
     repeated = written(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if not repeated.take(1):
         return rest
-    return having(rest, id_col, repeated, "left_anti").unionByName(having(rest, id_col, repeated).dropDuplicates([id_col]))
+    mark, own, least = (free(name, docs) for name in ("mark", "own", "least"))
+    marked = having(rest, id_col, repeated).withColumn(mark, F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))))
+    first = marked.groupBy(F.col(f"`{id_col}`").alias(own)).agg(F.min(mark).alias(least))
+    one = marked.join(first, (F.col(f"`{id_col}`") == F.col(own)) & (F.col(mark) == F.col(least)), "left_semi").drop(mark)
+    return having(rest, id_col, repeated, "left_anti").unionByName(one.dropDuplicates([id_col]))
 
 
 SQL = r"""

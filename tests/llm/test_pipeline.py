@@ -1,19 +1,17 @@
 """The corpus pipeline against the same stages in plain Python, each on its own input."""
 
-import hashlib
-import math
 import random
-import re
+import threading
 import zlib
 from collections import Counter
 
 import pytest
 
 import corpus_pipeline
-from nearopt.llm import langid, mixing, packing, secrets
+from nearopt.llm import langid, packing, secrets
 from nearopt.llm.util import dropped, scratch, written
 
-from test_rowwise import base_by_hand, entropy_by_hand, water_fill  # noqa: E402
+from test_rowwise import base_by_hand, copies_by_hand, entropy_by_hand  # noqa: E402
 from test_text import DOC, LANGS, by_hand
 
 P = pytest.importorskip("public_tokenizers")
@@ -27,9 +25,10 @@ def corpus():
         text = " ".join("".join(rng.choice(LANGS[lang]) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(20, 120)))
         rows.append([i * 3, text, lang, rng.choice(["a", "a", "a", "b", "c", None]), len(text)])
         if rng.random() < 0.3:
-            words = rng.choice(rows)[1].split(" ")
+            source = rng.choice(rows)
+            words = source[1].split(" ")
             words[rng.randrange(len(words))] = rng.choice(["x", "password=abcdef012345678", "0123456789abcdef01"])
-            rows.append([i * 3 + 1, " ".join(words), lang, "b", 1])
+            rows.append([i * 3 + 1, " ".join(words), source[2], "b", 1])  # a near copy, in the language of its source
     rows += [[2000, None, "en", "a", 0], [2001, "", "en", "b", 0], [2002, "12 34", "en", None, 5], rows[3], rows[3]]
     return [tuple(r) for r in rows]
 
@@ -47,22 +46,6 @@ def cleaned(text):
     return text
 
 
-def copies_by_hand(rows, seed=17):
-    size = lambda t: len(re.findall(mixing.WORD, t or ""))
-    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
-    sizes = Counter()
-    for r in rows:
-        sizes[r[3]] += size(r[1])
-    goal, out = water_fill(dict(sizes)), Counter()
-    for s in sizes:
-        key = "~" if s is None else f"={s}"
-        u, q = int(md5(f"{seed}-offset:{key}")[:8], 16) / 2**32, goal[s] / sizes[s] if sizes[s] else 0.0
-        own = sorted((2 * len(bin(n := size(r[1]))[2:]) + (bin(n)[2:][1:2] == "1"), (h := md5(f"{seed}:{r[0]}"))[:1], n, h, r) for r in rows if r[3] == s)
-        for rank, (*_, r) in enumerate(own, 1):
-            out[r] += math.floor(u + q * rank) - math.floor(u + q * (rank - 1))
-    return +out
-
-
 def test_each_stage_on_its_own_input(spark):
     frame = spark.createDataFrame(corpus(), DOC)
     docs = frame
@@ -76,7 +59,7 @@ def test_each_stage_on_its_own_input(spark):
     decide = langid._compressors(langid.learn(frame))
     assert Counter(kept) == Counter(r for r in corpus() if not langid.decide(r[1], decide)[2])
     assert len(kept) >= 0.97 * (len(corpus()) - 3)
-    want = {c for _, _, c in by_hand([(r[0], r[1]) for r in kept])}
+    want = {c for _, _, c in by_hand([(r[0], r[1]) for r in kept], 80)}
     assert sorted(r[0] for r in unique) == sorted(want) and set(unique) <= set(kept)
     assert Counter(clean) == Counter((r[0], cleaned(r[1]), *r[2:]) for r in unique)
     assert any("[SECRET]" in r[1] for r in clean)
@@ -105,5 +88,26 @@ def test_scratch_deletes_what_is_not_kept(spark):
     dropped(kept)
 
 
+def test_scopes_are_of_a_thread(spark):
+    """A query in another thread neither deletes nor keeps the tables of this one."""
+    opened, done, other = threading.Event(), threading.Event(), []
+
+    def run():
+        with scratch():
+            other.append(written(spark.range(4), "other"))
+            opened.set()
+            done.wait(60)
+            other.append(other[0].count())
+
+    thread = threading.Thread(target=run)
+    thread.start()
+    opened.wait(60)
+    with scratch():
+        written(spark.range(2), "own")
+    done.set()
+    thread.join()
+    assert other[1] == 4
+
+
 def test_secret_kinds_are_those_of_the_scan():
     assert secrets.KINDS[:3] == ("assign", "access", "hex")
