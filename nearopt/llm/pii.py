@@ -378,9 +378,10 @@ def _joined(spans, names) -> str:
 
 
 def find(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per row of docs: doc_id, n_email, n_ip, n_card, n_phone, n_added, base_sha256, spans.
+    """A row per row of docs: doc_id, n_email, n_ip, n_card, n_phone, n_added, n_found, base_sha256, spans.
 
-    Counts and base_sha256 are those of the fixed patterns; spans has these, by kind and start, then the field's.
+    Counts by kind and base_sha256 are those of the fixed patterns; spans has these, by kind and start, then the field's,
+    and n_found counts all of them.
     Places are code points, ends exclusive.  Null and empty texts have none; repeated rows and null ids have rows
     of their own; an empty table gives no rows; other columns are not read.  field defaults to one trained on
     labelled_table().
@@ -396,12 +397,12 @@ def find(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id", te
                 base = [_joined(x, KINDS) for x, _ in found]
                 columns = [pa.array([sum(s[0] == k for s in x) for x, _ in found], pa.int64()) for k in range(len(KINDS))]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), *columns, pa.array([len(y) for _, y in found], pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in base]), pa.array([",".join(filter(None, (x, _joined(y, ADDED)))) for x, (_, y) in zip(base, found)])],
-                    ["doc_id", *counts, "n_added", "base_sha256", "spans"],
+                    [batch.column(0).slice(a, b - a), *columns, pa.array([len(y) for _, y in found], pa.int64()), pa.array([len(x) + len(y) for x, y in found], pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in base]), pa.array([",".join(filter(None, (x, _joined(y, ADDED)))) for x, (_, y) in zip(base, found)])],
+                    ["doc_id", *counts, "n_added", "n_found", "base_sha256", "spans"],
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(of, f"doc_id long, {', '.join(f'{c} long' for c in counts)}, n_added long, base_sha256 string, spans string")
+    return rows.mapInArrow(of, f"doc_id long, {', '.join(f'{c} long' for c in counts)}, n_added long, n_found long, base_sha256 string, spans string")
 
 
 @functools.cache

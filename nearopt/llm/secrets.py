@@ -2,15 +2,19 @@
 
 Positions come without Python: the text is split at a pattern, and the running lengths of the pieces and of the
 matches between them give each start.  The entropy pass walks each candidate once; an aggregate over its
-characters keeps the counts of the window's characters and the sum of c * log2(c), changed by the one character
-that enters and the one that leaves.  There is no shuffle.
+characters keeps the window and the sum of c * log2(c) over the counts of its characters, which changes with the
+counts of the one character that enters and the one that leaves.  There is no shuffle.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nearopt.llm.util import free
+
 # Fixed values of the base kinds, in the order in which spans at one start are listed.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -76,7 +80,11 @@ def _spans(found: Column, kind: str) -> Column:
 
 def base_spans(text: Column) -> Column:
     """Spans of the three fixed kinds, unordered.  Patterns that only drop short runs match long ones directly."""
-    assign = F.filter(matches(text, ASSIGN), lambda m: F.length(F.regexp_extract(m["hit"], ASSIGN, 2)) >= LEAST["assign"])
+    # Searching for a word is much cheaper than the pattern, which needs one of these.
+    low = F.lower(text)
+    named = low.contains("password") | low.contains("passwd") | low.contains("secret") | low.contains("token") | low.contains("api")
+    hits = F.filter(matches(text, ASSIGN), lambda m: F.length(F.regexp_extract(m["hit"], ASSIGN, 2)) >= LEAST["assign"])
+    assign = F.when(named, hits).otherwise(F.array().cast("array<struct<start:long,hit:string>>"))
     # A run too short fails at each of its starts, and an access match inside a dropped one is shorter still.
     access = matches(text, rf"AKIA[A-Z0-9]{{{LEAST['access'] - 4},}}")
     hexed = matches(text, rf"[0-9a-f]{{{LEAST['hex']},}}")
@@ -88,41 +96,42 @@ def hot_window(run: Column, window: int = WINDOW, thorough: bool = False) -> Col
 
     thorough also takes windows with a digit and a letter that reach the bits of their own class, so that a sign
     elsewhere in the run (key=, prefix_) doesn't raise what a window has to reach.
+
+    A window of n characters has log2(n) - s / n bits, s being the sum of c * log2(c) over the counts c of its
+    characters.  The state holds the window and s; a step counts the characters that enter and leave, and changes s by
+    what their counts change.
     """
-    x = F.when(run.rlike("^[0-9a-fA-F]+$"), F.lit(BITS["hex"])).when(run.rlike("^[0-9A-Za-z]+$"), F.lit(BITS["alnum"])).otherwise(F.lit(BITS["base64"]))
-    clog = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
-    none = F.lit(-1)
+    most = lambda b: window * (math.log2(window) - b + 1e-9)
+    limit = F.when(run.rlike("^[0-9a-fA-F]+$"), F.lit(most(BITS["hex"]))).when(run.rlike("^[0-9A-Za-z]+$"), F.lit(most(BITS["alnum"]))).otherwise(F.lit(most(BITS["base64"])))
+    clog = [c * math.log2(c) if c else 0.0 for c in range(window + 1)]
+    rise = F.array(*[F.lit(b - a) for a, b in zip(clog, clog[1:])])  # what one more adds to a count
     flag = lambda cond: F.when(cond, F.lit(1)).otherwise(F.lit(0))
     digit = lambda c: c.between(48, 57)
     letter = lambda c: c.between(65, 90) | c.between(97, 122)
     hexed = lambda c: digit(c) | c.between(65, 70) | c.between(97, 102)
     kinds = {"digits": digit, "letters": letter, "hexes": hexed} if thorough else {}
 
-    def walk(codes: Column, least: Column) -> Column:
-        leaving = F.slice(F.concat(F.array_repeat(none, window), codes), F.lit(1), F.size(codes))
-        start = F.struct(F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("s"), F.lit(0).alias("i"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"), *[F.lit(0).alias(k) for k in kinds])
-
-        def step(acc: Column, c: Column) -> Column:
-            new, old = c["new"], c["old"]
-            gone = F.when(old >= 0, F.element_at(acc["n"], old + 1)).otherwise(F.lit(0))
-            here = F.element_at(acc["n"], new + 1) - F.when(old == new, F.lit(1)).otherwise(F.lit(0))
-            s = acc["s"] + clog(gone - 1) - clog(gone) + clog(here + 1) - clog(here)
-            n = F.transform(acc["n"], lambda v, k: v + F.when(k == new, F.lit(1)).otherwise(F.lit(0)) - F.when(k == old, F.lit(1)).otherwise(F.lit(0)))
-            i = acc["i"] + 1
-            bits = F.log2(F.lit(float(window))) - s / window
-            hot = bits >= least - 1e-9
-            held = {k: acc[k] + flag(of(new)) - flag(of(old)) for k, of in kinds.items()}
-            if thorough:
-                own = F.when(held["hexes"] == window, F.lit(WINDOW_BITS["hex"])).when(held["digits"] + held["letters"] == window, F.lit(WINDOW_BITS["alnum"])).otherwise(F.lit(WINDOW_BITS["base64"]))
-                hot = hot | ((held["digits"] > 0) & (held["letters"] > 0) & (bits >= own - 1e-9))
-            hot = (i >= window) & hot
-            at = i - window
-            return F.struct(n.alias("n"), s.alias("s"), i.alias("i"), F.coalesce(acc["first"], F.when(hot, at)).alias("first"), F.when(hot, at).otherwise(acc["last"]).alias("last"), *[v.alias(k) for k, v in held.items()])
-
-        pairs = F.zip_with(codes, leaving, lambda a, b: F.struct(a.alias("new"), b.alias("old")))
-        return F.aggregate(pairs, start, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
-
-    return _let(F.transform(F.split(run, ""), lambda c: F.ascii(c)), lambda codes: walk(codes, x))
+    def hot(acc: Column) -> Column:
+        out = acc["s"] <= acc["most"]
+        if thorough:
+            own = F.when(acc["hexes"] == window, F.lit(most(WINDOW_BITS["hex"]))).when(acc["digits"] + acc["letters"] == window, F.lit(most(WINDOW_BITS["alnum"]))).otherwise(F.lit(most(WINDOW_BITS["base64"])))
+            out = out | ((acc["digits"] > 0) & (acc["letters"] > 0) & (acc["s"] <= own))
+        return (acc["i"] >= window) & out
+
+    def ends(acc: Column) -> list[Column]:
+        """first and last with the state's window."""
+        at = F.when(hot(acc), acc["i"] - window)
+        return [F.coalesce(acc["first"], at).alias("first"), F.coalesce(at, acc["last"]).alias("last")]
+
+    def step(acc: Column, new: Column) -> Column:
+        old, rest = F.element_at(acc["w"], 1), F.slice(acc["w"], F.lit(2), F.lit(window - 1))
+        others = lambda c: F.element_at(rise, window - F.size(F.array_remove(rest, c)))
+        s = F.when(old == new, acc["s"]).otherwise(acc["s"] + others(new) - F.when(old >= 0, others(old)).otherwise(F.lit(0.0)))
+        return F.struct(F.concat(rest, F.array(new)).alias("w"), s.alias("s"), (acc["i"] + 1).alias("i"), acc["most"].alias("most"), *ends(acc), *[(acc[k] + flag(of(new)) - flag(of(old))).alias(k) for k, of in kinds.items()])
+
+    none = F.lit(None).cast("int")
+    start = F.struct(F.array_repeat(F.lit(-1), window).alias("w"), F.lit(0.0).alias("s"), F.lit(0).alias("i"), limit.alias("most"), none.alias("first"), none.alias("last"), *[F.lit(0).alias(k) for k in kinds])
+    return F.aggregate(F.transform(F.split(run, ""), lambda c: F.ascii(c)), start, step, lambda acc: F.struct(*ends(acc)))
 
 
 def entropy_spans(text: Column, base: Column, thorough: bool = False) -> Column:
@@ -138,15 +147,21 @@ def entropy_spans(text: Column, base: Column, thorough: bool = False) -> Column:
     return F.filter(hot, lambda h: ~F.exists(base, lambda b: (b["start"] < h["end"]) & (h["start"] < b["end"])))
 
 
+def spans_of(text: Column, thorough: bool = False) -> Column:
+    """All spans of a text, array of (start, kind, end): by start, then kind; null and empty texts have none."""
+    text = F.coalesce(text, F.lit(""))
+    return _let(base_spans(text), lambda b: F.array_sort(F.concat(b, entropy_spans(text, b, thorough)).cast(f"array<{_SPAN}>")))
+
+
 def scan(docs: DataFrame, text_col: str = "text", to: str = "spans", thorough: bool = False) -> DataFrame:
-    """docs with a column of all spans, array of (start, kind, end): by start, then kind; code points, end exclusive.
+    """docs with a last column of all spans, array of (start, kind, end): by start, then kind; code points, end exclusive.
 
-    kind is a position in KINDS.  Null and empty texts have no spans.  thorough is that of hot_window, and keeps
-    entropy spans that base spans cover in part; the query and the pipeline scan so.
+    kind is a position in KINDS.  Null and empty texts have no spans; repeated rows and null ids are scanned each for
+    itself; an empty table stays empty.  The column is named `to`, with as many underscores as make it no column of
+    docs, so none of these is lost.  thorough is that of hot_window, and keeps entropy spans that base spans cover in
+    part; the query and the pipeline scan so.
     """
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    base = base_spans(text)
-    return docs.withColumn(to, _let(base, lambda b: F.array_sort(F.concat(b, entropy_spans(text, b, thorough)).cast(f"array<{_SPAN}>"))))
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns], spans_of(F.col(f"`{text_col}`"), thorough).alias(free(to, docs)))
 
 
 def _joined(spans: Column) -> Column:
@@ -155,26 +170,38 @@ def _joined(spans: Column) -> Column:
 
 
 def scan_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thorough: bool = False) -> DataFrame:
-    """Per row: doc_id, n_assign, n_access, n_hex, n_entropy, base_sha256, spans.  Other columns are not read.
+    """Per row: doc_id, n_assign, n_access, n_hex, n_entropy, n_found (all spans), base_sha256, spans.  Other columns are not read.
 
     Null and empty texts have no spans; repeated rows and null ids give a row each; no rows give none.
     """
     rows = scan(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), thorough=thorough)
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     base = F.filter("spans", lambda s: s["kind"] < 3)
-    return rows.select("doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return rows.select("doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)], F.size("spans").cast("long").alias("n_found"), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
+def _merged(spans: Column) -> Column:
+    """Spans in order of their starts as stretches (start, end) that don't touch."""
+
+    def step(acc: Column, s: Column) -> Column:
+        last = F.element_at(acc, -1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        joins = (F.size(acc) > 0) & (last["end"] >= s["start"])
+        return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))))
+
+    return F.aggregate(spans, F.array().cast("array<struct<start:long,end:long>>"), step)
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", thorough: bool = False) -> DataFrame:
-    """docs with each maximal stretch of spans in the text replaced by mark; other texts and columns stay as they are."""
-    merged = F.aggregate("`__spans`", F.array().cast("array<struct<start:long,end:long>>"), lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))))
+    """docs with each maximal stretch of spans in the text replaced by mark; other texts and columns stay as they are,
+    whatever their names.  Null and empty texts stay; repeated rows and null ids are treated each for itself; an empty
+    table stays empty."""
     text = F.col(f"`{text_col}`")
-    n = F.length(text).cast("long")
 
     def cleaned(m: Column) -> Column:
-        zero = F.lit(0).cast("long")
+        zero, n = F.lit(0).cast("long"), F.length(text).cast("long")
         gaps = F.zip_with(F.concat(F.array(zero), F.transform(m, lambda s: s["end"])), F.concat(F.transform(m, lambda s: s["start"]), F.array(n)), lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int")))
         return F.array_join(gaps, mark)
 
-    out = scan(docs, text_col, "__spans", thorough)
-    return out.withColumn(text_col, F.when(F.size("__spans") > 0, _let(merged, cleaned)).otherwise(text)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    clean = _let(spans_of(text, thorough), lambda spans: F.when(F.size(spans) > 0, _let(_merged(spans), cleaned)).otherwise(text))
+    return docs.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

@@ -1,9 +1,12 @@
 """Chat formatting, packing, secret scans and mixing against plain Python."""
 
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,6 +53,17 @@ def test_digest_is_that_of_the_source(spark):
         assert got[conv].formatted_chars == sum(len(chat.format_turn(r, t)) for _, r, t in own)
 
 
+def test_long_turns_and_other_columns(spark):
+    long = "</s> word " * 300_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long[::-1]), (2, 0, "tool", "x" * 2_000_000)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"position": F.lit("clash"), "rendered": F.lit(1)})
+    for r in chat.format_digest(table).collect():
+        own = [x for x in rows if x[0] == r.conv_id]
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{x[2]}\n{x[3]}\n" for x in own).encode()).hexdigest()
+        assert r.loss_chars == sum(len(x[3]) for x in own if x[2] == "assistant")
+    assert chat.format_turns(table).count() == 3 and chat.format_turns(table.limit(0)).count() == 0
+
+
 def test_turn_rows_hold_the_text_and_the_mask(spark):
     table = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a</s>b")], "conv_id long, turn long, role string, text string")
     turns = sorted(chat.format_turns(table).collect(), key=lambda r: r.position)
@@ -90,6 +104,25 @@ def test_ids_equal_the_tokenizers(spark):
     assert len(by) == len(want) and len({r.sequence_id for r in rows}) == len(rows)
 
 
+def test_other_tokenizers_encode_whole_texts(spark, tmp_path):
+    import json
+
+    P = pytest.importorskip("public_tokenizers")
+    texts = ["Two  spaces, CAPS and  tabs\t\tx", " leading", "it's 12a3 \n\n end ", "É é", ""]
+    rules = json.load(open(P.path(packing.TOKENIZER)))
+    rules["normalizer"] = None
+    (tmp_path / "bare.json").write_text(json.dumps(rules))
+    for path in (P.path("byte_bpe_50k.json"), str(tmp_path / "bare.json")):
+        t = packing.tokenizer(path)
+        assert not packing.Ids(path).known
+        want = {i: [*t.encode(x, add_special_tokens=False).ids, packing.END_ID] for i, x in enumerate(texts)}
+        got = {}
+        for r in packing.pack(docs(spark, texts), path, with_ids=True).orderBy("doc_id", "start").collect():
+            got.setdefault(r.doc_id, []).extend(r.ids)
+        assert got == want
+    assert packing.Ids(P.path(packing.TOKENIZER)).known
+
+
 def test_lengths():
     assert packing.lengths(4096 * 2 + 5) == [4096, 4096, 4, 1] and packing.lengths(0) == []
     with pytest.raises(ValueError):
@@ -171,6 +204,30 @@ def test_a_thorough_scan_keeps_what_base_spans_cover_in_part(spark):
     assert [digest[i].n_entropy for i in range(3)] == [1, 1, 0]
 
 
+def test_a_long_candidate_is_walked_once(spark):
+    rng = random.Random(3)
+    run = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(200_000))
+    frame = docs(spark, [f"x {run} y", run[:50]])
+    secrets.scan_digest(frame.limit(1)).collect()
+    began = time.perf_counter()
+    got = {r.doc_id: r.spans for r in secrets.scan_digest(frame).collect()}
+    assert time.perf_counter() - began < 15  # some two seconds; a square of the length would take minutes
+    assert got[0] == ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in entropy_by_hand(f"x {run} y", base_by_hand(f"x {run} y")))
+
+
+def test_clashing_columns_stay(spark):
+    extra = {"__spans": F.lit(7), "spans": F.lit("mine"), "ID": F.lit(1), "mark": F.lit(2), "row": F.lit(3), "key": F.lit(4), "size": F.lit(5)}
+    frame = docs(spark, ["token=abcdefghijklmnop", None, ""]).withColumns(extra)
+    for out in (secrets.redact(frame), mixing.mix(frame)):
+        assert out.schema == frame.schema or [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in frame.schema]
+        assert all((r["__spans"], r["spans"], r["ID"], r["mark"], r["row"], r["key"], r["size"]) == (7, "mine", 1, 2, 3, 4, 5) for r in out.collect())
+    scanned = secrets.scan(frame)
+    assert scanned.columns == [*frame.columns, "spans_"]
+    first = scanned.where("doc_id = 0").first()
+    assert first.spans == "mine" and [(s.start, s.end) for s in first.spans_] == [(0, 22)]
+    assert secrets.scan(frame.limit(0)).count() == secrets.redact(frame.limit(0)).count() == mixing.mix(frame.limit(0)).count() == 0
+
+
 def test_redaction_replaces_spans_only(spark):
     rows = {r.doc_id: r for r in secrets.redact(docs(spark, ["é token=abcdefghijklmnop z", "clean", None, "a deadbeefdeadbeef1 b 0123456789abcdef0 c"])).collect()}
     assert rows[0].text == "é [SECRET] z" and rows[1].text == "clean" and rows[2].text is None
@@ -222,10 +279,35 @@ def test_mix_meets_its_targets(spark):
     assert mixing.mix_digest(frame.limit(0)).count() == 0
 
 
-def test_finer_cells_of_large_tables_keep_the_order(spark, monkeypatch):
+def copies_by_hand(rows, seed=17):
+    """How often each row (doc_id, text, lang, source, n_chars) is taken, from the definition."""
+    size = lambda t: len(re.findall(mixing.WORD, t or ""))
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    sizes = Counter()
+    for r in rows:
+        sizes[r[3]] += size(r[1])
+    goal, out = water_fill(dict(sizes)), Counter()
+    for s in sizes:
+        name = "~" if s is None else f"={s}"
+        u, q = int(md5(f"{seed}-offset:{name}")[:8], 16) / 2**32, goal[s] / sizes[s] if sizes[s] else 0.0
+        own = sorted((size(r[1]), md5(f"{seed}:{'null' if r[0] is None else r[0]}:{md5(r[1] or '')}"), r) for r in rows if r[3] == s)
+        for rank, (_, _, r) in enumerate(own, 1):
+            out[r] += math.floor(u + q * rank) - math.floor(u + q * (rank - 1))
+    return +out
+
+
+def test_mix_follows_its_order_by_hand(spark):
     rng = random.Random(4)
-    frame = docs(spark, [" ".join(["w"] * rng.randint(0, 40)) for _ in range(1500)]).withColumn("source", F.when(F.col("doc_id") % 3 == 0, "a").otherwise("b")).cache()
-    few = sorted(map(tuple, mixing.mix_digest(frame).collect()))
-    for rows in (1000, 10):  # two, then four hex digits
-        monkeypatch.setattr(mixing, "ROWS_PER_DIGIT", rows)
-        assert sorted(map(tuple, mixing.mix_digest(frame).collect())) == few
+    rows = [(i if i % 9 else None, " ".join(["w", f"v{i}"] * rng.randint(0, 20)), "en", f"s{rng.randint(0, 60):02}", 1) for i in range(1500)]
+    rows += [(5000, "long " * 300_000, "en", "s00", 1), (5001, None, "en", None, 1), (5002, "", "en", None, 1)]
+    frame = spark.createDataFrame(rows, DOC)
+    got = Counter(tuple(r) for r in mixing.mix(frame).collect())
+    assert got == copies_by_hand(rows)
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(6)
+    sizes = {f"={i}": int(rng.paretovariate(0.4)) for i in range(3000)} | {"=none": 0}
+    got = {r.src: r for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "src string, source_size long")).collect()}
+    want = water_fill(sizes)
+    assert set(got) == set(want) and all(got[s].target == pytest.approx(want[s], rel=1e-9) and got[s].source_size == sizes[s] for s in sizes)
