@@ -40,6 +40,11 @@ def _json(s, f) -> DataFrame:
     return s.read.schema("r_regionkey int, r_name string").json(path)
 
 
+def _report(s, f) -> DataFrame:
+    text = tables.report(tables.table(s, f, "region").orderBy("r_regionkey"), 4)
+    return s.createDataFrame([(i, line.strip()) for i, line in enumerate(text.split("\n"))], "i int, line string")
+
+
 def _kinds(s, f) -> DataFrame:
     numeric, other = features.by_type(tables.table(s, f, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"))
     return s.createDataFrame([(c, "numeric") for c in numeric] + [(c, "categorical") for c in other], "name string, kind string")
@@ -105,6 +110,7 @@ QUERIES: dict[str, tuple[Callable, str | None]] = {
     "stacked_rows": (lambda s, f: features.stacked(tables.table(s, f, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name")), tables.table(s, f, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("id"))), "SELECT r_regionkey AS id, r_name AS name FROM region UNION ALL SELECT n_nationkey, n_name FROM nation"),
     "mixed_column": (lambda s, f: C.rounded(features.mixed_column(tables.table(s, f, "part").select("p_partkey", "p_size", "p_retailprice"), "mixed", {"p_size": 0.95, "p_retailprice": -0.05})), f"SELECT p_partkey, p_size, round(p_retailprice, 6) + 0.0e0 AS p_retailprice, {C._r('mixed', '0.95e0 * p_size - 0.05e0 * p_retailprice')} FROM part"),
     "pca_projection": (_projected, "WITH m AS (SELECT avg(CAST(p_partkey AS DOUBLE)) AS m0, stddev_pop(CAST(p_partkey AS DOUBLE)) AS s0, avg(p_retailprice) AS m1, stddev_pop(p_retailprice) AS s1, corr(p_partkey, p_retailprice) AS c FROM part), z AS (SELECT p_partkey, (p_partkey - m0) / s0 AS a, (p_retailprice - m1) / s1 AS b, c FROM part, m) SELECT p_partkey, round((a + b) / sqrt(2.0e0), 6) + 0.0e0 AS pc0, round(abs(a - b) / sqrt(2.0e0), 6) + 0.0e0 AS pc1, round((1 + c) / 2, 6) + 0.0e0 AS share FROM z"),
+    "report_lines": (_report, "WITH r AS (SELECT CAST(row_number() OVER (ORDER BY r_regionkey) AS INTEGER) AS i, r_regionkey, r_name FROM region), w AS (SELECT CAST(greatest(length('r_name'), max(length(r_name)) FILTER (WHERE i <= 4)) AS INTEGER) AS w FROM r) SELECT 0 AS i, 'r_regionkey ' || lpad('r_name', w, ' ') AS line FROM w UNION ALL SELECT i, CAST(r_regionkey AS VARCHAR) || ' ' || lpad(r_name, w, ' ') FROM r, w WHERE i <= 4"),
     "json_sink": (_json, "SELECT r_regionkey, r_name FROM region"),
     "synthetic_logistic": (lambda s, f: C.rounded(tables.synthetic(s, MADE, WEIGHTS, numbers="even")), _made("logistic")),
     "synthetic_linear": (lambda s, f: C.rounded(tables.synthetic(s, MADE, WEIGHTS, "linear", numbers="even")), _made("linear")),

@@ -457,3 +457,28 @@ def test_preparation(spark, tmp_path):
     for x_, y_ in ((np.zeros(3), np.zeros(3)), (np.zeros((3, 1)), np.zeros(2))):
         with pytest.raises(ValueError):
             tables.from_arrays(spark, x_, y_)
+
+
+def test_classes_are_apart_by_their_informative_columns(spark):
+    rows = tables.classification(spark, 4000, 6, 3, 2, 1.5, seed=4).collect()
+    x, y = np.array([[r[f"x{j}"] for j in range(6)] for r in rows]), np.array([r.y for r in rows])
+    apart = x[y == 1].mean(0) - x[y == 0].mean(0)
+    assert np.allclose(apart[:3], [3, -3, 3], atol=0.2) and abs(apart[5]) < 0.2 and 0.45 < y.mean() < 0.55
+    assert np.linalg.matrix_rank(x[:, :5]) == 3  # redundant columns add nothing
+    again = tables.classification(spark, 4000, 6, 3, 2, 1.5, seed=4, partitions=7).collect()
+    assert sorted(rows) == sorted(again)
+    with pytest.raises(ValueError):
+        tables.classification(spark, 10, 3, 3, 1)
+
+
+def test_known_scores_and_predictions(spark):
+    s, df, x, y = fitted(spark)
+    batch = s.sample(3)
+    rows = spark.createDataFrame([(k, float(m), float(t)) for k in range(3) for m, t in zip(x @ batch[k], y)], "sample_id int, margin double, y double")
+    assert np.allclose(s.loss_gap_many(batch, margins=rows), s.loss_gap_many(batch)) and (s.contains_many(batch, margins=rows) == s.contains_many(batch)).all()
+    one = rows.where("sample_id = 1")
+    assert s.loss_gap(batch[1], margins=one) == pytest.approx(s.loss_gap(batch[1])) and s.contains(batch[1], margins=one) == s.contains(batch[1])
+    both = {r.key: r for r in certify.predictions(s.fitted, df).collect()}
+    assert all(both[r.key].prediction == r.prediction for r in s.predict(df).collect()) and all(both[r.key].p1 == r.p1 for r in s.predict_proba(df).collect())
+    carried = certify.scored(s.fitted, df.withColumn("tag", F.lit("t")), ("tag",))
+    assert carried.columns == ["key", "y", "margin", "lo", "hi", "tag"] and carried.where("tag = 't'").count() == len(y)
