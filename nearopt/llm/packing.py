@@ -72,14 +72,22 @@ def tokenizer(path: str):
     return t
 
 
+def follows_rules(path: str) -> bool:
+    """Whether a tokenizer's file has the rules that pieces are cut and cached by."""
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    return rules["normalizer"] == NORMALIZER and rules["pre_tokenizer"] == SPLITTER and rules["model"]["type"] == "BPE" and not rules["model"].get("dropout")
+
+
 class Ids:
-    """Token ids of texts, equal to tokenizer.encode(text, add_special_tokens=False).ids."""
+    """Token ids of texts, equal to tokenizer.encode(text, add_special_tokens=False).ids.
+
+    known says that the file follows the rules; if it doesn't, the tokenizer encodes whole texts itself.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, known: bool | None = None):
         self.t = tokenizer(path)
-        rules = json.loads(self.t.to_str())
-        #: Whether the file's rules are those that pieces are cut by; if not, the tokenizer encodes whole texts itself.
-        self.known = rules["normalizer"] == NORMALIZER and rules["pre_tokenizer"] == SPLITTER and rules["model"]["type"] == "BPE" and not rules["model"].get("dropout")
+        self.known = follows_rules(path) if known is None else known
         self.forget()
 
     def forget(self) -> None:
@@ -225,12 +233,13 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
         path = public_tokenizers.path(TOKENIZER)
     if most & (most - 1):
         raise ValueError("the longest sequence must be a power of two")
+    known = follows_rules(path)  # here, once: tasks don't parse the whole file
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())]
     if with_ids:
         fields.append(("ids", pa.list_(pa.int32())))
 
     def packed(batches):
-        ids = Ids(path)
+        ids = Ids(path, known)
         for batch in batches:
             texts = tv.as_strings(batch.column(1))
             for a, b in tv.slices(texts):
