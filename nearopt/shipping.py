@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -17,7 +19,9 @@ def ship(spark: SparkSession) -> None:
     if app in _shipped:
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(), "nearopt_package.zip")
+    folder = tempfile.mkdtemp(prefix="nearopt-")
+    atexit.register(shutil.rmtree, folder, True)
+    path = os.path.join(folder, "nearopt_package.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for folder, _, names in os.walk(root):
             for name in names:
