@@ -23,20 +23,23 @@ import gc
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearopt.llm import textvec as tv
 from nearopt.llm.util import dropped, scratch, written
+from nearopt.llm.vectors import keys, usable
+from nearopt.llm.vectors import rows as rows_of
 
 #: Entries of a list; those of each of the four kinds (listed, listing; new, old) that a node meets in a round;
 #: proposals to a node from one meeting; rounds at most; share of new entries at which rounds end.
-LIST, MEET, PROPOSALS, ROUNDS, SETTLED = 24, 12, 6, 14, 0.01
-#: Nodes of a starting block, and how many times nodes are dealt into such blocks.
-BLOCK, DEALS = 64, 3
+LIST, MEET, PROPOSALS, ROUNDS, SETTLED = 20, 8, 6, 14, 0.3
+#: Nodes of a starting block, how many times nodes are dealt into such blocks, and what a node gets from each.
+BLOCK, DEALS, FIRST = 1024, 16, 8
 #: First pool of a query, nodes expanded in a hop at that pool, entry nodes, least nodes that are ranked exactly.
-POOL, WIDTH, ENTRIES, EXACT = 320, 48, 64, 64
+POOL, WIDTH, ENTRIES, EXACT = 160, 80, 16, 64
+#: Share of the pools' entries that may be left unexpanded.
+REST = 0.002
 #: Share of the true neighbours of the sample that a search must find, and queries of the sample at most.  The margin
 #: over the 0.9 required is several standard errors of a sample.
 GOAL, SAMPLE = 0.92, 1024
@@ -44,6 +47,8 @@ GOAL, SAMPLE = 0.92, 1024
 ASKED, STEP = 1024, 2048
 
 _LISTS = "ids array<long>, dists array<float>, fresh array<boolean>"
+#: Proposals to a node: others and their squared distances.
+PROPOSED = "node long, others array<long>, dists array<float>"
 
 
 def _clean(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -51,22 +56,16 @@ def _clean(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
     def of(batches):
         for batch in batches:
-            keep, values = [], []
-            for i, vector in enumerate(batch.column(1).to_pylist()):
-                if vector and None not in vector:
-                    x = np.array(vector, np.float64) + 0.0
-                    if np.isfinite(x).all() and x.any():
-                        keep.append(i)
-                        values.append(x.tobytes())
-            halves = np.frombuffer(b"".join(xxhash.xxh3_128_digest(v) for v in values), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array([len(v) // 8 for v in values], pa.int32()), pa.array(values, pa.binary())], ["vec_id", "k1", "k2", "length", "vector"])
+            ok, size, values = usable(batch.column(1))
+            halves = keys(values)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(size.astype(np.int32)), values], ["vec_id", "k1", "k2", "length", "vector"])
 
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector")).where("vec_id is not null")
     return rows.mapInArrow(of, "vec_id long, k1 long, k2 long, length int, vector binary")
 
 
-def _doubles(values: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(values)).reshape(len(values), -1) if values else np.empty((0, 0))
+def _doubles(values) -> np.ndarray:
+    return rows_of(values, np.float64)
 
 
 def _coded(x: np.ndarray) -> list[bytes]:
@@ -76,8 +75,8 @@ def _coded(x: np.ndarray) -> list[bytes]:
     return [s.tobytes() + r.tobytes() for s, r in zip(scale.astype(np.float32), q)]
 
 
-def _decoded(codes: list[bytes]) -> np.ndarray:
-    raw = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
+def _decoded(codes) -> np.ndarray:
+    raw = rows_of(codes, np.uint8)
     return raw[:, 4:].view(np.int8).astype(np.float32) * raw[:, :4].copy().view(np.float32)
 
 
@@ -129,14 +128,15 @@ def _square(x: np.ndarray) -> np.ndarray:
 
 
 def _starting(nodes: DataFrame, n: int, width: int) -> DataFrame:
-    """(node, other, dist) from blocks of nodes that are neighbours in the order of random-projection codes."""
+    """What nodes propose to each other (PROPOSED) in blocks of those that are neighbours in the order of random-projection
+    codes."""
     planes = np.random.default_rng(7).normal(size=(DEALS, width, 32)).astype(np.float32)
     salts = max(1, n >> 20)
     bits = max(0, min(31, int(n // (4096 * salts)).bit_length() - 1))
 
     def projected(batches):
         for batch in batches:
-            x = _decoded(batch.column(1).to_pylist())
+            x = _decoded(batch.column(1))
             for deal in range(DEALS):
                 code = ((x @ planes[deal] > 0) * (np.int64(1) << np.arange(31, -1, -1))).sum(1) if len(x) else np.empty(0, np.int64)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(x), deal, np.int32)), pa.array(code.astype(np.int64))], ["node", "code", "deal", "place"])
@@ -147,16 +147,16 @@ def _starting(nodes: DataFrame, n: int, width: int) -> DataFrame:
 
     def paired(batches):
         def near(table):
-            ids, x = table.column("node").to_numpy(), _decoded(table.column("code").to_pylist())
+            ids, x = table.column("node").to_numpy(), _decoded(table.column("code"))
             for a in range(0, len(ids), BLOCK):
                 own, d = ids[a : a + BLOCK], _square(x[a : a + BLOCK])
                 np.fill_diagonal(d, np.inf)
-                k = min(LIST, len(own) - 1)
+                k = min(FIRST, len(own) - 1)
                 if k:
                     best = np.argpartition(d, k - 1, 1)[:, :k]
-                    dist = np.take_along_axis(d, best, 1)
-                    some = own[:, None] != own[best]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, k)[some.ravel()]), pa.array(own[best][some]), pa.array(dist[some].astype(np.float32))], ["node", "other", "dist"])
+                    dist = np.take_along_axis(d, best, 1).astype(np.float32)
+                    rows = np.repeat(np.arange(len(own)), k)
+                    yield pa.RecordBatch.from_arrays([pa.array(own), *_lists(rows, len(own), own[best].ravel(), dist.ravel())], ["node", "others", "dists"])
 
         held = None
         for batch in batches:
@@ -169,7 +169,7 @@ def _starting(nodes: DataFrame, n: int, width: int) -> DataFrame:
         if held is not None and len(held):
             yield from near(held)
 
-    return rows.mapInArrow(paired, "node long, other long, dist float")
+    return rows.mapInArrow(paired, PROPOSED)
 
 
 def _sampled(table, turn: int):
@@ -183,10 +183,10 @@ def _sampled(table, turn: int):
 
 
 def _merged(state: DataFrame | None, nodes: DataFrame, proposals: DataFrame, turn: int) -> DataFrame:
-    """Lists after the proposals (node, other, dist): the nearest LIST of both; entries that have met are old."""
-    own = nodes.select("node", "code").withColumns({"ids": F.array().cast("array<long>"), "dists": F.array().cast("array<float>"), "fresh": F.array().cast("array<boolean>")}) if state is None else state
-    own = own.withColumns({"kind": F.lit(0), "other": F.lit(None).cast("long"), "dist": F.lit(None).cast("float")})
-    more = proposals.select("node", F.lit(None).cast("binary").alias("code"), *[F.lit(None).cast(f"array<{t}>").alias(c) for c, t in (("ids", "long"), ("dists", "float"), ("fresh", "boolean"))], F.lit(1).alias("kind"), "other", "dist")
+    """Lists after the proposals (PROPOSED): the nearest LIST of both; entries that have met are old."""
+    empty = {"ids": F.array().cast("array<long>"), "dists": F.array().cast("array<float>"), "fresh": F.array().cast("array<boolean>")}
+    own = (nodes.select("node", "code").withColumns(empty) if state is None else state).withColumn("kind", F.lit(0))
+    more = proposals.select("node", F.lit(None).cast("binary").alias("code"), F.col("others").alias("ids"), "dists", F.lit(None).cast("array<boolean>").alias("fresh"), F.lit(1).alias("kind"))
     rows = own.unionByName(more).repartition("node").sortWithinPartitions("node", "kind")
 
     def merge(batches):
@@ -198,10 +198,12 @@ def _merged(state: DataFrame | None, nodes: DataFrame, proposals: DataFrame, tur
             fresh = fresh.copy()
             fresh[met] = False
             dists, _ = _flat(mine, "dists")
-            at = np.searchsorted(node, theirs.column("node").to_numpy())
+            others, giver = _flat(theirs, "ids")
+            theirs_dist, _ = _flat(theirs, "dists")
+            at = np.searchsorted(node, theirs.column("node").to_numpy())[giver]
             owner = np.concatenate([row, at])
-            other = np.concatenate([ids, theirs.column("other").to_numpy()]).astype(np.int64)
-            dist = np.concatenate([dists, theirs.column("dist").to_numpy()]).astype(np.float32)
+            other = np.concatenate([ids, others]).astype(np.int64)
+            dist = np.concatenate([dists, theirs_dist]).astype(np.float32)
             flag = np.concatenate([fresh, np.ones(len(at), bool)])
             order = np.lexsort((flag, other, owner))
             owner, other, dist, flag = owner[order], other[order], dist[order], flag[order]
@@ -218,7 +220,7 @@ def _merged(state: DataFrame | None, nodes: DataFrame, proposals: DataFrame, tur
 
 
 def _proposals(state: DataFrame, turn: int) -> DataFrame:
-    """(node, other, dist): what the meetings at all nodes propose."""
+    """What the meetings at all nodes propose (PROPOSED)."""
     last = F.when(F.size("dists") >= LIST, F.element_at("dists", -1)).otherwise(F.lit(float("inf")).cast("float"))
     state = state.withColumn("last", last)
 
@@ -250,7 +252,7 @@ def _proposals(state: DataFrame, turn: int) -> DataFrame:
             keep = rank < MEET
             table = table.filter(pa.array(keep))
             node, slot = node[keep], kind[keep] * MEET + rank[keep]
-            members, last, x = table.column("member").to_numpy(), table.column("last").to_numpy(), _decoded(table.column("code").to_pylist())
+            members, last, x = table.column("member").to_numpy(), table.column("last").to_numpy(), _decoded(table.column("code"))
             starts = np.concatenate([[True], node[1:] != node[:-1]])
             group = np.cumsum(starts) - 1
             first = np.append(np.flatnonzero(starts), len(node))
@@ -269,12 +271,12 @@ def _proposals(state: DataFrame, turn: int) -> DataFrame:
                 d[d >= limit[:, :, None]] = np.inf
                 best = np.argpartition(d, PROPOSALS, 2)[:, :, :PROPOSALS]
                 dist = np.take_along_axis(d, best, 2)
-                to = np.broadcast_to(who[:, :, None], best.shape)
                 other = np.take_along_axis(np.broadcast_to(who[:, None, :], d.shape), best, 2)
                 some = np.isfinite(dist)
-                yield pa.RecordBatch.from_arrays([pa.array(to[some]), pa.array(other[some]), pa.array(dist[some].astype(np.float32))], ["node", "other", "dist"])
+                count = some.sum(2).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(who.ravel()[count > 0]), *_lists(np.repeat(np.arange((count > 0).sum()), count[count > 0]), int((count > 0).sum()), other[some], dist[some].astype(np.float32))], ["node", "others", "dists"])
 
-    return meetings.mapInArrow(meet, "node long, other long, dist float")
+    return meetings.mapInArrow(meet, PROPOSED)
 
 
 def _clear(spark) -> None:
@@ -304,34 +306,55 @@ def _adjacent(graph: DataFrame) -> DataFrame:
     rows = rows.repartition("node").sortWithinPartitions("node", "back", "dist", "other")
 
     def taken(batches):
-        node, back, count = None, None, 0
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            ids, backs = batch.column(0).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False)
-            rank = _rank_in(ids * 2 + backs)
-            if batch.num_rows:
-                if node is not None and (ids[0], backs[0]) == (node, back):
-                    same = (ids == node) & (backs == back)
-                    rank[same] += count
-                keep = rank < LIST
-                node, back = ids[-1], backs[-1]
-                count = int(rank[-1]) + 1
-            yield batch.select([0, 1]).filter(pa.array(keep))
+        """The first LIST of either side of each node, once each; a node's rows may reach over batches."""
+        node, back, count, held = None, None, 0, []
 
-    edges = rows.select("node", "other", "dist", "back").mapInArrow(taken, "node long, other long").distinct()
-    return edges.groupBy("node").agg(F.collect_list("other").alias("next"))  # 2 * LIST entries at most
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array([node], pa.int64()), pa.array([list(dict.fromkeys(held))], pa.list_(pa.int64()))], ["node", "next"])
 
-
-def _hop(state: DataFrame, found: DataFrame | None, size: int) -> DataFrame:
-    """Pools of a size after the nodes (query, cand, code) that the last expansion found."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, others, backs = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False)
+            rank = _rank_in(ids * 2 + backs)
+            same = (ids == node) & (backs == back) if node is not None else np.zeros(len(ids), bool)
+            rank[same] += count
+            node_of, other_of = ids[rank < LIST], others[rank < LIST]
+            if node is not None:
+                mine = node_of == node
+                held += other_of[mine].tolist()
+                node_of, other_of = node_of[~mine], other_of[~mine]
+                if ids[-1] != node:
+                    yield done()
+                    held = []
+            last = ids[-1]
+            whole = node_of != last
+            if ids[-1] != node:
+                held = other_of[~whole].tolist()
+            if whole.any():
+                own, at = np.unique(node_of[whole], return_inverse=True)
+                order = np.lexsort((other_of[whole], at))
+                at, other = at[order], other_of[whole][order]
+                keep = np.append(True, (at[1:] != at[:-1]) | (other[1:] != other[:-1]))
+                yield pa.RecordBatch.from_arrays([pa.array(own), *_lists(at[keep], len(own), other[keep])], ["node", "next"])
+            node, back, count = last, backs[-1], int(rank[-1]) + 1
+        if node is not None:
+            yield done()
+
+    return rows.select("node", "other", "dist", "back").mapInArrow(taken, "node long, next array<long>")
+
+
+def _hop(state: DataFrame, found: DataFrame, size: int) -> DataFrame:
+    """Pools of a size after the nodes (query, cand, near) that the last expansion found."""
     width = max(WIDTH, size * WIDTH // POOL)
-    own = state.withColumns({"kind": F.lit(0), "cand": F.lit(None).cast("long"), "ccode": F.lit(None).cast("binary")})
-    more = found.select("query", *[F.lit(None).cast(t).alias(c) for c, t in (("code", "binary"), ("pool", "array<long>"), ("dist", "array<float>"), ("done", "array<boolean>"), ("front", "array<long>"))], F.lit(1).alias("kind"), "cand", F.col("code").alias("ccode"))
+    own = state.withColumns({"kind": F.lit(0), "cand": F.lit(None).cast("long"), "near": F.lit(None).cast("float")})
+    more = found.select("query", *[F.lit(None).cast(t).alias(c) for c, t in (("code", "binary"), ("pool", "array<long>"), ("dist", "array<float>"), ("done", "array<boolean>"), ("front", "array<long>"))], F.lit(1).alias("kind"), "cand", "near")
     rows = own.unionByName(more).repartition("query").sortWithinPartitions("query", "kind", "cand")
 
     def merge(batches):
         for table in _groups(batches, "query"):
             query, kind = table.column("query").to_numpy(), table.column("kind").to_numpy()
+            cands, nears = table.column("cand").fill_null(0).to_numpy(), table.column("near").fill_null(0).to_numpy()
             bounds = np.append(np.flatnonzero(kind == 0), len(query))
             out = []
             for a, b in zip(bounds, bounds[1:]):
@@ -339,11 +362,9 @@ def _hop(state: DataFrame, found: DataFrame | None, size: int) -> DataFrame:
                 pool, dist, done = (np.array(table.column(c)[a].as_py()) for c in ("pool", "dist", "done"))
                 done = done.astype(bool) | np.isin(pool, np.array(table.column("front")[a].as_py(), np.int64))
                 if b - a > 1:
-                    cand = table.column("cand").slice(a + 1, b - a - 1).to_numpy()
-                    x = _decoded(table.column("ccode").slice(a + 1, b - a - 1).to_pylist())
-                    new = ~np.isin(cand, pool)
-                    d = ((x[new] - _decoded([code])) ** 2).sum(1)
-                    pool, dist, done = np.concatenate([pool, cand[new]]).astype(np.int64), np.concatenate([dist, d]), np.concatenate([done, np.zeros(len(d), bool)])
+                    cand, near = cands[a + 1 : b], nears[a + 1 : b]
+                    new = np.append(True, cand[1:] != cand[:-1]) & ~np.isin(cand, pool)
+                    pool, dist, done = np.concatenate([pool, cand[new]]).astype(np.int64), np.concatenate([dist, near[new]]), np.concatenate([done, np.zeros(int(new.sum()), bool)])
                 order = np.lexsort((pool, dist))[:size]
                 pool, dist, done = pool[order], dist[order], done[order]
                 out.append((int(query[a]), code, pool.astype(np.int64), dist.astype(np.float32), done, pool[~done][:width].astype(np.int64)))
@@ -354,24 +375,47 @@ def _hop(state: DataFrame, found: DataFrame | None, size: int) -> DataFrame:
     return rows.mapInArrow(merge, "query long, code binary, pool array<long>, dist array<float>, done array<boolean>, front array<long>")
 
 
+def _measured(cands: DataFrame) -> DataFrame:
+    """(query, cand, near) of rows (query, cand, asked, bound, code): squared distances below the bound."""
+
+    def of(batches):
+        for batch in batches:
+            # Several nodes of a front list the same one; rows come sorted by it, so most repeats are in a batch.
+            order = np.lexsort((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            pair = np.stack([batch.column(c).to_numpy()[order] for c in (0, 1)])
+            some = order[np.append(True, (pair[:, 1:] != pair[:, :-1]).any(0))] if len(order) else order
+            if len(some):
+                part = batch.take(pa.array(np.sort(some)))
+                near = ((_decoded(part.column(2)) - _decoded(part.column(4))) ** 2).sum(1)
+                keep = near < part.column(3).to_numpy()
+                yield pa.RecordBatch.from_arrays([*(part.column(c).filter(pa.array(keep)) for c in (0, 1)), pa.array(near[keep].astype(np.float32))], ["query", "cand", "near"])
+
+    return cands.select("query", "cand", "asked", "bound", "code").mapInArrow(of, "query long, cand long, near float")
+
+
 def search(graph: DataFrame, adjacent: DataFrame, queries: DataFrame, size: int, exact: int) -> DataFrame:
     """(query, node): the exact best nodes found for each query (query, code, own node or null) by greedy search.
 
-    A hop expands nodes of the pool that it didn't before, and what a pool drops is farther than all it keeps from then
-    on; so hops end, and they are as many as the pools need.
+    A hop expands nodes of the pools that weren't before: they are joined with the graph, and their neighbours with
+    the codes, where distances are taken; only what is nearer than the last of a full pool comes back.  What a pool
+    drops is farther than all it keeps from then on; so hops end, and they are as many as the pools need.  The last hops
+    expand a few nodes of a few queries each; they are left out once all that is left to expand is REST of the pools.
     """
-    codes = graph.select("node", "code")
-    entries = F.broadcast(codes.orderBy(F.xxhash64("node"), "node").limit(ENTRIES).select(F.col("node").alias("cand"), "code"))
+    codes = graph.select(F.col("node").alias("cand"), "code")
+    entries = F.broadcast(codes.orderBy(F.xxhash64("cand"), "cand").limit(ENTRIES))
     empty = {"pool": F.array().cast("array<long>"), "dist": F.array().cast("array<float>"), "done": F.array().cast("array<boolean>"), "front": F.array().cast("array<long>")}
-    starts = queries.where("own is not null").select("query", F.col("own").alias("cand"), "code").unionByName(queries.select("query").crossJoin(entries).select("query", "cand", "code")).dropDuplicates(["query", "cand"])
-    state = written(_hop(queries.select("query", "code").withColumns(empty), starts, size), "pools")
+    far = F.lit(float("inf")).cast("float")
+    asked = queries.select("query", F.col("code").alias("asked"), far.alias("bound"))
+    starts = asked.crossJoin(entries).unionByName(queries.where("own is not null").select("query", F.col("code").alias("asked"), far.alias("bound"), F.col("own").alias("cand"), "code"))
+    state = written(_hop(queries.select("query", "code").withColumns(empty), _measured(starts), size), "pools")
     while True:
-        front = state.select("query", F.explode("front").alias("node"))
-        if not front.take(1):
+        left, held = state.agg(F.sum(F.size("front")), F.sum(F.size("pool"))).first()
+        if left <= REST * held:
             break
-        cands = front.join(adjacent, "node").select("query", F.explode("next").alias("cand")).distinct()
-        found = cands.join(codes.withColumnRenamed("node", "cand"), "cand")
-        new = written(_hop(state, found, size), "pools")
+        last = F.when(F.size("pool") >= size, F.element_at("dist", -1)).otherwise(far)
+        front = state.select("query", F.col("code").alias("asked"), last.alias("bound"), F.explode("front").alias("node"))
+        cands = front.join(adjacent, "node").select("query", "asked", "bound", F.explode("next").alias("cand"))
+        new = written(_hop(state, _measured(cands.join(codes, "cand")), size), "pools")
         dropped(state)
         state = new
     return state.select("query", F.explode(F.slice("pool", 1, exact)).alias("node"))
@@ -387,7 +431,7 @@ def _compared(nodes: DataFrame, queries: list, most: int) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, STEP):
                 own = batch.slice(a, STEP)
-                x = _doubles(own.column(1).to_pylist())
+                x = _doubles(own.column(1))
                 near = np.concatenate([near, norm[:, None] + (x * x).sum(1) - 2 * asked @ x.T], 1)
                 best = np.concatenate([best, np.broadcast_to(own.column(0).to_numpy(), (len(ids), len(x)))], 1)
                 if near.shape[1] > most:
@@ -447,10 +491,9 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "ve
 
     Queries are the rows whose vec_id is divisible by `every`, candidates all rows but those of the query's own id;
     scores are exact distances in double precision, ties go to the smaller vec_id.  Vectors that are null, empty,
-    zero or hold null or non-finite components take no part, nor do null ids and vectors whose length isn't the most
-    common one (of lengths equally common, the longest).  Rows that share an id count once, by their smallest
-    distance.  With fewer than k candidates all found are returned; an empty table gives no rows; other columns are
-    not read.
+    zero or hold null or non-finite components take no part, nor do null ids.  Vectors of each length are searched among
+    their own, one length after another.  Rows that share an id count once, by their smallest distance.  With fewer
+    than k candidates all found are returned; an empty table gives no rows; other columns are not read.
     """
     with scratch() as keep:
         return keep(written(_nearest(vectors, every, k, id_col, vector_col), "nearest"))
@@ -458,11 +501,17 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "ve
 
 def _nearest(vectors: DataFrame, every: int, k: int, id_col: str, vector_col: str) -> DataFrame:
     rows = written(_clean(vectors, id_col, vector_col), "vectors")
-    top = rows.groupBy("length").count().orderBy(F.desc("count"), F.desc("length")).first()
-    if top is None:
-        return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    width = top[0]
-    rows = rows.where(F.col("length") == width)
+    lengths = [r.length for r in rows.where(F.pmod("vec_id", F.lit(every)) == 0).select("length").distinct().orderBy("length").collect()]  # lengths of queries
+    out = rows.select(F.col("vec_id").alias("query"), "vec_id", F.lit(0.0).alias("score")).limit(0)
+    for width in lengths:
+        out = out.unionByName(_of_length(rows.where(F.col("length") == width), every, k, width))
+    best = out.groupBy("query", "vec_id").agg(F.min("score").alias("score"))
+    place = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))
+    return best.withColumn("rank", place).where(F.col("rank") <= k).select(F.col("query").alias("query_id"), "rank", "vec_id", "score")
+
+
+def _of_length(rows: DataFrame, every: int, k: int, width: int) -> DataFrame:
+    """(query, vec_id, score): for each query among rows, at least its k nearest found and no row of its own."""
     # The k + 1 smallest ids of each class of equal vectors, first by salt: a class may hold a third of all rows.
     salt = F.pmod(F.xxhash64("vec_id"), F.lit(64))
     few = lambda df, *by: df.withColumn("r", F.row_number().over(Window.partitionBy("k1", "k2", *by).orderBy("vec_id"))).where(F.col("r") <= k + 1).drop("r")
@@ -472,24 +521,20 @@ def _nearest(vectors: DataFrame, every: int, k: int, id_col: str, vector_col: st
 
     def coded(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_coded(_doubles(batch.column(4).to_pylist())) if batch.num_rows else [], pa.binary())], ["node", "members", "k1", "k2", "vector", "code"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_coded(_doubles(batch.column(4))) if batch.num_rows else [], pa.binary())], ["node", "members", "k1", "k2", "vector", "code"])
 
     joined = classes.join(unique, ["k1", "k2"]).select("node", "members", "k1", "k2", "vector")
     nodes = written(joined.mapInArrow(coded, "node long, members array<long>, k1 long, k2 long, vector binary, code binary"), "nodes")
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query"), "k1", "k2").join(nodes.select("k1", "k2", "node", "code", "vector"), ["k1", "k2"])
     asked = written(asked.dropDuplicates(["query"]).select("query", F.col("node").alias("own"), "code", "vector"), "queries")
-    if not asked.take(1):
-        return asked.select(F.col("query").alias("query_id"), F.lit(1).alias("rank"), F.col("query").alias("vec_id"), F.lit(0.0).alias("score"))
     found = _found(nodes, nodes.count(), asked, width, k)
     ranked = found.join(nodes.select("node", "members", "vector"), "node").join(asked.select("query", F.col("vector").alias("asked")), "query")
 
     def scored(batches):
         for batch in batches:
-            x, y = _doubles(batch.column(2).to_pylist()), _doubles(batch.column(3).to_pylist())
+            x, y = _doubles(batch.column(2)), _doubles(batch.column(3))
             score = np.sqrt(((x - y) ** 2).sum(1)) if batch.num_rows else np.empty(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], ["query", "members", "score"])
 
     out = ranked.select("query", "members", "vector", "asked").mapInArrow(scored, "query long, members array<long>, score double")
-    out = out.select("query", "score", F.explode("members").alias("vec_id")).where("vec_id <> query").groupBy("query", "vec_id").agg(F.min("score").alias("score"))
-    place = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))
-    return out.withColumn("rank", place).where(F.col("rank") <= k).select(F.col("query").alias("query_id"), "rank", "vec_id", "score")
+    return out.select("query", "score", F.explode("members").alias("vec_id")).where("vec_id <> query").select("query", "vec_id", "score")
