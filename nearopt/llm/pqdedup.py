@@ -21,18 +21,24 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearopt.llm import textvec as tv
 from nearopt.llm.components import components
 from nearopt.llm.util import scratch, written
+from nearopt.llm.vectors import keys, padded, usable
+from nearopt.llm.vectors import rows as rows_of
 
 #: Least cosine of a link.
 COSINE = 0.98
-#: Vectors the index is fitted on (those of the smallest hashes), vectors of a list on average, and most lists.
-SAMPLE, PER_LIST, MOST_LISTS = 16_384, 4096, 4096
+#: Vectors the index is fitted on (those of the smallest hashes) at least, and for each list; vectors of a list on
+#: average, of which a quarter to 16 times as many lists are tried, and most lists.
+SAMPLE, EACH, PER_LIST, MOST_LISTS = 16_384, 4, 4096, 65_536
+#: Comparisons by lookup that cost as much as sending a vector to a list.
+PROBE = 500
+#: Distances to centres that are held at once.
+HELD = 1 << 24
 #: Subspaces, codewords of each, and steps of the fitting.
 PARTS, WORDS, STEPS = 8, 64, 8
 #: Members and probers of a block at most, on average of the deal.
@@ -41,21 +47,58 @@ CHUNK = 2048
 SLACK = 1e-6
 
 
+def _steps(n: int, centres: int):
+    """Slices of n vectors, so that their distances to all centres stay within HELD."""
+    size = max(16, HELD // centres)
+    return [slice(a, a + size) for a in range(0, n, size)]
+
+
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return ((centres * centres).sum(1) - 2 * x @ centres.T).argmin(1)
+    norm = (centres * centres).sum(1)
+    return np.concatenate([(norm - 2 * x[s] @ centres.T).argmin(1) for s in _steps(len(x), len(centres))]) if len(x) else np.empty(0, np.int64)
 
 
 def k_means(x: np.ndarray, k: int, rng: np.random.Generator, steps: int = STEPS) -> np.ndarray:
     centres = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(steps):
         own = _nearest(x, centres)
-        n = np.bincount(own, minlength=len(centres))
-        sums = np.zeros_like(centres)
-        np.add.at(sums, own, x)
-        centres[n > 0] = sums[n > 0] / n[n > 0, None]
+        order = np.argsort(own, kind="stable")
+        there, first = np.unique(own[order], return_index=True)
+        centres[there] = np.add.reduceat(x[order], first) / np.diff(np.append(first, len(x)))[:, None]
     return centres
 
 
+def probes(centres: np.ndarray, x: np.ndarray, own: np.ndarray, radius: float) -> list[np.ndarray]:
+    """The lists of centres that can hold a vector within radius of each vector, whose own list is given."""
+    norm, out = (centres * centres).sum(1), []
+    for s in _steps(len(x), len(centres)):
+        d = norm - 2 * x[s] @ centres.T
+        home, at = np.unique(own[s], return_inverse=True)
+        gap = np.sqrt(np.maximum(norm[home, None] + norm - 2 * centres[home] @ centres.T, 0))
+        near = d - d[np.arange(len(d)), own[s]][:, None] <= 2 * radius * gap[at] + SLACK
+        out += [np.flatnonzero(row).astype(np.int32) for row in near]
+    return out
+
+
+def number_of_lists(sample: np.ndarray, n: int, alike: float, radius: float) -> int:
+    """How many lists make the least work for n vectors like the sample, of which a share `alike` has a vector's label.
+
+    More lists are shorter, but of data without clusters a vector probes more of them.  So a few numbers are tried on
+    the sample: a probe, for which a vector travels, costs as much as PROBE comparisons by lookup.
+    """
+    best = (math.inf, 1)
+    held_out = np.arange(len(sample)) % max(2, len(sample) // 1000) == 0  # those a centre is fitted on are nearer to it
+    asked, sample = sample[held_out], sample[~held_out] if len(sample) > 1 else sample
+    for times in (0.25, 1, 4, 16):
+        lists = int(max(1, min(MOST_LISTS, n * times / PER_LIST, len(sample) / EACH)))
+        centres = k_means(sample, lists, np.random.default_rng(3), 3)
+        share = np.bincount(_nearest(sample, centres), minlength=lists) / len(sample)
+        found = probes(centres, asked, _nearest(asked, centres), radius)
+        work = PROBE * np.mean([len(p) for p in found]) + n * alike * np.mean([share[p].sum() for p in found])
+        best = min(best, (work, lists))
+    return best[1]
+
+
 class Index:
     """Coarse centres and, for each subspace, codewords of the residuals."""
 
@@ -74,11 +117,9 @@ class Index:
         said = np.concatenate([w[codes[:, p]] for p, w in enumerate(self.words)], 1)
         return own, codes, np.linalg.norm(rest - said, axis=1)
 
-    def probes(self, x: np.ndarray, own: np.ndarray, radius: float) -> np.ndarray:
+    def probes(self, x: np.ndarray, own: np.ndarray, radius: float) -> list[np.ndarray]:
         """Which lists each vector probes."""
-        d = (self.centres * self.centres).sum(1) - 2 * x @ self.centres.T
-        gap = np.sqrt(np.maximum(((self.centres[:, None] - self.centres[None]) ** 2).sum(2), 0))
-        return d - d[np.arange(len(x)), own][:, None] <= 2 * radius * gap[own] + SLACK
+        return probes(self.centres, x, own, radius)
 
     def distances(self, x: np.ndarray, of_list: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric distances from vectors to the members of a list, by lookup in a table for each vector."""
@@ -91,40 +132,32 @@ class Index:
         return np.sqrt(np.maximum(out, 0))
 
 
+def kept_as(vectors: DataFrame, vector_col: str) -> type:
+    """The type that holds the components without loss: float32 for an array<float>, else float64."""
+    return np.float32 if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else np.float64
+
+
 def clean(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """vec_id, label, the vector's key (k1, k2) and its doubles as bytes; null bytes where it can't be compared.
+    """vec_id, label, the vector's key (k1, k2) and its components as bytes; null bytes where it can't be compared.
 
     Vectors of different lengths are never equal in label here: the length is part of the label.
     """
+    kind = kept_as(vectors, vector_col)
 
     def of(batches):
         for batch in batches:
-            values, keys = [], []
-            for vector, label in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist()):
-                own = None
-                if label is not None and vector and None not in vector:
-                    x = np.array(vector, np.float64) + 0.0  # -0.0 is 0.0
-                    if np.isfinite(x).all() and x.any():
-                        own = x.tobytes()
-                values.append(own)
-                keys.append(xxhash.xxh3_128_digest(own or b""))
-            halves = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-            label = pa.array([None if v is None else f"{len(v) // 8}:{x}" for v, x in zip(values, batch.column(1).to_pylist())], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), label, pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(values, pa.binary())], ["vec_id", "label", "k1", "k2", "vector"])
-
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).alias("vector"))
+            ok, size, values = usable(batch.column(2), kind)
+            at = pa.array(np.cumsum(ok) - 1, mask=~ok)
+            labels = pa.array([f"{n}:{x}" for n, x in zip(size.tolist(), batch.column(1).filter(pa.array(ok)).to_pylist())], pa.string())
+            halves = keys(values)
+            yield pa.RecordBatch.from_arrays([batch.column(0), labels.take(at), pa.array(halves[:, 0], pa.int64()).take(at), pa.array(halves[:, 1], pa.int64()).take(at), values.take(at)], ["vec_id", "label", "k1", "k2", "vector"])
+
+    # Without a label a vector is compared with none, as if it were none.
+    own = F.when(F.col(label_col).isNotNull(), F.col(vector_col)).alias("vector")
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), own)
     return rows.mapInArrow(of, "vec_id long, label string, k1 long, k2 long, vector binary")
 
 
-def _matrix(values: list[bytes], width: int) -> np.ndarray:
-    """Vectors as rows, shorter ones filled with zeros, which change no product of equal lengths."""
-    out = np.zeros((len(values), width))
-    for row, value in zip(out, values):
-        x = np.frombuffer(value)
-        row[: len(x)] = x[:width]
-    return out
-
-
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(1, keepdims=True)  # squares of huge or tiny components stay finite
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -176,28 +209,30 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     empty table gives no rows; other columns are not read.
     """
     with scratch() as keep:
-        return _near_duplicates(keep(written(clean(vectors, id_col, vector_col, label_col), "vectors")), cosine, keep)
+        return _near_duplicates(keep(written(clean(vectors, id_col, vector_col, label_col), "vectors")), kept_as(vectors, vector_col), cosine, keep)
 
 
-def _near_duplicates(rows: DataFrame, cosine: float, keep) -> DataFrame:
+def _near_duplicates(rows: DataFrame, kind: type, cosine: float, keep) -> DataFrame:
     radius = math.sqrt(max(0.0, 2 - 2 * cosine)) + SLACK
     usable = rows.where("vector is not null and vec_id is not null")
     classes = written(usable.groupBy("label", "k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("vector").alias("vector")), "classes")
     n, width = classes.agg(F.count("*"), F.max(F.length("vector"))).first()
     if not n:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    width //= 8
-    sample = classes.select("vector", "rep").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("vector").toArrow().column(0).to_pylist()
-    index = Index(_unit(_matrix(sample, width)), max(1, min(MOST_LISTS, n // PER_LIST)))
+    width //= np.dtype(kind).itemsize
+    alike = classes.groupBy("label").count().agg(F.sum(F.pow(F.col("count") / F.lit(float(n)), 2))).first()[0]
+    most = min(MOST_LISTS, n // PER_LIST)
+    sample = classes.select("vector", "rep").orderBy(F.xxhash64("rep"), "rep").limit(max(SAMPLE, EACH * most)).select("vector").toArrow().column(0)
+    sample = _unit(padded(sample, width, kind))
+    index = Index(sample, number_of_lists(sample, n, alike, radius))
 
     def assigned(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 2048):
                 part = batch.slice(a, 2048)
-                x = _unit(_matrix(part.column(3).to_pylist(), width))
+                x = _unit(padded(part.column(3), width, kind))
                 own, codes, errors = index.encode(x)
-                probes = index.probes(x, own, radius)
-                lists = [np.flatnonzero(p).astype(np.int32) for p in probes]
+                lists = index.probes(x, own, radius)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(errors), pa.array(lists, pa.list_(pa.int32()))], ["rep", "label", "weight", "vector", "list", "code", "error", "probes"])
 
     coded = written(classes.select("rep", "label", "weight", "vector").mapInArrow(assigned, "rep long, label string, weight long, vector binary, list int, code binary, error double, probes array<int>"), "coded")
@@ -222,9 +257,9 @@ def _near_duplicates(rows: DataFrame, cosine: float, keep) -> DataFrame:
                 m = int(np.searchsorted(probing, True))
                 if not 0 < m < b - a:
                     continue
-                x = _matrix(part.column("vector").to_pylist(), width)
+                x = padded(part.column("vector"), width, kind)
                 unit, rep = _unit(x), part.column("rep").to_numpy()
-                code = np.frombuffer(b"".join(part.column("code").slice(0, m).to_pylist()), np.uint8).reshape(m, -1)
+                code = rows_of(part.column("code").slice(0, m), np.uint8)
                 held = {"rep": rep[:m], "x": x[:m], "code": code, "error": part.column("error").slice(0, m).to_numpy().astype(np.float32), "weight": part.column("weight").to_numpy()[:m]}
                 counts, hi, lo = _block(index, part.column("list")[0].as_py(), held, {"rep": rep[m:], "x": x[m:], "unit": unit[m:]}, cosine, radius)
                 some = counts > 0

@@ -57,7 +57,7 @@ def test_no_link_is_lost(spark, lists, monkeypatch):
     assert pqdedup.near_duplicates(frame.limit(0)).count() == 0
 
 
-def test_asymmetric_distances_are_within_the_error():
+def test_asymmetric_distances_are_within_the_error(monkeypatch):
     rng = np.random.default_rng(2)
     x = pqdedup._unit(rng.normal(size=(500, 16)))
     index = pqdedup.Index(x, 12)
@@ -68,19 +68,31 @@ def test_asymmetric_distances_are_within_the_error():
         true = np.linalg.norm(x[:, None] - x[m][None], axis=2)
         assert (np.abs(d - true) <= errors[m] + 1e-4).all()
     near = np.linalg.norm(x[:, None] - x[None], axis=2) <= 0.7
-    probes = index.probes(x, own, 0.7)
-    assert all(probes[i, own[j]] for i, j in np.argwhere(near)) and not probes.all()
+    for held in (1 << 24, 12 * 16):  # all at once, and a few vectors at a time
+        monkeypatch.setattr(pqdedup, "HELD", held)
+        probes = index.probes(x, own, 0.7)
+        assert all(own[j] in probes[i] for i, j in np.argwhere(near)) and sum(map(len, probes)) < 12 * 500
+
+
+def test_lists_follow_the_data(monkeypatch):
+    """Many short lists where vectors are clustered, few where they aren't and every one would be probed."""
+    monkeypatch.setattr(pqdedup, "PER_LIST", 500)
+    rng = np.random.default_rng(8)
+    flat = pqdedup._unit(rng.normal(size=(4000, 128)))
+    centres = rng.normal(size=(400, 128))
+    apart = pqdedup._unit(centres[rng.integers(0, 400, 4000)] + 0.1 * rng.normal(size=(4000, 128)))
+    few, many = (pqdedup.number_of_lists(x, 40_000, 1.0, 0.2) for x in (flat, apart))
+    assert few <= 80 < many <= 1000
 
 
 def neighbours_by_hand(rows, every, k):
     usable = [(d, np.array(x, float)) for d, x, _ in rows if d is not None and x and None not in x and np.isfinite(x).all() and any(x)]
-    usable = [(d, x) for d, x in usable if len(x) == 8]
     out = {}
     for d, x in usable:
         if d % every == 0:
             far = {}
             for e, y in usable:
-                if e != d:
+                if e != d and len(x) == len(y):
                     far[e] = min(far.get(e, math.inf), math.sqrt(((x - y) ** 2).sum()))
             out[d] = sorted((s, e) for e, s in far.items())[:k]
     return out
@@ -91,6 +103,7 @@ def test_neighbours_found(spark):
     rows = cloud(rng, 1500)
     rows += [(70_000 + i, x, 1) for i, x in enumerate(ODD)] + [(80_000, rows[0][1][:5], 1), (None, rows[0][1], 1), rows[0]]
     rows += [(90_000 + i, rows[5][1], 1) for i in range(40)]  # many copies
+    rows += [(95_000 + 50 * i, rng.normal(size=5).tolist(), 1) for i in range(30)]  # another length
     frame = spark.createDataFrame(rows, VEC).withColumn("score", F.lit("clash"))
     want = neighbours_by_hand(rows, 100, 10)
     got = {}
@@ -100,7 +113,7 @@ def test_neighbours_found(spark):
     hits = 0
     for q, own in got.items():
         own.sort()
-        assert [r for r, _, _ in own] == list(range(1, 11))
+        assert [r for r, _, _ in own] == list(range(1, len(want[q]) + 1))
         assert [(s, v) for _, v, s in own] == sorted((s, v) for _, v, s in own)
         hits += len({v for _, v, _ in own} & {v for _, v in want[q]})
     assert hits >= 0.95 * sum(map(len, want.values()))
@@ -156,6 +169,13 @@ def test_resampling(spark):
     keys = sorted((r.key for r in rows), reverse=True)
     assert all(r.kept == (r.key >= keys[math.ceil(0.6 * len(rows)) - 1]) for r in rows)
     by = {r.doc_id: r for r in rows}
+    for i, t in enumerate(texts):  # each document's weight and draw
+        bucket, _ = resample._grams(resample.tv.as_strings(pa.array([t], pa.string())))
+        assert by[i].n_grams == len(bucket) and by[i].log_weight == pytest.approx(sum(want[b] for b in bucket.tolist()), abs=1e-9)
+        draw = spark.range(1).select(F.xxhash64(F.lit(23), F.lit(i).cast("long"), F.xxhash64(F.lit(t).cast("string")), F.lit(0).cast("long"))).first()[0] if i < 12 else None
+        if draw is not None:
+            u = (draw % 2**52 + 0.5) / 2**52
+            assert by[i].key == pytest.approx(by[i].log_weight - math.log(-math.log(u)), abs=1e-9)
     assert by[800].log_weight == by[801].log_weight == 0 and by[800].n_grams == 0
     kept = [[by[i].kept for i in range(800) if bool(i % 4) == g] for g in (True, False)]
     assert np.mean(kept[0]) > np.mean(kept[1]) + 0.5
@@ -164,6 +184,20 @@ def test_resampling(spark):
     assert {r.log_weight for r in uniform} == {0.0} and 0.4 < np.mean([r.kept for r in uniform]) < 0.6
 
 
+def test_each_row_has_a_draw_of_its_own(spark, monkeypatch):
+    monkeypatch.setattr(resample, "STEP", 64)
+    rows = [(7, "same text")] * 600 + [(None, "no id")] * 400 + [(None, None)] * 200 + [(8, f"other {i}") for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("clash")).withColumn("key", F.lit(1))
+    targets = spark.createDataFrame([(7,)], "doc_id long")
+    got = resample.resample(frame, targets, share=0.5).collect()
+    assert len(got) == len(rows) and len({r.key for r in got}) == len(rows) and sum(r.kept for r in got) == 750
+    assert {r.kept for r in got if r.doc_id == 7} == {r.kept for r in got if r.doc_id is None} == {True, False}
+    again = resample.resample(frame.repartition(5), targets, share=0.5).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, again), key=repr)
+    long = spark.createDataFrame([(1, "word " * 600_000), (2, "x" * 3_000_000), (3, "")], "doc_id long, text string")
+    assert {r.doc_id: r.n_grams for r in resample.resample(long, targets).collect()} == {1: 1_199_999, 2: 1, 3: 0}
+
+
 def test_kth_largest(spark, monkeypatch):
     monkeypatch.setattr(resample, "FEW", 8)
     monkeypatch.setattr(resample, "BINS", 4)
