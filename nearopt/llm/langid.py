@@ -111,7 +111,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(of, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(tv.trimmed(of), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text") -> DataFrame:
@@ -129,4 +129,4 @@ def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes], text_col: s
                 keep = [not decide(t, compressors)[2] for t in texts.slice(a, b - a).to_pylist()]
                 yield batch.slice(a, b - a).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(of, docs.schema)
+    return docs.mapInArrow(tv.trimmed(of), docs.schema)

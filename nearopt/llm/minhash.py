@@ -135,7 +135,7 @@ def described(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH, p
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(bands, pa.list_(pa.int64())), pa.array(signatures, pa.binary())], names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(of, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, signature binary")
+    return rows.mapInArrow(tv.trimmed(of), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, signature binary")
 
 
 def _sets_of(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame, width: int) -> DataFrame:
@@ -145,7 +145,7 @@ def _sets_of(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame, width:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["rep", "shingles"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    return having(rows, "rep", ids).mapInArrow(of, "rep long, shingles binary")
+    return having(rows, "rep", ids).mapInArrow(tv.trimmed(of), "rep long, shingles binary")
 
 
 def _fixed(column: pa.Array, dtype, width: int) -> np.ndarray:
@@ -315,7 +315,7 @@ def _candidates(rows: DataFrame, least: dict[int, int], percent: int, with_sets:
         if held is not None and len(held):
             yield done(held)
 
-    return rows.mapInArrow(of, "a long, b long").distinct()
+    return rows.mapInArrow(tv.trimmed(of), "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -329,7 +329,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     x = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(of, "a long, b long").distinct()
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(tv.trimmed(of), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

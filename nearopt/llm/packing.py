@@ -30,7 +30,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: Distinct pieces that a worker keeps; then it starts anew.
 MEMO = 1_000_000
 #: Characters that are tokenised at a time.
-CHARS = 1 << 20
+CHARS = 1 << 19
 
 _SPACE, _LETTER, _DIGIT, _SIGN, _ODD = range(5)
 _TOP = 0x180
@@ -255,7 +255,7 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(out, fields)], [f for f, _ in fields])
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids array<int>" if with_ids else "")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(packed, schema)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tv.trimmed(packed), schema)
     return rows.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
 
 

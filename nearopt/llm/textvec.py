@@ -7,6 +7,9 @@ at ASCII white space, so the temporary arrays stay bounded however long a text i
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
 import numpy as np
 import pyarrow as pa
 
@@ -170,3 +173,21 @@ def distinct(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
             parts.append(own)
             count[i] = len(own)
     return (np.concatenate(parts) if parts else np.empty(0, np.uint64)), np.concatenate([[0], np.cumsum(count)])
+
+
+def trimmed(function):
+    """A function of batches whose worker gives its freed memory back when a task ends: workers live on from stage to
+    stage, and an executor's memory is that of all of them."""
+
+    @functools.wraps(function)
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return run
