@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearopt.llm import chat, langid, minhash, mixing, nndescent, packing, pii, pqdedup, resample, secrets
+from nearopt.llm import centroids, chat, fim, langid, minhash, mixing, nndescent, packing, pii, pqdedup, resample, secrets, urlrules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,8 +27,13 @@ def queries() -> dict[str, Query]:
         "op8_minhash": _table("documents", minhash.near_duplicates),
         "op9_secret_scan": _table("documents", lambda t: secrets.scan_digest(t, thorough=True)),
         "op10_mixing": _table("documents", mixing.mix_digest),
+        "op11_fill_in_middle": _table("documents", fim.digest),
+        "op12_url_rules": _table("pages", urlrules.judge),
+        "op13_centroids": _table("embeddings", centroids.cluster),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": chat.SQL, "op2_pq_dedup": pqdedup.SQL, "op8_minhash": minhash.SQL, "op10_mixing": mixing.SQL}
+    return {
+        "op1_chat_format": chat.SQL, "op2_pq_dedup": pqdedup.SQL, "op8_minhash": minhash.SQL, "op10_mixing": mixing.SQL, "op11_fill_in_middle": fim.SQL, "op12_url_rules": urlrules.SQL, "op13_centroids": centroids.SQL,
+    }
