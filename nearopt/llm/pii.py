@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +83,8 @@ _RUNS = re.compile(r"(.)\1+", re.S)
 _DIGITS, _ZEROS = re.compile(r"[0-9]"), re.compile(r"0+")
 #: Shapes up to this length are remembered; longer ones are worked out each time.
 _SHORT = 60
+#: Signs of the collapsed shape and groups of digits that a feature shows of a word's beginning, and another of its end.
+_ENDS, _GROUPS = 12, 6
 _SHAPE = {**{ord(c): "0" for c in "0123456789"}, **{c: "a" for c in range(ord("a"), ord("z") + 1)}, **{c: "A" for c in range(ord("A"), ord("Z") + 1)}}
 
 
@@ -89,10 +92,13 @@ def _of_shape(shape: str) -> tuple[str, ...]:
     """Features of a word's shape, in which 0 is a digit, a another letter or sign above ASCII, A a capital."""
     core = shape.strip(_EDGE)
     digits = core.count("0")
-    groups = [str(min(len(m[0]), 9)) for _, m in zip(range(6), _ZEROS.finditer(core))]
-    out = [f"runs={_RUNS.sub(lambda m: m[1], core)[:12]}", f"digits={digits if digits < 8 else 8 if digits < 13 else 13 if digits < 20 else 20}", f"dots={min(core.count('.'), 4)}", f"dashes={min(core.count('-'), 3)}"]
+    groups = [str(min(len(m[0]), 9)) for m in _ZEROS.finditer(core)]
+    runs = _RUNS.sub(lambda m: m[1], core)
+    out = [f"runs={runs[:_ENDS]}", f"digits={digits if digits < 8 else 8 if digits < 13 else 13 if digits < 20 else 20}", f"dots={min(core.count('.'), 4)}", f"dashes={min(core.count('-'), 3)}"]
+    if len(runs) > _ENDS or len(groups) > _GROUPS:  # the other end as well, and a number of the whole
+        out += [f"end={runs[-_ENDS:]}", f"last-groups={'.'.join(groups[-_GROUPS:])}", f"whole={zlib.crc32('.'.join([runs, *groups]).encode()) % 65536}"]
     out += [f"has={c}" for c in "@+()-%#$_aA" if c in core]
-    out += [f"first={core[:1]}", f"last={core[-1:]}", f"groups={'.'.join(groups)}", f"long={len(core) > 40}"]
+    out += [f"first={core[:1]}", f"last={core[-1:]}", f"groups={'.'.join(groups[:_GROUPS])}", f"long={len(core) > 40}"]
     return tuple(out)
 
 
