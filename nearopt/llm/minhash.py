@@ -1,8 +1,9 @@
 """Near-duplicates on word shingles: MinHash bands, sequential Bayesian pruning, exact verification.
 
 1. One pass over the texts gives each document its number of distinct shingles, a 128-bit key of their set, and a
-   signature of 196 minima (at 85 percent; see scheme), of which hashes of the bands and one byte of each minimum are kept.  Documents with
-   equal sets are one class from here on, represented by its smallest id, so groups of exact copies cost one row.
+   signature of 196 minima (at 85 percent; see scheme), of which hashes of the bands and one byte of each minimum are
+   kept.  Documents with equal sets are one class from here on, so groups of exact copies cost one row.  A class has a
+   number of its own, never an id of a document: ids may repeat, sets don't.
 2. The band hashes give buckets; buckets of one class are dropped.
 3. In a bucket, pairs are compared batch after batch of minima.  After each batch, a pair goes when the posterior
    probability that its similarity reaches the threshold, given its matches so far, is below MISS.
@@ -25,7 +26,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearopt.llm import textvec as tv
@@ -111,10 +112,10 @@ def _sets(texts: pa.Array, width: int):
             yield a + i, flat[bounds[i] : bounds[i + 1]]
 
 
-def described(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH, percent: float = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, the set's key (k1, k2), a hash of each band of its signature and a byte of each minimum,
-    null for an empty set."""
-    names = ["doc_id", "n_shingles", "k1", "k2", "bands", "signature"]
+def described(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH, percent: float = PERCENT, mark: Column | None = None) -> DataFrame:
+    """doc_id, mark (a long of the row, if given), n_shingles, the set's key (k1, k2), a hash of each band of its signature
+    and a byte of each minimum, null for an empty set."""
+    names = ["doc_id", "mark", "n_shingles", "k1", "k2", "bands", "signature"]
 
     def of(batches):
         for batch in batches:
@@ -132,20 +133,29 @@ def described(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH, p
                 bands.append(known[key][0] if len(own) else None)
                 signatures.append(known[key][1] if len(own) else None)
             halves = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(bands, pa.list_(pa.int64())), pa.array(signatures, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(bands, pa.list_(pa.int64())), pa.array(signatures, pa.binary())], names)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(tv.trimmed(of), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, signature binary")
+    mark = F.lit(None).cast("long") if mark is None else mark
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), mark.alias("mark"))
+    return rows.mapInArrow(tv.trimmed(of), "doc_id long, mark long, n_shingles long, k1 long, k2 long, bands array<long>, signature binary")
 
 
 def _sets_of(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame, width: int) -> DataFrame:
+    """(k1, k2, shingles) of the documents of these ids, written; each set once, however often its row repeats."""
+
     def of(batches):
         for batch in batches:
-            sets = [own.tobytes() for _, own in _sets(tv.as_strings(batch.column(1)), width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["rep", "shingles"])
+            sets: dict[bytes, bytes] = {}
+            for _, own in _sets(tv.as_strings(batch.column(1)), width):
+                raw = own.tobytes()
+                sets[xxhash.xxh3_128_digest(raw)] = raw
+            keys = np.frombuffer(b"".join(sets), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(sets.values(), pa.binary())], ["k1", "k2", "shingles"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    return having(rows, "rep", ids).mapInArrow(tv.trimmed(of), "rep long, shingles binary")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text"))
+    sets = written(having(rows, "doc", ids).mapInArrow(tv.trimmed(of), "k1 long, k2 long, shingles binary"), "sets")
+    keys = sets.select("k1", "k2")
+    return sets if keys.count() == keys.distinct().count() else written(sets.dropDuplicates(["k1", "k2"]), "sets")
 
 
 def _fixed(column: pa.Array, dtype, width: int) -> np.ndarray:
@@ -318,8 +328,8 @@ def _candidates(rows: DataFrame, least: dict[int, int], percent: int, with_sets:
     return rows.mapInArrow(tv.trimmed(of), "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold."""
+def _verified(pairs: DataFrame, keys: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets reach the threshold; keys has (rep, k1, k2), sets (k1, k2, shingles)."""
 
     def of(batches):
         for batch in batches:
@@ -327,9 +337,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             ok = [_is_link(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent) for p, q in sets]
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    x = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(tv.trimmed(of), "a long, b long").distinct()
+    for end in "ab":  # the narrow pairs get the keys, so that sets are dealt by what they are written with
+        pairs = pairs.join(keys.select(F.col("rep").alias(end), F.col("k1").alias(f"{end}1"), F.col("k2").alias(f"{end}2")), end)
+    for end, name in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(sets.select(F.col("k1").alias(f"{end}1"), F.col("k2").alias(f"{end}2"), F.col("shingles").alias(name)), [f"{end}1", f"{end}2"])
+    return pairs.select("a", "b", "x", "y").mapInArrow(tv.trimmed(of), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -337,64 +349,84 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words are [^\\x20\\x09-\\x0D]+ with A-Z as a-z; a text of fewer words than width is one shingle; null, empty
     and wordless texts have none and link with nothing.  component_id is the smallest doc_id that links reach,
-    and kept says that it is the row's own.  Repeated rows each have their row; rows that share an id but not a
-    text are one document of the links.  Rows with a null id take no part: component_id is null, kept is true.
-    An empty table gives no rows; columns of docs but these two are not read.
+    and kept says that it is the row's own.  Repeated rows each have their row.  Links are of texts: rows that share an
+    id but not a text are in the groups of their own texts.  Rows with a null id take no part: component_id is null, kept
+    is true.  An empty table gives no rows; columns of docs but these two are not read.
     """
     with scratch() as keep:
-        return _near_duplicates(docs, id_col, text_col, width, percent, keep)
+        return _grouped(docs, id_col, text_col, width, percent, keep).drop("mark", "component")
 
 
-def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, keep) -> DataFrame:
+def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, keep, mark: Column | None = None) -> DataFrame:
+    """doc_id, mark, n_shingles, component (a number of the group of texts, null where a row takes no part),
+    component_id, kept."""
     least = least_matches(percent / 100, hashes=math.prod(scheme(percent)))
-    all_rows = keep(written(described(docs, id_col, text_col, width, percent), "described"))
+    all_rows = keep(written(described(docs, id_col, text_col, width, percent, mark), "described"))
     usable = all_rows.where("signature is not null and doc_id is not null")
-    classes = written(usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "classes")
-    banded = classes.select("rep", F.explode("bands").alias("bucket"))
+    classes = usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")  # numbers hold, as the table is written
+    banded = classes.select("rep", "doc", F.explode("bands").alias("bucket"))
     shared = written(banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     buckets = written(banded.join(shared, "bucket"), "buckets")
-    ids = buckets.select("rep").distinct()
-    signatures = having(classes.select("rep", "signature"), "rep", ids)
-    sets = written(_sets_of(docs, id_col, text_col, ids, width), "sets")
-    rows = buckets.join(signatures, "rep").withColumn("comp", F.col("rep"))
+    signatures = having(classes.select("rep", "signature"), "rep", buckets.select("rep").distinct())
+    sets = _sets_of(docs, id_col, text_col, buckets.select("doc").distinct(), width)
+    rows = buckets.drop("doc").join(signatures, "rep").withColumn("comp", F.col("rep"))
     pairs = written(_candidates(_dealt(rows), least, percent), "pairs")
-    links = written(_verified(pairs, sets, percent), "links")
+    links = written(_verified(pairs, classes.select("rep", "k1", "k2"), sets, percent), "links")
     comps = components(links)
     named = lambda df, to: df.withColumnsRenamed({"id": "rep", "component": to})
-    large = buckets.where(F.col("n") > SMALL).join(named(comps, "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    large = buckets.drop("doc").where(F.col("n") > SMALL).join(named(comps, "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     large = written(large, "large")
     open_ = large.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
     last = written(large.join(open_, "bucket"), "open")
     if last.take(1):
-        last = last.join(classes.select("rep", "bands", "signature"), "rep").join(sets.dropDuplicates(["rep"]), "rep")
+        last = last.join(classes.select("rep", "k1", "k2", "bands", "signature"), "rep").join(sets, ["k1", "k2"])
         more = written(_candidates(_crossed(last), least, percent, True), "links")
         # What is known of the components stands for the links before.
         comps = components(more.unionByName(comps.select(F.col("id").alias("a"), F.col("component").alias("b"))))
-    keyed = classes.select("k1", "k2", "rep")
-    keyed = keyed.join(named(comps, "component_id"), "rep", "left").withColumn("component_id", F.coalesce("component_id", "rep"))
-    keyed = keep(written(keyed.select("k1", "k2", "component_id"), "keyed"))
-    out = all_rows.select("doc_id", "n_shingles", "k1", "k2", F.col("signature").isNull().alias("empty")).join(keyed, ["k1", "k2"], "left")
-    component = F.when(F.col("empty") | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    comps = named(comps, "comp")
+    members = comps.unionByName(comps.select(F.col("comp").alias("rep"), "comp").distinct())
+    firsts = members.join(classes.select("rep", "doc"), "rep").groupBy("comp").agg(F.min("doc").alias("component_id"))
+    keyed = classes.select("k1", "k2", "rep", "doc").join(members.join(firsts, "comp"), "rep", "left")
+    keyed = keep(written(keyed.select("k1", "k2", F.coalesce("comp", "rep").alias("component"), F.coalesce("component_id", "doc").alias("component_id")), "keyed"))
+    apart = F.col("signature").isNull() | F.col("doc_id").isNull()
+    out = all_rows.select("doc_id", "mark", "n_shingles", "k1", "k2", apart.alias("apart")).join(keyed, ["k1", "k2"], "left")
+    own = lambda c, other: F.when(F.col("apart"), other).otherwise(F.col(c)).alias(c)
+    out = out.select("doc_id", "mark", "n_shingles", own("component", F.lit(None)), own("component_id", F.col("doc_id")))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """docs without the rows that near_duplicates doesn't keep; all columns stay, whatever their names.
+    """docs with one row of each group of near copies; all columns stay, whatever their names.
 
-    Of rows that share an id one stays, that of the smallest hash of all its columns, so reruns agree.  Rows with a
-    null id and rows without words all stay, but for repeated ids; an empty table stays empty.
+    Of a group stays the row of the smallest id, of several of that id the one with the smallest hash of all its columns,
+    so reruns agree; of rows equal in all columns one stays.  Rows that share an id but not a text are rows of their own
+    groups: unlike texts all stay, whatever their ids.  Rows with a null id and rows without words all stay; an empty
+    table stays empty.
     """
+    flat = [F.to_json(c) if "map<" in t else c for c, t in ((F.col(f"`{n}`"), t) for n, t in docs.dtypes)]
+    mark = F.xxhash64(*flat, *[c.isNull() for c in flat])
     with scratch() as keep:
-        found = keep(written(near_duplicates(docs, id_col, text_col, percent=percent).select("doc_id", "kept"), "kept"))
-    rest = having(docs, id_col, found.where("not kept").select("doc_id"), "left_anti")
-    repeated = written(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if not repeated.take(1):
+        found = written(_grouped(docs, id_col, text_col, WIDTH, percent, keep, mark).select("doc_id", "mark", "component").where("doc_id is not null"), "found")
+        first = found.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
+        stays = first.select("first.*").unionByName(found.where("component is null").select("doc_id", "mark"))
+        stays = written(stays.withColumn("staying", F.lit(1)), "stays")
+        by_id = found.groupBy("doc_id").agg(F.count("*").alias("n")).join(stays.groupBy("doc_id").agg(F.sum("staying").alias("m")), "doc_id", "left")
+        gone = keep(written(by_id.where("m is null").select("doc_id"), "gone"))
+        # Ids of which some rows go and others stay: these rows are told apart by their marks.
+        parted = keep(written(by_id.where("m < n").select("doc_id"), "parted"))
+        some = keep(written(having(stays.select("doc_id", "mark"), "doc_id", parted).distinct(), "some"))
+        wordless = keep(written(having(found.where("component is null").select("doc_id", "mark"), "doc_id", parted).distinct(), "wordless"))
+    rest = having(docs, id_col, gone, "left_anti")
+    if not parted.take(1):
         return rest
-    mark, own, least = (free(name, docs) for name in ("mark", "own", "least"))
-    marked = having(rest, id_col, repeated).withColumn(mark, F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))))
-    first = marked.groupBy(F.col(f"`{id_col}`").alias(own)).agg(F.min(mark).alias(least))
-    one = marked.join(first, (F.col(f"`{id_col}`") == F.col(own)) & (F.col(mark) == F.col(least)), "left_semi").drop(mark)
-    return having(rest, id_col, repeated, "left_anti").unionByName(one.dropDuplicates([id_col]))
+    name, own, of = (free(n, docs) for n in ("mark", "own_id", "own_mark"))
+    some, wordless = (t.toDF(own, of) for t in (some, wordless))
+    here = (F.col(f"`{id_col}`").cast("long") == F.col(own)) & (F.col(name) == F.col(of))
+    marked = having(rest, id_col, parted).withColumn(name, mark)
+    winners = marked.join(some, here, "left_semi").join(wordless, here, "left_anti").dropDuplicates([id_col, name])
+    empty = marked.join(wordless, here, "left_semi")
+    return having(rest, id_col, parted, "left_anti").unionByName(winners.unionByName(empty).drop(name))
 
 
 SQL = r"""

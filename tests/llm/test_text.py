@@ -137,13 +137,45 @@ def test_very_long_texts(spark):
     assert result(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == by_hand(rows)
 
 
-def test_repeated_ids_keep_the_same_row(spark):
+def test_unlike_texts_stay_whatever_their_ids(spark):
     rows = [(i % 20, f"text number {i} of many words that differ {i * 7}", "en", "s", i) for i in range(200)] + [(None, "a b c", "en", "s", k) for k in range(3)]
-    frames = [spark.createDataFrame(r, DOC).select("n_chars", "text", "doc_id", "lang").repartition(k).withColumn("mark", F.lit("clash")).withColumn("own_id", F.lit(1)) for r, k in ((rows, 1), (rows[::-1], 7))]
+    frames = [spark.createDataFrame(r, DOC).select("n_chars", "text", "doc_id", "lang").repartition(k).withColumn("mark", F.lit("clash")).withColumn("component", F.lit(1)) for r, k in ((rows, 1), (rows[::-1], 7))]
     first, second = (sorted(map(tuple, minhash.drop_near_duplicates(f).collect()), key=repr) for f in frames)
-    assert first == second and len(first) == 23
+    assert first == second and len(first) == 203
     assert minhash.drop_near_duplicates(frames[0]).columns == frames[0].columns
     assert minhash.drop_near_duplicates(frames[0].limit(0)).count() == 0
+    some = [(1, "a b c d e f g"), (1, "h i j k l m n"), (2, "o p q r s t u")]
+    kept = minhash.drop_near_duplicates(spark.createDataFrame(some, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept)) == some
+
+
+def test_of_rows_of_one_id_one_of_each_group_stays(spark):
+    tags = spark.createDataFrame([(1, "a b c d e f", 5), (1, "A B c d e f", 6), (1, "x y z", 7), (0, "x y z", 8), (1, "", 9), (1, None, 9), (1, None, 9), (3, "q r s t u v", 1), (3, "q r s t u v", 1), (None, "x y z", 2), (None, "x y z", 2)], "doc_id long, text string, n int")
+    tags = tags.withColumn("tags", F.create_map(F.lit("k"), F.col("n")))
+    kept = sorted(((r.doc_id, r.text, r.n) for r in minhash.drop_near_duplicates(tags).collect()), key=repr)
+    one = [r for r in kept if r[0] == 1 and r[2] in (5, 6)]
+    assert len(one) == 1
+    assert kept == sorted([*one, (0, "x y z", 8), (1, "", 9), (1, None, 9), (1, None, 9), (3, "q r s t u v", 1), (None, "x y z", 2), (None, "x y z", 2)], key=repr)
+
+
+def test_repeated_ids_in_large_buckets_lose_no_link(spark):
+    """Three families of near copies, larger than a chunk, whose rows share their ids."""
+    rng = random.Random(12)
+    rows = []
+    for family in range(3):
+        base = [f"f{family}w{k}" for k in range(70)]
+        for i in range(160):
+            words = list(base)
+            for _ in range(rng.randint(0, 1)):
+                words[rng.randrange(1, 70)] = f"x{rng.random()}"
+            rows.append((i % 40 + family, " ".join(words)))
+    rows += [(40, "x y z")] * 50  # and repeated rows
+    frames = [spark.createDataFrame(r, "doc_id long, text string").repartition(k) for r, k in ((rows, 2), (rows[::-1], 5))]
+    first, second = (sorted(map(tuple, minhash.near_duplicates(f).collect())) for f in frames)
+    assert first == second
+    assert sorted((d, c) for d, _, c, _ in first) == sorted((d, int(t[1]) if t[0] == "f" else 40) for d, t in rows)
+    kept = [sorted(map(tuple, minhash.drop_near_duplicates(f).collect())) for f in frames]
+    assert kept[0] == kept[1] and sorted((d, t[:2]) for d, t in kept[0]) == [(0, "f0"), (1, "f1"), (2, "f2"), (40, "x ")]
 
 
 def test_stragglers_of_a_large_bucket_are_compared_with_all(spark, monkeypatch):
@@ -414,3 +446,9 @@ def test_personal_data_rows(spark):
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and r.spans.startswith(joined)
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == x for k, _, _ in base) for x in range(4))
     assert pii.find(frame.limit(0)).count() == 0
+
+
+def test_words_that_differ_anywhere_have_other_features():
+    pairs = [("1-2-3-4-5-6-77-8", "1-2-3-4-5-6-7-88"), ("a.1" * 30 + "-" + "a.1" * 30, "a.1" * 29 + "-" + "a.1" * 31), ("1-" * 9 + "22-" + "1-" * 9 + "1", "1-" * 10 + "22-" + "1-" * 8 + "1")]
+    for a, b in pairs:
+        assert set(pii.features(a)) != set(pii.features(b))
