@@ -41,6 +41,8 @@ ALLOW = (
 _SPAN = "struct<start:long,kind:int,end:long>"
 #: Lengths are summed in blocks of this many, so that long lists cost no square.
 _BLOCK = 64
+#: A text is cut at positions by way of pieces of this many code points.
+_PIECE = 1024
 
 
 def _let(value: Column, body) -> Column:
@@ -48,16 +50,36 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _blocks(items: Column) -> Column:
+    """A list that isn't empty, in lists of _BLOCK; items is a value, as it is looked up for each of them."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / _BLOCK).cast("int")), lambda b: F.slice(items, b * _BLOCK + 1, F.lit(_BLOCK)))
+
+
 def _before(lengths: Column) -> Column:
     """Exclusive running sums of an array of longs, by blocks."""
     zero = F.lit(0).cast("long")
     none = F.array().cast("array<long>")
     start = F.struct(zero.alias("s"), none.alias("o"))
     step = lambda acc, x: F.struct((acc["s"] + x).alias("s"), F.concat(acc["o"], F.array(acc["s"])).alias("o"))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _BLOCK).cast("int")), lambda b: F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK)))
     sums = lambda parts: F.aggregate(F.transform(parts, lambda x: F.aggregate(x, zero, lambda a, v: a + v)), start, step)["o"]
     within = lambda x, s: F.aggregate(x, F.struct(s.alias("s"), none.alias("o")), step)["o"]
-    return _let(blocks, lambda parts: F.flatten(F.zip_with(parts, sums(parts), within)))
+    return _let(_let(lengths, _blocks), lambda parts: F.flatten(F.zip_with(parts, sums(parts), within)))
+
+
+def _running(items: Column, start: Column, after, put, row: str) -> Column:
+    """put(state, x) for each item, where the state goes from start to after(state, x): an array of `row`.
+
+    Results are gathered by blocks, so a list of n costs n times the size of a block and not the square of n."""
+    none = F.array().cast(f"array<{row}>")
+
+    def within(block: Column, s: Column) -> Column:
+        return F.aggregate(block, F.struct(s.alias("s"), none.alias("o")), lambda acc, x: F.struct(after(acc["s"], x).alias("s"), F.concat(acc["o"], F.array(put(acc["s"], x))).alias("o")))
+
+    def over(acc: Column, block: Column) -> Column:
+        return _let(within(block, acc["s"]), lambda r: F.struct(r["s"].alias("s"), F.concat(acc["o"], F.array(r["o"])).alias("o")))
+
+    first = F.struct(start.cast("long").alias("s"), F.array().cast(f"array<array<{row}>>").alias("o"))
+    return _let(items, lambda x: F.when(F.size(x) > 0, F.flatten(F.aggregate(_blocks(x), first, over)["o"])).otherwise(none))
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -141,10 +163,45 @@ def entropy_spans(text: Column, base: Column, thorough: bool = False) -> Column:
     found = F.filter(matches(text, CANDIDATE), lambda m: ~known(m["hit"]))
     at = F.transform(found, lambda m: F.struct(m["start"].alias("start"), hot_window(m["hit"], thorough=thorough).alias("w")))
     hot = F.transform(F.filter(at, lambda m: m["w"]["first"].isNotNull()), lambda m: F.struct((m["start"] + m["w"]["first"]).alias("start"), F.lit(KINDS.index("entropy")).alias("kind"), (m["start"] + m["w"]["last"] + WINDOW).alias("end")))
-    if thorough:
-        reach = lambda h: F.aggregate(F.array_sort(base), h["start"], lambda at, b: F.when(b["start"] <= at, F.greatest(at, b["end"])).otherwise(at))
-        return F.filter(hot, lambda h: reach(h) < h["end"])
-    return F.filter(hot, lambda h: ~F.exists(base, lambda b: (b["start"] < h["end"]) & (h["start"] < b["end"])))
+    return _let(hot, lambda h: F.when(F.size(h) > 0, _beside(h, _stretches(base), thorough)).otherwise(h))
+
+
+def _stretches(spans: Column) -> Column:
+    """Spans in any order as maximal stretches (start, end) that don't touch, in order."""
+    row = "struct<start:long,end:long>"
+    # What each span finds as the furthest end before it; one that starts beyond begins a stretch.
+    seen = _running(F.array_sort(spans.cast(f"array<{_SPAN}>")), F.lit(-1), lambda s, x: F.greatest(s, x["end"]), lambda s, x: F.struct(x["start"].alias("start"), s.alias("end")), row)
+
+    def closed(first: Column) -> Column:
+        ends = F.concat(F.transform(F.slice(first, F.lit(2), F.size(first)), lambda x: x["end"]), F.array(F.array_max(F.transform(spans, lambda x: x["end"]))))
+        return F.zip_with(first, ends, lambda x, e: F.struct(x["start"].alias("start"), e.alias("end")))
+
+    return _let(F.filter(seen, lambda x: x["start"] > x["end"]), lambda first: F.when(F.size(first) > 0, closed(first)).otherwise(F.array().cast(f"array<{row}>")))
+
+
+def _beside(hot: Column, stretches: Column, thorough: bool) -> Column:
+    """The spans of hot, in order and apart, that no stretch overlaps; thorough: that none covers whole.  Both lists are
+    walked together, once."""
+    kind = KINDS.index("entropy")
+    both = lambda known: F.array_sort(F.concat(F.transform(known, lambda x: F.struct(x["start"].alias("start"), F.lit(0).alias("kind"), x["end"].alias("end"))), hot).cast(f"array<{_SPAN}>"))
+    row = "struct<start:long,kind:int,end:long,seen:long>"
+
+    def seeing(items: Column, start: int, what: str) -> Column:
+        """The spans of hot, each with `what` of the stretch that came last."""
+        after = lambda s, x: F.when(x["kind"] == kind, s).otherwise(x[what])
+        out = _running(items, F.lit(start), after, lambda s, x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), s.alias("seen")), row)
+        return F.filter(out, lambda x: x["kind"] == kind)
+
+    def left(items: Column) -> Column:
+        behind = seeing(items, -1, "end")
+        if thorough:
+            return F.filter(behind, lambda x: x["seen"] < x["end"])
+        ahead = F.reverse(seeing(F.reverse(items), (1 << 62), "start"))
+        clear = F.zip_with(behind, ahead, lambda x, y: F.when((x["seen"] <= x["start"]) & (y["seen"] >= x["end"]), x))
+        return F.filter(clear, lambda x: x.isNotNull())
+
+    spans = _let(both(stretches), left)
+    return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
 
 
 def spans_of(text: Column, thorough: bool = False) -> Column:
@@ -180,28 +237,33 @@ def scan_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.select("doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)], F.size("spans").cast("long").alias("n_found"), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
-def _merged(spans: Column) -> Column:
-    """Spans in order of their starts as stretches (start, end) that don't touch."""
+def _without(text: Column, stretches: Column, mark: str) -> Column:
+    """The text with each stretch replaced by mark.  Positions are looked up in pieces of the text, so that a cut costs a
+    piece and not the way from the text's start."""
+    zero = F.lit(0).cast("long")
+    piece = lambda at: (F.floor(at / _PIECE) + 1).cast("int")
+
+    def cut(pieces: Column) -> Column:
+        one = lambda at: F.coalesce(F.get(pieces, piece(at) - 1), F.lit(""))
+        low = lambda at: (at % _PIECE).cast("int")
+
+        def between(a: Column, b: Column) -> Column:
+            inner = F.substring(one(a), low(a) + 1, (b - a).cast("int"))
+            over = F.concat(F.substring(one(a), low(a) + 1, F.lit(_PIECE)), F.array_join(F.slice(pieces, piece(a) + 1, piece(b) - piece(a) - 1), ""), F.substring(one(b), F.lit(1), low(b)))
+            return F.when(piece(a) == piece(b), inner).otherwise(over)
 
-    def step(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
-        joins = (F.size(acc) > 0) & (last["end"] >= s["start"])
-        return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))))
+        gaps = F.zip_with(F.concat(F.array(zero), F.transform(stretches, lambda s: s["end"])), F.concat(F.transform(stretches, lambda s: s["start"]), F.array(F.length(text).cast("long"))), between)
+        return F.array_join(gaps, mark)
 
-    return F.aggregate(spans, F.array().cast("array<struct<start:long,end:long>>"), step)
+    return _let(F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{_PIECE}}}"), F.lit(0)), cut)
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", thorough: bool = False) -> DataFrame:
     """docs with each maximal stretch of spans in the text replaced by mark; other texts and columns stay as they are,
     whatever their names.  Null and empty texts stay; repeated rows and null ids are treated each for itself; an empty
     table stays empty."""
-    text = F.col(f"`{text_col}`")
-
-    def cleaned(m: Column) -> Column:
-        zero, n = F.lit(0).cast("long"), F.length(text).cast("long")
-        gaps = F.zip_with(F.concat(F.array(zero), F.transform(m, lambda s: s["end"])), F.concat(F.transform(m, lambda s: s["start"]), F.array(n)), lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int")))
-        return F.array_join(gaps, mark)
-
-    clean = _let(spans_of(text, thorough), lambda spans: F.when(F.size(spans) > 0, _let(_merged(spans), cleaned)).otherwise(text))
-    return docs.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    text, found, parts = F.col(f"`{text_col}`"), free("spans", docs), free("stretches", docs)
+    # A column at a time: one expression of all of it is nested deeper than the analyser goes.
+    rows = scan(docs, text_col, found, thorough).withColumn(parts, _stretches(F.col(found)))
+    clean = F.when(F.size(parts) > 0, _without(text, F.col(parts), mark)).otherwise(text)
+    return rows.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

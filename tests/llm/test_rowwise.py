@@ -215,6 +215,47 @@ def test_a_long_candidate_is_walked_once(spark):
     assert got[0] == ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in entropy_by_hand(f"x {run} y", base_by_hand(f"x {run} y")))
 
 
+def test_many_spans_cost_no_square(spark):
+    rng = random.Random(5)
+    runs = [("".join(rng.choice("0123456789abcdef") for _ in range(32)), "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZ23456789abcdefghijkmnopqrstuvwxyz") for _ in range(24))) for _ in range(16_000)]
+    text = " ".join(f"{a} {b}" for a, b in runs)
+    frame = docs(spark, [text, "é" * 1023 + " deadbeefdeadbeef1 " + "é" * 2100 + " 0123456789abcdef0 " + "é" * 1024])
+    secrets.redact(frame.limit(0), thorough=True).collect()
+    began = time.perf_counter()
+    clean = {r.doc_id: r.text for r in secrets.redact(frame, thorough=True).collect()}
+    spans = {r.doc_id: r for r in secrets.scan_digest(frame, thorough=True).collect()}
+    assert time.perf_counter() - began < 40  # both of them, of which most is the windows; a square would take minutes
+    assert spans[0].n_hex >= 16_000 and spans[0].n_entropy >= 10_000
+    assert clean[0].count("[SECRET]") >= 16_000 + spans[0].n_entropy - 100 and not any(a in clean[0] for a, _ in runs[::100])
+    assert clean[1] == "é" * 1023 + " [SECRET] " + "é" * 2100 + " [SECRET] " + "é" * 1024
+
+
+def test_stretches_and_what_lies_beside_them(spark):
+    rng = random.Random(7)
+    rows = []
+    for i in range(300):
+        cut = sorted(rng.sample(range(400), 2 * rng.randint(0, 60)))
+        hot = [(a, 3, b) for a, b in zip(cut[::2], cut[1::2])]
+        base = [(a, rng.randrange(3), a + rng.randint(1, 12)) for a in rng.sample(range(400), rng.randint(0, 150))]
+        rows.append((i, base, hot))
+    span = "array<struct<start:long,kind:int,end:long>>"
+    frame = spark.createDataFrame(rows, f"i int, base {span}, hot {span}")
+    frame = frame.withColumn("stretches", secrets._stretches(F.col("base")))
+    frame = frame.withColumn("apart", secrets._beside(F.col("hot"), F.col("stretches"), False)).withColumn("open", secrets._beside(F.col("hot"), F.col("stretches"), True))
+    for r in frame.collect():
+        marked, joined = set(), []
+        for a, _, b in sorted((x.start, x.kind, x.end) for x in r.base):
+            marked |= set(range(a, b))
+            if joined and a <= joined[-1][1]:
+                joined[-1][1] = max(joined[-1][1], b)
+            else:
+                joined.append([a, b])
+        hot = [(x.start, x.kind, x.end) for x in r.hot]
+        assert [[x.start, x.end] for x in r.stretches] == joined
+        assert [tuple(x) for x in r.apart] == [h for h in hot if not marked & set(range(h[0], h[2]))]
+        assert [tuple(x) for x in r.open] == [h for h in hot if not set(range(h[0], h[2])) <= marked]
+
+
 def test_clashing_columns_stay(spark):
     extra = {"__spans": F.lit(7), "spans": F.lit("mine"), "ID": F.lit(1), "mark": F.lit(2), "row": F.lit(3), "key": F.lit(4), "size": F.lit(5)}
     frame = docs(spark, ["token=abcdefghijklmnop", None, ""]).withColumns(extra)
