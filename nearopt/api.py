@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from nearopt.config import FeatureSpec, SetConfig
-from nearopt.operators import certify, diagnose, importance, multiplicity, oracle
+from nearopt.operators import certify, covering, diagnose, importance, multiplicity, oracle, reliance_bounds, shapley, validity
 from nearopt.operators import fit as fitting
 from nearopt.operators import sample as drawing
 
@@ -129,6 +129,27 @@ class NearOptimalSet:
     def model_class_reliance_matrix(self, df: DataFrame, **how) -> DataFrame:
         return importance.reliance(self._set(), df, **how)
 
+    def reliance_bounds(self, df: DataFrame, **how) -> DataFrame:
+        """A row per feature: the least and the largest reliance of any model of the set, and these models."""
+        return reliance_bounds.bounds(self._set(), df, **how)
+
+    def shapley_values(self, df: DataFrame, **how) -> DataFrame:
+        """A row per feature; shapley_matrix has the values of each draw."""
+        return shapley.summary(shapley.shapley(self._set(), df, **how), self._set().spec)
+
+    def shapley_matrix(self, df: DataFrame, **how) -> DataFrame:
+        return shapley.shapley(self._set(), df, **how)
+
+    # the set's shape
+    def trust_region(self, share: float = 0.1) -> DataFrame:
+        return validity.trust_region(self._set(), share)
+
+    def covering(self, df: DataFrame, samples=None, n_samples: int = 100, **how) -> DataFrame:
+        return covering.capacity(self._set(), df, self.sample(n_samples) if samples is None else samples, **how)
+
+    def row_capacity(self, df: DataFrame, **how) -> DataFrame:
+        return covering.row_capacity(self._set(), df, **how)
+
     # multiplicity
     def compute_threshold(self, df: DataFrame | None = None, mode: str = "fixed", value: float | None = None, **how) -> float:
         return multiplicity.threshold(self._set(), df, mode, value, **how)

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from nearopt.operators import linalg
+from nearopt.operators import highdim, linalg
 from nearopt.operators.fit import FittedSet
 from nearopt.operators.stats import matrix
 
@@ -31,8 +31,13 @@ def calibrated(fitted: FittedSet) -> FittedSet:
     if c.epsilon_mode == "percent_loss":
         return fitted.with_epsilon(_clipped(c.epsilon, "percent_loss") * fitted.l_hat, None, "percent_loss")
     if c.epsilon_mode == "LR_alpha_highdim":
-        warnings.warn("LR_alpha_highdim has no correction of its own; 5 % of the loss is used", stacklevel=2)
-        return fitted.with_epsilon(FALLBACK * fitted.l_hat, None, "fallback")
+        found = highdim.correction(fitted) if c.estimator == "logistic" else None
+        if found is None:
+            why = "the classes can be told apart with so many features" if c.estimator == "logistic" else "the correction is for logistic models"
+            warnings.warn(f"{why}; 5 % of the loss is used", stacklevel=2)
+            return fitted.with_epsilon(FALLBACK * fitted.l_hat, None, "fallback")
+        alpha = _clipped(c.epsilon, "LR_alpha_highdim")
+        return fitted.with_epsilon(found["factor"] * wilks(fitted, alpha).epsilon, alpha, "highdim")
     alpha = _clipped(c.epsilon, "LR_alpha")
     if c.safety_override:
         return wilks(fitted, alpha)

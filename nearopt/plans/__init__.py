@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearopt.plans import calls, catalog, preparation
+from nearopt.plans import calls, catalog, preparation, whole_set
 from nearopt.plans.catalog import flagship
 
 __all__ = ["flagship", "oracle_sql", "queries"]
 
-_ALL = catalog.QUERIES | preparation.QUERIES | calls.QUERIES
+_ALL = catalog.QUERIES | preparation.QUERIES | calls.QUERIES | whole_set.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -116,7 +116,7 @@ def _wilks(s, f) -> DataFrame:
 def _modes(s, f) -> DataFrame:
     """What each mode makes of epsilon, as a share of the loss where it is one."""
     rows = []
-    cases = (("percent", "linear", {"epsilon": 0.02}), ("clipped", "linear", {"epsilon": 1.5}), ("linear", "linear", {"epsilon_mode": "LR_alpha", "epsilon": 0.1}), ("highdim", "logistic", {"epsilon_mode": "LR_alpha_highdim"}), ("without", "logistic", {"epsilon_mode": "LR_alpha", "epsilon": 0.1, "bootstrap_fallback": False}))
+    cases = (("percent", "linear", {"epsilon": 0.02}), ("clipped", "linear", {"epsilon": 1.5}), ("linear", "linear", {"epsilon_mode": "LR_alpha", "epsilon": 0.1}), ("highdim", "linear", {"epsilon_mode": "LR_alpha_highdim"}), ("without", "logistic", {"epsilon_mode": "LR_alpha", "epsilon": 0.1, "bootstrap_fallback": False}))
     linear, logistic = C.part_set(s, f), C.document_set(s, f)
     for name, kind, params in cases:
         base = linear if kind == "linear" else logistic

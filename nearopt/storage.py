@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,3 +27,18 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
     return f"{shared_dir(spark)}/nearopt/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, read back; dropped() deletes it."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.nearopt_path = path
+    return out
+
+
+def dropped(table: DataFrame) -> None:
+    """Delete a table of written() that no later step reads."""
+    at = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.nearopt_path)
+    at.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(at, True)

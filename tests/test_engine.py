@@ -373,7 +373,7 @@ def test_epsilon_modes(spark):
     assert linalg.chi2_quantile(0.95, 6) == pytest.approx(12.591587243743977)  # a value of tables
     s, df, x, y = fitted(spark, epsilon_mode="LR_alpha", epsilon=0.05, safety_override=True)
     assert s.fitted.epsilon == pytest.approx(0.5 * linalg.chi2_quantile(0.95, 3) / 80) and s.fitted.alpha == 0.05
-    for params, kind in (({"epsilon_mode": "LR_alpha_highdim"}, "logistic"), ({"epsilon_mode": "LR_alpha", "bootstrap_fallback": False}, "logistic"), ({"epsilon_mode": "LR_alpha"}, "linear")):
+    for params, kind in (({"epsilon_mode": "LR_alpha_highdim"}, "linear"), ({"epsilon_mode": "LR_alpha", "bootstrap_fallback": False}, "logistic"), ({"epsilon_mode": "LR_alpha"}, "linear")):
         with pytest.warns(UserWarning):
             f, *_ = fitted(spark, kind, **params)
         assert f.fitted.epsilon == pytest.approx(0.05 * f.fitted.l_hat) and f.fitted.alpha is None
