@@ -10,9 +10,10 @@ nodes of its pool, by joins with the graph and the vectors, until its pool has n
 travel as bytes with a scale of their own; the last step ranks the pool by exact distances of the original vectors.
 
 How large a pool must be depends on the data and grows with the table, so it is measured: a sample of the queries is
-also compared with all nodes, and the pool is doubled until the search finds GOAL of the sample's true neighbours.
-Where the lists of so large a pool would hold as many entries as there are nodes, all queries are compared with all
-nodes instead.
+also compared with all nodes, and the search is widened until it finds GOAL of the sample's true neighbours: pool, entry
+nodes and the nodes ranked exactly are doubled.  Where bytes tell the neighbours apart too coarsely, which the sample
+shows too, the graph is built anew over components of four bytes.  Every query is answered by the graph search, at every
+size; at its widest that reaches all nodes.
 
 All groups are streamed in sorted order with bounded samples, so no group is held that grows with the data.
 """
@@ -43,8 +44,9 @@ REST = 0.002
 #: Share of the true neighbours of the sample that a search must find, and queries of the sample at most.  The margin
 #: over the 0.9 required is several standard errors of a sample.
 GOAL, SAMPLE = 0.92, 1024
-#: Queries that are compared with all nodes at once, and nodes in a step of that.
-ASKED, STEP = 1024, 2048
+#: Nodes that the sample is compared with at once; entry nodes up to which they are broadcast; largest size of a
+#: component in a code.
+STEP, SENT, CODED = 2048, 65_536, 1e18
 
 _LISTS = "ids array<long>, dists array<float>, fresh array<boolean>"
 #: Proposals to a node: others and their squared distances.
@@ -68,16 +70,35 @@ def _doubles(values) -> np.ndarray:
     return rows_of(values, np.float64)
 
 
-def _coded(x: np.ndarray) -> list[bytes]:
-    """A float32 scale and a signed byte for each component."""
-    scale = np.abs(x).max(1) / 127
+def _coded(x: np.ndarray, precise: bool = False) -> list[bytes]:
+    """A float32 scale and a signed byte for each component; precise: 0, and a float32 for each.  Components are held
+    within CODED, so that their squared distances are finite."""
+    x = np.clip(x, -CODED, CODED)
+    if precise:
+        return [bytes(4) + r.tobytes() for r in x.astype(np.float32)]
+    scale = np.maximum(np.abs(x).max(1) / 127, 1e-37)
     q = np.rint(x / scale[:, None]).astype(np.int8)
     return [s.tobytes() + r.tobytes() for s, r in zip(scale.astype(np.float32), q)]
 
 
 def _decoded(codes) -> np.ndarray:
     raw = rows_of(codes, np.uint8)
-    return raw[:, 4:].view(np.int8).astype(np.float32) * raw[:, :4].copy().view(np.float32)
+    scale = raw[:, :4].copy().view(np.float32)
+    if len(raw) and not scale[0, 0]:
+        return np.ascontiguousarray(raw[:, 4:]).view(np.float32)
+    return raw[:, 4:].view(np.int8).astype(np.float32) * scale
+
+
+def _recoded(rows: DataFrame) -> DataFrame:
+    """rows with precise codes of their vectors."""
+
+    def of(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("code")
+            new = pa.array(_coded(_doubles(batch.column(batch.schema.get_field_index("vector"))), True) if batch.num_rows else [], pa.binary())
+            yield batch.set_column(at, "code", new)
+
+    return written(rows.mapInArrow(of, rows.schema), "precise")
 
 
 def _groups(batches, column: str = "node"):
@@ -393,7 +414,7 @@ def _measured(cands: DataFrame) -> DataFrame:
     return cands.select("query", "cand", "asked", "bound", "code").mapInArrow(of, "query long, cand long, near float")
 
 
-def search(graph: DataFrame, adjacent: DataFrame, queries: DataFrame, size: int, exact: int) -> DataFrame:
+def search(graph: DataFrame, adjacent: DataFrame, queries: DataFrame, size: int, exact: int, enter: int = ENTRIES) -> DataFrame:
     """(query, node): the exact best nodes found for each query (query, code, own node or null) by greedy search.
 
     A hop expands nodes of the pools that weren't before: they are joined with the graph, and their neighbours with
@@ -402,7 +423,8 @@ def search(graph: DataFrame, adjacent: DataFrame, queries: DataFrame, size: int,
     expand a few nodes of a few queries each; they are left out once all that is left to expand is REST of the pools.
     """
     codes = graph.select(F.col("node").alias("cand"), "code")
-    entries = F.broadcast(codes.orderBy(F.xxhash64("cand"), "cand").limit(ENTRIES))
+    entries = codes.orderBy(F.xxhash64("cand"), "cand").limit(enter)
+    entries = F.broadcast(entries) if enter <= SENT else written(entries, "entries")
     empty = {"pool": F.array().cast("array<long>"), "dist": F.array().cast("array<float>"), "done": F.array().cast("array<boolean>"), "front": F.array().cast("array<long>")}
     far = F.lit(float("inf")).cast("float")
     asked = queries.select("query", F.col("code").alias("asked"), far.alias("bound"))
@@ -421,9 +443,11 @@ def search(graph: DataFrame, adjacent: DataFrame, queries: DataFrame, size: int,
     return state.select("query", F.explode(F.slice("pool", 1, exact)).alias("node"))
 
 
-def _compared(nodes: DataFrame, queries: list, most: int) -> DataFrame:
-    """(query, node, r): the nearest nodes and their ranks, most at most, of a few queries (query, vector), by all nodes."""
-    ids, asked = np.array([q for q, _ in queries], np.int64), _doubles([bytes(v) for _, v in queries])
+def _compared(nodes: DataFrame, queries: list, most: int, coded: bool = False) -> DataFrame:
+    """(query, node, r): the nearest nodes and their ranks, most at most, of the sample (query, vector), by all nodes
+    (node, vector); coded: vectors are codes."""
+    read = _decoded if coded else _doubles
+    ids, asked = np.array([q for q, _ in queries], np.int64), read([bytes(v) for _, v in queries])
 
     def of(batches):
         best, near = np.full((len(ids), 0), -1, np.int64), np.full((len(ids), 0), np.inf)
@@ -431,7 +455,7 @@ def _compared(nodes: DataFrame, queries: list, most: int) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, STEP):
                 own = batch.slice(a, STEP)
-                x = _doubles(own.column(1))
+                x = read(own.column(1))
                 near = np.concatenate([near, norm[:, None] + (x * x).sum(1) - 2 * asked @ x.T], 1)
                 best = np.concatenate([best, np.broadcast_to(own.column(0).to_numpy(), (len(ids), len(x)))], 1)
                 if near.shape[1] > most:
@@ -447,43 +471,35 @@ def _compared(nodes: DataFrame, queries: list, most: int) -> DataFrame:
 def _found(nodes: DataFrame, n: int, asked: DataFrame, width: int, k: int) -> DataFrame:
     """(query, node): nodes among which are GOAL of the k nearest other nodes of the queries, by a sample of them."""
     exact = max(EXACT, 4 * k)
-    graph = build(nodes.select("node", "code"), n, width)
-    adjacent = written(_adjacent(graph), "adjacent")
     total = asked.count()
-    sample = asked if total <= SAMPLE else written(asked.orderBy(F.xxhash64("query"), "query").limit(SAMPLE), "sample")
-    held = sample.select("query", "vector", "own").collect()
-    own = {q: o for q, _, o in held}
+    few = total <= SAMPLE
+    sample = asked if few else written(asked.orderBy(F.xxhash64("query"), "query").limit(SAMPLE), "sample")
+    held = sample.select("query", "vector", "own", "code").collect()
+    own = {q: o for q, _, o, _ in held}
     true: dict[int, set[int]] = {q: set() for q in own}
-    for q, node, _ in sorted(_compared(nodes, [(q, v) for q, v, _ in held], k + 1).select("query", "node", "r").collect(), key=lambda r: r[2]):
+    for q, node, _ in sorted(_compared(nodes, [(q, v) for q, v, _, _ in held], k + 1).select("query", "node", "r").collect(), key=lambda r: r[2]):
         if node != own[q] and len(true[q]) < k:
             true[q].add(node)
-    wanted = sum(map(len, true.values()))
-    size = max(POOL, exact)
+    wanted = GOAL * sum(map(len, true.values()))
+    hits = lambda found: sum(node in true[q] for q, node in found.select("query", "node").toLocalIterator())
+    graph = build(nodes.select("node", "code"), n, width)
+    adjacent = written(_adjacent(graph), "adjacent")
+    size, enter, precise = max(POOL, exact), ENTRIES, False
     while True:
-        found = written(search(graph, adjacent, sample.select("query", "own", "code"), size, exact), "found")
-        hits = sum(node in true[q] for q, node in found.toLocalIterator())
-        if hits >= GOAL * wanted:
-            return found if total <= SAMPLE else search(graph, adjacent, asked.select("query", "own", "code"), size, exact)
-        size *= 2
-        if size * 2 * LIST >= n:
-            break
-    return _all_compared(nodes, asked, exact)
-
-
-def _all_compared(nodes: DataFrame, asked: DataFrame, exact: int) -> DataFrame:
-    """(query, node): the exact nearest nodes of every query, by all nodes."""
-    parts, held = [], []
-    for row in asked.select("query", "vector").toLocalIterator():
-        held.append(tuple(row))
-        if len(held) == ASKED:
-            parts.append(written(_compared(nodes, held, exact).select("query", "node"), "compared"))
-            held = []
-    if held:
-        parts.append(written(_compared(nodes, held, exact).select("query", "node"), "compared"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        found = written(search(graph, adjacent, sample.select("query", "own", "code"), size, exact, enter), "found")
+        if hits(found) >= wanted or min(size, enter, exact) >= n:
+            return found if few else search(graph, adjacent, asked.select("query", "own", "code"), size, exact, enter)
+        dropped(found)
+        if not precise and hits(_compared(nodes.select("node", F.col("code").alias("vector")), [(q, c) for q, _, _, c in held], exact, True)) < wanted:
+            precise = True
+            nodes, asked = _recoded(nodes), _recoded(asked)
+            sample = asked if few else asked.join(F.broadcast(sample.select("query")), "query", "left_semi")  # SAMPLE ids
+            for table in (graph, adjacent):
+                dropped(table)
+            graph = build(nodes.select("node", "code"), n, width)
+            adjacent = written(_adjacent(graph), "adjacent")
+            continue
+        size, enter, exact = 2 * size, 2 * enter, 2 * exact
 
 
 def nearest(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

@@ -139,6 +139,31 @@ def test_the_pool_grows_until_recall_is_reached(spark, monkeypatch):
     assert hits >= 0.9 * 600
 
 
+def test_neighbours_too_close_for_bytes_are_found_by_search(spark, monkeypatch):
+    """Families whose members differ less than a byte of a component can tell."""
+    for name, value in (("POOL", 64), ("WIDTH", 32)):
+        monkeypatch.setattr(nndescent, name, value)
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(3, 16))
+    x = np.concatenate([c + 1e-4 * rng.normal(size=(900, 16)) for c in centres])
+    precise, recoded = [], nndescent._recoded
+    monkeypatch.setattr(nndescent, "_recoded", lambda rows: precise.append(1) or recoded(rows))
+    got = nndescent.nearest(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], VEC), every=30).collect()
+    hits = 0
+    for q in range(0, len(x), 30):
+        d = np.linalg.norm(x - x[q], axis=1)
+        d[q] = np.inf
+        hits += len(set(np.argsort(d)[:10].tolist()) & {r.vec_id for r in got if r.query_id == q})
+    assert precise and hits >= 0.9 * 900
+
+
+def test_components_of_any_size_end(spark):
+    rng = np.random.default_rng(10)
+    rows = [(i, (v * s).tolist(), 1) for i, (v, s) in enumerate(zip(rng.normal(size=(120, 4)), 10.0 ** rng.integers(-320, 150, 120).astype(float)))]
+    got = nndescent.nearest(spark.createDataFrame(rows, VEC.replace("float", "double")), every=10).collect()
+    assert {r.query_id for r in got} == {i for i, v, _ in rows if i % 10 == 0 and any(v)} and all(r.score >= 0 for r in got)
+
+
 def test_few_candidates_and_none(spark):
     rows = [(0, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [3.0, 4.0], None)]
     got = [tuple(r) for r in nndescent.nearest(spark.createDataFrame(rows, VEC)).orderBy("rank").collect()]
