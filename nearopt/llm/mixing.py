@@ -90,7 +90,8 @@ def copies(rows: DataFrame, sizes: DataFrame | None = None, seed: int = 17, weig
     q = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     u = unit(md5_hex(f"{seed}-offset", F.col("src")))
     rank = F.col("skip") + F.col("rank")
-    taken = (F.floor(u + q * rank) - F.floor(u + q * (rank - 1))).cast("long")
+    # An offset within rounding of 1 could cross one integer too many.
+    taken = F.least((F.floor(u + q * rank) - F.floor(u + q * (rank - 1))).cast("long"), F.ceil(q).cast("long"))
     return ranked.withColumn("copies", taken).drop("hex", "cell", "rank", "skip")
 
 
@@ -131,6 +132,6 @@ ordered AS (SELECT *, CAST(3 * source_size AS DOUBLE) / w AS r, row_number() OVE
 levels AS (SELECT *, CAST((SELECT sum(source_size) FROM sources) - coalesce(sum(3 * source_size) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) / CAST(sum(w) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM ordered),
 goal AS (SELECT src, source_size, least(w * (SELECT min_by(level, place) FROM levels WHERE level <= r), CAST(3 * source_size AS DOUBLE)) AS target, CAST(CAST('0x' || substr(md5('17-offset:' || src), 1, 8) AS UBIGINT) AS DOUBLE) / 4294967296.0e0 AS u FROM levels),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY size, hex) AS rank FROM keyed)
-SELECT doc_id, size, source_size, target, size * CAST(floor(u + (CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0e0 END) * rank) - floor(u + (CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0e0 END) * (rank - 1)) AS BIGINT) AS taken
+SELECT doc_id, size, source_size, target, size * least(CAST(floor(u + (CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0e0 END) * rank) - floor(u + (CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0e0 END) * (rank - 1)) AS BIGINT), CAST(ceil(CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0e0 END) AS BIGINT)) AS taken
 FROM ranked JOIN goal USING (src)
 """

@@ -222,10 +222,10 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with with_ids, ids.
 
     path is a tokenizers file.  Pieces are cached only for files with the rules of word_bpe_49k.json; with any other the
-    tokenizer encodes each text whole, which is slower and needs memory for the longest text.  Null and empty texts are one piece, the end id.  Every row of docs is packed for
-    itself, repeated rows and null ids included; no rows give no pieces; other columns are not read.  offset is 0,
-    as each piece is a sequence; length is its bucket.  sequence_id counts within the input partition, so it is
-    the same when a lost task runs again.
+    tokenizer encodes each text whole, which is slower and needs memory for the longest text.  Null and empty texts are
+    one piece, the end id.  Every row of docs is packed for itself, repeated rows and null ids included; no rows give no
+    pieces; other columns are not read.  offset is 0, as each piece is a sequence; length is its bucket (see bucketed).
+    sequence_id counts within the input partition, so it is the same when a lost task runs again.
     """
     if path is None:
         import public_tokenizers
@@ -259,6 +259,12 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
     return rows.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
 
 
+def bucketed(pieces: DataFrame) -> DataFrame:
+    """pieces with equal lengths together: by length within each partition, so that no row moves between tasks, however
+    common a length is.  Written as Parquet, a reader of one length passes over the row groups of the others."""
+    return pieces.sortWithinPartitions("length", "sequence_id")
+
+
 def write_buckets(pieces: DataFrame, path: str) -> None:
-    """Write pieces as Parquet, a folder for each length."""
-    pieces.write.partitionBy("length").parquet(path)
+    """Write pieces as Parquet, a folder for each length; a task writes one after another."""
+    bucketed(pieces).write.partitionBy("length").parquet(path)

@@ -1,15 +1,18 @@
 """The corpus pipeline against the same stages in plain Python, each on its own input."""
 
+import os
 import random
 import threading
 import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from nearopt.llm import langid, packing, secrets
 from nearopt.llm.util import dropped, scratch, written
+from nearopt.storage import shared_dir
 
 from test_rowwise import base_by_hand, copies_by_hand, entropy_by_hand  # noqa: E402
 from test_text import DOC, LANGS, by_hand
@@ -74,9 +77,46 @@ def test_each_stage_on_its_own_input(spark):
     assert Counter((*p[:5], tuple(p[5])) for p in pieces) == want
 
 
-def test_run_chains_the_stages(spark, tmp_path):
+def test_run_chains_the_stages_and_leaves_one_table(spark, tmp_path):
     spark.createDataFrame(corpus(), DOC).write.parquet(f"{tmp_path}/documents.parquet")
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 300
+    folder = f"{shared_dir(spark)}/nearopt"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 1 and left.pop().startswith("stage-mix")
+    assert out.count() > 300
+
+
+def test_long_texts_and_clashing_columns_pass_the_stages(spark):
+    rng = random.Random(4)
+    long = " ".join("".join(rng.choice(LANGS["en"]) for _ in range(3)) for _ in range(200_000))
+    rows = [*corpus()[:120], (5000, long, "en", "a", 1), (5001, long + " and a few words more", "en", "b", 1), (5002, "token=abcdefghijklmnop " + long[::-1], "en", None, 2)]
+    extra = ["kept", "component", "mark", "spans", "stretches", "size", "copies", "lang_pred", "key", "id", "TEXT_"]
+    frame = spark.createDataFrame(rows, DOC).withColumns({c: F.lit(k) for k, c in enumerate(extra)})
+    docs = frame
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, "unused"), name)
+        assert docs.columns == frame.columns
+        assert docs.where(" or ".join(f"`{c}` <> {k}" for k, c in enumerate(extra))).count() == 0
+        if name == "language":
+            assert docs.where("doc_id >= 5000").count() >= 2
+        if name == "near_duplicates":
+            assert docs.where("doc_id in (5000, 5001)").count() == 1
+
+
+def test_equal_lengths_lie_together(spark, tmp_path):
+    docs = spark.createDataFrame(corpus(), DOC).repartition(3)
+    pieces = packing.pack(docs, with_ids=True)
+    for part in packing.bucketed(pieces).withColumn("part", F.spark_partition_id()).select("part", "length", "sequence_id").toPandas().groupby("part"):
+        rows = part[1][["length", "sequence_id"]].values.tolist()
+        assert rows == sorted(rows)
+    packing.write_buckets(pieces, f"{tmp_path}/buckets")
+    folders = {d for d in os.listdir(f"{tmp_path}/buckets") if d.startswith("length=")}
+    assert folders == {f"length={r.length}" for r in pieces.select("length").distinct().collect()}
+    back = spark.read.parquet(f"{tmp_path}/buckets")
+    assert back.where(F.size("ids") != F.col("length")).count() == 0
+    key = lambda df: Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in df.collect())
+    assert key(back) == key(pieces)
 
 
 def test_scratch_deletes_what_is_not_kept(spark):

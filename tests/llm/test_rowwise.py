@@ -352,3 +352,11 @@ def test_targets_of_many_sources(spark):
     got = {r.src: r for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "src string, source_size long")).collect()}
     want = water_fill(sizes)
     assert set(got) == set(want) and all(got[s].target == pytest.approx(want[s], rel=1e-9) and got[s].source_size == sizes[s] for s in sizes)
+
+
+def test_no_document_is_taken_more_often_than_the_cap(spark, monkeypatch):
+    """A source at its cap with many rows, and an offset within rounding of 1."""
+    rows = [(i, "one two", "en", "tiny", 1) for i in range(2000)] + [(10_000 + i, "w " * 50, "en", "big", 1) for i in range(4000)]
+    monkeypatch.setattr(mixing, "unit", lambda hexed: F.lit(1 - 2.0**-50))
+    got = mixing.mix_digest(spark.createDataFrame(rows, DOC)).where("doc_id < 10000").collect()
+    assert {r.taken for r in got} == {6} and got[0].target == 12_000
