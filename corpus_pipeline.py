@@ -1,7 +1,8 @@
 """The corpus pipeline: five operators in a row, each on all that the one before it kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-documents.  run() writes each stage's rows to the shared folder as Parquet and reads them for the next.
+documents.  run() writes each stage's rows to the shared folder as Parquet and reads them for the next; what a stage read
+and what it wrote on the way is deleted once its rows are written, so two copies of the corpus are there at most.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from nearopt.llm import langid, minhash, mixing, packing, secrets
-from nearopt.llm.util import written
+from nearopt.llm.util import dropped, scratch, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +34,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts the documents' token ids into power-of-two sequences: a row per sequence, with its ids."""
-    return packing.pack(docs, with_ids=True)
+    """Cuts the documents' token ids into power-of-two sequences, equal lengths together: a row per sequence, with its ids."""
+    return packing.bucketed(packing.pack(docs, with_ids=True))
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("secret_scan", secret_scan), ("mix", mix), ("pack", pack)]
@@ -44,7 +45,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        with scratch() as keep:
+            docs = keep(written(stage(spark, docs, sf_dir), f"stage-{name}"))
+        if before is not None:
+            dropped(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)  # lazy: it reads the last stage's table, which stays
