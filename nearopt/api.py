@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from nearopt.config import FeatureSpec, SetConfig
-from nearopt.operators import certify, covering, diagnose, importance, multiplicity, oracle, reliance_bounds, shapley, validity
+from nearopt.operators import certify, covering, diagnose, ensemble, groups, importance, multiplicity, oracle, reliance_bounds, shapley, validity
 from nearopt.operators import fit as fitting
 from nearopt.operators import sample as drawing
 
@@ -33,6 +33,11 @@ class NearOptimalSet:
             raise RuntimeError("call fit() first")
         return self.fitted
 
+    @staticmethod
+    def from_ensemble(models: DataFrame, df: DataFrame, features, label: str, key: str | None = None, **params) -> ensemble.EnsembleSet:
+        """The set of the models of a table (model_id, theta) that are within a share epsilon of the best on df."""
+        return ensemble.from_ensemble(models, df, FeatureSpec(tuple(features), label, key), SetConfig(**params))
+
     # parameters
     def get_params(self, deep: bool = True) -> dict:
         return self.config.as_dict()
@@ -150,6 +155,16 @@ class NearOptimalSet:
     def row_capacity(self, df: DataFrame, **how) -> DataFrame:
         return covering.row_capacity(self._set(), df, **how)
 
+    def group_gaps(self, df: DataFrame, by: str, samples=None, n_samples: int = 100, taus=(0.0,)) -> DataFrame:
+        """The range of each rate's gap between groups among the draws."""
+        return groups.gap_ranges(self._set(), df, by, self.sample(n_samples) if samples is None else samples, taus)
+
+    def mixing(self, samples: DataFrame, seconds: float | None = None) -> DataFrame:
+        return diagnose.mixing(samples, seconds)
+
+    def trust_fraction(self, samples, share: float = 0.1) -> float:
+        return diagnose.trust_fraction(self._set(), samples, share)
+
     # multiplicity
     def compute_threshold(self, df: DataFrame | None = None, mode: str = "fixed", value: float | None = None, **how) -> float:
         return multiplicity.threshold(self._set(), df, mode, value, **how)

@@ -69,3 +69,40 @@ def inverse_norm(df: DataFrame, spec: FeatureSpec, config: SetConfig, theta, s,
     """sqrt(s' H^-1 s): what an interval of s . theta is as wide as, by conjugate gradients."""
     s = np.asarray(s, float)
     return float(np.sqrt(max(s @ solve(df, spec, config, theta, s, **how), 0.0)))
+
+
+def inverse_root(df: DataFrame, spec: FeatureSpec, config: SetConfig, theta, vectors, steps: int | None = None, tol: float = 1e-8) -> np.ndarray:
+    """H^-1/2 v of each vector, (k, d) or (d,), by Lanczos' method: the directions that make the set round, without H.
+
+    All vectors take their steps together, one pass over the rows for each; a vector's basis is kept orthogonal to all of
+    itself.  What is known after a step is |v| Q T^-1/2 e1, T being the projected Hessian of as many dimensions as steps;
+    a vector is done when that changes by less than tol, when its space is exhausted, or after `steps` (d + 10).  The
+    driver holds k times steps vectors.
+    """
+    frame = spec.project(df, with_label=False)
+    v = np.atleast_2d(np.asarray(vectors, float))
+    k, d = v.shape
+    size = np.linalg.norm(v, axis=1)
+    out = np.zeros((k, d))
+    basis = np.zeros((1, k, d))
+    basis[0] = v / np.where(size > 0, size, 1.0)[:, None]
+    alpha, beta, going = np.zeros((0, k)), np.zeros((0, k)), size > 0
+    for step in range(d + 10 if steps is None else steps):
+        if not going.any():
+            break
+        w = np.zeros((k, d))
+        w[going] = hessian_products(frame, config.estimator, theta, config.lam, basis[-1][going])
+        alpha = np.append(alpha, [(w * basis[-1]).sum(1)], 0)
+        for _ in range(2):  # twice is enough
+            w = w - np.einsum("skd,sk->kd", basis, np.einsum("skd,kd->sk", basis, w))
+        length = np.linalg.norm(w, axis=1)
+        beta = np.append(beta, [length], 0)
+        for i in np.flatnonzero(going):
+            t = np.diag(alpha[:, i]) + np.diag(beta[:-1, i], 1) + np.diag(beta[:-1, i], -1)
+            values, q = np.linalg.eigh(t)
+            new = size[i] * (q * np.maximum(values, 1e-300) ** -0.5 @ q[0]) @ basis[:, i]
+            change = np.linalg.norm(new - out[i])
+            out[i] = new
+            going[i] = change > tol * np.linalg.norm(new) and length[i] > 1e-12 * np.abs(values).max() and step + 1 < d
+        basis = np.append(basis, [w / np.where(length > 0, length, 1.0)[:, None]], 0)
+    return out[0] if np.ndim(vectors) == 1 else out

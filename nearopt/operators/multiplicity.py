@@ -8,7 +8,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearopt.functions import expressions as E
@@ -63,16 +63,33 @@ def threshold(fitted: FittedSet, df: DataFrame | None = None, mode: str = "fixed
     return 0.0 if out is None else out.tau
 
 
+def _place(x: Column, cuts: Sequence[float], low: int = 0, high: int | None = None) -> Column:
+    """How many of the ascending cuts are at or below x, by halving."""
+    high = len(cuts) if high is None else high
+    if low == high:
+        return F.lit(low)
+    middle = (low + high) // 2
+    return F.when(x >= F.lit(float(cuts[middle])), _place(x, cuts, middle + 1, high)).otherwise(_place(x, cuts, low, middle))
+
+
 def youden_table(rows: DataFrame) -> DataFrame:
-    """(i, tau, j) for the 99 percentiles of the margins of rows (y, margin)."""
+    """(i, tau, j) for the 99 percentiles of the margins of rows (y, margin).
+
+    Each row is counted once, among the percentiles that it lies between; the rest are sums over these 100 counts."""
     found = [(i, t) for i, t in enumerate(quantiles(rows, "margin", [i / 100 for i in range(1, 100)])) if t is not None]
-    taus = rows.sparkSession.createDataFrame(found, "i int, tau double")
-    hit = lambda c: F.sum(F.when(c, 1.0).otherwise(0.0))
-    out = rows.crossJoin(F.broadcast(taus)).groupBy("i", "tau").agg(  # 99 rows are broadcast
-        hit((F.col("y") == 1) & (F.col("margin") >= F.col("tau"))).alias("tp"), hit((F.col("y") == 0) & (F.col("margin") < F.col("tau"))).alias("tn"), hit(F.col("y") == 1).alias("p"), hit(F.col("y") == 0).alias("n")
-    )
-    rate = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
-    return out.select("i", "tau", (rate("tp", "p") + rate("tn", "n") - 1.0).alias("j"))
+    schema = "i int, tau double, j double"
+    if not found:
+        return rows.sparkSession.createDataFrame([], schema)
+    cuts = sorted({t for _, t in found})
+    hit = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    of = {r.at: (r.p, r.n) for r in rows.groupBy(_place(F.col("margin"), cuts).alias("at")).agg(hit(F.col("y") == 1).alias("p"), hit(F.col("y") == 0).alias("n")).collect()}  # 100 rows
+    ones, zeros = (np.array([of.get(k, (0, 0))[side] for k in range(len(cuts) + 1)]) for side in (0, 1))
+    out = []
+    for i, tau in found:
+        k = cuts.index(tau) + 1  # margins at or above tau have a place from here on
+        rate = lambda part, whole: part / whole if whole else 0.0
+        out.append((i, tau, float(rate(ones[k:].sum(), ones.sum()) + rate(zeros[:k].sum(), zeros.sum()) - 1.0)))
+    return rows.sparkSession.createDataFrame(out, schema)
 
 
 # ------------------------------------------------------------------------------------------------- multiplicity
@@ -92,20 +109,25 @@ def ambiguous_keys(fitted: FittedSet, df: DataFrame, tau: float) -> DataFrame:
     return ambiguous(fitted, df, tau).where("ambiguous").select("key")
 
 
+def _shares_of(rows: DataFrame, cases: dict[tuple, Column], names: Sequence[str]) -> DataFrame:
+    """(*names, ambiguity_rate): for each case the share of rows that meet its condition; a sum for each, and no copies of
+    rows.  No rows give none."""
+    out = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c.cast("double")).alias(f"c{k}") for k, c in enumerate(cases.values())])
+    each = [F.struct(*[F.lit(v).alias(name) for v, name in zip(case, names)], F.col(f"c{k}").alias("ambiguity_rate")) for k, case in enumerate(cases)]
+    return out.where("n > 0").select(F.explode(F.array(*each)).alias("e")).select("e.*")
+
+
 def sweep(fitted: FittedSet, df: DataFrame, shares, tau: float = 0.0) -> DataFrame:
     """(rho, epsilon, ambiguity_rate) for several tolerances, in one pass: the half width scales with the root."""
-    spark = fitted.frame.sparkSession
-    table = F.broadcast(spark.createDataFrame([(float(r), float(r) * fitted.l_hat) for r in shares], "rho double, epsilon double"))  # a row per tolerance
-    rows = fitted.spec.project(df, with_label=False).select(certify.margin(fitted).alias("margin"), E.norm(fitted.inverse_factor).alias("unit"))
-    half = F.sqrt(2 * F.col("epsilon")) * F.col("unit")
-    return rows.crossJoin(table).groupBy("rho", "epsilon").agg(F.avg((F.abs(F.col("margin") - tau) <= half).cast("double")).alias("ambiguity_rate"))
+    rows = fitted.spec.project(df, with_label=False).select(F.abs(certify.margin(fitted) - tau).alias("away"), E.norm(fitted.inverse_factor).alias("unit"))
+    cases = {(float(r), float(r) * fitted.l_hat): F.col("away") <= math.sqrt(2 * float(r) * fitted.l_hat) * F.col("unit") for r in shares}
+    return _shares_of(rows, cases, ("rho", "epsilon"))
 
 
 def threshold_sweep(fitted: FittedSet, df: DataFrame, modes=MODES) -> DataFrame:
     """(mode, tau, ambiguity_rate) for several ways to set the threshold, in one pass over the rows."""
-    taus = [(m, threshold(fitted, df, m)) for m in modes]
-    table = F.broadcast(fitted.frame.sparkSession.createDataFrame(taus, "mode string, tau double"))
-    return certify.scored(fitted, df).crossJoin(table).groupBy("mode", "tau").agg(F.avg(((F.col("lo") <= F.col("tau")) & (F.col("hi") >= F.col("tau"))).cast("double")).alias("ambiguity_rate"))
+    taus = {(m, threshold(fitted, df, m)): None for m in modes}
+    return _shares_of(certify.scored(fitted, df), {(m, t): (F.col("lo") <= t) & (F.col("hi") >= t) for m, t in taus}, ("mode", "tau"))
 
 
 def joint_counts(fitted: FittedSet, df: DataFrame, batch: np.ndarray, tau: float) -> tuple[np.ndarray, int]:

@@ -1,5 +1,6 @@
-"""Queries of what the whole set allows: bounds of reliance, Shapley values, coverings, the reach of the ellipsoid, and the
-likelihood ratio with many features; each beside the same in SQL, as in catalog."""
+"""Queries of what the whole set allows: bounds of reliance, Shapley values, coverings, the reach of the ellipsoid, the
+likelihood ratio with many features, groups of rows, tables of models, mixing of chains and directions by Lanczos' method;
+each beside the same in SQL, as in catalog."""
 
 from __future__ import annotations
 
@@ -11,13 +12,16 @@ from pyspark.sql import functions as F
 
 from nearopt.config import FeatureSpec, SetConfig
 from nearopt.functions import features
-from nearopt.operators import calibrate, covering, highdim, reliance_bounds, shapley, validity
+from nearopt.functions.expressions import weyl
+from nearopt.operators import calibrate, covering, diagnose, ensemble, groups, highdim, matrixfree, oracle, reliance_bounds, shapley, validity
 from nearopt.operators import fit as fitting
 from nearopt.plans import catalog as C
 from nearopt.sources import tables
 
 DELTAS = (0.0, 0.005, 0.01, 0.02, 0.05, 0.1)
 SHARE = 0.1
+TAUS = (0.0, 0.5)
+ROOTED = ((1.0, -2.0), (0.5, 1.0), (0.0, 3.0))
 #: Angles at which SQL looks for the extremes on an ellipse.
 ANGLES = 200_000
 LINE = FeatureSpec(("l_quantity", "l_discount", "l_tax", "l_linenumber"), "price", "l_orderkey")
@@ -78,6 +82,53 @@ def _highdim(s, f) -> DataFrame:
     return C.one_row(s, kappa=found["kappa"], spread=found["spread"], gamma=round(found["gamma"], 4), factor=found["factor"], epsilon=p.epsilon, calibration=p.calibration)
 
 
+def _group_counts(s, f) -> DataFrame:
+    p = C.document_set(s, f)
+    return groups.counts(p, C.documents(s, f), "source", C.draws(p), TAUS)
+
+
+def _gap_ranges(s, f) -> DataFrame:
+    p = C.document_set(s, f)
+    out = groups.gap_ranges(p, C.documents(s, f), "lang", C.draws(p), TAUS)
+    return C.rounded(out.select("tau", "metric", "gap_min", "gap_max"))
+
+
+def _group_gaps(s, f) -> DataFrame:
+    p = C.document_set(s, f)
+    return C.rounded(groups.gaps(groups.counts(p, C.documents(s, f), "lang", C.BATCH, (0.0,))))
+
+
+def models(s, f) -> DataFrame:
+    """A model for each size of parts."""
+    size = F.col("p_size").cast("double")
+    theta = F.array(0.05 + 0.1 * weyl(size, C.STEPS[0]), -0.03 + 0.06 * weyl(size, C.STEPS[1]))
+    return tables.table(s, f, "part").select(F.col("p_size").cast("long").alias("model_id"), theta.alias("theta")).distinct()
+
+
+def _ensemble(s, f) -> ensemble.EnsembleSet:
+    return ensemble.from_ensemble(models(s, f), C.part(s, f), C.PART, SetConfig(estimator="linear", epsilon=0.01))
+
+
+def _ensemble_reliance(s, f) -> DataFrame:
+    return C.rounded(_ensemble(s, f).reliance(C.part(s, f), C.REPS, order=C.even_order("p_partkey")))
+
+
+def _mixing(s, f) -> DataFrame:
+    """The draws as four chains of fifteen, taken in half a minute."""
+    rows = oracle.samples_frame(s, C.draws(C.document_set(s, f))).select(F.floor(F.col("sample_id") / 15).cast("int").alias("chain_id"), (F.col("sample_id") % 15).alias("step"), "theta")
+    return C.rounded(diagnose.mixing(rows, 30.0))
+
+
+def _trust(s, f) -> DataFrame:
+    p = C.document_set(s, f)
+    return C.one_row(s, trust_fraction=diagnose.trust_fraction(p, C.draws(p), SHARE))
+
+
+def _root(s, f) -> DataFrame:
+    out = matrixfree.inverse_root(C.documents(s, f), C.DOCS, SetConfig(), C.THETA, ROOTED)
+    return C.rounded(s.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(out)], "i int, r0 double, r1 double"))
+
+
 _r = C._r
 _J = "CASE j WHEN 0 THEN 'x0' ELSE 'x1' END AS feature"
 
@@ -126,6 +177,35 @@ val AS (SELECT j, 2 * a * e0 * e1 - 2 * b * CASE j WHEN 0 THEN e0 ELSE e1 END AS
 SELECT j, {_J}, {_r('reliance_min', 'min(v)')}, {_r('reliance_max', 'max(v)')} FROM val GROUP BY j"""
 
 
+def _sql_counts(by: str, drawn: str, taus) -> str:
+    return f"""{drawn}, taus(tau) AS (VALUES {", ".join(f"({t}e0)" for t in taus)}), counted AS (SELECT {by} AS "group", tau, sample_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(y) AS BIGINT) AS positives, count(*) FILTER (a0 * x0 + a1 * x1 >= tau) AS selected, count(*) FILTER (a0 * x0 + a1 * x1 >= tau AND y = 1) AS true_positives FROM z, drawn, taus GROUP BY {by}, tau, sample_id)"""
+
+
+_GAPS = """, rated AS (SELECT tau, sample_id, "group", unnest(['selection_rate', 'true_positive_rate', 'false_positive_rate', 'accuracy']) AS metric, unnest([selected / n, CASE WHEN positives > 0 THEN true_positives / positives END, CASE WHEN n > positives THEN (selected - true_positives) / (n - positives) END, (2 * true_positives + n - positives - selected) / n]) AS rate FROM counted),
+gaps AS (SELECT tau, sample_id, metric, max(rate) - min(rate) AS gap, first("group" ORDER BY rate, "group" NULLS LAST) AS low_group, first("group" ORDER BY rate DESC, "group" NULLS LAST) AS high_group FROM rated WHERE rate IS NOT NULL GROUP BY tau, sample_id, metric)"""
+_SIZES = f"""batch AS (SELECT DISTINCT CAST(p_size AS BIGINT) AS model_id, 0.05e0 + 0.1e0 * (p_size * {C.STEPS[0]}e0 - floor(p_size * {C.STEPS[0]}e0)) AS a0, -0.03e0 + 0.06e0 * (p_size * {C.STEPS[1]}e0 - floor(p_size * {C.STEPS[1]}e0)) AS a1 FROM part)"""
+_MODELS = f"""{_SIZES}, o AS (SELECT model_id, a0, a1, avg((y - a0 * x0 - a1 * x1) * (y - a0 * x0 - a1 * x1)) / 2 + (a0 * a0 + a1 * a1) / 2 AS objective FROM z, batch GROUP BY model_id, a0, a1), gap AS (SELECT *, objective - min(objective) OVER () AS loss_gap, 0.01e0 * min(objective) OVER () AS eps FROM o), inside AS (SELECT * FROM gap WHERE loss_gap <= eps + 1e-12)"""
+
+
+def _sql_ensemble_reliance() -> str:
+    text = C._mcr("iid")
+    start, end = text.index("batch(sample_id"), text.index("wide AS (")
+    text = text[:start] + _MODELS + ", members AS (SELECT model_id AS sample_id, a0, a1 FROM inside),\n" + text[end:]
+    return f"WITH {text.replace('FROM met, batch', 'FROM met, members').replace('FROM z, batch, total', 'FROM z, members, total')} SELECT sample_id AS model_id, j, {_r('base')}, {_r('permuted')}, {_r('importance')} FROM mcr"
+
+
+def _sql_mixing() -> str:
+    return f"""WITH {C.DOC_DRAWS}, v AS (SELECT sample_id // 15 AS c, sample_id % 15 AS s, 0 AS j, a0 AS v FROM drawn UNION ALL SELECT sample_id // 15, sample_id % 15, 1, a1 FROM drawn),
+halves AS (SELECT j, 2 * c + CASE WHEN s < 7 THEN 0 ELSE 1 END AS h, CASE WHEN s < 7 THEN s ELSE s - 8 END AS t, v FROM v WHERE s <> 7), cen AS (SELECT *, avg(v) OVER (PARTITION BY j, h) AS mu FROM halves),
+cov AS (SELECT a.j, a.h, b.t - a.t AS lag, sum((a.v - a.mu) * (b.v - b.mu)) / 7 AS g FROM cen a JOIN cen b ON a.j = b.j AND a.h = b.h AND b.t >= a.t GROUP BY a.j, a.h, b.t - a.t),
+w AS (SELECT j, avg(g) * 7 / 6 AS within FROM cov WHERE lag = 0 GROUP BY j), bm AS (SELECT j, var_samp(mu) AS b FROM (SELECT DISTINCT j, h, mu FROM cen) GROUP BY j),
+wb AS (SELECT j, within, within * 6 / 7 + b AS total FROM w JOIN bm USING (j)), rho AS (SELECT j, lag, CASE WHEN lag = 0 THEN 1 ELSE 1 - (any_value(within) - avg(g)) / any_value(total) END AS rho FROM cov JOIN wb USING (j) GROUP BY j, lag),
+pairs AS (SELECT j, lag // 2 AS p, sum(rho) AS s FROM rho WHERE lag < 6 GROUP BY j, lag // 2), cut AS (SELECT *, min(CASE WHEN s <= 0 THEN p END) OVER (PARTITION BY j) AS stop FROM pairs),
+mono AS (SELECT j, min(s) OVER (PARTITION BY j ORDER BY p) AS s FROM cut WHERE stop IS NULL OR p < stop), tau AS (SELECT j, -1 + 2 * sum(s) AS tau FROM mono GROUP BY j),
+e AS (SELECT j, sqrt(total / within) AS rhat, 56 / greatest(coalesce(tau, -1), 1 / log10(56)) AS ess FROM wb LEFT JOIN tau USING (j))
+SELECT j, 4 AS chains, 60 AS draws, {_r('rhat')}, {_r('ess')}, {_r('ess_per_minute', '2 * ess')} FROM e"""
+
+
 _DOC_BATCH = f"WITH {C.Z}, batch(sample_id, a0, a1) AS (VALUES {C._values(C.BATCH)})"
 _PART_DRAWN = f"WITH {C.PART_DRAWS}, batch AS (SELECT sample_id, a0, a1 FROM drawn)"
 _SPREAD = f"WITH {C.SET}, l AS (SELECT margin + (p - y) * unit * unit / n / (1 - p * (1 - p) * unit * unit / n) AS m FROM s) SELECT round(var_pop(m), 6) + 0.0e0 AS spread FROM l"
@@ -143,4 +223,15 @@ QUERIES: dict[str, tuple[Callable, str | None]] = {
     "validity_documents": (lambda s, f: C.rounded(validity.trust_region(C.document_set(s, f), SHARE)), _sql_validity()),
     "unseen_spread_documents": (lambda s, f: C.one_row(s, spread=highdim.unseen_spread(C.document_set(s, f))), _SPREAD),
     "highdim_epsilon": (_highdim, None),
+    "group_counts": (_group_counts, f"{_sql_counts('source', 'WITH ' + C.DOC_DRAWS, TAUS)} SELECT * FROM counted"),
+    "group_gaps": (_group_gaps, f"{_sql_counts('lang', f'WITH {C.Z}, drawn(sample_id, a0, a1) AS (VALUES {C._values(C.BATCH)})', (0.0,))}{_GAPS} SELECT tau, sample_id, metric, {_r('gap')}, low_group, high_group FROM gaps"),
+    "group_gap_ranges": (_gap_ranges, f"{_sql_counts('lang', 'WITH ' + C.DOC_DRAWS, TAUS)}{_GAPS} SELECT tau, metric, {_r('gap_min', 'min(gap)')}, {_r('gap_max', 'max(gap)')} FROM gaps GROUP BY tau, metric"),
+    "ensemble_membership": (lambda s, f: C.rounded(_ensemble(s, f).membership()), f"WITH {C.PZ}, {_MODELS} SELECT model_id, {_r('objective')}, {_r('loss_gap')}, loss_gap <= eps + 1e-12 AS inside FROM gap"),
+    "ensemble_intervals": (lambda s, f: C.rounded(_ensemble(s, f).intervals()), f"WITH {C.PZ}, {_MODELS}, c AS (SELECT 0 AS j, 'x0' AS feature, a0 AS v FROM inside UNION ALL SELECT 1, 'x1', a1 FROM inside) SELECT j, feature, {_r('lo', 'min(v)')}, {_r('hi', 'max(v)')}, {_r('mean', 'avg(v)')}, {_r('std', 'stddev_pop(v)')}, min(v) > 0 OR max(v) < 0 AS certain FROM c GROUP BY j, feature"),
+    "ensemble_bands": (lambda s, f: C.rounded(_ensemble(s, f).bands(C.part(s, f)).withColumnRenamed("key", "p_partkey")), f"WITH {C.PZ}, {_MODELS} SELECT p_partkey, round(min(a0 * x0 + a1 * x1), 6) + 0.0e0 AS lo, round(max(a0 * x0 + a1 * x1), 6) + 0.0e0 AS hi FROM z, inside GROUP BY p_partkey"),
+    "ensemble_ambiguity": (lambda s, f: C.rounded(_ensemble(s, f).ambiguity(C.part(s, f), 0.01)), f"WITH {C.PZ}, {_MODELS}, b AS (SELECT p_partkey, min(a0 * x0 + a1 * x1) < 0.01e0 AND max(a0 * x0 + a1 * x1) >= 0.01e0 AS hit FROM z, inside GROUP BY p_partkey) SELECT round(avg(CAST(hit AS DOUBLE)), 6) + 0.0e0 AS ambiguity_rate, CAST(sum(CAST(hit AS BIGINT)) AS BIGINT) AS n_ambiguous, 0.01e0 AS threshold FROM b"),
+    "ensemble_reliance": (_ensemble_reliance, _sql_ensemble_reliance()),
+    "chain_mixing": (_mixing, _sql_mixing()),
+    "trust_fraction": (_trust, f"WITH {C.DOC_DRAWS}, t AS (SELECT 3 * {SHARE}e0 / ({validity.THIRD!r}e0 * avg(unit * unit * unit)) AS radius FROM s) SELECT round(avg(CASE WHEN sqrt(2 * eps) * r <= radius THEN 1.0e0 ELSE 0.0e0 END), 6) + 0.0e0 AS trust_fraction FROM disc, t, h"),
+    "inverse_root": (_root, f"WITH {C.SET}, v(i, v0, v1) AS (VALUES {C._values(ROOTED)}), a AS (SELECT *, 1 / sqrt(det) AS q, sqrt((h00 + h11) / det + 2 / sqrt(det)) AS t FROM h) SELECT i, round(((h11 / det + q) * v0 - h01 / det * v1) / t, 6) + 0.0e0 AS r0, round((-h01 / det * v0 + (h00 / det + q) * v1) / t, 6) + 0.0e0 AS r1 FROM a, v"),
 }
