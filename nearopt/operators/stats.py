@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearopt.functions import expressions as E
+from nearopt.operators.record import observed
 
 #: Features up to which second moments are written out as sums of columns; beyond, tasks sum matrices.
 WRITTEN_OUT = 16
@@ -38,8 +39,13 @@ def _parts(estimator: str, theta):
 
 def sums(frame: DataFrame, d: int, estimator: str, theta: np.ndarray) -> Sums:
     """Sums at theta over a frame (key, x0 .., y): second = sum w x x', first = sum dloss/dmargin x."""
-    if d > WRITTEN_OUT:
-        return _sums_by_task(frame, d, estimator, theta)
+    frame, done = observed(frame)
+    out = _sums_by_task(frame, d, estimator, theta) if d > WRITTEN_OUT else _sums_of_columns(frame, d, estimator, theta)
+    done()
+    return out
+
+
+def _sums_of_columns(frame: DataFrame, d: int, estimator: str, theta: np.ndarray) -> Sums:
     margin, w, g, loss, signed = _parts(estimator, theta)
     rows = frame.select(*E.columns(d), F.col("y"), w.alias("w"), g.alias("g"), loss.alias("loss"), signed.alias("signed"))
     xs = E.columns(d)

@@ -45,9 +45,10 @@ _kept: dict = {}
 def text_table(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled documents with their text features: doc_id, source, lang, quality, toxic and three doubles.
 
-    Texts are read once: the features, a few numbers a document, are persisted, those of one folder at a time.
+    Texts are read once: the features, a few numbers a document, are persisted, those of one folder at a time and only
+    while its files are the same.
     """
-    key = (spark.sparkContext.applicationId, sf)
+    key = (spark.sparkContext.applicationId, sf, *tables.files(spark, sf, "documents"), *tables.files(spark, sf, "labels"))
     if _kept.get("key") != key or not _kept["table"].storageLevel.useMemory:
         if _kept.get("key", (None,))[0] == key[0]:
             _kept["table"].unpersist()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from nearopt.config import FeatureSpec, SetConfig
 from nearopt.functions import features
 from nearopt.functions.expressions import weyl
-from nearopt.operators import calibrate, covering, diagnose, ensemble, groups, highdim, matrixfree, oracle, reliance_bounds, shapley, validity
+from nearopt.operators import calibrate, covering, diagnose, ensemble, groups, highdim, matrixfree, oracle, record, reliance_bounds, shapley, validity
 from nearopt.operators import fit as fitting
 from nearopt.plans import catalog as C
 from nearopt.sources import tables
@@ -124,6 +124,11 @@ def _trust(s, f) -> DataFrame:
     return C.one_row(s, trust_fraction=diagnose.trust_fraction(p, C.draws(p), SHARE))
 
 
+def _record(s, f) -> DataFrame:
+    row = record.recorded_fit(C.part(s, f), C.PART, SetConfig(estimator="linear", epsilon=C.RHO, random_state=11))[1]
+    return C.rounded(row.drop("seconds", "spark", "python", "numpy", "arrow", "blas"))
+
+
 def _root(s, f) -> DataFrame:
     out = matrixfree.inverse_root(C.documents(s, f), C.DOCS, SetConfig(), C.THETA, ROOTED)
     return C.rounded(s.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(out)], "i int, r0 double, r1 double"))
@@ -233,5 +238,6 @@ QUERIES: dict[str, tuple[Callable, str | None]] = {
     "ensemble_reliance": (_ensemble_reliance, _sql_ensemble_reliance()),
     "chain_mixing": (_mixing, _sql_mixing()),
     "trust_fraction": (_trust, f"WITH {C.DOC_DRAWS}, t AS (SELECT 3 * {SHARE}e0 / ({validity.THIRD!r}e0 * avg(unit * unit * unit)) AS radius FROM s) SELECT round(avg(CASE WHEN sqrt(2 * eps) * r <= radius THEN 1.0e0 ELSE 0.0e0 END), 6) + 0.0e0 AS trust_fraction FROM disc, t, h"),
+    "run_record": (_record, f"WITH {C.PSET} SELECT 'linear' AS estimator, 2 AS d, any_value(n) AS n, 11 AS seed, CAST(1 AS INTEGER) AS passes, any_value(n) AS rows_read, {_r('label_min', 'min(y)')}, {_r('label_max', 'max(y)')}, {_r('label_sum', 'sum(y)')}, round(any_value(((h00 + h11) / 2 + sqrt((h00 - h11) * (h00 - h11) / 4 + h01 * h01)) / ((h00 + h11) / 2 - sqrt((h00 - h11) * (h00 - h11) / 4 + h01 * h01))), 6) + 0.0e0 AS kappa, round(any_value(eps), 6) + 0.0e0 AS epsilon, 'percent_loss' AS calibration FROM z, h"),
     "inverse_root": (_root, f"WITH {C.SET}, v(i, v0, v1) AS (VALUES {C._values(ROOTED)}), a AS (SELECT *, 1 / sqrt(det) AS q, sqrt((h00 + h11) / det + 2 / sqrt(det)) AS t FROM h) SELECT i, round(((h11 / det + q) * v0 - h01 / det * v1) / t, 6) + 0.0e0 AS r0, round((-h01 / det * v0 + (h00 / det + q) * v1) / t, 6) + 0.0e0 AS r1 FROM a, v"),
 }

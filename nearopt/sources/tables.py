@@ -22,6 +22,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def files(spark: SparkSession, folder: str, name: str) -> tuple:
+    """(path, bytes, time of change) of a staged table's files, in the order of their names, from whatever store it is in."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    found = top.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(top)
+    return tuple(sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in found))
+
+
 def csv(spark: SparkSession, path: str, schema: str, missing: str = "?", most: int | None = None, order: tuple[str, ...] = ()) -> DataFrame:
     """A file without header: cells trimmed, blank rows and rows with a missing cell dropped, then at most some rows."""
     names = [f.name for f in T.StructType.fromDDL(schema).fields]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearopt.config import FeatureSpec, SetConfig
-from nearopt.operators import diagnose, ensemble, groups, importance, matrixfree, oracle, validity
+from nearopt.operators import diagnose, ensemble, fit, groups, importance, matrixfree, oracle, record, stats, validity
 from nearopt.operators import sample as draw
 
 from test_whole_set import even, made
@@ -163,3 +163,21 @@ def test_the_inverse_root_without_a_matrix(spark, monkeypatch):
     assert got == pytest.approx(v @ (q * values**-0.5) @ q.T, abs=1e-6)
     assert passes[0] == 4 and len(passes) < 40  # all directions in one pass, and far fewer passes than dimensions
     assert matrixfree.inverse_root(df, spec, SetConfig(C=2.0), theta, v[0]) == pytest.approx(got[0])
+
+
+# ------------------------------------------------------------------------------------------------- records
+@pytest.mark.parametrize(("estimator", "d"), [("linear", 3), ("logistic", 3), ("logistic", 18)])
+def test_a_fit_leaves_a_record_without_a_scan_of_its_own(spark, monkeypatch, estimator, d):
+    monkeypatch.setattr(fit, "START", 60 * d)  # the start comes from half of the rows
+    s, df, x, y = made(spark, estimator, d=d)
+    again, row = record.recorded_fit(df, s.spec, s.config)
+    r = row.first()
+    assert again.theta == pytest.approx(s.theta)
+    assert (r.estimator, r.d, r.n, r.seed, r.calibration) == (estimator, d, 120, 1, "percent_loss")
+    assert (r.label_min, r.label_max, r.label_sum, r.kappa, r.epsilon) == pytest.approx((y.min(), y.max(), y.sum(), s.kappa, s.epsilon))
+    assert r.rows_read == 120 * r.passes and (r.passes == 1 if estimator == "linear" else 1 < r.passes < 12)
+    assert r.spark == spark.version and r.seconds > 0 and r.blas
+    with record.recording() as outer, record.recording() as inner:
+        stats.sums(s.frame, d, "linear", np.zeros(d))
+    assert outer == inner and len(inner) == 1 and inner[0]["rows"] == 120
+    assert record.observed(s.frame)[0] is s.frame
