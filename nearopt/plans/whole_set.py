@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from nearopt.config import FeatureSpec, SetConfig
 from nearopt.functions import features
 from nearopt.functions.expressions import weyl
-from nearopt.operators import calibrate, covering, diagnose, ensemble, groups, highdim, matrixfree, oracle, record, reliance_bounds, shapley, stats, validity
+from nearopt.operators import blockwalk, calibrate, covering, diagnose, ensemble, groups, highdim, matrixfree, oracle, record, reliance_bounds, shapley, stats, validity
 from nearopt.operators import fit as fitting
 from nearopt.operators import sample as draw
 from nearopt.plans import calls
@@ -142,6 +142,12 @@ def _logistic_walk(s, f) -> DataFrame:
     return C.rounded(rows.select("chain_id", "step", F.element_at("theta", 1).alias("a0"), F.element_at("theta", 2).alias("a1")))
 
 
+def _block_walk(s, f) -> DataFrame:
+    """The same set, a coordinate a move, with scores kept in tables."""
+    rows = blockwalk.hit_and_run(C.document_set(s, f), 2 * MOVES, chains=2, block=1, burnin=BEFORE, numbers="even")
+    return C.rounded(rows.select("chain_id", "step", F.element_at("theta", 1).alias("a0"), F.element_at("theta", 2).alias("a1")))
+
+
 def _wide(s, f) -> DataFrame:
     """Second moments of more features than are written out as columns: powers and products of line items' columns."""
     rows = tables.table(s, f, "lineitem").select(*[c.alias(f"w{k}") for k, c in enumerate(_wide_columns())])
@@ -237,21 +243,24 @@ e AS (SELECT j, sqrt(total / within) AS rhat, 56 / greatest(coalesce(tau, -1), 1
 SELECT j, 4 AS chains, 60 AS draws, {_r('rhat')}, {_r('ess')}, {_r('ess_per_minute', '2 * ess')} FROM e"""
 
 
-def _sql_logistic_walk() -> str:
-    """The moves of the logistic walk: each is HALVINGS steps in which both ends of a chord close in, then the draw."""
+def _sql_logistic_walk(blocks: bool = False) -> str:
+    """The moves of the logistic walk: each is HALVINGS steps in which both ends of a chord close in, then the draw; with
+    blocks, along one coordinate after the other."""
     ends = {"p": "(pin + pout) / 2", "m": "-(nin + nout) / 2"}
     margin = lambda t: f"((a0 + {t} * v0) * x0 + (a1 + {t} * v1) * x1)"
     loss = {k: f"avg(greatest({margin(t)}, 0) + ln(1 + exp(-abs({margin(t)}))) - y * {margin(t)})" for k, t in ends.items()}
     over = {k: f"l{k} + 0.5e0 * {C.LAM} * ((a0 + {t} * v0) * (a0 + {t} * v0) + (a1 + {t} * v1) * (a1 + {t} * v1)) - l_hat - eps > 0" for k, t in ends.items()}
-    turn = lambda at: [f"h11 * ({calls._normal(at, 0)}) - h01 * ({calls._normal(at, 1)})", f"h00 * ({calls._normal(at, 1)}) - h01 * ({calls._normal(at, 0)})"]
+    along = lambda at, it: [f"CASE WHEN {it} % 2 = {j} THEN {calls._normal(at, j)} ELSE 0 END" for j in range(2)]
+    whole = lambda at, it: [f"h11 * ({calls._normal(at, 0)}) - h01 * ({calls._normal(at, 1)})", f"h00 * ({calls._normal(at, 1)}) - h01 * ({calls._normal(at, 0)})"]
+    turn = along if blocks else whole
     now, new = f"(chain_id * {draw.APART} + it + 1)", f"(chain_id * {draw.APART} + it + 2)"
     last = f"k = {HALVINGS - 1}"
     unit = lambda w: f"{w} / sqrt(w0 * w0 + w1 * w1)"
     return f"""WITH RECURSIVE {C.SET}, walk(chain_id, it, k, a0, a1, v0, v1, pin, pout, nin, nout) AS (
-SELECT chain_id, 0, 0, {C.THETA[0]}e0, {C.THETA[1]}e0, {unit('w0')}, {unit('w1')}, 0.0e0, 4.0e0, 0.0e0, 4.0e0 FROM (SELECT chain_id, {turn(now)[0]} AS w0, {turn(now)[1]} AS w1 FROM (SELECT CAST(range AS INTEGER) AS chain_id, 0 AS it FROM range(0, 2)), h)
+SELECT chain_id, 0, 0, {C.THETA[0]}e0, {C.THETA[1]}e0, {unit('w0')}, {unit('w1')}, 0.0e0, 4.0e0, 0.0e0, 4.0e0 FROM (SELECT chain_id, {turn(now, 'it')[0]} AS w0, {turn(now, 'it')[1]} AS w1 FROM (SELECT CAST(range AS INTEGER) AS chain_id, 0 AS it FROM range(0, 2)), h)
 UNION ALL SELECT chain_id, CASE WHEN {last} THEN it + 1 ELSE it END, CASE WHEN {last} THEN 0 ELSE k + 1 END, CASE WHEN {last} THEN a0 + (u * (p1 + n1) - n1) * v0 ELSE a0 END, CASE WHEN {last} THEN a1 + (u * (p1 + n1) - n1) * v1 ELSE a1 END,
 CASE WHEN {last} THEN {unit('w0')} ELSE v0 END, CASE WHEN {last} THEN {unit('w1')} ELSE v1 END, CASE WHEN {last} THEN 0.0e0 ELSE p1 END, CASE WHEN {last} THEN 4.0e0 ELSE p2 END, CASE WHEN {last} THEN 0.0e0 ELSE n1 END, CASE WHEN {last} THEN 4.0e0 ELSE n2 END FROM (
-SELECT q.*, CASE WHEN {over['p']} THEN pin ELSE (pin + pout) / 2 END AS p1, CASE WHEN {over['p']} THEN (pin + pout) / 2 ELSE pout END AS p2, CASE WHEN {over['m']} THEN nin ELSE (nin + nout) / 2 END AS n1, CASE WHEN {over['m']} THEN (nin + nout) / 2 ELSE nout END AS n2, {calls._even(now, 4)} AS u, {turn(new)[0]} AS w0, {turn(new)[1]} AS w1 FROM (
+SELECT q.*, CASE WHEN {over['p']} THEN pin ELSE (pin + pout) / 2 END AS p1, CASE WHEN {over['p']} THEN (pin + pout) / 2 ELSE pout END AS p2, CASE WHEN {over['m']} THEN nin ELSE (nin + nout) / 2 END AS n1, CASE WHEN {over['m']} THEN (nin + nout) / 2 ELSE nout END AS n2, {calls._even(now, 4)} AS u, {turn(new, '(it + 1)')[0]} AS w0, {turn(new, '(it + 1)')[1]} AS w1 FROM (
 SELECT chain_id, it, k, a0, a1, v0, v1, pin, pout, nin, nout, {loss['p']} AS lp, {loss['m']} AS lm FROM walk, z WHERE it < {BEFORE + MOVES} GROUP BY chain_id, it, k, a0, a1, v0, v1, pin, pout, nin, nout) q, h))
 SELECT chain_id, CAST(it - {BEFORE + 1} AS INTEGER) AS step, {_r('a0')}, {_r('a1')} FROM walk WHERE it > {BEFORE} AND k = 0"""
 
@@ -291,6 +300,7 @@ QUERIES: dict[str, tuple[Callable, str | None]] = {
     "trust_fraction": (_trust, f"WITH {C.DOC_DRAWS}, t AS (SELECT 3 * {SHARE}e0 / ({validity.THIRD!r}e0 * avg(unit * unit * unit)) AS radius FROM s) SELECT round(avg(CASE WHEN sqrt(2 * eps) * r <= radius THEN 1.0e0 ELSE 0.0e0 END), 6) + 0.0e0 AS trust_fraction FROM disc, t, h"),
     "run_record": (_record, f"WITH {C.PSET} SELECT 'linear' AS estimator, 2 AS d, any_value(n) AS n, 11 AS seed, CAST(1 AS INTEGER) AS passes, any_value(n) AS rows_read, {_r('label_min', 'min(y)')}, {_r('label_max', 'max(y)')}, {_r('label_sum', 'sum(y)')}, round(any_value(((h00 + h11) / 2 + sqrt((h00 - h11) * (h00 - h11) / 4 + h01 * h01)) / ((h00 + h11) / 2 - sqrt((h00 - h11) * (h00 - h11) / 4 + h01 * h01))), 6) + 0.0e0 AS kappa, round(any_value(eps), 6) + 0.0e0 AS epsilon, 'percent_loss' AS calibration FROM z, h"),
     "hit_and_run_logistic": (_logistic_walk, _sql_logistic_walk()),
+    "hit_and_run_blocks": (_block_walk, _sql_logistic_walk(True)),
     "gram_wide": (_wide, _sql_wide()),
     "inverse_root": (_root, f"WITH {C.SET}, v(i, v0, v1) AS (VALUES {C._values(ROOTED)}), a AS (SELECT *, 1 / sqrt(det) AS q, sqrt((h00 + h11) / det + 2 / sqrt(det)) AS t FROM h) SELECT i, round(((h11 / det + q) * v0 - h01 / det * v1) / t, 6) + 0.0e0 AS r0, round((-h01 / det * v0 + (h00 / det + q) * v1) / t, 6) + 0.0e0 AS r1 FROM a, v"),
 }

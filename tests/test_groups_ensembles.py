@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearopt.config import FeatureSpec, SetConfig
-from nearopt.operators import diagnose, ensemble, fit, groups, importance, matrixfree, oracle, record, stats, validity
+from nearopt.operators import blockwalk, diagnose, ensemble, fit, groups, importance, matrixfree, oracle, record, stats, validity
 from nearopt.operators import sample as draw
 
 from test_whole_set import even, made
@@ -181,3 +181,40 @@ def test_a_fit_leaves_a_record_without_a_scan_of_its_own(spark, monkeypatch, est
         stats.sums(s.frame, d, "linear", np.zeros(d))
     assert outer == inner and len(inner) == 1 and inner[0]["rows"] == 120
     assert record.observed(s.frame)[0] is s.frame
+
+
+# ------------------------------------------------------------------------------------------------- walks by blocks
+def test_blocks_of_coordinates_walk_the_same_set(spark, monkeypatch):
+    monkeypatch.setattr(blockwalk, "PACK", 16)
+    s, df, x, y = made(spark, "logistic", n=90, d=4, C=20.0, epsilon=0.2)
+    passes, plans, losses, scores = [], [], blockwalk.losses, blockwalk.next_scores
+    monkeypatch.setattr(blockwalk, "losses", lambda *a: passes.append(1) or losses(*a))
+
+    def noted(*a):
+        out = scores(*a)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(blockwalk, "next_scores", noted)
+    tables, most = set(t.name for t in spark.catalog.listTables()), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of some size
+    try:
+        rows = blockwalk.hit_and_run(s, 595, chains=60, block=2, burnin=8, random_state=3).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert len(rows) == 595 and len({(r.chain_id, r.step) for r in rows}) == 595 and max(r.step for r in rows) == 9
+    batch = np.array([r.theta for r in rows])
+    assert (oracle.loss_gap_many(s, batch) <= s.epsilon * (1 + 1e-6)).all()
+    walked = draw.sample(s, 4000, "hitandrun", burnin=50, chains=4, random_state=2)
+    spread = walked.std(0)
+    assert (np.abs(batch.mean(0) - walked.mean(0)) < 0.3 * spread).all() and batch.std(0) == pytest.approx(spread, rel=0.2)
+    # A move reads one block of features beside the scores, and nothing is shuffled for it; its ends cost a few passes.
+    assert len(plans) == 18 and not any("Exchange" in p for p in plans)
+    assert all(sum(f"b{k}:binary" in p for k in range(2)) == 1 for p in plans)
+    assert len(passes) <= 6 * 18
+    assert set(t.name for t in spark.catalog.listTables()) == tables
+    for how in ({"block": 0}, {"chains": 0}, {"numbers": "other"}):
+        with pytest.raises(ValueError, match="range"):
+            blockwalk.hit_and_run(s, 10, **how)
+    with pytest.raises(ValueError, match="second moments"):
+        blockwalk.hit_and_run(made(spark, "linear")[0])
