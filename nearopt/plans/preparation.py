@@ -90,6 +90,15 @@ def _made(kind: str) -> str:
     return f"WITH {_MADE}, x AS (SELECT row_id, r, {_normal(0)} AS x0, {_normal(1)} AS x1 FROM made) SELECT row_id, {C._r('x0')}, {C._r('x1')}, {C._r('y', y)} FROM x"
 
 
+def _over(sql: str) -> str:
+    """The SQL of a made table over the customers' keys."""
+    return sql.replace(_MADE, "made AS (SELECT c_custkey AS row_id, CAST(c_custkey AS DOUBLE) AS r FROM customer)")
+
+
+def _customers(s, f) -> DataFrame:
+    return tables.table(s, f, "customer").select("c_custkey")
+
+
 def _classes() -> str:
     w = [2 * ((i + 1) * features.GOLDEN % 1) - 1 for i in range(2)]
     return f"""WITH {_MADE}, t AS (SELECT row_id, r, CASE WHEN {_unit(8)} < 0.5e0 THEN 1.0e0 ELSE 0.0e0 END AS y FROM made),
@@ -114,5 +123,8 @@ QUERIES: dict[str, tuple[Callable, str | None]] = {
     "json_sink": (_json, "SELECT r_regionkey, r_name FROM region"),
     "synthetic_logistic": (lambda s, f: C.rounded(tables.synthetic(s, MADE, WEIGHTS, numbers="even")), _made("logistic")),
     "synthetic_linear": (lambda s, f: C.rounded(tables.synthetic(s, MADE, WEIGHTS, "linear", numbers="even")), _made("linear")),
+    "planted_logistic": (lambda s, f: C.rounded(tables.synthetic(s, 0, WEIGHTS, numbers="even", over=_customers(s, f))), _over(_made("logistic"))),
+    "planted_linear": (lambda s, f: C.rounded(tables.synthetic(s, 0, WEIGHTS, "linear", numbers="even", over=_customers(s, f))), _over(_made("linear"))),
+    "planted_classes": (lambda s, f: C.rounded(tables.classification(s, 0, 4, 2, 1, 0.7, numbers="even", over=_customers(s, f))), _over(_classes())),
     "synthetic_classes": (lambda s, f: C.rounded(tables.classification(s, MADE, 4, 2, 1, 0.7, numbers="even")), _classes()),
 }

@@ -65,30 +65,34 @@ def _numbers(seed: int, numbers: str):
     return unit, lambda i: F.sqrt(-2.0 * F.log(unit(2 * i))) * F.cos(2 * math.pi * unit(2 * i + 1))
 
 
-def _rows(spark: SparkSession, n: int, partitions: int | None) -> DataFrame:
+def _rows(spark: SparkSession, n: int, partitions: int | None, over: DataFrame | None = None) -> DataFrame:
+    if over is not None:
+        return over.select(F.col(f"`{over.columns[0]}`").cast("long").alias("row_id"))
     return spark.range(0, n, 1, partitions or max(1, n // 1_000_000)).withColumnRenamed("id", "row_id")
 
 
-def synthetic(spark: SparkSession, n: int, weights, kind: str = "logistic", seed: int = 0, noise: float = 0.1, partitions: int | None = None, numbers: str = "random") -> DataFrame:
+def synthetic(spark: SparkSession, n: int, weights, kind: str = "logistic", seed: int = 0, noise: float = 0.1, partitions: int | None = None, numbers: str = "random", over: DataFrame | None = None) -> DataFrame:
     """(row_id, x0 .., y): normal features, labels of a logistic or linear model.
 
-    Each value is a function of the row's number and the seed, so any partitioning gives the same rows.
+    Each value is a function of the row's number and the seed, so any partitioning gives the same rows.  over, if given,
+    is a table whose first column has the numbers: each of its rows gets features and a label, and n isn't used.
     """
     unit, normal = _numbers(seed, numbers)
     d = len(weights)
-    rows = _rows(spark, n, partitions).withColumns({f"x{j}": normal(j) for j in range(d)})
+    rows = _rows(spark, n, partitions, over).withColumns({f"x{j}": normal(j) for j in range(d)})
     m = E.dot(weights)
     y = (unit(2 * d) < E.sigmoid(m)).cast("double") if kind == "logistic" else m + noise * normal(d)
     return rows.withColumn("y", y)
 
 
-def classification(spark: SparkSession, n: int, columns: int = 10, informative: int = 6, redundant: int = 2, separation: float = 1.0, seed: int = 0, partitions: int | None = None, numbers: str = "random") -> DataFrame:
+def classification(spark: SparkSession, n: int, columns: int = 10, informative: int = 6, redundant: int = 2, separation: float = 1.0, seed: int = 0, partitions: int | None = None, numbers: str = "random", over: DataFrame | None = None) -> DataFrame:
     """(row_id, x0 .., y): two classes of even chance.  The first columns are informative, normal around separation on
-    one side or the other by class and column; redundant ones are fixed mixtures of these; the rest is noise."""
+    one side or the other by class and column; redundant ones are fixed mixtures of these; the rest is noise.  over is as
+    in synthetic()."""
     if not 0 < informative <= informative + redundant <= columns:
         raise ValueError("informative and redundant columns must fit into the columns")
     unit, normal = _numbers(seed, numbers)
-    rows = _rows(spark, n, partitions).withColumn("y", (unit(2 * columns) < 0.5).cast("double"))
+    rows = _rows(spark, n, partitions, over).withColumn("y", (unit(2 * columns) < 0.5).cast("double"))
     side = lambda j: (2 * F.col("y") - 1) * separation * (1 if j % 2 == 0 else -1)
     rows = rows.withColumns({f"x{j}": normal(j) + side(j) for j in range(informative)})
     weight = lambda r, i: 2 * ((r * informative + i + 1) * features.GOLDEN % 1) - 1
