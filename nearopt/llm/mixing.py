@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearopt.llm.util import md5_hex, unit, written
+from nearopt.llm.util import md5_hex, scratch, unit, written
 
 #: One word, as the size counts them.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -119,8 +119,10 @@ def mix_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null text has size 0; a source of no words has target 0; an empty table gives no rows.  Null and repeated ids are
     told apart by their texts; repeated rows are taken each for itself.  Other columns of docs are not read.
     """
-    rows = written(docs.select(F.col(f"`{id_col}`").alias("doc_id"), _key(docs, id_col, text_col).alias("key"), F.col(f"`{source_col}`").alias("source"), words(F.col(f"`{text_col}`")).alias("size")), "mix-rows")
-    return copies(rows, seed=seed).select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("copies") * F.col("size")).alias("taken"))
+    with scratch() as keep:
+        rows = written(docs.select(F.col(f"`{id_col}`").alias("doc_id"), _key(docs, id_col, text_col).alias("key"), F.col(f"`{source_col}`").alias("source"), words(F.col(f"`{text_col}`")).alias("size")), "mix-rows")
+        out = copies(rows, seed=seed).select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("copies") * F.col("size")).alias("taken"))
+        return keep(written(out, "mixed"))
 
 
 SQL = r"""

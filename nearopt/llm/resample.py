@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearopt.llm import textvec as tv
-from nearopt.llm.util import written
+from nearopt.llm.util import scratch, written
 
 #: Buckets that n-grams are hashed into; each has this many counts added before the ratio is taken.
 BUCKETS, SMOOTHING = 10_000, 1.0
@@ -147,8 +147,9 @@ def resample(docs: DataFrame, targets: DataFrame, share: float = SHARE, seed: in
     none, are sampled one by one.  Null and empty texts have no n-grams and log weight 0.  Without target documents all
     weights are 0 and the sample is uniform.  An empty table gives no rows; columns of docs but these two are not read.
     """
-    rows = _numbered(weighed(docs, model(docs, targets, id_col, text_col), id_col, text_col))
-    draw = gumbel(seed, F.col("doc_id"), F.col("text_hash"), F.col("n"))
-    keyed = written(rows.select("doc_id", "n_grams", "log_weight", (F.col("log_weight") + draw).alias("key")), "keys")
+    with scratch() as keep:
+        rows = _numbered(weighed(docs, model(docs, targets, id_col, text_col), id_col, text_col))
+        draw = gumbel(seed, F.col("doc_id"), F.col("text_hash"), F.col("n"))
+        keyed = keep(written(rows.select("doc_id", "n_grams", "log_weight", (F.col("log_weight") + draw).alias("key")), "keys"))
     least = kth_largest(keyed, "key", math.ceil(share * keyed.count()))
     return keyed.withColumn("kept", F.col("key") >= F.lit(math.inf if least is None else least))
