@@ -15,7 +15,7 @@ from nearopt.functions.order import ranked
 from nearopt.operators import oracle
 from nearopt.operators import sample as draw
 from nearopt.operators.fit import FittedSet
-from nearopt.operators.stats import matrix, sums
+from nearopt.operators.stats import WRITTEN_OUT, matrix, sums
 
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 MODES = ("iid", "residual", "conditional")
@@ -50,6 +50,24 @@ def correlations(frame: DataFrame, d: int) -> np.ndarray:
         return cov / np.outer(std, std)
 
 
+def _facts(frame: DataFrame, d: int) -> tuple[int, float, np.ndarray]:
+    """(rows, variance of the label, correlations of the features): in one pass where moments are written out as columns."""
+    xs, label = columns(d), [F.count("y"), F.var_pop("y")]
+    if d > WRITTEN_OUT:
+        n, var = frame.agg(*label).first()
+        return n, var, correlations(frame, d)
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    row = frame.agg(*label, *[F.avg(x) for x in xs], *[F.avg(xs[i] * xs[j]) for i, j in pairs]).first()
+    n, var, mean = row[0], row[1], np.array(row[2 : 2 + d], float)
+    cov = np.zeros((d, d))
+    for (i, j), v in zip(pairs, row[2 + d :]):
+        cov[i, j] = cov[j, i] = np.nan if v is None else v
+    cov -= np.outer(mean, mean)
+    std = np.sqrt(np.maximum(np.diag(cov), 0))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return n, var, cov / np.outer(std, std)
+
+
 def collinear_pairs(df: DataFrame, spec: FeatureSpec, least: float = COLLINEAR) -> DataFrame:
     """(i, j, r) of the pairs of features whose correlation is larger than `least` in size."""
     r = correlations(spec.project(df, with_label=False), spec.d)
@@ -112,15 +130,14 @@ def reliance(fitted: FittedSet, df: DataFrame, batch=None, n_permutations: int =
         raise ValueError(f"perm_mode must be one of {', '.join(MODES)}")
     spec, d = fitted.spec, fitted.d
     frame = spec.project(df, with_label=True)
+    n, var, r = _facts(frame, d)
     if check_collinearity:
-        r = correlations(frame, d)
         high = [(i, j) for i in range(d) for j in range(i + 1, d) if abs(r[i, j]) > COLLINEAR]
         if high:
             warnings.warn(f"collinear features {high}; their importances are shared", stacklevel=2)
     seed = fitted.config.random_state if random_state is None else random_state
     batch = draw.sample(fitted, n_samples, sampler, random_state=seed) if batch is None else oracle.thetas(batch, d)
     logistic = fitted.config.estimator == "logistic"
-    n, mean, var = frame.agg(F.count("y"), F.avg("y"), F.var_pop("y")).first()
     k = len(batch)
 
     def hits(margins: np.ndarray, y: np.ndarray) -> np.ndarray:

@@ -32,6 +32,8 @@ DRAWS = 60
 PAIRS = ((0, 1), (0, 2), (1, 4), (2, 5), (3, 4))
 REPS = 2
 STEPS = (0.6180339887498949, 0.7548776662466927)
+#: Bytes below which a table is dealt out to all cores before its texts are worked on.
+DEALT = 256 << 20
 COLUMNS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 DOCS = FeatureSpec(("x0", "x1"), "y", "doc_id")
@@ -42,8 +44,19 @@ PART = FeatureSpec(("x0", "x1"), "y", "p_partkey")
 _kept: dict = {}
 
 
+def labelled_texts(spark: SparkSession, sf: str, names: tuple[str, ...]) -> DataFrame:
+    """Labelled documents: doc_id, source, lang, the text features named, quality, toxic.
+
+    A small table is often one group of rows in one file, which one task would read alone: it is dealt out first."""
+    docs = tables.table(spark, sf, "documents").select("doc_id", "source", "lang", "text")
+    if sum(size for _, size, _ in tables.files(spark, sf, "documents")) < DEALT:
+        docs = docs.repartition(spark.sparkContext.defaultParallelism)
+    known = features.text_features(F.col("text"))
+    return docs.select("doc_id", "source", "lang", *[known[n].alias(n) for n in names]).join(tables.table(spark, sf, "labels"), "doc_id")
+
+
 def text_table(spark: SparkSession, sf: str) -> DataFrame:
-    """Labelled documents with their text features: doc_id, source, lang, quality, toxic and three doubles.
+    """Labelled documents with the text features of the design: doc_id, source, lang, quality, toxic and two doubles.
 
     Texts are read once: the features, a few numbers a document, are persisted, those of one folder at a time and only
     while its files are the same.
@@ -52,9 +65,7 @@ def text_table(spark: SparkSession, sf: str) -> DataFrame:
     if _kept.get("key") != key or not _kept["table"].storageLevel.useMemory:
         if _kept.get("key", (None,))[0] == key[0]:
             _kept["table"].unpersist()
-        docs = tables.table(spark, sf, "documents")
-        rows = docs.select("doc_id", "source", "lang", *[c.alias(n) for n, c in features.text_features(F.col("text")).items()])
-        _kept.update(key=key, table=rows.join(tables.table(spark, sf, "labels"), "doc_id").persist())
+        _kept.update(key=key, table=labelled_texts(spark, sf, ("log_length", "other_share")).persist())
     return _kept["table"]
 
 
@@ -75,8 +86,9 @@ def document_set(spark: SparkSession, sf: str) -> fitting.FittedSet:
     return out.with_epsilon(RHO * out.l_hat)
 
 
-def part_set(spark: SparkSession, sf: str) -> fitting.FittedSet:
-    return fitting.fit(part(spark, sf), PART, SetConfig(estimator="linear", epsilon=RHO))
+def part_set(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> fitting.FittedSet:
+    """The set of a fit; rows, if given, are those of part(), which then aren't standardised again."""
+    return fitting.fit(part(spark, sf) if rows is None else rows, PART, SetConfig(estimator="linear", epsilon=RHO))
 
 
 def draws(fitted: fitting.FittedSet) -> np.ndarray:
@@ -166,7 +178,8 @@ def _mcr_query(mode: str) -> Callable:
 
 
 def _reliance(s, f, mode: str) -> DataFrame:
-    return importance.reliance(part_set(s, f), part(s, f), PART_BATCH, REPS, perm_mode=mode, order=even_order("p_partkey"))
+    rows = part(s, f)
+    return importance.reliance(part_set(s, f, rows), rows, PART_BATCH, REPS, perm_mode=mode, order=even_order("p_partkey"))
 
 
 def _summary(s, f) -> DataFrame:
@@ -244,7 +257,8 @@ def _samples(s, f) -> DataFrame:
 
 
 def _stats_row(s, f) -> DataFrame:
-    known = features.moments(text_table(s, f), ["log_length", "other_share", "distinct_share"])
+    names = ("log_length", "other_share", "distinct_share")
+    known = features.moments(labelled_texts(s, f, names), list(names))
     return rounded(s.createDataFrame([(c, *v) for c, v in known.items()], "feature string, mean double, std double"))
 
 
