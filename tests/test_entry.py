@@ -51,3 +51,17 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError, match="checkpoint"):
         storage.shared_dir(Session())
+
+
+def test_kept_text_features_follow_their_files(spark, tmp_path):
+    from nearopt.plans import catalog
+
+    def stage(n):
+        spark.createDataFrame([(i, f"text {i}", "en", "s") for i in range(n)], "doc_id long, text string, lang string, source string").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        spark.createDataFrame([(i, i % 2, 0) for i in range(n)], "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+
+    stage(5)
+    first = catalog.text_table(spark, str(tmp_path))
+    assert first.count() == 5 and catalog.text_table(spark, str(tmp_path)) is first
+    stage(8)
+    assert catalog.text_table(spark, str(tmp_path)).count() == 8

@@ -74,12 +74,12 @@ def test_minimum_in_a_ball_also_in_the_hard_case():
 def test_linear_bounds_hold_every_draw_and_are_reached(spark):
     s, df, x, y = made(spark, "linear", d=3)
     batch = np.concatenate([draw.ellipsoid(s, 400, 3), draw.ellipsoid(s, 40, 4)])
-    rim = draw.placed(s, s.reach * (g := np.random.default_rng(5).normal(size=(3000, 3))) / np.linalg.norm(g, axis=1, keepdims=True))
+    rim = draw.placed(s, s.reach * (g := np.random.default_rng(5).normal(size=(1500, 3))) / np.linalg.norm(g, axis=1, keepdims=True))
     found = reliance_bounds.bounds(s, df, 2, order=even).orderBy("j").collect()
     seen = importance.reliance(s, df, np.concatenate([batch, rim]), 2, order=even, check_collinearity=False).groupBy("j").agg(F.min("importance").alias("lo"), F.max("importance").alias("hi")).orderBy("j").collect()
     for a, b in zip(found, seen):
         assert a.reliance_min <= b.lo + 1e-12 and b.hi <= a.reliance_max + 1e-12
-        assert b.lo - a.reliance_min < 0.02 * (b.hi - b.lo) and a.reliance_max - b.hi < 0.02 * (b.hi - b.lo)
+        assert b.lo - a.reliance_min < 0.03 * (b.hi - b.lo) and a.reliance_max - b.hi < 0.03 * (b.hi - b.lo)
         at = importance.reliance(s, df, [a.at_min, a.at_max], 2, order=even, check_collinearity=False).where(f"j = {a.j}").orderBy("sample_id").collect()
         assert [r.importance for r in at] == pytest.approx([a.reliance_min, a.reliance_max])
     exact = reliance_bounds.bounds(s, df, 2, "exact", order=even).orderBy("j").collect()
