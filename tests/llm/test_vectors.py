@@ -145,7 +145,7 @@ def test_neighbours_too_close_for_bytes_are_found_by_search(spark, monkeypatch):
         monkeypatch.setattr(nndescent, name, value)
     rng = np.random.default_rng(9)
     centres = rng.normal(size=(3, 16))
-    x = np.concatenate([c + 1e-4 * rng.normal(size=(900, 16)) for c in centres])
+    x = np.concatenate([c + 1e-4 * rng.normal(size=(400, 16)) for c in centres])
     precise, recoded = [], nndescent._recoded
     monkeypatch.setattr(nndescent, "_recoded", lambda rows: precise.append(1) or recoded(rows))
     got = nndescent.nearest(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], VEC), every=30).collect()
@@ -154,7 +154,7 @@ def test_neighbours_too_close_for_bytes_are_found_by_search(spark, monkeypatch):
         d = np.linalg.norm(x - x[q], axis=1)
         d[q] = np.inf
         hits += len(set(np.argsort(d)[:10].tolist()) & {r.vec_id for r in got if r.query_id == q})
-    assert precise and hits >= 0.9 * 900
+    assert precise and hits >= 0.9 * 400
 
 
 def test_components_of_any_size_end(spark):
