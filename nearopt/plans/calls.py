@@ -128,7 +128,7 @@ def _modes(s, f) -> DataFrame:
 
 
 def _bootstrap(s, f) -> DataFrame:
-    p = fitting.fit(C.documents(s, f), C.DOCS, SetConfig(C=0.01, bootstrap_reps=REPLICATES))
+    p = C.fitted_set(s, f, SetConfig(C=0.01, bootstrap_reps=REPLICATES))
     return C.one_row(s, epsilon=calibrate.bootstrap(p, ALPHA, numbers="even"))
 
 

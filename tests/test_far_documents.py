@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from nearopt.operators import calibrate
 from nearopt.operators import fit as fitting
-from nearopt.plans import catalog
+from nearopt.plans import calls, catalog
 
 N = 4_000
 LAM = 100.0
@@ -63,7 +63,7 @@ def refitted(x, y, labels, share):
     """The quantile of what refits to labels drawn from the fit (a column each) gain over it."""
     theta = solved(x, y)
     drawn = (labels < 1 / (1 + np.exp(-x @ theta))[:, None]).astype(float).T
-    return np.quantile([max(0.0, value(x, d, theta) - value(x, d, solved(x, d, theta, 8))) for d in drawn], share)
+    return np.quantile([max(0.0, value(x, d, theta) - value(x, d, solved(x, d, theta))) for d in drawn], share)
 
 
 def test_bootstrap_epsilon(spark, far):
@@ -72,3 +72,10 @@ def test_bootstrap_epsilon(spark, far):
     keys = np.array([r.k for r in spark.range(N).select(F.xxhash64("id").alias("k")).collect()])
     expected = refitted(x, y, calibrate._uniform(keys, np.arange(40), 3, "random"), 0.9)
     assert row.epsilon == pytest.approx(expected, abs=2e-6) and row.calibration == "bootstrap" and row.alpha == 0.1
+
+
+def test_bootstrap_even(spark, far):
+    folder, x, y = far
+    (row,) = rows_of(calls.QUERIES["bootstrap_even"][0], spark, folder)
+    expected = refitted(x, y, calibrate._uniform(np.arange(N), np.arange(calls.REPLICATES), 0, "even"), 1 - calls.ALPHA)
+    assert row.epsilon == pytest.approx(expected, abs=2e-6)
