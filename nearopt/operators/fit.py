@@ -15,7 +15,7 @@ from nearopt.operators.stats import Sums, sums
 
 #: Guardrails: least p (1 - p) of a row, and largest condition number of the Hessian.
 LEAST_WEIGHT, MOST_CONDITION = 1e-6, 1e8
-#: Newton steps end at this size of the mean gradient.
+#: The Newton step from where the mean gradient has this size is the last.
 GRADIENT = 1e-11
 #: Values of the rows that give a logistic fit its start.
 START = 1_000_000
@@ -88,12 +88,12 @@ def _newton(measure, d: int, start: np.ndarray, penalty, max_iter: int) -> tuple
             continue
         value = new
         gradient = (s.first + share * theta) / s.n
-        if np.abs(gradient).max() <= GRADIENT:
-            break
         step = -np.linalg.solve((s.second + share * np.eye(d)) / s.n, gradient)
         if np.abs(step).max() <= 1e-14 * max(1.0, np.abs(theta).max()):
             break
         theta = theta + step
+        if np.abs(gradient).max() <= GRADIENT:  # what this step leaves is beyond the digits of a double
+            break
     return theta, s if s is not None and at is theta else None
 
 

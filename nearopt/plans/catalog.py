@@ -213,7 +213,7 @@ SELECT {_r('theta0', 't0')}, {_r('theta1', 't1')} FROM steps WHERE it = 15"""
 
 
 def _flagship_set(s, f) -> fitting.FittedSet:
-    return fitting.fit(documents(s, f), DOCS, SetConfig(C=0.01, epsilon=RHO))
+    return fitted_set(s, f, SetConfig(C=0.01, epsilon=RHO))
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

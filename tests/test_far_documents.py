@@ -79,3 +79,34 @@ def test_bootstrap_even(spark, far):
     (row,) = rows_of(calls.QUERIES["bootstrap_even"][0], spark, folder)
     expected = refitted(x, y, calibrate._uniform(np.arange(N), np.arange(calls.REPLICATES), 0, "even"), 1 - calls.ALPHA)
     assert row.epsilon == pytest.approx(expected, abs=2e-6)
+
+
+def the_set(x, y):
+    """theta, the value at it, the Hessian, and the tolerance of the queries."""
+    theta = solved(x, y)
+    p = 1 / (1 + np.exp(-x @ theta))
+    return theta, value(x, y, theta), (x.T * (p * (1 - p))) @ x / N + LAM * np.eye(2), catalog.RHO * value(x, y, theta)
+
+
+def test_certified_documents(spark, far):
+    folder, x, y = far
+    rows = sorted(rows_of(catalog.flagship, spark, folder), key=lambda r: r.doc_id)
+    theta, _, hessian, epsilon = the_set(x, y)
+    m, half = x @ theta, np.sqrt(2 * epsilon * np.einsum("ij,jk,ik->i", x, np.linalg.inv(hessian), x))
+    assert [r.doc_id for r in rows] == list(range(N))
+    for name, expected in (("margin", m), ("lo", m - half), ("hi", m + half), ("p", 1 / (1 + np.exp(-m))), ("p_lo", 1 / (1 + np.exp(half - m))), ("p_hi", 1 / (1 + np.exp(-m - half)))):
+        assert np.abs(np.array([r[name] for r in rows]) - expected).max() < 2e-6, name
+    assert [r.ambiguous for r in rows] == list(np.abs(m) <= half)
+
+
+def test_the_fit_has_all_digits(spark, far):
+    """Rows within 1e-12 of a rounding bound fall on the side where exact steps put them."""
+    rows = catalog.DOCS.project(catalog.documents(spark, far[0]), True).persist()
+    x0, x1, y = (c.to_numpy() for c in rows.select("x0", "x1", "y").toArrow().columns)
+    x = np.stack([x0, x1], 1)
+    off = []
+    for penalty in (300.0, 100.0, 30.0, 10.0):
+        theta, _ = fitting.solve_logistic(rows, 2, lambda n: penalty, 100)
+        p = 1 / (1 + np.exp(-x @ theta))
+        off.append(np.abs(np.linalg.solve((x.T * (p * (1 - p))) @ x + penalty * np.eye(2), x.T @ (p - y) + penalty * theta)).max())
+    assert max(off) < 1e-13
