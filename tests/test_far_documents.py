@@ -110,3 +110,15 @@ def test_the_fit_has_all_digits(spark, far):
         p = 1 / (1 + np.exp(-x @ theta))
         off.append(np.abs(np.linalg.solve((x.T * (p * (1 - p))) @ x + penalty * np.eye(2), x.T @ (p - y) + penalty * theta)).max())
     assert max(off) < 1e-13
+
+
+def test_fitted_documents(spark, far):
+    folder, x, y = far
+    (row,) = rows_of(calls.QUERIES["fitted_documents"][0], spark, folder)
+    theta, l_hat, hessian, epsilon = the_set(x, y)
+    m = x @ theta
+    p = 1 / (1 + np.exp(-m))
+    values = np.linalg.eigvalsh(hessian)
+    assert row.n == N and row.least_weight < fitting.LEAST_WEIGHT
+    for name, expected in (("l_hat", l_hat), ("theta_norm", np.linalg.norm(theta)), ("epsilon", epsilon), ("kappa", values[1] / values[0]), ("least_weight", (p * (1 - p)).min()), ("least_margin", ((2 * y - 1) * m).min())):
+        assert row[name] == pytest.approx(expected, abs=2e-6), name
