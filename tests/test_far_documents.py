@@ -7,9 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nearopt.operators import calibrate
+from nearopt.operators import calibrate, highdim
 from nearopt.operators import fit as fitting
-from nearopt.plans import calls, catalog
+from nearopt.plans import calls, catalog, whole_set
 
 N = 4_000
 LAM = 100.0
@@ -122,3 +122,17 @@ def test_fitted_documents(spark, far):
     assert row.n == N and row.least_weight < fitting.LEAST_WEIGHT
     for name, expected in (("l_hat", l_hat), ("theta_norm", np.linalg.norm(theta)), ("epsilon", epsilon), ("kappa", values[1] / values[0]), ("least_weight", (p * (1 - p)).min()), ("least_margin", ((2 * y - 1) * m).min())):
         assert row[name] == pytest.approx(expected, abs=2e-6), name
+
+
+def test_highdim_epsilon(spark, far):
+    folder, x, y = far
+    (row,) = rows_of(whole_set.QUERIES["highdim_epsilon"][0], spark, folder)
+    theta, _, hessian, _ = the_set(x, y)
+    m = x @ theta
+    p = 1 / (1 + np.exp(-m))
+    leverage = np.einsum("ij,jk,ik->i", x, np.linalg.inv(hessian), x) / N
+    spread = np.var(m + (p - y) * leverage / (1 - p * (1 - p) * leverage))
+    gamma, factor = highdim.strength(2 / N, spread)
+    assert row.calibration == "highdim"
+    assert (row.kappa, row.spread, row.gamma, row.factor) == pytest.approx((2 / N, spread, gamma, factor), abs=1e-4)
+    assert row.epsilon == pytest.approx(factor * -math.log(0.05) / N, abs=2e-6)  # half the chi-square quantile of two features
