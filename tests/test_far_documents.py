@@ -136,3 +136,9 @@ def test_highdim_epsilon(spark, far):
     assert row.calibration == "highdim"
     assert (row.kappa, row.spread, row.gamma, row.factor) == pytest.approx((2 / N, spread, gamma, factor), abs=1e-4)
     assert row.epsilon == pytest.approx(factor * -math.log(0.05) / N, abs=2e-6)  # half the chi-square quantile of two features
+
+
+def test_logistic_fit_documents(spark, far):
+    folder, x, y = far
+    (row,) = rows_of(catalog.QUERIES["logistic_fit_documents"][0], spark, folder)
+    assert (row.theta0, row.theta1) == pytest.approx(tuple(solved(x, y)), abs=2e-6)
