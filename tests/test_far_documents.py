@@ -142,3 +142,19 @@ def test_logistic_fit_documents(spark, far):
     folder, x, y = far
     (row,) = rows_of(catalog.QUERIES["logistic_fit_documents"][0], spark, folder)
     assert (row.theta0, row.theta1) == pytest.approx(tuple(solved(x, y)), abs=2e-6)
+
+
+def beside_sql(name, spark, folder):
+    """The rows of a registered query and of its SQL in DuckDB, on the same tables."""
+    duckdb = pytest.importorskip("duckdb")
+    import __spark_entry__ as entry
+
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    return [tuple(r) for r in rows_of(entry.queries()[name], spark, folder)], con.execute(entry.oracle_sql()[name]).fetchall()
+
+
+def test_fitted_documents_beside_its_sql(spark, far):
+    rows, expected = beside_sql("fitted_documents", spark, far[0])
+    assert rows == expected and rows[0][0] == N
