@@ -158,3 +158,14 @@ def beside_sql(name, spark, folder):
 def test_fitted_documents_beside_its_sql(spark, far):
     rows, expected = beside_sql("fitted_documents", spark, far[0])
     assert rows == expected and rows[0][0] == N
+
+
+def test_highdim_epsilon_solves_its_equations(spark, far):
+    import __spark_entry__ as entry
+
+    (row,) = rows_of(entry.queries()["highdim_epsilon"], spark, far[0])
+    alpha, sigma, lam = highdim.system(row.kappa, row.gamma)
+    assert np.abs(highdim._equations(row.kappa, row.gamma, alpha, sigma, lam)).max() < 1e-8
+    assert (alpha * row.gamma) ** 2 + row.kappa * sigma**2 == pytest.approx(row.spread, abs=1e-3)  # gamma has four digits
+    assert row.factor == pytest.approx(row.kappa * sigma**2 / lam, abs=2e-6) and row.factor > 1
+    assert row.epsilon == pytest.approx(row.factor * -math.log(0.05) / N, abs=2e-6) and row.calibration == "highdim"
