@@ -169,3 +169,8 @@ def test_highdim_epsilon_solves_its_equations(spark, far):
     assert (alpha * row.gamma) ** 2 + row.kappa * sigma**2 == pytest.approx(row.spread, abs=1e-3)  # gamma has four digits
     assert row.factor == pytest.approx(row.kappa * sigma**2 / lam, abs=2e-6) and row.factor > 1
     assert row.epsilon == pytest.approx(row.factor * -math.log(0.05) / N, abs=2e-6) and row.calibration == "highdim"
+
+
+def test_logistic_fit_documents_beside_its_sql(spark, far):
+    rows, expected = beside_sql("logistic_fit_documents", spark, far[0])
+    assert rows == expected and len(rows) == 1
